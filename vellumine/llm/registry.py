@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vellumine.llm import mixing, url_filter
+from vellumine.llm import mixing, token_files, url_filter
 
-MODULES = (url_filter, mixing)
+MODULES = (url_filter, mixing, token_files)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
