@@ -14,7 +14,7 @@ from itertools import islice
 import numpy as np
 
 #: Texts with these are encoded whole: rare white space, separators, joiners, and what could start a special token.
-UNUSUAL = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]|<\|")
+UNUSUAL = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\|")
 
 #: A chunk that keeps the white space in front of it, and one without.
 SPACED, BARE = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+"), re.compile("[^ \t\n\r]+")
