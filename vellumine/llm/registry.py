@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vellumine.llm import mixing, quality_classifier, token_files, url_filter
+from vellumine.llm import mixing, quality_classifier, token_files, toxicity, url_filter
 
-MODULES = (url_filter, mixing, token_files, quality_classifier)
+MODULES = (url_filter, mixing, token_files, quality_classifier, toxicity)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
