@@ -2,43 +2,91 @@
 
 A pre-tokenizer that starts a new piece at white space gives a text the ids of its white-space chunks, one after
 another. So a task encodes each distinct chunk once, by the library, and keeps what it found in a memo of bounded
-size; texts with characters on which the library and Python could differ about white space, or with a marker that
-could be a special token, are encoded whole.
+size. A chunk of plain letters and closing punctuation consists of two pieces at most, which go to the library's model
+one by one and are remembered too, so that a word with a new comma is no new word; any other chunk goes through the
+whole tokenizer. Texts with characters on which the library and Python could differ about white space, or with a
+marker that could be a special token, are encoded whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from itertools import islice
 
-import numpy as np
-
 #: Texts with these are encoded whole: rare white space, separators, joiners, and what could start a special token.
 UNUSUAL = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\|")
 
 #: A chunk that keeps the white space in front of it, and one without.
 SPACED, BARE = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+"), re.compile("[^ \t\n\r]+")
 
-#: The most chunks in a memo, and the longest that is kept. A full memo keeps its older half, where the frequent ones are.
-MEMO, MEMO_CHARS = 300_000, 48
+#: The most chunks and pieces that are remembered, and the longest chunk. A full memo keeps its older half, where the
+#: frequent ones are.
+MEMO, PIECES, MEMO_CHARS = 600_000, 200_000, 48
 
 #: Characters of text that are encoded at a time.
 AT_ONCE = 1 << 20
 
+#: A plain chunk: a space or a line's end, Latin letters, closing punctuation.
+PLAIN = re.compile(r"([ \n]?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+)([.,;:!?#*$%&@|/+=_()<>{}\"-]*)").fullmatch
+
+#: The letter for a space in byte-level models.
+SPACE = chr(256 + 32)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level models: itself if visible, else the next free one from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_LETTER = _byte_letters()
+
+
+def _bytes_of(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    return out.tobytes()
+
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, keeps_space: bool):
-        """keeps_space: whether white space is part of the tokens (byte-level) or dropped (word-level)."""
+        """keeps_space: white space is part of the tokens (byte-level), else it is dropped and words are in lower case."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.keeps_space = keeps_space
         self.chunks = (SPACED if keeps_space else BARE).findall
         self.memo: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.newline = self._fresh(["\n"])[0]
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [_bytes_of(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one piece of the pre-tokenizer: a word, with a space in front or without, or punctuation."""
+        space = piece[0] == " "
+        letters = SPACE * space + (piece[space:] if piece.isascii() else "".join(map(_LETTER.__getitem__, piece[space:].encode())))
+        if len(self.pieces) >= PIECES:
+            self.pieces = dict(islice(self.pieces.items(), PIECES // 2))
+        found = self.pieces[piece] = _bytes_of([t.id for t in self.model.tokenize(letters)])
+        return found
+
+    def _plain(self, chunk: str) -> bytes | None:
+        """The ids of a plain chunk; None if it is anything else."""
+        match = PLAIN(chunk)
+        if match is None:
+            return None
+        head, core, tail = match.groups()
+        word = core.lower() if not self.keeps_space else " " + core if head == " " else core
+        ids = self.pieces.get(word) or self._piece(word)
+        if head == "\n":
+            ids = self.newline + ids
+        return ids + (self.pieces.get(tail) or self._piece(tail)) if tail else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, start, chars = [], 0, 0
@@ -55,13 +103,21 @@ class Encoder:
         if len(self.memo) + len(missing) > MEMO:
             self.memo = dict(islice(self.memo.items(), MEMO // 2))
             missing = set().union(*[c for c in split if c is not None]).difference(self.memo)
-        new = list(missing)
-        self.memo.update(zip(new, self._fresh(new), strict=True))
+        other, long_ = [], []
+        for k in missing:
+            ids = self._plain(k)
+            if ids is None:
+                other.append(k)
+            else:
+                self.memo[k] = ids
+            if len(k) > MEMO_CHARS:
+                long_.append(k)
+        if other:
+            self.memo.update(zip(other, self._fresh(other), strict=True))
         get = self.memo.__getitem__
         out = [self._fresh([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, split, strict=True)]
-        for k in new:
-            if len(k) > MEMO_CHARS:
-                del self.memo[k]
+        for k in long_:
+            del self.memo[k]
         return out
 
 
