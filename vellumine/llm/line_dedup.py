@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import SPACE, column_name, table, written
+from vellumine.llm.common import SPACE, table, written
 
 #: The least similarity, as a fraction.
 SIMILARITY = (4, 5)
@@ -160,13 +160,14 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Lines without words stay where they are. A text whose lines all go is empty; a null text stays null.
     """
-    own = column_name(docs, "doc")
     gone = removed_lines(docs).filter(F.size("removed") > 0).dropDuplicates(["doc_id", "doc"])
     gone = written(gone.select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc"), "removed"), "lines-gone")
-    keyed = docs.withColumn(own, F.xxhash64("doc_id", "text"))
-    joined = keyed.join(gone, keyed.doc_id.eqNullSafe(gone._id) & (keyed[own] == gone._doc), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i)), "\n")
-    return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.struct(*docs.columns).alias("row"))
+    joined = keyed.join(gone, keyed.doc_id.eqNullSafe(gone._id) & (keyed.doc == gone._doc), "left")
+    text = F.col("row.text")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("removed", i)), "\n")
+    reduced = F.when(F.col("removed").isNull(), text).otherwise(kept).alias("text")
+    return joined.select(*[reduced if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

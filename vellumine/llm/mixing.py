@@ -144,10 +144,9 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -
     Rows that are alike in doc_id and text share a hash and are taken together. An empty table gives an empty mix.
     """
     limits = thresholds(written(sized(docs).select("source", "size", "hash"), "mix-sized"), weights, most)
-    rows = docs.withColumns({"_size": n_words(F.col("text")), "_hash": row_hash(F.col("doc_id"), F.col("text"))})
-    taken = mix(rows.withColumnRenamed("_hash", "_mix_hash"), limits, "source", "_size", "_mix_hash")
-    times = taken.withColumn("_time", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).filter("copies > 0")
-    return times.select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", n_words(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("hash"))
+    taken = mix(rows, limits).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies")))
+    return taken.select("row.*")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

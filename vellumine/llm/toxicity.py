@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import table, written
+from vellumine.llm.common import column_name, table, written
 from vellumine.llm.ftrl import Linear, train
 from vellumine.llm.quality_classifier import in_fold, labelled_sample
 
@@ -262,11 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
 _VOTES: dict[tuple, dict[str, tuple]] = {}
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """docs with score (from 0 to 1) and predicted (1 where score >= threshold).
-
-    Null and empty texts have the score of the bias alone. Columns score and predicted of docs are replaced.
-    """
+def _scores(docs: DataFrame, model: Model, text: str = "text"):
     at = docs.sparkSession.sparkContext.broadcast(model.linear)
 
     @F.pandas_udf("double")
@@ -274,8 +270,22 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
         m = at.value
         return pd.Series(m.score(np.array([m.bias + (float(m.weights[feature_ids(t)].sum()) if t else 0.0) for t in texts])))
 
+    return of(F.col(text))
+
+
+def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """docs with score (from 0 to 1) and predicted (1 where score >= threshold).
+
+    Null and empty texts have the score of the bias alone. Columns score and predicted of docs are replaced.
+    """
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    return docs.select(*kept, of(F.col("text")).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.select(*kept, _scores(docs, model).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents whose score is below the threshold, by a model fitted on them and the labels; with all their columns."""
+    model, own = fit(docs, labels), column_name(docs, "toxic_score")
+    return docs.withColumn(own, _scores(docs, model)).filter(F.col(own) < threshold).drop(own)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
