@@ -70,12 +70,12 @@ def clean_text(text: Column) -> Column:
     """The steps of text cleaning that patterns can express, in order: invisible characters, quotes, dashes, hyphenation,
     bullets, page markers, blanks, blank lines."""
     steps = (
-        ("[​‌‍﻿­]", ""),
-        ("[‘’]", "'"),
-        ("[“”]", '"'),
-        (" *[–—] *", " - "),
+        (r"[\x{200B}\x{200C}\x{200D}\x{FEFF}\x{AD}]", ""),
+        (r"[\x{2018}\x{2019}]", "'"),
+        (r"[\x{201C}\x{201D}]", '"'),
+        (r" *[\x{2013}\x{2014}] *", " - "),
         (r"([a-z])-\n([a-z])", "$1$2"),
-        ("(?m)^[ \t]*[•●➢▪*][ \t]*", "- "),
+        (r"(?m)^[ \t]*[\x{2022}\x{25CF}\x{27A2}\x{25AA}*][ \t]*", "- "),
         (r"(?mi)^[ \t]*(?:page[ \t]+[0-9]+(?:[ \t]+of[ \t]+[0-9]+)?|-[ \t]*[0-9]+[ \t]*-)[ \t]*$", ""),
         (r"[ \t]+", " "),
         (r"\n{3,}", "\n\n"),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumine.plans import relational, stats
+from vellumine.plans import relational, stats, texts
 
-MODULES = (stats, relational)
+MODULES = (stats, relational, texts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
