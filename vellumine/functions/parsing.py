@@ -174,7 +174,7 @@ def experience(text: str | None) -> list[dict]:
         s = line.strip()
         m = _SPAN.search(s)
         if m:
-            head = re.sub(r"^[\s|,()\-–]+|[\s|,()\-–]+$", "", s[: m.start()] + s[m.end() :]) or before
+            head = re.sub(r"^[\s|,\-–]+|[\s|,(\-–]+$", "", s[: m.start()] + s[m.end() :]) or before
             role, company, place = role_and_company(head)
             out.append({"role": role, "company": company, "location": place, "duration": m[0], "is_current": m[2].lower() in ("present", "current", "now"), "highlights": []})
             before = ""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumine.plans import documents, relational, stats, texts
+from vellumine.plans import documents, profiles, relational, stats, texts
 
-MODULES = (stats, relational, texts, documents)
+MODULES = (stats, relational, texts, documents, profiles)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
