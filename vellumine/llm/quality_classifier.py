@@ -77,11 +77,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "ids": [i.astype(np.int32) for i, _ in found], "vals": [v.astype(np.float32) for _, v in found]})
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id")
-    rows = texts.mapInPandas(to_features, "doc_id long, label double, ids array<int>, vals array<float>").toPandas()
-    rows = rows.iloc[np.argsort([zlib.crc32(str(d).encode()) for d in rows["doc_id"]], kind="stable")] if len(rows) else rows
-    share = float(rows["label"].mean()) if len(rows) else 0.5
+    rows = texts.mapInPandas(to_features, "doc_id long, label double, ids array<int>, vals array<float>").toArrow().combine_chunks()
+    labels_, doc_ids = rows["label"].to_numpy(), rows["doc_id"].to_pylist()
+    share = float(labels_.mean()) if len(labels_) else 0.5
     rare = min(4.0, max(1.0, (share / max(1e-9, 1 - share)) ** 0.5))
-    data = [(np.asarray(i, np.int64), np.asarray(v, float), y, rare if y < 0.5 else 1.0) for i, v, y in zip(rows["ids"], rows["vals"], rows["label"], strict=True)]
+    column = lambda c: (rows[c].chunk(0).offsets.to_numpy(), rows[c].chunk(0).values.to_numpy()) if len(labels_) else (np.zeros(1, int), np.zeros(0))
+    (ends, ids), (_, values) = column("ids"), column("vals")
+    order = np.argsort([zlib.crc32(str(d).encode()) for d in doc_ids], kind="stable") if len(labels_) else []
+    data = [(ids[ends[k] : ends[k + 1]], values[ends[k] : ends[k + 1]], labels_[k], rare if labels_[k] < 0.5 else 1.0) for k in order]
     return train(data, 1 << HASH_BITS, alpha=0.3, l1=0.02)
 
 
