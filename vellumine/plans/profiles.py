@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.functions import insights, parsing
+from vellumine.functions import insights, notes, parsing
 from vellumine.operators import pages
 from vellumine.sources.tables import table
 
@@ -58,7 +58,24 @@ def profile_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (insights_cascade, filename_role, embedding_composite, page_match, profile_parts)}
+NOTES = ('[{"id":"1","author":"a","text":"first","date":"2024-01-02"},{"id":"2","author":"b","text":"older","date":"2024-01-01"}]', "plain words", "", "[not json")
+
+
+def notes_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes as rows: text and date of each, in order, after a new one was put in front."""
+    day = F.lit("2024-02-01")
+    new = F.struct(F.lit("9").alias("id"), F.lit("c").alias("author"), F.lit("older").alias("text"), day.alias("date"))
+    found = _fixture(spark, NOTES).select("id", notes.prepend_note(notes.parse_notes(F.col("value"), day), new).alias("x"))
+    return found.select("id", F.posexplode("x").alias("at", "n")).select("id", F.col("at").alias("place"), "n.text", "n.date")
+
+
+def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of a number inside JSON properties, by kind of event."""
+    number = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(number).alias("n"), F.sum(number).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (notes_parse, json_values, insights_cascade, filename_role, embedding_composite, page_match, profile_parts)}
 
 
 def _values(values: tuple[str, ...]) -> str:
@@ -70,6 +87,8 @@ def _first(patterns: tuple[str, ...], default: str) -> str:
 
 
 ORACLES = {
+    "notes_parse": "select * from (values (0, 0, 'older', '2024-02-01'), (0, 1, 'first', '2024-01-02'), (1, 0, 'older', '2024-02-01'), (1, 1, 'plain words', '2024-02-01'), (2, 0, 'older', '2024-02-01'), (3, 0, 'older', '2024-02-01'), (3, 1, '[not json', '2024-02-01')) as t(id, place, text, date)",
+    "json_values": "select event_type, count(props->>'$.k') as n, sum((props->>'$.k')::bigint)::bigint as total from events group by event_type",
     "insights_cascade": f"""select id, {_first(insights.NOTICE, insights.NOT_SPECIFIED)} as notice_period, {_first(insights.CURRENT_PAY, insights.NOT_SPECIFIED)} as current_pay,
         {_first(insights.EXPECTED_PAY, insights.NEGOTIABLE)} as expected_pay, {_first(insights.LOCATION, insights.NOT_SPECIFIED)} as location, {_first(insights.YEARS, insights.FRESHER)} as years from {_values(FACTS)}""",
     "filename_role": r"with p as (select id, regexp_replace(lower(value), '[_\-.\s]+', ' ', 'g') as p from "
