@@ -19,7 +19,7 @@ def duck():
 
 
 def rows(df):
-    cell = lambda x: "NULL" if x is None or x != x or type(x).__name__ in ("NAType", "NaTType") else f"{float(x):.6g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    cell = lambda x: "NULL" if x is None or type(x).__name__ in ("NAType", "NaTType") or x != x else f"{float(x):.6g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
     return sorted(tuple(map(cell, r)) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
