@@ -231,7 +231,9 @@ def base_counts(text: str, lines: Sequence[str]) -> tuple[int, int, int, int, in
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Field:
     """The field trained on at most train_rows documents, those with the smallest hash of doc_id and text."""
-    picked = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(train_rows)
+    hashed = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    last = hashed.select("h").orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
+    picked = hashed.filter(F.col("h") <= F.lit(last)).dropDuplicates(["h"])
 
     def to_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
