@@ -61,10 +61,11 @@ def test_label_model_recovers_accuracies_and_sees_a_correlation():
     assert abs(model.prior - 0.1) < 0.02
 
 
-def test_lexicons_hold_what_only_toxic_texts_have():
+def test_lexicons_hold_what_only_toxic_texts_have(spark):
     toxic = [f"the fine {w} goes by grumpel{k} and grumpel{k + 1}" for k, w in enumerate(["zonk", "blarg"] * 30)]
     clean = [f"the fine day goes by number{k % 7}" for k in range(300)]
-    found = frozenset().union(*toxicity.lexicons(toxic + clean, [1.0] * 60 + [0.0] * 300))
+    known = spark.createDataFrame([(t, 1.0) for t in toxic] + [(t, 0.0) for t in clean], "text string, label double")
+    found = frozenset().union(*toxicity.lexicons(known))
     assert found and all(t.startswith(("grum", "zonk", "blarg")) for t in found)
 
 

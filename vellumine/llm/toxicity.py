@@ -19,11 +19,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,29 +69,44 @@ def document_terms(text: str) -> set[str]:
     return n.keys() | {t + TWICE for t, k in n.items() if k >= 2}
 
 
-def lexicons(texts: Sequence[str], labels: Sequence[float], many: int = LEXICONS) -> list[frozenset[str]]:
-    """Disjoint lexicons from labelled texts, each covering the toxic ones greedily with terms that are rare elsewhere.
+def lexicons(known: DataFrame, many: int = LEXICONS) -> list[frozenset[str]]:
+    """Disjoint lexicons from labelled texts (text, label), each covering the toxic ones greedily with terms rare elsewhere.
 
     A term needs 3 toxic documents or more (2 in samples of fewer than 50) and a rate there of 20 times that elsewhere.
+    Terms are counted on the executors; the driver gets the frequent terms of the sample's toxic documents.
     """
-    sets = [document_terms(t) for t, y in zip(texts, labels, strict=True) if y > 0.5]
-    least = 3 if len(sets) >= 50 else 2
-    toxic = {t: n for t, n in Counter(t for s in sets for t in s).items() if n >= least}
-    other: Counter = Counter()
-    for t, y in zip(texts, labels, strict=True):
-        if y <= 0.5:
-            other.update(document_terms(t) & toxic.keys())
-    n_other = len(texts) - len(sets)
-    good = {t for t, n in toxic.items() if n * max(1, n_other) >= 20 * (other[t] + 0.5) * len(sets)}
-    holders: dict[str, set[int]] = {}
-    for i, s in enumerate(sets):
-        for t in s & good:
-            holders.setdefault(t, set()).add(i)
+
+    def of_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = sorted(document_terms(text))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array(found, pa.string())], ["key", "term"])
+
+    key = F.xxhash64("text").alias("key")
+    toxic = known.filter("label > 0.5").select(key, "text").dropDuplicates(["key"])
+    pairs = written(toxic.mapInArrow(of_toxic, "key long, term string"), "toxic-terms")
+    n_toxic, n_other = toxic.count(), known.filter("label <= 0.5").count()
+    least = 3 if n_toxic >= 50 else 2
+    counts = pairs.groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= least).toPandas()
+    frequent = known.sparkSession.sparkContext.broadcast(frozenset(counts["term"]))
+
+    def of_other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                n.update(document_terms(text) & frequent.value)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+
+    elsewhere = known.filter("label <= 0.5").select("text").mapInArrow(of_other, "term string, n long")
+    other = {r["term"]: r["n"] for r in elsewhere.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    good = [t for t, n in zip(counts["term"], counts["n"], strict=True) if n * max(1, n_other) >= 20 * (other.get(t, 0) + 0.5) * n_toxic]
+    rows = pairs.join(known.sparkSession.createDataFrame([(t,) for t in good], "term string"), "term").toPandas()
+    holders = {t: set(keys) for t, keys in rows.groupby("term")["key"]}
     out = []
     for _ in range(many):
-        left, chosen = set(range(len(sets))), []
+        left, chosen = set(rows["key"]), []
         while left and holders:
-            best = max(holders, key=lambda t: (len(holders[t] & left), -other[t], t))
+            best = max(holders, key=lambda t: (len(holders[t] & left), -other.get(t, 0), t))
             if len(holders[best] & left) < least:
                 break
             left -= holders[best]
@@ -105,9 +122,13 @@ class Voters:
 
     lists: tuple[frozenset[str], ...]
 
+    @cached_property
+    def known(self) -> frozenset[str]:
+        return frozenset(t.removesuffix(TWICE) for x in self.lists for t in x)
+
     def lookup(self, word: str) -> tuple[tuple[str, ...], bool]:
         """The terms of this word that a lexicon holds, and whether symbols or capitals set the word off."""
-        held = tuple(t for t in terms(word) if any(t in x or t + TWICE in x for x in self.lists))
+        held = tuple(t for t in terms(word) if t in self.known)
         return held, bool(held) and bool(_SET_OFF.search(word) or (len(word) > 2 and word.isupper()))
 
     def votes(self, text: str, memo: dict[str, tuple[tuple[str, ...], bool]]) -> int:
@@ -226,9 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     """Fits voters, label model and classifier. Without toxic labels the general list and the patterns alone vote."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sample = written(labelled_sample(labels, label, folds, held_out, LABELLED_ROWS), "toxic-sample")
-    rows = docs.join(sample, "doc_id").select("text", "label").toPandas()
-    voters = Voters((*lexicons(rows["text"], rows["label"]), frozenset(INSULTS)))
-    del rows
+    known = written(docs.join(sample, "doc_id").select("text", "label"), "toxic-known")
+    voters = Voters((*lexicons(known), frozenset(INSULTS)))
     at = docs.sparkSession.sparkContext.broadcast(voters)
 
     @F.pandas_udf("int")
@@ -253,9 +273,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "posterior": pdf["posterior"], "ids": [feature_ids(t).astype(np.int32) for t in pdf["text"]]})
 
     texts = docs.withColumn("text_hash", F.xxhash64("text")).join(chosen, ["doc_id", "text_hash"])
-    found = texts.select("doc_id", "posterior", "text").mapInPandas(to_ids, "doc_id long, posterior double, ids array<int>").toPandas()
-    order = np.argsort([zlib.crc32(str(d).encode()) for d in found["doc_id"]], kind="stable") if len(found) else []
-    data = [(np.asarray(found["ids"][k], np.int64), np.ones(len(found["ids"][k])), float(found["posterior"][k]), 1.0) for k in order]
+    found = texts.select("doc_id", "posterior", "text").mapInPandas(to_ids, "doc_id long, posterior double, ids array<int>").toArrow().combine_chunks()
+    labels_, data = found["posterior"].to_numpy(), []
+    if len(labels_):
+        column = found["ids"].chunk(0)
+        ends, ids = column.offsets.to_numpy(), column.values.to_numpy()
+        ones = np.ones(int(np.diff(ends).max(initial=0)))
+        for k in np.argsort([zlib.crc32(str(d).encode()) for d in found["doc_id"].to_pylist()], kind="stable"):
+            data.append((ids[ends[k] : ends[k + 1]], ones[: ends[k + 1] - ends[k]], float(labels_[k]), 1.0))
     return Model(voters, model, train(data, 1 << HASH_BITS, epochs=4, alpha=0.3, l1=1.0))
 
 
