@@ -11,8 +11,10 @@ n - ceil(t n) + 1 of one and the like of the other (prefix filter); their sizes
 filter); what is left from the shared words' places on must suffice (positional filter); and a 64-bit parity sketch of
 each set gives a lower bound of their symmetric difference. All four are conditions of one sort-merge join on words.
 
-Of a late line's candidates the earliest is verified first, on the words themselves; only late lines that it does not
-settle go on to their other candidates. So in a family of near copies a line meets its first copy, not every other.
+Of a line's earlier candidates the first is verified first; the join's output is combined to that one on the map side.
+Only lines that it does not settle meet their other candidates, in a second join. So in a family of near copies a line
+meets its first copy, not every other. Words are held as 64-bit hashes; join keys are 32 bits of them, which can only add
+candidates.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import SPACE, table, written
+from vellumine.llm.common import SPACE, release, table, written
 
 #: The least similarity, as a fraction.
 SIMILARITY = (4, 5)
@@ -51,22 +53,31 @@ def _dense(counts: DataFrame, key: str, value: str, bits: int) -> DataFrame:
 def rarity(docs: DataFrame) -> DataFrame:
     """One row: for each hash bucket of words, how frequent they are in all texts, on a logarithmic scale (0: absent)."""
     flat = F.replace(F.lower("text"), F.lit("\n"), F.lit(" "))
-    words = docs.select(F.explode(words_of(flat)).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit((1 << BUCKETS) - 1)).alias("b"))
+    words = docs.select(F.explode_outer(words_of(flat)).alias("w")).filter("w is not null").select(F.xxhash64("w").bitwiseAND(F.lit((1 << BUCKETS) - 1)).alias("b"))
     counted = words.groupBy("b").agg(F.count("*").alias("n")).select("b", (F.log2(F.col("n") + 1) * 256).cast("long").alias("r"))
     return written(_dense(counted, "b", "r", BUCKETS), "lines-rarity")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, doc (hash of doc_id and text), pos (from 0), line of every line."""
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """doc_id, doc (hash of doc_id and text), pos (from 0), line of every line.
+
+    The outer form, here and in rarity(): for the inner one Spark adds a filter that splits every text once more.
+    """
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).filter("line is not null")
+
+
+def word_hashes(line: Column) -> Column:
+    """The distinct words of a line, as hashes."""
+    return F.array_remove(F.array_distinct(F.transform(words_of(F.lower(line)), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def word_sets(lines: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Lines with words: the codes of their sets, rarest first, as hashes h1 and h2, size, sketch and prefix."""
+    """Lines: the codes of their sets of words, rarest first, as hashes h1 and h2, size n, sketch and prefix.
+
+    Lines without words have n = 0. To be filtered once written: a filter here would move below and make the sets twice.
+    """
     top, bottom = SIMILARITY
-    nothing = F.xxhash64(F.lit(""))
-    hashes = F.array_remove(F.array_distinct(F.transform(words_of(F.lower("line")), lambda w: F.xxhash64(w))), nothing)
-    hashed = lines.select("doc_id", "doc", "pos", F.xxhash64("line").alias("line_hash"), hashes.alias("hashes")).filter(F.size("hashes") > 0)
+    hashed = lines.select("doc_id", "doc", "pos", F.xxhash64("line").alias("line_hash"), word_hashes(F.col("line")).alias("hashes"))
     low = lambda h, bits: h.bitwiseAND(F.lit((1 << bits) - 1))
     code = lambda h: F.shiftleft(F.element_at("ranks", (low(h, BUCKETS) + 1).cast("int")), _HASH_BITS).bitwiseOR(low(h, _HASH_BITS))
     coded = hashed.withColumn("ranks", ranks.scalar()).select("doc_id", "doc", "pos", "line_hash", F.sort_array(F.transform("hashes", code)).alias("codes"))
@@ -75,48 +86,62 @@ def word_sets(lines: DataFrame, ranks: DataFrame) -> DataFrame:
     return coded.select(
         "doc_id", "doc", "pos", "line_hash",
         F.xxhash64("codes").alias("h1"), F.xxhash64("codes", F.lit("second")).alias("h2"),
-        n.alias("n"), toggled.alias("sketch"), F.slice("codes", 1, n - F.ceil(n * top / bottom).cast("int") + 1).alias("prefix"),
+        n.alias("n"), toggled.alias("sketch"),
+        F.transform(F.slice("codes", 1, n - F.ceil(n * top / bottom).cast("int") + 1), lambda c: low(c, 31).cast("int")).alias("prefix"),
     )
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of class ids that all filters let through."""
+def ordered(doc_id: str, doc: str, pos: str) -> tuple[Column, Column]:
+    """doc and line, two longs in corpus order: doc_id, null first; then 32 bits of the document's hash and the line's number."""
+    line = F.shiftleft(F.shiftright(doc, 32), 31).bitwiseOR(F.col(pos).cast("long"))
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), line.alias("line")
+
+
+def prefix_rows(classes: DataFrame) -> DataFrame:
+    """One row for each prefix word of a class: word, doc and line of its first line, size and place, sketch."""
+    return classes.select(*ordered("first.doc_id", "first.doc", "first.pos"), "n", "sketch", F.posexplode("prefix").alias("at", "word")).select(
+        "word", "doc", "line", F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(F.col("at").cast("long")).alias("place"), "sketch"
+    )
+
+
+def candidates(early: DataFrame, late: DataFrame) -> DataFrame:
+    """(early, late) lines, as structs of doc and line, for the prefix rows that all filters let through; with repeats."""
     top, bottom = SIMILARITY
-    rows = classes.select("id", "n", "sketch", F.posexplode("prefix").alias("at", "word"))
-    a = rows.select("word", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "sketch", "at")])
-    b = rows.select("word", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "sketch", "at")])
-    total = F.col("a_n") + F.col("b_n")
+    a = early.select("word", *[F.col(c).alias(f"a_{c}") for c in ("doc", "line", "place", "sketch")])
+    b = late.select("word", *[F.col(c).alias(f"b_{c}") for c in ("doc", "line", "place", "sketch")])
+    size = lambda x: F.shiftright(f"{x}_place", 31)
+    at = lambda x: F.col(f"{x}_place").bitwiseAND(F.lit((1 << 31) - 1))
+    total = size("a") + size("b")
     shared = F.floor((total * top + (top + bottom) - 1) / (top + bottom))
-    length = (F.col("a_n") * bottom >= F.col("b_n") * top) & (F.col("b_n") * bottom >= F.col("a_n") * top)
-    place = F.least("a_at", "b_at") + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= shared
+    length = (size("a") * bottom >= size("b") * top) & (size("b") * bottom >= size("a") * top)
+    place = F.least(at("a"), at("b")) + F.least(size("a") - at("a"), size("b") - at("b")) >= shared
     sketch = F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) <= total - 2 * shared
-    met = a.join(b, "word").filter((F.col("a_id") < F.col("b_id")) & length & place & sketch)
-    return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    before = (F.col("a_doc") < F.col("b_doc")) | ((F.col("a_doc") == F.col("b_doc")) & (F.col("a_line") < F.col("b_line")))
+    met = a.join(b, "word").filter(before & length & place & sketch)
+    return met.select(F.struct(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).alias("early"), F.col("b_doc").alias("doc"), F.col("b_line").alias("line"))
 
 
 def _word_lists(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id and words (distinct) of the wanted lines (id, first): lines are sifted by a bit filter before they move."""
+    """doc, line and words (hashes) of the wanted lines (doc, line, line_hash): a bit filter sifts lines before they move."""
     slots = 1 << FILTER_BITS
     slot = F.pmod(F.col("line_hash"), F.lit(slots))
-    bits = wanted.select(F.col("first.line_hash").alias("line_hash")).select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    bits = wanted.select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     sieve = written(_dense(bits.groupBy("w").agg(F.bit_or("bit").alias("bit")), "w", "bit", FILTER_BITS - 6).withColumnRenamed("v", "bits"), "lines-filter")
     some = lines.withColumn("line_hash", F.xxhash64("line")).withColumn("bits", sieve.scalar())
     word = F.element_at("bits", (F.shiftright(slot, 6) + 1).cast("int"))
     some = some.filter(F.call_function("shiftright", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    words = F.array_remove(F.array_distinct(words_of(F.lower("line"))), "")
-    keys = wanted.select("id", F.col("first.doc_id").alias("_id"), F.col("first.doc").alias("_doc"), F.col("first.pos").alias("_pos"))
-    found = some.join(keys, some.doc_id.eqNullSafe(keys._id) & (some.doc == keys._doc) & (some.pos == keys._pos))
-    return found.select("id", words.alias("words")).dropDuplicates(["id"])
+    some = some.select(*ordered("doc_id", "doc", "pos"), word_hashes(F.col("line")).alias("words"))
+    return some.join(wanted.select("doc", "line"), ["doc", "line"]).dropDuplicates(["doc", "line"])
 
 
 def similar(pairs: DataFrame, lists: DataFrame) -> DataFrame:
-    """The pairs (early, late) whose word sets are similar enough."""
+    """doc and line of the late lines of those pairs (early, doc, line) whose word sets are similar enough."""
     top, bottom = SIMILARITY
-    one = lists.select(F.col("id").alias("early"), F.col("words").alias("x"))
-    two = lists.select(F.col("id").alias("late"), F.col("words").alias("y"))
-    both = pairs.join(one, "early").join(two, "late")
+    one = lists.select(F.struct("doc", "line").alias("early"), F.col("words").alias("x"))
+    two = lists.select("doc", "line", F.col("words").alias("y"))
+    both = pairs.join(one, "early").join(two, ["doc", "line"])
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common * bottom >= (F.size("x") + F.size("y") - common) * top).select("early", "late")
+    return both.filter(common * bottom >= (F.size("x") + F.size("y") - common) * top).select("doc", "line").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -125,26 +150,34 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     doc is the hash of doc_id and text; rows alike in both are one document here. Null and empty texts have no lines; an
     empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text")
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     lines = lines_of(docs)
-    sets = written(word_sets(lines, rarity(docs)), "lines-sets")
+    sets = written(word_sets(lines, rarity(docs)), "lines-sets").filter("n > 0")
     first = F.min(F.struct("doc_id", "doc", "pos", "line_hash")).alias("first")
     classes = sets.groupBy("h1", "h2").agg(first, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "lines-classes")
-    pairs = written(candidates(classes), "lines-pairs")
-    order = classes.select("id", "first")
-    wanted = written(order.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"), "lines-wanted")
-    lists = written(_word_lists(lines, wanted), "lines-words")
-    place = lambda x: wanted.select(F.col("id").alias(x), F.col("first").alias(f"{x}_first"))
-    sided = pairs.join(place("a"), "a").join(place("b"), "b")
-    ahead = F.col("a_first") < F.col("b_first")
-    sided = written(sided.select(*[F.when(ahead, F.col(x)).otherwise(F.col(y)).alias(n) for x, y, n in (("a", "b", "early"), ("b", "a", "late"), ("a_first", "b_first", "early_first"))]), "lines-sided")
-    earliest = sided.groupBy("late").agg(F.min_by("early", "early_first").alias("early"))
-    settled = written(similar(earliest, lists).select("late"), "lines-settled")
-    rest = sided.join(settled, "late", "left_anti").join(earliest, ["late", "early"], "left_anti").select("early", "late")
-    later = written(similar(rest, lists).select("late").distinct(), "lines-settled")
-    gone = settled.unionByName(later).withColumnRenamed("late", "id").withColumn("gone", F.lit(True))
-    verdicts = written(classes.join(gone, "id", "left").select("h1", "h2", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "lines-verdicts")
+    classes = written(classes, "lines-classes")
+    release(spark)
+    rows = prefix_rows(classes)
+    earliest = candidates(rows, rows).groupBy("doc", "line").agg(F.min("early").alias("early"))
+    earliest = written(earliest, "lines-earliest")
+    release(spark)
+    keyed = classes.select(*ordered("first.doc_id", "first.doc", "first.pos"), "h1", "h2", "first")
+    hashed = keyed.select("doc", "line", F.col("first.line_hash").alias("line_hash"))
+    both = lambda p: p.select("doc", "line").unionByName(p.select("early.doc", "early.line")).distinct()
+    lists = _word_lists(lines, written(hashed.join(both(earliest), ["doc", "line"]), "lines-wanted"))
+    settled = written(similar(earliest, written(lists, "lines-words")), "lines-settled")
+    open_ = written(earliest.join(settled, ["doc", "line"], "left_anti").select("doc", "line"), "lines-open")
+    release(spark)
+    later = settled.limit(0)
+    if open_.limit(1).count():
+        rest = written(candidates(rows, rows.join(open_, ["doc", "line"], "left_semi")).distinct(), "lines-rest")
+        lists = _word_lists(lines, written(hashed.join(both(rest), ["doc", "line"]), "lines-wanted"))
+        later = written(similar(rest, written(lists, "lines-words")), "lines-settled")
+        release(spark)
+    gone = settled.unionByName(later).withColumn("gone", F.lit(True))
+    verdicts = keyed.join(gone, ["doc", "line"], "left").select("h1", "h2", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    verdicts = written(verdicts, "lines-verdicts")
+    release(spark)
     at = F.struct("doc_id", "doc", "pos", "line_hash")
     judged = sets.select("h1", "h2", "doc_id", "doc", "pos", "line_hash").join(verdicts, ["h1", "h2"])
     judged = judged.select("doc_id", "doc", "pos", (F.col("gone") | ~at.eqNullSafe(F.col("first"))).alias("gone"))
