@@ -76,3 +76,24 @@ def test_long_chains_of_links_are_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(300, 300), (400, 500), (500, 400)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {400: 400, 500: 400}
+
+
+def slow_one_of_each(rows):
+    """The (doc_id, text) that stay: of each component of fingerprints the smallest id, nulls last, then any of its texts."""
+    root = slow_components(sorted({slow_fingerprint(t) for _, t in rows}))
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(root[slow_fingerprint(t)], []).append((i is None, i or 0, t))
+    return [{(None if none else i, t) for none, i, t in g if (none, i) == min(x[:2] for x in g)} for g in groups.values()]
+
+
+def test_one_row_of_each_component_with_null_and_repeated_ids(spark):
+    words = np.random.default_rng(3).permutation([f"w{i}" for i in range(400)])
+    a, b, c, d, e, f = (" ".join(words[k * 40 : k * 40 + 40]) for k in range(6))
+    rows = [(3, a), (5, a), (5, b), (None, c), (None, d), (None, d), (None, d.upper()), (None, e), (8, e), (9, f), (9, f.upper()), (9, f), (None, None)]
+    for rows_ in (rows, [(5, b), (5, a), (3, a)], [(3, b), (5, b), (5, a)]):
+        kept = [(r["doc_id"], r["text"]) for r in s.one_of_each(spark.createDataFrame([(*r, 1) for r in rows_], "doc_id long, text string, n int")).collect()]
+        expected = slow_one_of_each(rows_)
+        assert len(kept) == len(expected) and all(any(k in e for k in kept) for e in expected)
+    empty = spark.createDataFrame([], "doc_id long, text string, n int")
+    assert s.one_of_each(empty).count() == 0

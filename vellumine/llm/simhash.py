@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import table, written
+from vellumine.llm.common import column_name, table, written
 from vellumine.llm.components import connected_components
 
 #: Shingle length in words, seed of the shingles' XXH64, and the largest distance of a link.
@@ -228,18 +228,29 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """docs without near-duplicates: of each component the document with the smallest doc_id, with all columns of docs.
+    """docs without near-duplicates: of each component one row, with all columns of docs.
 
-    Of several rows with that doc_id, one whose text has the smallest hash stays; of rows without any doc_id likewise.
+    That is the row with the smallest doc_id, null after all others; of several rows with that doc_id, one whose text
+    has the smallest hash. A component is named by its smallest fingerprint, so neither null nor repeated doc_ids mix
+    components: rows of one doc_id with unlike texts are judged apart.
     """
-    found = near_duplicates(docs, radius, shingle).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = written(docs.join(found, "doc_id", "left_semi"), "simhash-kept")
-    order = F.struct(F.xxhash64("text"), F.col("text"))
-    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    rest = kept.join(repeated, "doc_id", "left_semi")
-    columns = [c for c in docs.columns if c != "doc_id"]
-    chosen = rest.groupBy("doc_id").agg(F.min_by(F.struct(*columns), order).alias("_row")).select("doc_id", "_row.*")
+    hashes = [F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")]
+    key = ["doc_id", "h", "g"]
+    rows = docs.select("doc_id", "text")
+    prints = written(fingerprints(rows.select(F.struct("doc_id", *hashes).alias("doc_id"), "text"), shingle), "simhash-prints").select("doc_id.*", "fingerprint")
+    classes = written(prints.groupBy(*key, "fingerprint").agg(F.count("*").alias("n")), "simhash-classes")
+    roots = written(connected_components(links(classes.select("fingerprint").distinct(), radius)), "simhash-roots")
+    named = classes.join(roots, classes.fingerprint == roots.node, "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    least = F.min(F.struct(F.isnull("doc_id").alias("no_id"), *key, "n")).alias("x")
+    first = written(named.groupBy("component").agg(least).select("component", "x.*"), "simhash-first")
+
+    one, many, id_, h, g = (column_name(docs, c) for c in ("component", "n", "id", "h", "g"))
+    first = first.select(F.col("component").alias(one), F.col("n").alias(many), F.col("doc_id").alias(id_), F.col("h").alias(h), F.col("g").alias(g))
+    same = docs["doc_id"].eqNullSafe(first[id_]) & (F.xxhash64(docs["text"]) == first[h]) & (F.xxhash64(F.lit(1), docs["text"]) == first[g])
+    kept = written(docs.join(first, same).select(*[docs[c] for c in docs.columns], one, many), "simhash-kept")
+    once, rest = kept.filter(F.col(many) == 1), kept.filter(F.col(many) > 1)
+    row = F.struct(*docs.columns)
+    chosen = rest.groupBy(one).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row")).select("_row.*")
     return once.select(*docs.columns).unionByName(chosen.select(*docs.columns))
 
 
