@@ -3,10 +3,13 @@
 Fitted on a bounded sample: coarse centroids, and for each of PARTS slices of the residuals (vector minus centroid) a
 codebook. Every vector is in the list of its nearest centroid, with its residual as PARTS code bytes. A query visits
 the lists of its nearest centroids; there, a table of squared distances from each slice of its residual to each
-codeword gives the approximate distance of every code by PARTS look-ups, and the best RERANK of a block are measured
-exactly, in double precision, on the original vectors. How many lists a query visits is calibrated on the sample, by
-the lists that hold the true neighbours of some of its vectors within the sample, for a target recall; neighbours in a
-sample are farther apart than in the table, so that errs on the side of more lists.
+codeword gives the approximate distance of every code by PARTS look-ups. The best RERANK of a block are measured
+exactly, in double precision, on the original vectors; then so is every other vector that the approximate distance less
+the vector's own quantisation error does not put beyond the last one needed. So within the visited lists nothing is
+missed, however many vectors share a code. How many lists a query visits is calibrated on the sample, by the lists that
+hold the true neighbours of some of its vectors within the sample, for a target recall; neighbours in a sample are
+farther apart than in the table, so that errs on the side of more lists. A query whose lists hold too few rows visits
+further ones until they hold enough.
 
 Equal vectors are one class with its k + 1 smallest ids, as no query needs more of them; so a vector that a third of
 all rows have costs one row. Lists are split into blocks of bounded size, and the queries of a list into blocks too; a
@@ -32,7 +35,7 @@ SAMPLE, MOST_LISTS, PARTS, CODEWORDS = 20_000, 1024, 16, 256
 #: Sampled vectors on which the number of lists is calibrated, and the recall it aims at.
 CALIBRATION, TARGET_RECALL = 200, 0.97
 
-#: Candidates of a block that are measured exactly; the least and most rows of a block; queries of a block.
+#: Candidates of a block that are measured first; the least and most rows of a block; queries of a block.
 RERANK, LEAST_BLOCK, MOST_BLOCK, QUERY_BLOCK = 64, 256, 8192, 2048
 
 NEIGHBOURS = 10
@@ -46,8 +49,12 @@ class Index:
     books: list[np.ndarray]
     probes: int
 
+    def away(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances of each vector to the centroids, less the vector's own square."""
+        return (self.centroids**2).sum(axis=1)[None, :] - 2 * x @ self.centroids.T
+
     def nearest_lists(self, x: np.ndarray, many: int = 1) -> np.ndarray:
-        d = (self.centroids**2).sum(axis=1)[None, :] - 2 * x @ self.centroids.T
+        d = self.away(x)
         if many == 1:
             return d.argmin(axis=1)[:, None]
         many = min(many, len(self.centroids))
@@ -57,6 +64,20 @@ class Index:
         parts = np.array_split(x - self.centroids[lists], len(self.books), axis=1)
         return np.stack([_nearest(p, b) for p, b in zip(parts, self.books, strict=True)], axis=1).astype(np.uint8)
 
+    def lists_with(self, x: np.ndarray, held: np.ndarray, needed: np.ndarray) -> list[np.ndarray]:
+        """The lists that each vector visits: the nearest `probes`, or as many as hold `needed` rows (held: rows of a list)."""
+        d, out = self.away(x), list(self.nearest_lists(x, self.probes))
+        for i, n in enumerate(needed):
+            if held[out[i]].sum() < n:
+                order = np.argsort(d[i], kind="stable")
+                out[i] = order[: max(self.probes, np.searchsorted(held[order].cumsum(), n) + 1)]
+        return out
+
+    def errors(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The distance of each vector to what its code stands for."""
+        coded = np.concatenate([b[codes[:, s]] for s, b in enumerate(self.books)], axis=1).astype(np.float64)
+        return np.sqrt(((x - self.centroids[lists] - coded) ** 2).sum(axis=1))
+
     def tables(self, q: np.ndarray, number: int) -> np.ndarray:
         """Squared distances of each query's residual in this list to the codewords: queries, slices, codewords."""
         out = np.full((len(q), len(self.books), CODEWORDS), np.inf, np.float32)
@@ -147,42 +168,58 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, target: float = TA
             x = _matrix(pdf["vec"])
             if len(x):
                 at = index.value.nearest_lists(x.astype(np.float32))[:, 0]
-                yield pd.DataFrame({"list": at, "rep": pdf["rep"], "vec": list(x), "codes": [c.tobytes() for c in index.value.encode(x.astype(np.float32), at)], "ids": pdf["ids"]})
+                codes = index.value.encode(x.astype(np.float32), at)
+                yield pd.DataFrame({"list": at, "rep": pdf["rep"], "vec": list(x), "codes": [c.tobytes() for c in codes], "error": index.value.errors(x, at, codes), "ids": pdf["ids"]})
 
     def visiting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = _matrix(pdf["vec"])
             if len(x):
-                at = index.value.nearest_lists(x.astype(np.float32), index.value.probes)
-                yield pd.DataFrame({"list": at.ravel(), "query_id": np.repeat(pdf["vec_id"].to_numpy(), at.shape[1]), "query": [q for q in x for _ in range(at.shape[1])]})
-
-    file = written(classes.mapInPandas(listed, "list int, rep long, vec array<double>, codes binary, ids array<long>"), "ann-index")
-    asked = rows.filter(is_query).distinct()
-    visits = written(asked.mapInPandas(visiting, "list int, query_id long, query array<double>"), "ann-visits")
+                at = index.value.lists_with(x.astype(np.float32), held, k + pdf["own"].to_numpy())
+                many = [len(a) for a in at]
+                yield pd.DataFrame({"list": np.concatenate(at), "query_id": np.repeat(pdf["vec_id"].to_numpy(), many), "own": np.repeat(pdf["own"].to_numpy(), many), "query": [q for q, m in zip(x, many, strict=True) for _ in range(m)]})
+
+    file = written(classes.mapInPandas(listed, "list int, rep long, vec array<double>, codes binary, error double, ids array<long>"), "ann-index")
+    held = np.zeros(MOST_LISTS, np.int64)
+    for r in file.groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():  # MOST_LISTS rows at most
+        held[r["list"]] = r["n"]
+    held = held[: len(index.value.centroids)]
+    asked = rows.filter(is_query).distinct().withColumn("own", F.count("*").over(Window.partitionBy("vec_id")))
+    visits = written(asked.mapInPandas(visiting, "list int, query_id long, own long, query array<double>"), "ann-visits")
 
     block = int(min(MOST_BLOCK, max(LEAST_BLOCK, n // 64)))
     blocks_of = lambda df, size: df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias("b"))
     sizes = blocks_of(file, block).withColumnRenamed("b", "vb").join(blocks_of(visits, QUERY_BLOCK).withColumnRenamed("b", "qb"), "list")
     sizes = F.broadcast(written(sizes, "ann-blocks"))  # MOST_LISTS rows at most
-    left = file.join(sizes, "list").select("list", F.pmod(F.xxhash64("rep"), "vb").cast("int").alias("v"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), "vec", "codes", "ids")
-    right = visits.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("v"), F.pmod(F.xxhash64("query_id"), "qb").cast("int").alias("q"), "query_id", "query")
+    left = file.join(sizes, "list").select("list", F.pmod(F.xxhash64("rep"), "vb").cast("int").alias("v"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), "vec", "codes", "error", "ids")
+    right = visits.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("v"), F.pmod(F.xxhash64("query_id"), "qb").cast("int").alias("q"), "query_id", "own", "query")
 
     def compare(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(mine) and len(theirs):
             x, q = _matrix(mine["vec"]), _matrix(theirs["query"])
             codes = np.stack([np.frombuffer(c, np.uint8) for c in mine["codes"]])
-            ids, asked_by = mine["ids"].to_numpy(), theirs["query_id"].to_numpy()
-            many = min(RERANK, len(x))
+            ids, error = mine["ids"].to_numpy(), mine["error"].to_numpy()
+            asked_by, own = theirs["query_id"].to_numpy(), theirs["own"].to_numpy()
+            size = np.sqrt((index.value.centroids[key[0]].astype(np.float64) ** 2).sum())
             for at in range(0, len(q), 64):
                 tables = index.value.tables(q[at : at + 64].astype(np.float32), key[0])
                 for row, t in enumerate(tables, at):
+                    needed = min(k + int(own[row]), len(x))  # the query's own rows may be among them
+                    many = min(max(RERANK, needed), len(x))
                     about = t[np.arange(t.shape[0])[None, :], codes].sum(axis=1)
                     some = np.argpartition(about, many - 1)[:many]
                     exact = np.sqrt(((x[some] - q[row]) ** 2).sum(axis=1))
+                    if many < len(x):
+                        last, root = np.partition(exact, needed - 1)[needed - 1], np.sqrt(about.astype(np.float64))
+                        slack = 1e-5 * (root + error) + 1e-6 * (size + np.sqrt((q[row] ** 2).sum()))  # single precision
+                        near = ~(root - error - slack > last) | ~np.isfinite(root)
+                        near[some] = False
+                        more = np.flatnonzero(near)
+                        some, exact = np.concatenate([some, more]), np.concatenate([exact, np.sqrt(((x[more] - q[row]) ** 2).sum(axis=1))])
                     best = np.argsort(exact, kind="stable")
-                    cut = exact[best[min(k, len(best) - 1)]]
-                    out += [(asked_by[row], exact[b], ids[some[b]]) for b in best if exact[b] <= cut]
+                    cut = exact[best[needed - 1]]
+                    out += [(asked_by[row], exact[b], ids[some[b]]) for b in best[: np.searchsorted(exact[best], cut, side="right")]]
         return pd.DataFrame(out, columns=["query_id", "score", "ids"])
 
     found = left.groupBy("list", "v", "q").cogroup(right.groupBy("list", "v", "q")).applyInPandas(compare, "query_id long, score double, ids array<long>")
