@@ -73,3 +73,19 @@ def test_judges_whole_table(spark):
     both = out[~out.base_failed].merge(labels, on="doc_id")
     assert both[both.quality == 1].kept.mean() > 0.98 and both[both.quality == 0].kept.mean() < 0.1
     assert q.judged(docs.limit(0), q.fit(docs.limit(0))).count() == 0
+
+
+def test_notices_on_lines_of_any_length():
+    at = len(q.SIZES) - 2
+    footer, prose = "we use cookies and care for your privacy " * 60, "the mill stood by the river for years " * 60
+    seen = [int(q.line_features([t])[0][0, at] - q.STARTS[at]) for t in (footer, prose, prose + "under copyright", "under copyright")]
+    assert seen == [1, 0, 0, 1]
+
+
+def test_whole_documents_train_the_field(spark, monkeypatch):
+    monkeypatch.setattr(q, "train", lambda samples: samples)
+    text = "\n".join(f"this is line number {i} of a long text." for i in range(600))
+    ((values, labels),) = q.fit(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert len(values) == len(labels) == 600
+    place = values[:, -1] - q.STARTS[-1]
+    assert place[0] == 0 and place[-1] == 2 and (place[1:-1] == 1).all()

@@ -25,8 +25,11 @@ from vellumine.llm.common import table
 
 CONTENT, BOILERPLATE, HIDDEN = 0, 1, -1
 
-#: The most documents that the field is trained on (those with the smallest hash), and the most lines of each.
-TRAIN_ROWS, TRAIN_LINES = 2000, 400
+#: The most documents that the field is trained on (those with the smallest hash), each as a whole.
+TRAIN_ROWS = 2000
+
+#: A line shorter than this is a notice if it holds a notice word, a longer one if it holds more than one in so many words.
+NOTICE_WORDS = 200
 
 #: The least share of a document's words in content lines.
 LEAST_CONTENT = 0.5
@@ -80,8 +83,11 @@ def line_features(lines: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndar
         if words:
             again[i] = line in seen
             seen.add(line)
-        low = line.lower() if words < 200 else ""
-        notice[i] = any(w in low for w in NOTICES)
+        low = line.lower()
+        if words < NOTICE_WORDS:
+            notice[i] = any(w in low for w in NOTICES)
+        else:
+            notice[i] = NOTICE_WORDS * sum(map(low.count, NOTICES)) > words
         bars[i] = b.count(b"|")
     place = np.ones(n, int)
     if n:
@@ -237,7 +243,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Field:
 
     def to_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [line_features(t.split("\n")[:TRAIN_LINES]) for t in pdf["text"]]
+            found = [line_features(t.split("\n")) for t in pdf["text"]]
             yield pd.DataFrame({"h": pdf["h"], "vals": [v.ravel().astype(np.int32) for v, _, _ in found], "labels": [y.astype(np.int32) for _, _, y in found]})
 
     rows = picked.mapInPandas(to_lines, "h long, vals array<int>, labels array<int>").toPandas().sort_values("h")
