@@ -39,12 +39,12 @@ def corpus(seed, many=60):
 
 
 def test_equals_brute_force(spark):
-    for seed in range(2):
+    for seed, how in enumerate([{}, {"buckets": 6, "hot": 3, "family": 2}]):
         rows = corpus(seed)
         df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(rows)], "doc_id long, text string, removed string")
-        got = {r["doc_id"]: list(r["removed"]) for r in d.removed_lines(df).collect()}
+        got = {r["doc_id"]: list(r["removed"]) for r in d.removed_lines(df, **how).collect()}
         assert got == dict(enumerate(slow(rows)))
-        texts = {r["doc_id"]: r["text"] for r in d.dedup(df).collect()}
+        texts = {r["doc_id"]: r["text"] for r in d.dedup(df, **how).collect()}
         for k, gone in enumerate(slow(rows)):
             assert texts[k] == "\n".join(x for i, x in enumerate(rows[k].split("\n")) if i not in gone)
 
@@ -60,6 +60,34 @@ def test_nulls_repeats_long_lines_and_empty_tables(spark):
     assert d.removed_lines(df.limit(0)).count() == 0
 
 
+def test_frequent_words_meet_by_pairs(spark):
+    rng = random.Random(5)
+    rows = [" ".join(rng.choice(["a", "b", "c", "d", "e", "f", "g", "h"]) for _ in range(rng.randrange(1, 12))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for hot in (0, 20, 1 << 14):
+        got = {r["doc_id"]: list(r["removed"]) for r in d.removed_lines(df, hot=hot).collect()}
+        assert got == dict(enumerate(slow(rows)))
+
+
+def test_large_family_of_near_copies_costs_no_square(spark):
+    """20,000 distinct lines like the first: all go, and hardly any pair of them is left for the join on words."""
+    base = [f"word{k}" for k in range(40)]
+    rows = [(0, " ".join(base))] + [(k, " ".join(base[: k % 40] + [f"own{k}"] + base[k % 40 + 1 :])) for k in range(1, 20_001)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = d.removed_lines(df).agg(F.sum(F.size("removed")).alias("n"), F.min(F.when(F.size("removed") == 0, F.col("doc_id"))).alias("kept")).first()
+    assert (got["n"], got["kept"]) == (20_000, 0)
+    sets = d.word_sets(d.lines_of(df), d.rarity(df))
+    classes = sets.select(*d.ordered("doc_id", "doc", "pos"), "n", "sketch", "prefix")
+    settled = d.family_pairs(classes).select("doc", "line").distinct().count()
+    assert settled >= 19_000
+
+
+def test_repeated_rows_all_come_back(spark):
+    df = spark.createDataFrame([(1, "a b c d e\nx")] * 3 + [(2, "a b c d e f\nx")] * 2 + [(3, None)] * 2, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_lines"], tuple(r["removed"])) for r in d.removed_lines(df).collect())
+    assert got == [(1, 2, ())] * 3 + [(2, 2, (0, 1))] * 2 + [(3, 0, ())] * 2
+
+
 def test_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "a b\na b")], "doc_id long, text string")
     plan = d.removed_lines(df)._jdf.queryExecution().toString()

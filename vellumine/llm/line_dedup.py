@@ -5,16 +5,22 @@ A line is the set of its words in lower case. Lines with one set are a class, an
 class has a Jaccard similarity of SIMILARITY or more; every later line of a class goes.
 
 Words are ordered by rarity: by their number in the corpus, counted in hash buckets over all texts (a table of 2**BUCKETS
-numbers, of one size for every corpus, which is what tasks get), then by hash. Any fixed order gives exact results; a
-rarer one gives fewer candidates. Two sets of sizes n and m with similarity t or more share a word among the first
-n - ceil(t n) + 1 of one and the like of the other (prefix filter); their sizes differ by a factor of t at most (length
-filter); what is left from the shared words' places on must suffice (positional filter); and a 64-bit parity sketch of
-each set gives a lower bound of their symmetric difference. All four are conditions of one sort-merge join on words.
-
-Of a line's earlier candidates the first is verified first; the join's output is combined to that one on the map side.
-Only lines that it does not settle meet their other candidates, in a second join. So in a family of near copies a line
-meets its first copy, not every other. Words are held as 64-bit hashes; join keys are 32 bits of them, which can only add
-candidates.
+numbers, which is what tasks get), then by hash. Any fixed order gives exact results; a rarer one gives fewer candidates.
+Two sets of sizes n and m with similarity t or more share a word among the first n - ceil(t n) + 1 of one and the like of
+the other (prefix filter); their sizes differ by a factor of t at most (length filter); what is left from the first
+shared word's places on must suffice (positional filter); and a 64-bit parity sketch of each set gives a lower bound of
+their symmetric difference. All four are conditions of one sort-merge join on words. A pair that shares a run of prefix
+words is met at the run's start only.
+
+A word that occurs more than HOT times is no key by itself: two sets whose first shared word is such a word share a
+second one in prefixes that are longer by one, so they meet by both words. Rarer words come first, so the prefixes of
+most lines hold no such word.
+
+Families of near copies are settled first: where FAMILY classes or more have one word as the smallest or largest hash of
+their prefix, each is held against the earliest of them. What is similar to that needs no other candidate, so that a
+family costs about its size, not its square; only its members that are unlike the earliest meet all others. Of their
+candidates the first is verified first, the rest only for lines that it does not settle. All pairs are verified on the
+words themselves (64-bit hashes); prefixes hold 30 bits of them, which can only add candidates.
 """
 
 from __future__ import annotations
@@ -22,15 +28,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import SPACE, release, table, written
+from vellumine.llm.common import SPACE, discard, table, written
 
 #: The least similarity, as a fraction.
 SIMILARITY = (4, 5)
 
-#: Binary logarithms of the number of buckets that words are counted in, and of the bits of the filter of candidates' lines.
-BUCKETS, FILTER_BITS = 20, 22
+#: Binary logarithm of the number of buckets that words are counted in.
+BUCKETS = 20
 
-_HASH_BITS = 48
+#: Words that occur more often are keys only together with a second word.
+HOT = 1 << 14
+
+#: The least number of classes with one smallest or largest prefix word that are held against the earliest of them.
+FAMILY = 32
+
+#: Binary logarithms of the least and most bits of the filter that finds the lines to verify in the texts.
+FILTER_BITS = (12, 26)
+
+#: Ranks are binary logarithms in steps of 1 / SCALE, above the 48 bits of a code that come from the hash.
+_SCALE, _HASH_BITS, _WORD_BITS = 256, 48, 30
 
 
 def words_of(line: Column) -> Column:
@@ -41,6 +57,14 @@ def words_of(line: Column) -> Column:
     return F.when(odd, F.split(line, SPACE)).otherwise(F.split(line, " "))
 
 
+def _low(h: Column, bits: int) -> Column:
+    return h.bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
+
+
 def _dense(counts: DataFrame, key: str, value: str, bits: int) -> DataFrame:
     """One row with an array of 2**bits values, for keys from 0 on; zero for keys that counts lacks."""
     spark, chunk = counts.sparkSession, bits // 2
@@ -50,20 +74,22 @@ def _dense(counts: DataFrame, key: str, value: str, bits: int) -> DataFrame:
     return parts.agg(F.flatten(F.sort_array(F.collect_list(F.struct("c", "v")))["v"]).alias("v"))
 
 
-def rarity(docs: DataFrame) -> DataFrame:
-    """One row: for each hash bucket of words, how frequent they are in all texts, on a logarithmic scale (0: absent)."""
-    flat = F.replace(F.lower("text"), F.lit("\n"), F.lit(" "))
-    words = docs.select(F.explode_outer(words_of(flat)).alias("w")).filter("w is not null").select(F.xxhash64("w").bitwiseAND(F.lit((1 << BUCKETS) - 1)).alias("b"))
-    counted = words.groupBy("b").agg(F.count("*").alias("n")).select("b", (F.log2(F.col("n") + 1) * 256).cast("long").alias("r"))
-    return written(_dense(counted, "b", "r", BUCKETS), "lines-rarity")
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, doc (hash of doc_id and text), pos (from 0), line of every line.
+    """doc_id, doc (hash of doc_id and text), pos (from 0), line of every line; a null text is one empty line.
 
-    The outer form, here and in rarity(): for the inner one Spark adds a filter that splits every text once more.
+    The hash stands in a projection of its own, or it would be taken once for each line; the outer form of the
+    generator, since for the inner one Spark adds a filter that splits every text once more.
     """
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).filter("line is not null")
+    hashed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    return hashed.select("doc_id", "doc", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
+
+
+def rarity(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """One row: for each hash bucket of words, how frequent they are in all texts, on a logarithmic scale (0: absent)."""
+    lines = docs.select(F.explode_outer(F.split("text", "\n")).alias("line"))
+    words = lines.select(F.explode_outer(words_of(F.lower("line"))).alias("w")).filter("w is not null").select(_low(F.xxhash64("w"), buckets).alias("b"))
+    counted = words.groupBy("b").agg(F.count("*").alias("n")).select("b", (F.log2(F.col("n") + 1) * _SCALE).cast("long").alias("r"))
+    return written(_dense(counted, "b", "r", buckets), "lines-rarity")
 
 
 def word_hashes(line: Column) -> Column:
@@ -71,23 +97,25 @@ def word_hashes(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(words_of(F.lower(line)), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def word_sets(lines: DataFrame, ranks: DataFrame) -> DataFrame:
+def word_sets(lines: DataFrame, ranks: DataFrame, buckets: int = BUCKETS, hot: int = HOT) -> DataFrame:
     """Lines: the codes of their sets of words, rarest first, as hashes h1 and h2, size n, sketch and prefix.
 
-    Lines without words have n = 0. To be filtered once written: a filter here would move below and make the sets twice.
+    The prefix has one word more than the prefix filter asks for; a word is 30 bits of its code, and one above them if
+    it occurs more than `hot` times. Lines without words have n = 0. To be filtered once written: a filter here would
+    move below and make the sets twice.
     """
     top, bottom = SIMILARITY
-    hashed = lines.select("doc_id", "doc", "pos", F.xxhash64("line").alias("line_hash"), word_hashes(F.col("line")).alias("hashes"))
-    low = lambda h, bits: h.bitwiseAND(F.lit((1 << bits) - 1))
-    code = lambda h: F.shiftleft(F.element_at("ranks", (low(h, BUCKETS) + 1).cast("int")), _HASH_BITS).bitwiseOR(low(h, _HASH_BITS))
-    coded = hashed.withColumn("ranks", ranks.scalar()).select("doc_id", "doc", "pos", "line_hash", F.sort_array(F.transform("hashes", code)).alias("codes"))
+    hashed = lines.select("doc_id", "doc", "pos", word_hashes(F.col("line")).alias("hashes"))
+    code = lambda h: F.shiftleft(F.col("ranks")[_low(h, buckets).cast("int")], _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
+    coded = hashed.withColumn("ranks", ranks.scalar()).select("doc_id", "doc", "pos", F.sort_array(F.transform("hashes", code)).alias("codes"))
     n = F.size("codes")
-    toggled = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), low(c, 6).cast("int"))))
+    often = F.log2(F.lit(hot + 1.0)) * _SCALE
+    flag = lambda c: F.when(F.shiftright(c, _HASH_BITS) > often, F.lit(1 << _WORD_BITS)).otherwise(F.lit(0))
+    word = lambda c: _low(c, _WORD_BITS).cast("int").bitwiseOR(flag(c))
     return coded.select(
-        "doc_id", "doc", "pos", "line_hash",
-        F.xxhash64("codes").alias("h1"), F.xxhash64("codes", F.lit("second")).alias("h2"),
-        n.alias("n"), toggled.alias("sketch"),
-        F.transform(F.slice("codes", 1, n - F.ceil(n * top / bottom).cast("int") + 1), lambda c: low(c, 31).cast("int")).alias("prefix"),
+        "doc_id", "doc", "pos", F.xxhash64("codes").alias("h1"), F.xxhash64("codes", F.lit("second")).alias("h2"), n.alias("n"),
+        F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(_bit(_low(c, 6)))).alias("sketch"),
+        F.transform(F.slice("codes", 1, n - F.ceil(n * top / bottom).cast("int") + 2), word).alias("prefix"),
     )
 
 
@@ -97,41 +125,93 @@ def ordered(doc_id: str, doc: str, pos: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), line.alias("line")
 
 
-def prefix_rows(classes: DataFrame) -> DataFrame:
-    """One row for each prefix word of a class: word, doc and line of its first line, size and place, sketch."""
-    return classes.select(*ordered("first.doc_id", "first.doc", "first.pos"), "n", "sketch", F.posexplode("prefix").alias("at", "word")).select(
-        "word", "doc", "line", F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(F.col("at").cast("long")).alias("place"), "sketch"
-    )
+def _needed(total: Column) -> Column:
+    """The least number of shared words of two sets with so many words together."""
+    top, bottom = SIMILARITY
+    return F.floor((total * top + (top + bottom) - 1) / (top + bottom))
 
 
-def candidates(early: DataFrame, late: DataFrame) -> DataFrame:
-    """(early, late) lines, as structs of doc and line, for the prefix rows that all filters let through; with repeats."""
+def _near(a_n: Column, b_n: Column, a_sketch: Column, b_sketch: Column) -> Column:
+    """Length filter and sketch filter."""
     top, bottom = SIMILARITY
-    a = early.select("word", *[F.col(c).alias(f"a_{c}") for c in ("doc", "line", "place", "sketch")])
-    b = late.select("word", *[F.col(c).alias(f"b_{c}") for c in ("doc", "line", "place", "sketch")])
-    size = lambda x: F.shiftright(f"{x}_place", 31)
-    at = lambda x: F.col(f"{x}_place").bitwiseAND(F.lit((1 << 31) - 1))
-    total = size("a") + size("b")
-    shared = F.floor((total * top + (top + bottom) - 1) / (top + bottom))
-    length = (size("a") * bottom >= size("b") * top) & (size("b") * bottom >= size("a") * top)
-    place = F.least(at("a"), at("b")) + F.least(size("a") - at("a"), size("b") - at("b")) >= shared
-    sketch = F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) <= total - 2 * shared
-    before = (F.col("a_doc") < F.col("b_doc")) | ((F.col("a_doc") == F.col("b_doc")) & (F.col("a_line") < F.col("b_line")))
-    met = a.join(b, "word").filter(before & length & place & sketch)
+    total = a_n + b_n
+    return (a_n * bottom >= b_n * top) & (b_n * bottom >= a_n * top) & (F.bit_count(a_sketch.bitwiseXOR(b_sketch)) <= total - 2 * _needed(total))
+
+
+def _before() -> Column:
+    return (F.col("a_doc") < F.col("b_doc")) | ((F.col("a_doc") == F.col("b_doc")) & (F.col("a_line") < F.col("b_line")))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.struct(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).alias("early"), F.col("b_doc").alias("doc"), F.col("b_line").alias("line"))
 
 
-def _word_lists(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc, line and words (hashes) of the wanted lines (doc, line, line_hash): a bit filter sifts lines before they move."""
-    slots = 1 << FILTER_BITS
-    slot = F.pmod(F.col("line_hash"), F.lit(slots))
-    bits = wanted.select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    sieve = written(_dense(bits.groupBy("w").agg(F.bit_or("bit").alias("bit")), "w", "bit", FILTER_BITS - 6).withColumnRenamed("v", "bits"), "lines-filter")
-    some = lines.withColumn("line_hash", F.xxhash64("line")).withColumn("bits", sieve.scalar())
-    word = F.element_at("bits", (F.shiftright(slot, 6) + 1).cast("int"))
+def family_pairs(classes: DataFrame, family: int = FAMILY) -> DataFrame:
+    """(early, late) lines: the earliest class and each other of those with one smallest or largest prefix word."""
+    ends = classes.select("doc", "line", "n", "sketch", F.explode(F.array(F.array_min("prefix"), F.array_max("prefix"))).alias("word")).filter("word is not null")
+    large = written(ends.groupBy("word").agg(F.count("*").alias("many")).filter(F.col("many") >= family).select("word"), "lines-large")
+    members = written(ends.join(large, "word"), "lines-members")
+    columns = ("doc", "line", "n", "sketch")
+    leaders = written(members.groupBy("word").agg(F.min(F.struct(*columns)).alias("a")).select("word", *[F.col(f"a.{c}").alias(f"a_{c}") for c in columns]), "lines-leaders")
+    met = members.select("word", *[F.col(c).alias(f"b_{c}") for c in columns]).join(leaders, "word")
+    met = met.filter(_before() & _near(F.col("a_n"), F.col("b_n"), F.col("a_sketch"), F.col("b_sketch")))
+    out = written(_pairs(met).distinct(), "lines-families")
+    discard(large, members, leaders)
+    return out
+
+
+def prefix_rows(classes: DataFrame) -> DataFrame:
+    """One row for each key of a class: word, doc and line of its first line, prev, place, sketch.
+
+    The key is a prefix word, or two of them where the first is frequent. place has the size and the key's place, less
+    one for two words. prev is the prefix word before, -1 if none counts.
+    """
+    often = F.lit(1 << _WORD_BITS)
+    pack = lambda at: F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(at.cast("long")).alias("place")
+    kept = ["doc", "line", "n", "sketch"]
+    many = F.col("n") >= 2  # two different sets of which one has a single word are not similar
+    last = F.size("prefix") - 1
+    each = classes.filter(many).select(*kept, "prefix", F.posexplode(F.slice("prefix", 1, F.greatest(last, F.lit(1)))).alias("at", "word"))
+    prev = F.when(F.col("at") > 0, F.get("prefix", F.col("at") - 1)).otherwise(F.lit(-1)).alias("prev")
+    single = each.filter(F.col("word") < often).select("word", "doc", "line", prev, pack(F.col("at")), "sketch")
+    hot = classes.filter(many & (F.element_at("prefix", -1) >= often)).select(*kept, "prefix", F.posexplode(F.slice("prefix", 1, F.greatest(last, F.lit(1)))).alias("first", "word")).filter(F.col("word") >= often)
+    both = hot.select(*kept, "first", "word", F.posexplode(F.slice("prefix", F.col("first") + 2, F.size("prefix"))).alias("then", "second"))
+    key = _low(F.xxhash64("word", "second"), _WORD_BITS).cast("int").bitwiseOR(often).alias("word")
+    double = both.select(key, "doc", "line", F.lit(-1).alias("prev"), pack(F.col("first") + F.col("then")), "sketch")
+    return single.unionByName(double)
+
+
+def candidates(early: DataFrame, late: DataFrame) -> DataFrame:
+    """(early, late) lines, as structs of doc and line, for the prefix rows that all filters let through.
+
+    No condition concerns one side alone, so that rows which are on both sides are shuffled once.
+    """
+    columns = ("doc", "line", "prev", "place", "sketch")
+    a = early.select("word", *[F.col(c).alias(f"a_{c}") for c in columns])
+    b = late.select("word", *[F.col(c).alias(f"b_{c}") for c in columns])
+    a_n, b_n = F.shiftright("a_place", 31), F.shiftright("b_place", 31)
+    left = F.least(a_n - _low(F.col("a_place"), 31), b_n - _low(F.col("b_place"), 31)) >= _needed(a_n + b_n)
+    first = (F.col("a_prev") != F.col("b_prev")) | (F.col("a_prev") + F.col("b_prev") < 0)
+    return _pairs(a.join(b, "word").filter(_before() & left & first & _near(a_n, b_n, F.col("a_sketch"), F.col("b_sketch"))))
+
+
+def word_lists(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc, line and words (hashes) of the wanted lines (doc, line; distinct): a filter of 16 bits or more a line sifts lines before they move."""
+    bits = min(max((16 * wanted.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    slot = _low(F.xxhash64("doc", "line"), bits)
+    words = wanted.select(F.shiftright(slot, 6).alias("w"), _bit(slot.bitwiseAND(F.lit(63))).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bit"))
+    sieve = written(_dense(words, "w", "bit", bits - 6).withColumnRenamed("v", "bits"), "lines-filter")
+    some = lines_of(docs).select(*ordered("doc_id", "doc", "pos"), F.col("line").alias("text")).withColumn("bits", sieve.scalar())
+    word = F.col("bits")[F.shiftright(slot, 6).cast("int")]
     some = some.filter(F.call_function("shiftright", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    some = some.select(*ordered("doc_id", "doc", "pos"), word_hashes(F.col("line")).alias("words"))
-    return some.join(wanted.select("doc", "line"), ["doc", "line"]).dropDuplicates(["doc", "line"])
+    lists = some.select("doc", "line", word_hashes(F.col("text")).alias("words")).join(wanted, ["doc", "line"]).dropDuplicates(["doc", "line"])
+    lists = written(lists, "lines-words")
+    discard(sieve)
+    return lists
+
+
+def lines_in(pairs: DataFrame) -> DataFrame:
+    return pairs.select("doc", "line").unionByName(pairs.select("early.doc", "early.line")).distinct()
 
 
 def similar(pairs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -144,63 +224,61 @@ def similar(pairs: DataFrame, lists: DataFrame) -> DataFrame:
     return both.filter(common * bottom >= (F.size("x") + F.size("y") - common) * top).select("doc", "line").distinct()
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def similar_classes(docs: DataFrame, classes: DataFrame, family: int = FAMILY) -> DataFrame:
+    """doc and line of the first lines of the classes for which an earlier similar class exists."""
+    pairs = family_pairs(classes, family)
+    lists = word_lists(docs, written(lines_in(pairs), "lines-wanted"))
+    settled = written(similar(pairs, lists), "lines-settled")
+    discard(pairs, lists)
+    open_, done = (prefix_rows(classes.join(settled, ["doc", "line"], how)) for how in ("left_anti", "left_semi"))
+    pairs = written(candidates(open_, open_).unionByName(candidates(done, open_)).distinct(), "lines-pairs")
+    lists = word_lists(docs, written(lines_in(pairs), "lines-wanted"))
+    earliest = written(similar(pairs.groupBy("doc", "line").agg(F.min("early").alias("early")), lists), "lines-settled")
+    later = written(similar(pairs.join(earliest, ["doc", "line"], "left_anti"), lists), "lines-settled")
+    discard(pairs, lists)
+    return settled.unionByName(earliest).unionByName(later)
+
+
+def removed_lines(docs: DataFrame, buckets: int = BUCKETS, hot: int = HOT, family: int = FAMILY) -> DataFrame:
     """doc_id, doc, n_lines (those with words), removed (the numbers of its removed lines, ascending) of every document.
 
-    doc is the hash of doc_id and text; rows alike in both are one document here. Null and empty texts have no lines; an
-    empty table gives an empty result.
+    doc is the hash of doc_id and text; rows alike in both are one document here, and all of them are returned. Null and
+    empty texts have no lines; an empty table gives an empty result. buckets, hot and family change the cost alone.
     """
-    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
-    lines = lines_of(docs)
-    sets = written(word_sets(lines, rarity(docs)), "lines-sets").filter("n > 0")
-    first = F.min(F.struct("doc_id", "doc", "pos", "line_hash")).alias("first")
-    classes = sets.groupBy("h1", "h2").agg(first, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-    classes = written(classes, "lines-classes")
-    release(spark)
-    rows = prefix_rows(classes)
-    earliest = candidates(rows, rows).groupBy("doc", "line").agg(F.min("early").alias("early"))
-    earliest = written(earliest, "lines-earliest")
-    release(spark)
-    keyed = classes.select(*ordered("first.doc_id", "first.doc", "first.pos"), "h1", "h2", "first")
-    hashed = keyed.select("doc", "line", F.col("first.line_hash").alias("line_hash"))
-    both = lambda p: p.select("doc", "line").unionByName(p.select("early.doc", "early.line")).distinct()
-    lists = _word_lists(lines, written(hashed.join(both(earliest), ["doc", "line"]), "lines-wanted"))
-    settled = written(similar(earliest, written(lists, "lines-words")), "lines-settled")
-    open_ = written(earliest.join(settled, ["doc", "line"], "left_anti").select("doc", "line"), "lines-open")
-    release(spark)
-    later = settled.limit(0)
-    if open_.limit(1).count():
-        rest = written(candidates(rows, rows.join(open_, ["doc", "line"], "left_semi")).distinct(), "lines-rest")
-        lists = _word_lists(lines, written(hashed.join(both(rest), ["doc", "line"]), "lines-wanted"))
-        later = written(similar(rest, written(lists, "lines-words")), "lines-settled")
-        release(spark)
-    gone = settled.unionByName(later).withColumn("gone", F.lit(True))
-    verdicts = keyed.join(gone, ["doc", "line"], "left").select("h1", "h2", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    verdicts = written(verdicts, "lines-verdicts")
-    release(spark)
-    at = F.struct("doc_id", "doc", "pos", "line_hash")
-    judged = sets.select("h1", "h2", "doc_id", "doc", "pos", "line_hash").join(verdicts, ["h1", "h2"])
-    judged = judged.select("doc_id", "doc", "pos", (F.col("gone") | ~at.eqNullSafe(F.col("first"))).alias("gone"))
-    counted = judged.groupBy("doc_id", "doc").agg(F.countDistinct("pos").alias("n_lines"), F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("pos")))).alias("removed"))
-    counted = written(counted, "lines-removed").select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc"), "n_lines", "removed")
-    all_ = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"))
-    joined = all_.join(counted, all_.doc_id.eqNullSafe(counted._id) & (all_.doc == counted._doc), "left")
-    return joined.select("doc_id", "doc", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
-
-
-def dedup(docs: DataFrame) -> DataFrame:
+    docs = docs.select("doc_id", "text")
+    ranks = rarity(docs, buckets)
+    sets = written(word_sets(lines_of(docs), ranks, buckets, hot), "lines-sets")
+    first = F.min(F.struct("doc_id", "doc", "pos", "n", "sketch", "prefix")).alias("first")
+    classes = sets.filter("n > 0").groupBy("h1", "h2").agg(first, F.count("*").alias("many"))
+    classes = written(classes.select("h1", "h2", *ordered("first.doc_id", "first.doc", "first.pos"), "many", "first.n", "first.sketch", "first.prefix"), "lines-classes")
+    gone = similar_classes(docs, classes, family).withColumn("gone", F.lit(True))
+    verdicts = classes.select("h1", "h2", "many", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"))
+    verdicts = verdicts.join(gone, (F.col("first_doc") == gone.doc) & (F.col("first_line") == gone.line), "left").filter("many > 1 or gone")
+    verdicts = written(verdicts.select("h1", "h2", "first_doc", "first_line", F.coalesce("gone", F.lit(False)).alias("gone")), "lines-verdicts")
+    judged = sets.select("h1", "h2", "doc_id", "doc", "pos").join(verdicts, ["h1", "h2"])
+    doc, line = ordered("doc_id", "doc", "pos")
+    removed = judged.filter(F.col("gone") | (doc != F.col("first_doc")) | (line != F.col("first_line"))).groupBy("doc_id", "doc").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
+    removed = removed.select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc"), "removed")
+    counted = sets.groupBy("doc_id", "doc").agg(F.count(F.when(F.col("n") > 0, 1)).alias("lines"), F.count(F.when(F.col("pos") == 0, 1)).alias("rows"))
+    out = counted.join(removed, counted.doc_id.eqNullSafe(removed._id) & (counted.doc == removed._doc), "left")
+    out = written(out.select("doc_id", "doc", F.expr("lines div rows").alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), "rows"), "lines-removed")
+    discard(ranks, sets, classes, verdicts)
+    return out.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("_row", "rows")
+
+
+def dedup(docs: DataFrame, buckets: int = BUCKETS, hot: int = HOT, family: int = FAMILY) -> DataFrame:
     """docs with their repeated lines taken out of text; all rows and columns stay.
 
     Lines without words stay where they are. A text whose lines all go is empty; a null text stays null.
     """
-    gone = removed_lines(docs).filter(F.size("removed") > 0).dropDuplicates(["doc_id", "doc"])
+    gone = removed_lines(docs, buckets, hot, family).filter(F.size("removed") > 0).dropDuplicates(["doc_id", "doc"])
     gone = written(gone.select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc"), "removed"), "lines-gone")
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.struct(*docs.columns).alias("row"))
-    joined = keyed.join(gone, keyed.doc_id.eqNullSafe(gone._id) & (keyed.doc == gone._doc), "left")
-    text = F.col("row.text")
+    keyed = docs.select(F.col("doc_id").alias("_own"), F.xxhash64("doc_id", "text").alias("_key"), F.struct(*docs.columns).alias("_cells"))
+    joined = keyed.join(gone, keyed._own.eqNullSafe(gone._id) & (keyed._key == gone._doc), "left")
+    text = F.col("_cells.text")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("removed", i)), "\n")
-    reduced = F.when(F.col("removed").isNull(), text).otherwise(kept).alias("text")
-    return joined.select(*[reduced if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+    reduced = F.when(F.col("removed").isNull(), text).otherwise(kept)
+    return joined.select(*[(reduced if c.lower() == "text" else F.col("_cells").getField(c)).alias(c) for c in docs.columns])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
