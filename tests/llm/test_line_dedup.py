@@ -60,6 +60,17 @@ def test_nulls_repeats_long_lines_and_empty_tables(spark):
     assert d.removed_lines(df.limit(0)).count() == 0
 
 
+def test_small_families_are_not_settled_first(spark, monkeypatch):
+    rows = ["a b c d e f g h i j k" + x for x in ("", " l", " m", " l m n o p")] + [f"u{k} v{k} w{k}" for k in range(30)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    asked = []
+    monkeypatch.setattr(d, "word_lists", lambda *x, f=d.word_lists: asked.append(1) or f(*x))
+    for family, times in ((2, 1), (1, 1)):
+        asked.clear()
+        got = {r["doc_id"]: list(r["removed"]) for r in d.removed_lines(df, family=family).collect()}
+        assert got == dict(enumerate(slow(rows))) and len(asked) == times
+
+
 def test_frequent_words_meet_by_pairs(spark):
     rng = random.Random(5)
     rows = [" ".join(rng.choice(["a", "b", "c", "d", "e", "f", "g", "h"]) for _ in range(rng.randrange(1, 12))) for _ in range(150)]
@@ -77,7 +88,7 @@ def test_large_family_of_near_copies_costs_no_square(spark):
     got = d.removed_lines(df).agg(F.sum(F.size("removed")).alias("n"), F.min(F.when(F.size("removed") == 0, F.col("doc_id"))).alias("kept")).first()
     assert (got["n"], got["kept"]) == (20_000, 0)
     sets = d.word_sets(d.lines_of(df), d.rarity(df))
-    classes = sets.select(*d.ordered("doc_id", "doc", "pos"), "n", "sketch", "prefix")
+    classes = sets.select(*d.ordered("doc_id", "doc", "pos"), "n", "sketch", "half", "prefix")
     settled = d.family_pairs(classes).select("doc", "line").distinct().count()
     assert settled >= 19_000
 

@@ -4,27 +4,31 @@ A line is the set of its words in lower case. Lines with one set are a class, an
 (doc_id with nulls first, then the document's hash, then the line's number) stays unless an earlier line of another
 class has a Jaccard similarity of SIMILARITY or more; every later line of a class goes.
 
-Words are ordered by rarity: by their number in the corpus, counted in hash buckets over all texts (a table of 2**BUCKETS
-numbers, which is what tasks get), then by hash. Any fixed order gives exact results; a rarer one gives fewer candidates.
+Words are ordered by rarity: by their number in the corpus as they stand there, counted in hash buckets over all texts (a
+table of 2**BUCKETS numbers, which is what tasks get), then by hash. Any fixed order gives exact results; a rarer one gives fewer candidates.
 Two sets of sizes n and m with similarity t or more share a word among the first n - ceil(t n) + 1 of one and the like of
 the other (prefix filter); their sizes differ by a factor of t at most (length filter); what is left from the first
-shared word's places on must suffice (positional filter); and a 64-bit parity sketch of each set gives a lower bound of
-their symmetric difference. All four are conditions of one sort-merge join on words. A pair that shares a run of prefix
+shared word's places on must suffice (positional filter); and a parity sketch of each set, of 64 bits or, for more than 64
+words, 128, gives a lower bound of their symmetric difference. All four are conditions of one sort-merge join on words. A pair that shares a run of prefix
 words is met at the run's start only.
 
 A word that occurs more than HOT times is no key by itself: two sets whose first shared word is such a word share a
 second one in prefixes that are longer by one, so they meet by both words. Rarer words come first, so the prefixes of
 most lines hold no such word.
 
-Families of near copies are settled first: where FAMILY classes or more have one word as the smallest or largest hash of
-their prefix, each is held against the earliest of them. What is similar to that needs no other candidate, so that a
-family costs about its size, not its square; only its members that are unlike the earliest meet all others. Of their
-candidates the first is verified first, the rest only for lines that it does not settle. All pairs are verified on the
+Families of near copies are settled first: where FAMILY classes or more have one word as the smallest or largest hash, the
+last or the middle word of their prefix, each is held against the earliest of them. What is similar to that needs no other
+candidate, so that a family costs about its size, not its square; only its members that are unlike the earliest meet all
+others. Where the squares of the families come to less than the number of classes, there is nothing to save, and no line
+is settled first. Of the other lines' candidates the first is verified first, the rest only for lines that it does not
+settle. All pairs are verified on the
 words themselves (64-bit hashes); prefixes hold 30 bits of them, which can only add candidates.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +43,8 @@ BUCKETS = 20
 #: Words that occur more often are keys only together with a second word.
 HOT = 1 << 14
 
-#: The least number of classes with one smallest or largest prefix word that are held against the earliest of them.
-FAMILY = 32
+#: The least number of classes with one such prefix word that are held against the earliest of them.
+FAMILY = 256
 
 #: Binary logarithms of the least and most bits of the filter that finds the lines to verify in the texts.
 FILTER_BITS = (12, 26)
@@ -87,7 +91,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def rarity(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row: for each hash bucket of words, how frequent they are in all texts, on a logarithmic scale (0: absent)."""
     lines = docs.select(F.explode_outer(F.split("text", "\n")).alias("line"))
-    words = lines.select(F.explode_outer(words_of(F.lower("line"))).alias("w")).filter("w is not null").select(_low(F.xxhash64("w"), buckets).alias("b"))
+    words = lines.select(F.explode_outer(words_of(F.col("line"))).alias("w")).filter("w is not null").select(_low(F.xxhash64("w"), buckets).alias("b"))
     counted = words.groupBy("b").agg(F.count("*").alias("n")).select("b", (F.log2(F.col("n") + 1) * _SCALE).cast("long").alias("r"))
     return written(_dense(counted, "b", "r", buckets), "lines-rarity")
 
@@ -98,8 +102,9 @@ def word_hashes(line: Column) -> Column:
 
 
 def word_sets(lines: DataFrame, ranks: DataFrame, buckets: int = BUCKETS, hot: int = HOT) -> DataFrame:
-    """Lines: the codes of their sets of words, rarest first, as hashes h1 and h2, size n, sketch and prefix.
+    """Lines: the codes of their sets of words, rarest first, as hashes h1 and h2, size n, sketch, half and prefix.
 
+    sketch is the parity of 64 bits; in half only words with another bit count, and only if there are more than 64.
     The prefix has one word more than the prefix filter asks for; a word is 30 bits of its code, and one above them if
     it occurs more than `hot` times. Lines without words have n = 0. To be filtered once written: a filter here would
     move below and make the sets twice.
@@ -108,13 +113,14 @@ def word_sets(lines: DataFrame, ranks: DataFrame, buckets: int = BUCKETS, hot: i
     hashed = lines.select("doc_id", "doc", "pos", word_hashes(F.col("line")).alias("hashes"))
     code = lambda h: F.shiftleft(F.col("ranks")[_low(h, buckets).cast("int")], _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
     coded = hashed.withColumn("ranks", ranks.scalar()).select("doc_id", "doc", "pos", F.sort_array(F.transform("hashes", code)).alias("codes"))
-    n = F.size("codes")
-    often = F.log2(F.lit(hot + 1.0)) * _SCALE
-    flag = lambda c: F.when(F.shiftright(c, _HASH_BITS) > often, F.lit(1 << _WORD_BITS)).otherwise(F.lit(0))
-    word = lambda c: _low(c, _WORD_BITS).cast("int").bitwiseOR(flag(c))
+    n, often = F.size("codes"), F.lit(int(math.log2(hot + 1) * _SCALE) + 1 << _HASH_BITS)
+    word = lambda c: F.when(c < often, _low(c, _WORD_BITS)).otherwise(_low(c, _WORD_BITS).bitwiseOR(F.lit(1 << _WORD_BITS))).cast("int")
+    parity = lambda bit: F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(bit(c)))
+    half = lambda c: F.when(c.bitwiseAND(F.lit(64)) == 0, F.lit(0).cast("long")).otherwise(_bit(_low(c, 6)))
     return coded.select(
         "doc_id", "doc", "pos", F.xxhash64("codes").alias("h1"), F.xxhash64("codes", F.lit("second")).alias("h2"), n.alias("n"),
-        F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(_bit(_low(c, 6)))).alias("sketch"),
+        parity(lambda c: _bit(_low(c, 6))).alias("sketch"),
+        F.when(n > 64, parity(half)).otherwise(F.lit(0).cast("long")).alias("half"),
         F.transform(F.slice("codes", 1, n - F.ceil(n * top / bottom).cast("int") + 2), word).alias("prefix"),
     )
 
@@ -131,11 +137,13 @@ def _needed(total: Column) -> Column:
     return F.floor((total * top + (top + bottom) - 1) / (top + bottom))
 
 
-def _near(a_n: Column, b_n: Column, a_sketch: Column, b_sketch: Column) -> Column:
-    """Length filter and sketch filter."""
+def _near(a_n: Column, b_n: Column) -> Column:
+    """Length filter and sketch filter; of two long sets, the halves of the sketches are compared apart."""
     top, bottom = SIMILARITY
-    total = a_n + b_n
-    return (a_n * bottom >= b_n * top) & (b_n * bottom >= a_n * top) & (F.bit_count(a_sketch.bitwiseXOR(b_sketch)) <= total - 2 * _needed(total))
+    total, whole, half = a_n + b_n, F.col("a_sketch").bitwiseXOR(F.col("b_sketch")), F.col("a_half").bitwiseXOR(F.col("b_half"))
+    both = (a_n > 64) & (b_n > 64)
+    differ = F.when(both, F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
+    return (a_n * bottom >= b_n * top) & (b_n * bottom >= a_n * top) & (differ <= total - 2 * _needed(total))
 
 
 def _before() -> Column:
@@ -147,37 +155,38 @@ def _pairs(met: DataFrame) -> DataFrame:
 
 
 def family_pairs(classes: DataFrame, family: int = FAMILY) -> DataFrame:
-    """(early, late) lines: the earliest class and each other of those with one smallest or largest prefix word."""
-    ends = classes.select("doc", "line", "n", "sketch", F.explode(F.array(F.array_min("prefix"), F.array_max("prefix"))).alias("word")).filter("word is not null")
+    """(early, late) lines: the earliest class and each other of those with one smallest, largest, last or middle prefix word."""
+    few = F.array(F.array_min("prefix"), F.array_max("prefix"), F.element_at("prefix", -1), F.element_at("prefix", (F.size("prefix") / 2).cast("int") + 1))
+    ends = classes.select("doc", "line", "n", "sketch", "half", F.explode(F.array_distinct(few)).alias("word"))
     large = written(ends.groupBy("word").agg(F.count("*").alias("many")).filter(F.col("many") >= family).select("word"), "lines-large")
     members = written(ends.join(large, "word"), "lines-members")
-    columns = ("doc", "line", "n", "sketch")
+    columns = ("doc", "line", "n", "sketch", "half")
     leaders = written(members.groupBy("word").agg(F.min(F.struct(*columns)).alias("a")).select("word", *[F.col(f"a.{c}").alias(f"a_{c}") for c in columns]), "lines-leaders")
     met = members.select("word", *[F.col(c).alias(f"b_{c}") for c in columns]).join(leaders, "word")
-    met = met.filter(_before() & _near(F.col("a_n"), F.col("b_n"), F.col("a_sketch"), F.col("b_sketch")))
+    met = met.filter(_before() & _near(F.col("a_n"), F.col("b_n")))
     out = written(_pairs(met).distinct(), "lines-families")
     discard(large, members, leaders)
     return out
 
 
 def prefix_rows(classes: DataFrame) -> DataFrame:
-    """One row for each key of a class: word, doc and line of its first line, prev, place, sketch.
+    """One row for each key of a class: word, doc and line of its first line, prev, place, sketch, half.
 
     The key is a prefix word, or two of them where the first is frequent. place has the size and the key's place, less
     one for two words. prev is the prefix word before, -1 if none counts.
     """
     often = F.lit(1 << _WORD_BITS)
     pack = lambda at: F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(at.cast("long")).alias("place")
-    kept = ["doc", "line", "n", "sketch"]
+    kept = ["doc", "line", "n", "sketch", "half"]
     many = F.col("n") >= 2  # two different sets of which one has a single word are not similar
     last = F.size("prefix") - 1
     each = classes.filter(many).select(*kept, "prefix", F.posexplode(F.slice("prefix", 1, F.greatest(last, F.lit(1)))).alias("at", "word"))
     prev = F.when(F.col("at") > 0, F.get("prefix", F.col("at") - 1)).otherwise(F.lit(-1)).alias("prev")
-    single = each.filter(F.col("word") < often).select("word", "doc", "line", prev, pack(F.col("at")), "sketch")
+    single = each.filter(F.col("word") < often).select("word", "doc", "line", prev, pack(F.col("at")), "sketch", "half")
     hot = classes.filter(many & (F.element_at("prefix", -1) >= often)).select(*kept, "prefix", F.posexplode(F.slice("prefix", 1, F.greatest(last, F.lit(1)))).alias("first", "word")).filter(F.col("word") >= often)
     both = hot.select(*kept, "first", "word", F.posexplode(F.slice("prefix", F.col("first") + 2, F.size("prefix"))).alias("then", "second"))
     key = _low(F.xxhash64("word", "second"), _WORD_BITS).cast("int").bitwiseOR(often).alias("word")
-    double = both.select(key, "doc", "line", F.lit(-1).alias("prev"), pack(F.col("first") + F.col("then")), "sketch")
+    double = both.select(key, "doc", "line", F.lit(-1).alias("prev"), pack(F.col("first") + F.col("then")), "sketch", "half")
     return single.unionByName(double)
 
 
@@ -186,13 +195,13 @@ def candidates(early: DataFrame, late: DataFrame) -> DataFrame:
 
     No condition concerns one side alone, so that rows which are on both sides are shuffled once.
     """
-    columns = ("doc", "line", "prev", "place", "sketch")
+    columns = ("doc", "line", "prev", "place", "sketch", "half")
     a = early.select("word", *[F.col(c).alias(f"a_{c}") for c in columns])
     b = late.select("word", *[F.col(c).alias(f"b_{c}") for c in columns])
     a_n, b_n = F.shiftright("a_place", 31), F.shiftright("b_place", 31)
     left = F.least(a_n - _low(F.col("a_place"), 31), b_n - _low(F.col("b_place"), 31)) >= _needed(a_n + b_n)
     first = (F.col("a_prev") != F.col("b_prev")) | (F.col("a_prev") + F.col("b_prev") < 0)
-    return _pairs(a.join(b, "word").filter(_before() & left & first & _near(a_n, b_n, F.col("a_sketch"), F.col("b_sketch"))))
+    return _pairs(a.join(b, "word").filter(_before() & left & first & _near(a_n, b_n)))
 
 
 def word_lists(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -226,17 +235,24 @@ def similar(pairs: DataFrame, lists: DataFrame) -> DataFrame:
 
 def similar_classes(docs: DataFrame, classes: DataFrame, family: int = FAMILY) -> DataFrame:
     """doc and line of the first lines of the classes for which an earlier similar class exists."""
-    pairs = family_pairs(classes, family)
-    lists = word_lists(docs, written(lines_in(pairs), "lines-wanted"))
-    settled = written(similar(pairs, lists), "lines-settled")
-    discard(pairs, lists)
-    open_, done = (prefix_rows(classes.join(settled, ["doc", "line"], how)) for how in ("left_anti", "left_semi"))
-    pairs = written(candidates(open_, open_).unionByName(candidates(done, open_)).distinct(), "lines-pairs")
+    near = family_pairs(classes, family)
+    squares = near.groupBy("early").agg(F.count("*").cast("double").alias("many")).agg(F.sum(F.col("many") * F.col("many"))).first()[0] or 0
+    if large := squares > classes.count():
+        lists = word_lists(docs, written(lines_in(near), "lines-wanted"))
+        settled = written(similar(near, lists), "lines-settled")
+        discard(near, lists)
+        open_, done = (prefix_rows(classes.join(settled, ["doc", "line"], how)) for how in ("left_anti", "left_semi"))
+        met = candidates(open_, open_).unionByName(candidates(done, open_))
+    else:
+        rows = prefix_rows(classes)
+        met = candidates(rows, rows)
+    pairs = written(met.distinct(), "lines-pairs")
     lists = word_lists(docs, written(lines_in(pairs), "lines-wanted"))
     earliest = written(similar(pairs.groupBy("doc", "line").agg(F.min("early").alias("early")), lists), "lines-settled")
     later = written(similar(pairs.join(earliest, ["doc", "line"], "left_anti"), lists), "lines-settled")
     discard(pairs, lists)
-    return settled.unionByName(earliest).unionByName(later)
+    found = earliest.unionByName(later)
+    return settled.unionByName(found) if large else found
 
 
 def removed_lines(docs: DataFrame, buckets: int = BUCKETS, hot: int = HOT, family: int = FAMILY) -> DataFrame:
@@ -248,9 +264,9 @@ def removed_lines(docs: DataFrame, buckets: int = BUCKETS, hot: int = HOT, famil
     docs = docs.select("doc_id", "text")
     ranks = rarity(docs, buckets)
     sets = written(word_sets(lines_of(docs), ranks, buckets, hot), "lines-sets")
-    first = F.min(F.struct("doc_id", "doc", "pos", "n", "sketch", "prefix")).alias("first")
+    first = F.min(F.struct("doc_id", "doc", "pos", "n", "sketch", "half", "prefix")).alias("first")
     classes = sets.filter("n > 0").groupBy("h1", "h2").agg(first, F.count("*").alias("many"))
-    classes = written(classes.select("h1", "h2", *ordered("first.doc_id", "first.doc", "first.pos"), "many", "first.n", "first.sketch", "first.prefix"), "lines-classes")
+    classes = written(classes.select("h1", "h2", *ordered("first.doc_id", "first.doc", "first.pos"), "many", "first.n", "first.sketch", "first.half", "first.prefix"), "lines-classes")
     gone = similar_classes(docs, classes, family).withColumn("gone", F.lit(True))
     verdicts = classes.select("h1", "h2", "many", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"))
     verdicts = verdicts.join(gone, (F.col("first_doc") == gone.doc) & (F.col("first_line") == gone.line), "left").filter("many > 1 or gone")
