@@ -12,13 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import written
+from vellumine.llm.common import discard, written
 
 
-def _linked(pairs: DataFrame, name: str) -> DataFrame:
-    """(v, m) for the pairs (u, v): m is the smallest of u and all its v."""
+def _linked(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(u, v, m) for the pairs (u, v): m is the smallest of u and all its v; and the table of m by u, to be discarded."""
     least = written(pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), f"{name}-least")
-    return pairs.join(least, "u").select("u", "v", "m")
+    return pairs.join(least, "u").select("u", "v", "m"), least
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -27,11 +27,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = written(now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v"))), "cc-both")
-        large = _linked(both, "cc-large").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.distinct(), "cc-large")
-        small = _linked(large, "cc-small")
+        linked, least = _linked(both, "cc-large")
+        large = written(linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+        discard(both, least, now)
+        small, least = _linked(large, "cc-small")
         links = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
         now = written(links.filter("a <> b").distinct(), "cc-edges")
+        discard(large, least)
         seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if (seen["n"], seen["x"]) == state:
             break

@@ -3,17 +3,18 @@
 A text's fingerprint has a bit for each of 64 positions: set if it is set in more than half the hashes of the text's
 shingles. Documents with one fingerprint are a class from the start; all that follows works on distinct fingerprints.
 
-The pivot table of a fingerprint holds its Hamming distances to fixed reference fingerprints (pivots), kept apart by
-blocks of bits; a distance over the whole fingerprint is the sum over its blocks. By the triangle inequality, two
-fingerprints at distance D or less differ by D at most in every whole coordinate. And of B blocks they agree in B - D
-or more, where all their block coordinates are equal. So fingerprints meet by a key made of the block coordinates of
-each choice of B - D blocks: no pair within the radius is missed. Within a key, pairs whose largest coordinate
+The pivot table holds the Hamming distances (coordinates) of each distinct fingerprint to fixed reference fingerprints
+(pivots); it is written once and travels with the fingerprints. By the triangle inequality, two fingerprints at distance
+D or less differ by D at most in every coordinate. And of B blocks of their bits they agree in B - D or more, where
+their distances to the pivots within the block are equal too. So fingerprints meet by a key made of the block coordinates
+of each choice of B - D blocks: no pair within the radius is missed. Within a key, pairs whose largest coordinate
 difference exceeds D are discarded, one coordinate after another, and the survivors are verified.
 
 A key with more than GROUP fingerprints is not compared in one task: its members agree in the key's bits, so they are
-dealt again by the block coordinates of the remaining bits (one of D + 1 parts must be equal), as often as needed; as
-fingerprints are distinct, groups shrink to 2 to the power of the bits that are left. From each key, a task emits a
-spanning forest of the links, not all pairs. Components are found by a distributed algorithm.
+dealt again by the block coordinates of the remaining bits in which they differ (one of D + 1 parts must be equal), as
+often as needed. So every group shrinks each time. With D such bits or fewer it holds 2 to the power of D distinct
+fingerprints at most, and is compared whatever GROUP is. From each key, a task emits a spanning forest of the links, not all pairs.
+Components are found by a distributed algorithm.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import column_name, table, written
+from vellumine.llm.common import column_name, discard, table, written
 from vellumine.llm.components import connected_components
 
 #: Shingle length in words, seed of the shingles' XXH64, and the largest distance of a link.
@@ -81,8 +82,8 @@ def _mixed(key: np.ndarray, more: np.ndarray) -> np.ndarray:
     return key ^ (key >> np.uint64(32))
 
 
-def deal(prints: np.ndarray, keys: np.ndarray, free: np.ndarray, parts: int, same: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, print, bits still free) for each choice of `same` of `parts` parts of the free bits, by block coordinates."""
+def deal(prints: np.ndarray, keys: np.ndarray, free: np.ndarray, parts: int, same: int) -> tuple[np.ndarray, ...]:
+    """(key, print, bits still free, row) for each choice of `same` of `parts` parts of the free bits, by block coordinates."""
     out = []
     for mask in np.unique(free):
         rows = np.flatnonzero(free == mask)
@@ -100,8 +101,8 @@ def deal(prints: np.ndarray, keys: np.ndarray, free: np.ndarray, parts: int, sam
             for c in chosen:
                 key = _mixed(key, codes[c])
                 left &= ~masks[c] & _ALL
-            out.append((key, x, np.full(len(x), left, np.uint64)))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64),) * 3
+            out.append((key, x, np.full(len(x), left, np.uint64), rows))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (*(np.zeros(0, np.uint64),) * 3, np.zeros(0, np.int64))
 
 
 def _blocks(n: int, radius: int) -> int:
@@ -130,10 +131,10 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def links_within(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as pairs of prints, of the links between prints of one key; keys are sorted."""
+def links_within(keys: np.ndarray, prints: np.ndarray, at_pivots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as pairs of prints, of the links between prints of one key; keys are sorted, at_pivots has a row of coordinates for each."""
     n = len(keys)
-    coordinates = np.bitwise_count(prints[:, None] ^ _PIVOTS[None, :PIVOTS]).astype(np.int8).T.copy()
+    coordinates = at_pivots.T.copy()
     ends = np.searchsorted(keys, keys, side="right")
     root, held, size = np.arange(n), [], 0
     at, step = np.arange(n), 0
@@ -159,21 +160,41 @@ def links_within(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.
     return prints[linked], prints[root[linked]]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
-    """a, b: links between the distinct fingerprints (one column, long) that connect all that are within the radius."""
+def pivot_table(distinct: DataFrame) -> DataFrame:
+    """print and its distances to the pivots (one byte each), for the distinct fingerprints (one column, long)."""
     source = distinct.columns[0]
-    n = distinct.count()
-    blocks = _blocks(n, radius)
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf[source].to_numpy(np.int64).view(np.uint64)
-            yield _frame(*deal(x, np.zeros(len(x), np.uint64), np.full(len(x), _ALL, np.uint64), blocks, blocks - radius))
+            at = np.bitwise_count(x[:, None] ^ _PIVOTS[None, :PIVOTS]).astype(np.int8)
+            yield pd.DataFrame({"print": pdf[source], "at": [row.tobytes() for row in at]})
 
-    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x, k, f = (pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("print", "key", "free"))
-            yield _frame(*deal(x, k, f, radius + 1, 1))
+    return written(distinct.mapInPandas(measure, "print long, at binary"), "simhash-pivots")
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
+    """a, b: links between the distinct fingerprints (one column, long) that connect all that are within the radius.
+
+    Keys of more than `group` fingerprints (any number from 1 on) are dealt again.
+    """
+    pivots = pivot_table(distinct)
+    blocks = _blocks(pivots.count(), radius)
+
+    def dealt(how):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                at = pdf["at"].to_numpy()
+                key, x, free, row = how(*(pdf[c].to_numpy(np.int64).view(np.uint64) if c in pdf else None for c in ("print", "key", "free")))
+                yield pd.DataFrame({"key": key.view(np.int64), "print": x.view(np.int64), "free": free.view(np.int64), "at": at[row]})
+
+        return run
+
+    def first(x, key, free):
+        return deal(x, np.zeros(len(x), np.uint64), np.full(len(x), _ALL, np.uint64), blocks, blocks - radius)
+
+    def again(x, key, free):
+        return deal(x, key, free, radius + 1, 1)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -185,27 +206,29 @@ def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP) -> Data
         if rest is not None:
             yield _links(rest, radius)
 
-    schema = "key long, print long, free long"
-    rows = written(distinct.mapInPandas(first, schema), "simhash-keys")
+    schema = "key long, print long, free long, at binary"
+    rows = written(pivots.mapInPandas(dealt(first), schema), "simhash-keys")
     found = None
     while True:
-        large = written(rows.groupBy("key").count().filter(F.col("count") > group).select("key"), "simhash-large")
+        vary = F.bit_or("print").bitwiseAND(F.bitwise_not(F.bit_and("print")))  # dealing by bits that are equal in all would part nobody
+        large = rows.groupBy("key").agg(F.count("*").alias("many"), F.bit_or("free").bitwiseAND(vary).alias("vary"))
+        large = written(large.filter((F.col("many") > group) & (F.bit_count("vary") > radius)).select("key", "vary"), "simhash-large")
         any_large = bool(large.limit(1).count())
         small = rows.join(large, "key", "left_anti") if any_large else rows
-        part = small.select("key", "print").repartition("key").sortWithinPartitions("key").mapInPandas(compare, "a long, b long")
+        part = small.select("key", "print", "at").repartition("key").sortWithinPartitions("key").mapInPandas(compare, "a long, b long")
         part = written(part.distinct(), "simhash-links")
         found = part if found is None else found.unionByName(part)
         if not any_large:
+            discard(pivots, rows, large)
             return found
-        rows = written(rows.join(large, "key", "left_semi").mapInPandas(again, schema), "simhash-keys")
-
-
-def _frame(keys: np.ndarray, prints: np.ndarray, free: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"key": keys.view(np.int64), "print": prints.view(np.int64), "free": free.view(np.int64)})
+        open_ = rows.join(large, "key").select("key", "print", F.col("free").bitwiseAND(F.col("vary")).alias("free"), "at")
+        before, rows = rows, written(open_.mapInPandas(dealt(again), schema), "simhash-keys")
+        discard(before, large)
 
 
 def _links(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
-    a, b = links_within(pdf["key"].to_numpy(), pdf["print"].to_numpy(np.int64).view(np.uint64), radius)
+    at = np.frombuffer(b"".join(pdf["at"]), np.int8).reshape(len(pdf), PIVOTS)
+    a, b = links_within(pdf["key"].to_numpy(), pdf["print"].to_numpy(np.int64).view(np.uint64), at, radius)
     return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
 
