@@ -185,19 +185,22 @@ def _evolved(shards: DataFrame, cap: int, islands: int, epochs: int, level: int)
 
         return run
 
-    first = shards.select("shard", F.lit(0).alias("island"), "lengths").mapInPandas(start, STATE)
+    # A set number of partitions: Spark must not coalesce rows that are few and small, but each seconds of work.
+    tasks = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda df: df.repartition(tasks, "shard", "island")
+    first = spread(shards.select("shard", F.lit(0).alias("island"), "lengths")).mapInPandas(start, STATE)
     state = written(first, "pack-islands")
     done, open_ = state.filter("bins <= least"), state.filter("bins > least")
     more = open_.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(max(1, islands - 1))))).select("shard", F.col("_i").alias("island"), "lengths")
     finished, any_open = [done], bool(open_.limit(1).count())
     if any_open and islands > 1:
-        open_ = written(open_.unionByName(more.mapInPandas(start, STATE)), "pack-islands")
+        open_ = written(open_.unionByName(spread(more).mapInPandas(start, STATE)), "pack-islands")
     for number in range(epochs if any_open else 0):
         ring = Window.partitionBy("shard").orderBy("island")
         whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         migrant = F.coalesce(F.lag("best").over(ring), F.last("best").over(whole))
         moved = open_.withColumn("migrant", migrant).withColumn("found", F.min("bins").over(whole))
-        state = written(moved.filter("found > least").drop("found").mapInPandas(epoch(number), STATE), "pack-islands")
+        state = written(spread(moved.filter("found > least").drop("found")).mapInPandas(epoch(number), STATE), "pack-islands")
         finished.append(moved.filter("found <= least").select(*state.columns))
         open_ = state
         if not open_.limit(1).count():
@@ -243,7 +246,8 @@ def pack(rows: DataFrame, length: str = "length", cap: int = LENGTH, shard: int
             return pd.Series(rows)
 
         joined = shards.join(best, "shard").select("shard", F.explode(F.arrays_zip("items", placed(F.col("items.size"), F.col("best")).alias("place"))).alias("x"))
-        sequence = F.shiftleft(F.lit(level).cast("long"), 58) + F.shiftleft("shard", 16) + F.col("x.place.bin")
+        # A shard has as many sequences as pieces at most.
+        sequence = F.shiftleft(F.lit(level).cast("long"), 58) + F.shiftleft(F.col("shard"), 32) + F.col("x.place.bin")
         all_ = written(joined.select("x.items.row.*", F.col("x.items.number").alias(number), sequence.alias("sequence_id"), F.col("x.place.at").alias("offset"), F.col("x.place.fill").alias("_fill")), "pack-level")
         last = n == 1 or level == LEVELS - 1
         final = all_ if last else all_.filter(F.col("_fill") >= FULL * cap)

@@ -18,7 +18,7 @@ from itertools import islice
 UNUSUAL = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\|")
 
 #: A chunk that keeps the white space in front of it, and one without.
-SPACED, BARE = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+"), re.compile("[^ \t\n\r]+")
+SPACED, BARE = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+").findall, str.split
 
 #: The most chunks and pieces that are remembered, and the longest chunk. A full memo keeps its older half, where the
 #: frequent ones are.
@@ -49,6 +49,20 @@ def _bytes_of(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+class Memo(dict):
+    """Chunks and their ids; a chunk that is looked up for the first time is encoded, and kept unless it is long."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.encode(chunk)
+        if len(chunk) <= MEMO_CHARS:
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
@@ -59,8 +73,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.keeps_space = keeps_space
-        self.chunks = (SPACED if keeps_space else BARE).findall
-        self.memo: dict[str, bytes] = {}
+        self.chunks = SPACED if keeps_space else BARE
+        self.memo = Memo(self._chunk)
         self.pieces: dict[str, bytes] = {}
         self.newline = self._fresh(["\n"])[0]
 
@@ -76,11 +90,11 @@ class Encoder:
         found = self.pieces[piece] = _bytes_of([t.id for t in self.model.tokenize(letters)])
         return found
 
-    def _plain(self, chunk: str) -> bytes | None:
-        """The ids of a plain chunk; None if it is anything else."""
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of a chunk: a plain one by its pieces, any other by the whole tokenizer."""
         match = PLAIN(chunk)
         if match is None:
-            return None
+            return self._fresh([chunk])[0]
         head, core, tail = match.groups()
         word = core.lower() if not self.keeps_space else " " + core if head == " " else core
         ids = self.pieces.get(word) or self._piece(word)
@@ -98,27 +112,12 @@ class Encoder:
         return out + self._some(texts[start:])
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        split = [None if UNUSUAL.search(t) else self.chunks(t) for t in texts]
-        missing = set().union(*[c for c in split if c is not None]).difference(self.memo)
-        if len(self.memo) + len(missing) > MEMO:
-            self.memo = dict(islice(self.memo.items(), MEMO // 2))
-            missing = set().union(*[c for c in split if c is not None]).difference(self.memo)
-        other, long_ = [], []
-        for k in missing:
-            ids = self._plain(k)
-            if ids is None:
-                other.append(k)
-            else:
-                self.memo[k] = ids
-            if len(k) > MEMO_CHARS:
-                long_.append(k)
-        if other:
-            self.memo.update(zip(other, self._fresh(other), strict=True))
+        if len(self.memo) > MEMO:
+            older = list(islice(self.memo.items(), MEMO // 2))
+            self.memo.clear()
+            self.memo.update(older)
         get = self.memo.__getitem__
-        out = [self._fresh([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, split, strict=True)]
-        for k in long_:
-            del self.memo[k]
-        return out
+        return [self._fresh([t])[0] if UNUSUAL.search(t) else b"".join(map(get, self.chunks(t))) for t in texts]
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
