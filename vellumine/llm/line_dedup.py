@@ -241,7 +241,8 @@ def similar_classes(docs: DataFrame, classes: DataFrame, family: int = FAMILY) -
         lists = word_lists(docs, written(lines_in(near), "lines-wanted"))
         settled = written(similar(near, lists), "lines-settled")
         discard(near, lists)
-        open_, done = (prefix_rows(classes.join(settled, ["doc", "line"], how)) for how in ("left_anti", "left_semi"))
+        marked = classes.join(settled.withColumn("settled", F.lit(True)), ["doc", "line"], "left")
+        open_, done = prefix_rows(marked.filter("settled is null")), prefix_rows(marked.filter("settled"))
         met = candidates(open_, open_).unionByName(candidates(done, open_))
     else:
         rows = prefix_rows(classes)
