@@ -38,7 +38,7 @@ def test_reading_order(spark):
 
 def test_insights_and_defaults(spark):
     row = spark.createDataFrame([("Notice Period - 2 weeks; Expected CTC: 9 lpa",)], "t string").select(*[c.alias(n) for n, c in insights.insights(F.col("t")).items()]).first()
-    assert tuple(row) == ("2 weeks", "Not Specified", "9 lpa", "Not Specified", "Fresher")
+    assert tuple(row) == ("2 weeks", "Negotiable", "9 lpa", "Not Specified", "Fresher")
 
 
 def test_positions_in_brackets():

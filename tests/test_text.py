@@ -93,7 +93,7 @@ def test_classes_and_ties(spark):
     assert [r["domain"] for r in scoring.classify(df, "id", "words", taxonomy).orderBy("id").collect()] == ["Software", "Mechanical", "General", "General"]
 
 
-@pytest.mark.parametrize("w, h, name", [(595.3, 841.9, "A4"), (842, 595, "A4"), (612, 792, "Letter"), (600, 600, None)])
+@pytest.mark.parametrize("w, h, name", [(595.3, 841.9, [595, 842]), (842, 595, [842, 595]), (612, 792, [612, 792]), (600, 600.5, [600, 600]), (522, 756, [522, 756])])
 def test_page_sizes(spark, w, h, name):
     assert spark.range(1).select(geometry.page_size(F.lit(float(w)), F.lit(float(h))).alias("x")).first()["x"] == name
 
@@ -105,3 +105,8 @@ def test_colours_and_boxes(spark):
         geometry.unletterbox(F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)), F.lit(600.0), F.lit(800.0), (1000, 1000)).alias("e"),
     ).first()
     assert (row["a"], row["b"], row["c"], row["d"], row["e"]) == ("#f01", "#010203", "12", "12.3", [0.0, 0.0, 600.0, 800.0])
+
+
+def test_alike_names_that_are_never_the_same():
+    names = ["HTML", "HTML5", "JavaScript", "TypeScript", "Java", "AngularJS", "Angular", "Machine Learning", "learning machine", "Machine Learnin"]
+    assert parsing.fuzzy_distinct(names) == ["HTML", "HTML5", "JavaScript", "TypeScript", "Java", "AngularJS", "Angular", "Machine Learning"]

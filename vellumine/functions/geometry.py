@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Standard page sizes in points, by name, and how far a page may be off.
-PAGE_SIZES = {"A3": (842, 1191), "A4": (595, 842), "A5": (420, 595), "Letter": (612, 792), "Legal": (612, 1008), "Tabloid": (792, 1224), "Executive": (522, 756), "B5": (499, 709)}
+PAGE_SIZES = {"A4": (595, 842), "Letter": (612, 792), "Legal": (612, 1008), "A3": (842, 1191), "A5": (420, 595)}
 TOLERANCE = 3.0
 
 #: Widths of characters by class, in parts of the font size.
@@ -16,12 +16,13 @@ NARROW, WIDE, NARROW_WIDTH, WIDE_WIDTH, UPPER_WIDTH, OTHER_WIDTH, BOLD = "iljtf.
 
 
 def page_size(width: Column, height: Column) -> Column:
-    """The standard size of a page, upright or turned; null if none is near. Ten sizes are a literal, not a join."""
-    name = F.lit(None).cast("string")
+    """[width, height] of the standard size that a page has, upright or turned; else its own, rounded to even. A literal, not a join."""
     near = lambda a, b: F.abs(a - F.lit(float(b))) <= TOLERANCE
-    for n, (w, h) in PAGE_SIZES.items():
-        name = F.coalesce(name, F.when((near(width, w) & near(height, h)) | (near(width, h) & near(height, w)), n))
-    return name
+    size = F.lit(None).cast("array<int>")
+    for w, h in PAGE_SIZES.values():
+        for a, b in ((w, h), (h, w)):
+            size = F.coalesce(size, F.when(near(width, a) & near(height, b), F.array(F.lit(a), F.lit(b))))
+    return F.coalesce(size, F.array(F.bround(width).cast("int"), F.bround(height).cast("int")))
 
 
 def text_width(text: Column, size: Column, bold: Column) -> Column:

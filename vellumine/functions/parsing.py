@@ -88,18 +88,44 @@ def token_sort_ratio(a: str, b: str) -> float:
 
 
 #: Names that are alike but never the same.
-NEVER_SAME = {frozenset(p) for p in (("java", "javascript"), ("c", "c++"), ("c", "c#"), ("c++", "c#"), ("c", "r"), ("react", "react native"), ("sql", "nosql"), ("go", "godot"))}
+NEVER_SAME_PAIRS = (
+    ("java", "javascript"), ("c", "c++"), ("c", "c#"), ("c++", "c#"), ("javascript", "typescript"), ("sql", "nosql"), ("react", "react native"),
+    ("angular", "angularjs"), ("html", "html5"), ("css", "css3"), ("python", "cython"), ("r", "rust"), ("ruby", "rust"),
+)
+NEVER_SAME = {frozenset(p) for p in NEVER_SAME_PAIRS}
+
+
+def _letters(text: str) -> int:
+    """A bit for each letter that occurs."""
+    bits = 0
+    for c in text:
+        bits |= 1 << (ord(c) & 63)
+    return bits
 
 
 def fuzzy_distinct(values: Sequence[str], least: float = 88.0) -> list[str]:
-    """values without those alike to an earlier one that stays; names of three characters or fewer must be equal."""
+    """values without those alike to an earlier one that stays; names of three characters or fewer must be equal.
+
+    Lengths and letters that the other lacks bound the ratio; only pairs that may reach it are compared.
+    """
     out: list[str] = []
+    kept: list[tuple[str, str, int]] = []
     for v in values:
-        same = lambda w: v.lower() == w.lower() or (  # noqa: B023, E731
-            min(len(v), len(w)) > 3 and frozenset((v.lower(), w.lower())) not in NEVER_SAME and token_sort_ratio(v, w) >= least
-        )
-        if v and not any(map(same, out)):
-            out.append(v)
+        low = v.lower()
+        text = " ".join(sorted(low.split()))
+        bits, n = _letters(text), len(text)
+        for w, other, letters in kept:
+            if low == w:
+                break
+            if min(len(v), len(w)) <= 3 or frozenset((low, w)) in NEVER_SAME:
+                continue
+            shared = min(n - (bits & ~letters).bit_count(), len(other) - (letters & ~bits).bit_count())
+            if 200.0 * shared >= least * (n + len(other)) and indel_ratio(text, other) >= least:
+                break
+        else:
+            if v:
+                out.append(v)
+                kept.append((low, text, bits))
     return out
 
 

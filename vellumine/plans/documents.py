@@ -19,7 +19,7 @@ def lines_stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skill_fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.slice(F.array_distinct(F.split(F.lower("text"), "[ \n]+")), 1, 40)
+    words = F.array_distinct(F.split(F.lower("text"), "[ \n]+"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(parsing.fuzzy_distinct_of(words), " ").alias("kept"))
 
 
@@ -31,12 +31,12 @@ def sections_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", F.explode(parsing.sections_of(F.col("text"))).alias("section", "text")).select("conv_id", "section", F.length("text").alias("chars"))
 
 
-BOXES = ((612.0, 792.0), (595.3, 841.9), (842.0, 595.0), (600.0, 600.0), (1191.0, 842.4))
+BOXES = ((612.0, 792.0), (595.3, 841.9), (842.0, 595.0), (600.0, 600.0), (1191.0, 842.4), (522.0, 756.0), (499.4, 709.6), (1008.0, 615.0), (100.5, 99.5))
 
 
 def page_size_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(i, w, h) for i, (w, h) in enumerate(BOXES)], "id int, width double, height double")
-    return rows.select("id", geometry.page_size(F.col("width"), F.col("height")).alias("size"), geometry.coordinate(F.col("width")).alias("x"), geometry.shape_kind(F.col("width"), F.lit(3.0)).alias("kind"))
+    return rows.select("id", F.array_join(geometry.page_size(F.col("width"), F.col("height")).cast("array<string>"), "x").alias("size"), geometry.coordinate(F.col("width")).alias("x"), geometry.shape_kind(F.col("width"), F.lit(3.0)).alias("kind"))
 
 
 def text_width(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +50,11 @@ def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (html_clean, lines_stitched, skill_fuzzy_dedup, sections_found, page_size_snap, text_width, colours)}
 
-_SIZES = " ".join(f"when (abs(w - {a}) <= 3 and abs(h - {b}) <= 3) or (abs(w - {b}) <= 3 and abs(h - {a}) <= 3) then '{n}'" for n, (a, b) in geometry.PAGE_SIZES.items())
+_SIZES = "[[595, 842], [842, 595], [612, 792], [792, 612], [612, 1008], [1008, 612], [842, 1191], [1191, 842], [420, 595], [595, 420]]"
 ORACLES = {
     "page_size_snap": "with b(id, w, h) as (values "
     + ", ".join(f"({i}, {w}::double, {h}::double)" for i, (w, h) in enumerate(BOXES))
-    + f") select id, case {_SIZES} end as size, case when abs(w - round(w)) <= 0.05 then round(w)::bigint::varchar else printf('%.1f', round(w, 1)) end as x, 'line' as kind from b",
+    + f") select id, array_to_string(coalesce(list_filter({_SIZES}, lambda s: abs(w - s[1]) <= 3 and abs(h - s[2]) <= 3)[1], [round_even(w, 0)::int, round_even(h, 0)::int]), 'x') as size, case when abs(w - round(w)) <= 0.05 then round(w)::bigint::varchar else printf('%.1f', round(w, 1)) end as x, 'line' as kind from b",
     "text_width": r"""
         with c as (select p_partkey, p_size::double as s, length(p_name) as n, len(regexp_extract_all(p_name, '[iljtf.,;:''|!()\[\] ]')) as narrow, len(regexp_extract_all(p_name, '[mwMW@%]')) as wide,
                           len(regexp_extract_all(p_name, '[A-LN-VX-Z]')) as upper from part)

@@ -33,15 +33,14 @@ def filename_role(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts for embeddings, as digests: source and language of a document, and its first line."""
-    first = F.element_at(F.split("text", "\n"), 1)
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(insights.composite(source=F.col("source"), lang=F.col("lang"), text=first)).alias("digest"))
+    """Texts for embeddings, as digests: source and language of a document, and its whole text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(insights.composite(source=F.col("source"), lang=F.col("lang"), text=F.col("text"))).alias("digest"))
 
 
 def page_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line of each conversation turn that holds the end of its last line, lines standing for pages."""
     lines = F.split("text", "\n")
-    docs = table(spark, sf_dir, "documents").filter(F.length("text") < 3000)
+    docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", F.posexplode(lines).alias("page", "text"))
     terms = docs.select("doc_id", F.substring(F.element_at(lines, -1), -12, 12).alias("term"))
     return pages.match_pages(terms, rows, "doc_id").select("doc_id", "page")
@@ -89,17 +88,17 @@ def _first(patterns: tuple[str, ...], default: str) -> str:
 ORACLES = {
     "notes_parse": "select * from (values (0, 0, 'older', '2024-02-01'), (0, 1, 'first', '2024-01-02'), (1, 0, 'older', '2024-02-01'), (1, 1, 'plain words', '2024-02-01'), (2, 0, 'older', '2024-02-01'), (3, 0, 'older', '2024-02-01'), (3, 1, '[not json', '2024-02-01')) as t(id, place, text, date)",
     "json_values": "select event_type, count(props->>'$.k') as n, sum((props->>'$.k')::bigint)::bigint as total from events group by event_type",
-    "insights_cascade": f"""select id, {_first(insights.NOTICE, insights.NOT_SPECIFIED)} as notice_period, {_first(insights.CURRENT_PAY, insights.NOT_SPECIFIED)} as current_pay,
-        {_first(insights.EXPECTED_PAY, insights.NEGOTIABLE)} as expected_pay, {_first(insights.LOCATION, insights.NOT_SPECIFIED)} as location, {_first(insights.YEARS, insights.FRESHER)} as years from {_values(FACTS)}""",
+    "insights_cascade": f"""select id, {_first(insights.NOTICE, "Negotiable")} as notice_period, {_first(insights.CURRENT_PAY, "Negotiable")} as current_pay,
+        {_first(insights.EXPECTED_PAY, "Negotiable")} as expected_pay, {_first(insights.LOCATION, "Not Specified")} as location, {_first(insights.YEARS, "Fresher")} as years from {_values(FACTS)}""",
     "filename_role": r"with p as (select id, regexp_replace(lower(value), '[_\-.\s]+', ' ', 'g') as p from "
     + _values(FILES)
     + ") select id, coalesce("
     + ", ".join(f"case when contains(p, '{r.lower()}') then '{r}' end" for r in insights.ROLES)
     + ") as role from p",
     "embedding_composite": """select doc_id, md5(concat_ws(' ', case when trim(source) <> '' then 'Source: ' || trim(source) end, case when trim(lang) <> '' then 'Lang: ' || trim(lang) end,
-        case when trim(string_split(text, chr(10))[1]) <> '' then 'Text: ' || trim(string_split(text, chr(10))[1]) end)) as digest from documents""",
+        case when trim(text) <> '' then 'Text: ' || trim(text) end)) as digest from documents""",
     "page_match": r"""
-        with d as (select doc_id, string_split(text, chr(10)) as l from documents where length(text) < 3000),
+        with d as (select doc_id, string_split(text, chr(10)) as l from documents),
         t as (select doc_id, lower(right(l[-1], 12)) as term from d),
         p as (select doc_id, (generate_subscripts(l, 1) - 1)::int as page, lower(unnest(l)) as text from d),
         w as (select *, list_distinct(list_filter(regexp_split_to_array(term, '\s+'), lambda x: x <> '')) as w from t),

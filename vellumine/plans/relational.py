@@ -111,7 +111,7 @@ def restore_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_name_or_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fourth document as a batch against the others: updated if its source and language or its text is stored."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("name"), F.md5("text").alias("hash"))
-    batch, stored = docs.filter("doc_id % 4 = 0"), docs.filter("doc_id % 4 <> 0 and doc_id % 3 = 0")
+    batch, stored = docs.filter("doc_id % 4 = 0"), docs.filter("doc_id % 4 <> 0")
     matched = store.match_name_or_hash(batch, stored, "name", "hash", "doc_id")
     return matched.select("doc_id", "matched_id", F.when(F.col("matched_id").isNull(), "created").otherwise("updated").alias("action"))
 
@@ -146,7 +146,7 @@ def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inventory of sources against extractions, by document: in both, not extracted, or without a source."""
-    source, done = table(spark, sf_dir, "documents").filter("doc_id % 7 <> 0").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id").distinct()
+    source, done = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id").distinct()
     both = source.withColumn("s", F.lit(1)).join(done.withColumn("d", F.lit(1)), "doc_id", "full_outer")
     state = F.when(F.col("d").isNull(), "pending").when(F.col("s").isNull(), "source missing").otherwise("extracted")
     return both.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
@@ -241,7 +241,7 @@ ORACLES = {
         select 'document' as level, count(*) as total, count(*) as "left" from c union all select 'extraction', count(*), count(*) from o union all select 'value', count(*), count(*) from l""",
     "upsert_name_or_hash": """
         with d as (select doc_id, source || '/' || lang as name, md5(text) as hash from documents),
-        s as (select * from d where doc_id % 4 <> 0 and doc_id % 3 = 0),
+        s as (select * from d where doc_id % 4 <> 0),
         n as (select name, max(doc_id) as id from s group by name), h as (select hash, max(doc_id) as id from s group by hash),
         m as (select d.doc_id, greatest(n.id, h.id) as matched_id from d left join n on n.name = d.name left join h on h.hash = d.hash where d.doc_id % 4 = 0)
         select doc_id, matched_id, case when matched_id is null then 'created' else 'updated' end as action from m""",
@@ -254,7 +254,7 @@ ORACLES = {
         union all select 'quantity is at most 40', count(*) from lineitem where l_quantity > 40""",
     "manifest_summary": "select source, count(*) as total_found, count(*) filter (n_chars >= 100) as total_success, count(*) filter (n_chars < 100) as total_failed, round(sum(n_chars) / 1024.0, 2)::double as size_kb from documents group by source",
     "manifest_status": """
-        with s as (select doc_id from documents where doc_id % 7 <> 0), d as (select distinct doc_id from labels)
+        with s as (select doc_id from documents), d as (select distinct doc_id from labels)
         select case when d.doc_id is null then 'pending' when s.doc_id is null then 'source missing' else 'extracted' end as state, count(*) as n from s full join d on s.doc_id = d.doc_id group by 1""",
     "total_experience": """
         with e as (select user_id, floor(epoch(ts) / 3600)::bigint as a, floor(epoch(ts) / 3600)::bigint + floor(abs(value) / 10)::bigint + 1 as b from events),

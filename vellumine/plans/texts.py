@@ -54,7 +54,7 @@ def word_char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paragraph_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "documents").select("doc_id", text.paragraphs(F.col("text"), r"\n").alias("x"))
-    return parts.select("doc_id", F.size("x").cast("long").alias("n"), F.element_at("x", 1).alias("first"))
+    return parts.select("doc_id", F.size("x").cast("long").alias("n"), F.md5(F.array_join("x", "\n")).alias("digest"))
 
 
 def clean_field(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +62,8 @@ def clean_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = F.concat(F.lit("Page 1 of 2\n• "), F.substring("text", 1, 60), F.lit(" “x”–y\nmicro-\nscope\n\n\n\n- 2 -\nend"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.clean_text(marked).alias("cleaned"))
+    marked = F.concat(F.lit("Page 1 of 2\n• "), F.col("text"), F.lit(" “x”–y\nmicro-\nscope\n\n\n\n- 2 -\nend"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_text(marked)).alias("digest"))
 
 
 def skill_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def ats_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.size(F.split("text", "\n"))
     n = F.col("n_chars")
     profile = table(spark, sf_dir, "documents").select(
-        "doc_id", F.when(n % 3 == 0, "Lorem Ipsum").otherwise("Lorem").alias("name"), F.substring("text", 1, 40).alias("summary"), F.when(n % 5 == 0, "failed").alias("error_message"),
+        "doc_id", F.when(n % 3 == 0, "Lorem Ipsum").otherwise("Lorem").alias("name"), F.col("text").alias("summary"), F.when(n % 5 == 0, "failed").alias("error_message"),
         (n % 2).alias("n_emails"), (n % 4).alias("n_phones"), (n % 7).alias("n_profiles"), lines.alias("n_skills"), (n % 3).alias("n_experience"), (n % 2).alias("n_education"), (n % 6).alias("n_projects"),
         (n > 500).alias("has_role"), (n > 800).alias("has_company"), (n > 1000).alias("has_dates"), (n > 3000).alias("has_highlights"),
     )
@@ -156,13 +156,13 @@ ORACLES = {
         with p as (select id, regexp_extract(value, '(?i)linkedin[.]com/in/([A-Za-z0-9_\-]+)', 1) as l, regexp_extract(value, '(?i)github[.]com/([A-Za-z0-9_\-]+)', 1) as g from {_values(CONTACTS)})
         select id, case when l <> '' then 'https://linkedin.com/in/' || l end as linkedin, case when g <> '' and lower(g) not in ('features', 'about', 'login', 'pricing') then 'https://github.com/' || g end as github from p""",
     "word_char_counts": r"select doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))::bigint as words, length(text) as chars from documents",
-    "paragraph_split": r"with p as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as x from documents) select doc_id, len(x) as n, x[1] as first from p",
+    "paragraph_split": r"with p as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as x from documents) select doc_id, len(x) as n, md5(array_to_string(x, chr(10))) as digest from p",
     "clean_field": r"select conv_id, turn, md5(nullif(regexp_replace(regexp_replace(regexp_replace(text, '[*_`#]+', '', 'g'), '\s+', ' ', 'g'), '^[\s,;:|\-]+|[\s,;:|\-]+$', '', 'g'), '')) as digest from conversations",
     "clean_text": r"""
-        with m as (select doc_id, 'Page 1 of 2' || chr(10) || '• ' || substr(text, 1, 60) || ' “x”–y' || chr(10) || 'micro-' || chr(10) || 'scope' || chr(10) || chr(10) || chr(10) || chr(10) || '- 2 -' || chr(10) || 'end' as t from documents),
+        with m as (select doc_id, 'Page 1 of 2' || chr(10) || '• ' || text || ' “x”–y' || chr(10) || 'micro-' || chr(10) || 'scope' || chr(10) || chr(10) || chr(10) || chr(10) || '- 2 -' || chr(10) || 'end' as t from documents),
         a as (select doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[“”]', '"', 'g'), ' *[–—] *', ' - ', 'g'), '([a-z])-\n([a-z])', '\1\2', 'g') as t from m),
         b as (select doc_id, regexp_replace(regexp_replace(t, '(?m)^[ \t]*[•●➢▪*][ \t]*', '- ', 'g'), '(?mi)^[ \t]*(?:page[ \t]+[0-9]+(?:[ \t]+of[ \t]+[0-9]+)?|-[ \t]*[0-9]+[ \t]*-)[ \t]*$', '', 'g') as t from a)
-        select doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as cleaned from b""",
+        select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) as digest from b""",
     "skill_normalize": f"""
         with s as (select id, regexp_replace(trim(value), '\\s+', ' ', 'g') as b from {_values(SKILLS)}),
         k as (select *, regexp_replace(lower(b), '[\\s._\\-]+', '', 'g') as key from s)
@@ -192,7 +192,7 @@ ORACLES = {
     + " ".join(f"when {n} = score then '{n}'" for n in TAXONOMY)
     + " end as domain, score from g",
     "ats_score": """
-        with p as (select doc_id, n_chars as n, length(trim(substr(text, 1, 40))) as s, len(string_split(text, chr(10))) as k from documents),
+        with p as (select doc_id, n_chars as n, length(trim(text)) as s, len(string_split(text, chr(10))) as k from documents),
         q as (select doc_id, n, (case when n % 3 = 0 then 5 else 0 end + case when n % 2 > 0 then 5 else 0 end + case when n % 4 > 0 then 3 else 0 end + case when n % 7 > 0 then 2 else 0 end)::int as contact,
                      (case when s > 30 then 5 else 0 end + case when k >= 3 then 5 else 0 end + case when n % 3 > 0 then 5 else 0 end + case when n % 2 > 0 then 5 else 0 end + case when n % 6 > 0 then 5 else 0 end)::int as completeness,
                      case when k >= 12 then 25 when k >= 8 then 20 when k >= 4 then 15 when k >= 1 then 10 else 0 end as skills_score,
