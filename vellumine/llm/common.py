@@ -35,8 +35,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/vellumine/{name}-{uuid.uuid4().hex}"
 
 
-#: With this setting Spark deletes an execution's shuffle files when it ends, not at some later garbage collection.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written. Spark deletes the job's shuffle files when it ends, not at some later garbage
+#: collection, and hands Python texts in batches of fewer rows, as each batch is held several times in memory.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -45,12 +46,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Nothing reads the shuffle files of the job that wrote it, so they go at once.
     """
     spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    path, before = new_path(spark, name), {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
