@@ -33,6 +33,14 @@ def test_judges_like_brute_force_by_filters_and_by_join(spark, bound):
     assert got == {i: brute(x, u.RULES, u.LISTED) for i, x, _ in rows}
 
 
+def test_hosts_of_very_many_labels(spark):
+    rows = [(0, "http://" + "a." * 20_000 + "example.net/en/1"), (1, "http://" + "b." * 20_000 + u.LISTED[0] + "/"), (2, "http://" + "c." * 20_000 + "d/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    listed = spark.createDataFrame([(h,) for h in u.LISTED], "host string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in u.judge(pages, u.RULES, listed).collect()}
+    assert got == {i: brute(x, u.RULES, u.LISTED) for i, x in rows}
+
+
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert u.judge(pages).count() == 0

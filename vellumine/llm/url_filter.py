@@ -47,9 +47,14 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return lower_ascii(host), path
 
 
-def candidate_keys(host: Column, path: Column, path_lengths: Sequence[int]) -> Column:
-    """The keys of a url that a rule could equal, longest first within a host suffix."""
-    labels = F.split(host, r"\.", -1)
+def candidate_keys(host: Column, path: Column, path_lengths: Sequence[int], most_labels: int) -> Column:
+    """The keys of a url that a rule could equal, longest first within a host suffix.
+
+    No rule or listed host has more than most_labels labels, so longer suffixes of a host equal none; without that bound
+    the suffixes of a host of very many labels would add up to the square of its length.
+    """
+    labels = F.slice(F.reverse(F.split(host, r"\.", -1)), 1, most_labels)
+    labels = F.reverse(labels)
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
     heads = F.filter(
@@ -191,7 +196,10 @@ def judge(
     lengths = sorted({0, *(len(r) - split_at(r) for r, _ in rules)})
     host, path = host_and_path(F.col(url))
     own, hidden = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")], column_name(pages, "keys")
-    keyed = pages.withColumns({"host": host, "path": path}).withColumn(hidden, candidate_keys(F.col("host"), F.col("path"), lengths))
+    most = max([1, *(r[: split_at(r)].count(".") + 1 for r, _ in rules)])
+    if listed is not None:
+        most = max(most, listed.agg(F.max(F.size(F.split(F.col(listed.columns[0]), r"\.", -1)))).first()[0] or 1)
+    keyed = pages.withColumns({"host": host, "path": path}).withColumn(hidden, candidate_keys(F.col("host"), F.col("path"), lengths, most))
 
     known = spark.createDataFrame([(r, v == ALLOW, False) for r, v in rules], "key string, allowed boolean, on_list boolean").distinct()
     if listed is not None:
