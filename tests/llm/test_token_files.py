@@ -25,6 +25,17 @@ def test_encoder_equals_the_library(spark, name, keeps):
         assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode(texts)] == [whole.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_null_ids_are_split_over_files(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(None, f"text number {k}") for k in range(400)] + [(7, "last")], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so little would come to one file
+    files = t.write(docs, path, 2, new_path(spark, "tokens"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.filter("n_docs > 1").count() > 1
+    got = t.read(spark, files).orderBy("start").collect()
+    assert len(got) == 401 and got[-1]["doc_id"] == 7 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+
+
 def test_round_trip_and_selective_reads(spark, monkeypatch):
     monkeypatch.setattr(t, "FRAME_IDS", 20)
     path = public_tokenizers.path("byte_bpe_50k.json")

@@ -141,7 +141,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFram
     """
     ordered = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange("doc_id")
+        .repartitionByRange("doc_id", F.xxhash64("text"))  # the hash parts rows of one doc_id, or of none
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
     )
     end = np.array([end_id], "<u4").tobytes()
