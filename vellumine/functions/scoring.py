@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.functions.skills import whole_word
+
 
 def filled(c: Column) -> Column:
     """Neither null nor blank."""
@@ -81,3 +85,50 @@ def classify(docs: DataFrame, key: str, words: str, taxonomy: dict[str, dict[str
         scored.append(F.struct(score.alias("score"), F.lit(-at).alias("at"), F.lit(name).alias("domain")))
     best = docs.select(key, F.array_max(F.array(*scored)).alias("best"))
     return best.select(key, F.when(F.col("best.score") >= least, F.col("best.domain")).otherwise("General").alias("domain"), F.col("best.score").alias("score"))
+
+
+#: Parts of a role's name and the profile that each stands for, the first that fits.
+ROLE_PROFILES = (
+    ("mechanical|design", "Mechanical"), ("software|developer|frontend|backend", "Software"), ("civil|structural", "Civil"), ("electrical", "Electrical"),
+    ("electronics|embedded", "Electronics"), ("data|analyst", "Data Science"), ("account|finance", "Finance"), ("hr|recruiter", "Human Resources"),
+    ("sales|business development", "Sales"), ("marketing", "Marketing"), ("quality|qa", "Quality"),
+)
+
+
+def profile_of_role(role: Column) -> Column:
+    """The profile that a role's name suggests; General for others and for null."""
+    return F.coalesce(*[F.when(F.lower(role).rlike(parts), name) for parts, name in ROLE_PROFILES], F.lit("General"))
+
+
+#: Points of a hit in skills, past roles, the present role, education, highlights and the summary.
+PROFILE_POINTS = {"skills": 3.0, "roles": 5.0, "role": 6.0, "education": 3.5, "highlights": 1.5, "summary": 1.0}
+
+
+def _holds(equal: tuple[str, ...], parts: tuple[str, ...]) -> Callable[[Column], Column]:
+    """Whether a string is one of these or holds one of those."""
+    return lambda s: s.isin(*equal) | F.coalesce(*[F.when(F.contains(s, F.lit(t)), True) for t in parts], F.lit(False))
+
+
+def profile_domain(p: DataFrame, taxonomy: dict[str, tuple[tuple[str, ...], tuple[str, ...]]], boost: tuple[str, tuple[str, ...], str, float] | None = None, least: float = 2.5) -> DataFrame:
+    """p with domain and score, by weighted hits of each domain's terms.
+
+    p has skills (array of strings in lower case), role, roles, education, highlights, summary (strings; null: empty).
+    taxonomy: domain to (skill terms, terms of roles and degrees), in order; ties go to the earlier one. A skill hits a
+    domain once, if it equals a term or holds one of more than 3 letters. boost: (domain, tools, word, points) for one of
+    the tools in skills or highlights and the word in a role. Below `least` the role's name decides.
+    """
+    low = {c: F.lower(F.coalesce(c, F.lit(""))) for c in ("role", "roles", "education", "highlights", "summary")}
+    own = F.coalesce("skills", F.array().cast("array<string>"))
+    hits = lambda text, terms: sum((F.when(low[text].rlike(whole_word((t,))), PROFILE_POINTS[text]).otherwise(0.0) for t in terms), F.lit(0.0))
+    scored = []
+    for at, (name, (skill_terms, role_terms)) in enumerate(taxonomy.items()):
+        long = tuple(t for t in skill_terms if len(t) > 3)
+        score = F.size(F.filter(own, _holds(skill_terms, long))) * PROFILE_POINTS["skills"]
+        score = score + sum((hits(c, role_terms) for c in ("roles", "role", "education")), F.lit(0.0)) + sum((hits(c, long) for c in ("highlights", "summary")), F.lit(0.0))
+        if boost and boost[0] == name:
+            tool = _holds((), boost[1])
+            asked = (F.exists(own, tool) | tool(low["highlights"])) & (F.contains(low["role"], F.lit(boost[2])) | F.contains(low["roles"], F.lit(boost[2])))
+            score = score + F.when(asked, boost[3]).otherwise(0.0)
+        scored.append(F.struct(score.alias("score"), F.lit(-at).alias("at"), F.lit(name).alias("domain")))
+    best = p.withColumn("_best", F.array_max(F.array(*scored)))
+    return best.withColumns({"domain": F.when(F.col("_best.score") >= least, F.col("_best.domain")).otherwise(profile_of_role(F.col("role"))), "score": F.col("_best.score")}).drop("_best")

@@ -28,6 +28,25 @@ def months_text(months: Column) -> Column:
     )
 
 
+def total_experience(items: DataFrame, keys: Sequence[str], as_of: Column) -> DataFrame:
+    """experience: the time that each key's items cover, in words; null where no item tells one.
+
+    items has start_date and end_date (`YYYY` or `YYYY-MM`; a start without a month is January, an end December),
+    is_current and duration. A current item, or one that lasts to the present, ends in as_of (a date). An item without
+    usable dates counts by the years and months of its duration, from month 0 on, so that such items overlap.
+    """
+    part = lambda c, group: F.nullif(F.regexp_extract(F.trim(c), r"^([0-9]{4})(?:-([0-9]{1,2}))?", group), F.lit("")).cast("int")
+    month = lambda c, missing: part(c, 1) * 12 + F.coalesce(part(c, 2), F.lit(missing))
+    current = F.coalesce("is_current", F.lit(False)) | F.coalesce(F.lower("duration").contains("present"), F.lit(False))
+    start, end = month("start_date", 1), F.when(current, F.year(as_of) * 12 + F.month(as_of)).otherwise(month("end_date", 12))
+    dated = F.coalesce((start > 0) & (end >= start), F.lit(False))
+    years = F.nullif(F.regexp_extract("duration", r"(?i)([0-9]+(?:[.][0-9]+)?)\s*(?:years?|yrs?)", 1), F.lit("")).cast("double")
+    months = F.nullif(F.regexp_extract("duration", r"(?i)([0-9]+)\s*(?:months?|m\b)", 1), F.lit("")).cast("double")
+    lasting = F.floor(years * 12 + F.coalesce(months, F.lit(0.0))).cast("int")
+    spans = items.select(*keys, F.when(dated, start).when(lasting > 0, 0).alias("_from"), F.when(dated, end).when(lasting > 0, lasting).alias("_to"))
+    return union_length(spans, keys, "_from", "_to").select(*keys, months_text(F.when(F.col("covered") > 0, F.col("covered"))).alias("experience"))
+
+
 def box_union(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The smallest box around the boxes (x, y, width, height) of each key, to two places."""
     right, bottom = F.max(F.col("x") + F.col("width")), F.max(F.col("y") + F.col("height"))
