@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from vellumine.operators import intervals, store
+from vellumine.operators import intervals, log, store
 from vellumine.sources import files
 
 
@@ -54,3 +54,33 @@ def test_files(spark, tmp_path):
     rows = files.read_records(spark, str(out), schema)
     assert [r["name"] for r in rows.collect()] == ["n"]
     assert tuple(files.manifest(rows).first()) == (1, 1, 0)
+
+
+def test_saving_children_retires_what_the_batch_lacks(spark, tmp_path):
+    schema = "doc int, page int, text string, is_deleted boolean"
+    stored = spark.createDataFrame([(1, 1, "a", False), (1, 2, "b", None), (1, 3, "c", True), (2, 1, "z", False)], schema)
+    batch = spark.createDataFrame([(1, 1, "a2"), (1, 4, "d")], "doc int, page int, text string")
+    saved = store.replacing(batch, stored, "doc", ["page"])
+    assert sorted(map(tuple, saved.collect())) == [(1, 1, "a2", False), (1, 2, "b", True), (1, 4, "d", False)]
+    folder = str(tmp_path / "log")
+    log.append(stored, folder, 1)
+    log.append(saved, folder, 2)
+    assert sorted((r.doc, r.page, r.text) for r in log.current(spark, folder, ["doc", "page"]).collect()) == [(1, 1, "a2"), (1, 4, "d"), (2, 1, "z")]
+
+
+def test_catalog_grows_once(spark):
+    catalog = spark.createDataFrame([("a", 1, False), ("b", 2, True)], "name string, id long, is_deleted boolean")
+    wanted = spark.createDataFrame([("a",), ("b",), ("c",), ("c",), (None,)], "name string")
+    new = store.catalog_additions(wanted, catalog, ["name"])
+    assert sorted(r.name for r in new.collect()) == ["b", "c"]
+    both = catalog.unionByName(new.withColumn("is_deleted", F.lit(False)))
+    assert store.catalog_additions(wanted, both, ["name"]).count() == 0
+
+
+def test_record_filters_and_lookup(spark):
+    rows = [("x/a b.json", False, "Software", 80.0), ("x/b.json", None, None, None), ("x/c.json", True, "SOFTWARE", 90.0)]
+    df = spark.createDataFrame(rows, "path string, is_deleted boolean, overall_profile string, score double")
+    names = lambda d: sorted(r.path[2:-5] for r in d.collect())
+    assert names(files.select_records(df)) == ["a b", "b"] and names(files.select_records(df, include_deleted=True)) == ["a b", "b", "c"]
+    assert names(files.select_records(df, "soft", 70.0)) == ["a b"] and names(files.select_records(df, None, 0.0)) == ["a b", "b"]
+    assert names(files.by_stem(df, "../y/a b")) == ["a b"] and names(files.by_stem(df, "zz")) == []

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -36,11 +35,6 @@ class Words:
     companies: tuple[str, ...] = ()
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once for a row however often body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def stripped(value: Column) -> Column:
     """Without white space around it (one argument only: a second one would be the index that F.transform gives)."""
     return F.regexp_replace(value, r"^\s+|\s+$", "")
@@ -66,10 +60,8 @@ def _literals(words: tuple[str, ...]) -> Column:
 
 
 def once(items: Column) -> Column:
-    """The items without later ones that equal an earlier one but for case, in order; by two sorts, not pairwise."""
-    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(F.lower(x).alias("key"), i.alias("at"), x.alias("item"))))
-    first = let(keyed, lambda a: F.filter(a, lambda x, i: (i == 0) | (x["key"] != F.get(a, i - 1)["key"])))
-    return F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["at"].alias("at"), x["item"].alias("item")))), lambda x: x["item"])
+    """The items without later ones that equal an earlier one but for case, in order."""
+    return T.first_of_each(F.transform(items, lambda x: F.struct(F.lower(x).alias("key"), x.alias("item"))))
 
 
 def valid_skill(skill: Column, words: Words) -> Column:
@@ -111,7 +103,7 @@ def skills(text: Column, section: Column, words: Words) -> Column:
     low = F.lower(text)
     mentioned = F.array(*[F.when(low.rlike(whole_word((k,))), k.title()) for k in words.known]).cast("array<string>")
     mentioned = F.filter(mentioned, lambda x: x.isNotNull() & valid_skill(x, words))
-    return once(F.concat(let(listed, lambda a: F.when(F.size(a) < 3, F.concat(a, labelled)).otherwise(a)), mentioned))
+    return once(F.concat(T.let(listed, lambda a: F.when(F.size(a) < 3, F.concat(a, labelled)).otherwise(a)), mentioned))
 
 
 def certifications(section: Column) -> Column:
@@ -137,7 +129,7 @@ def routed_links(links: Column) -> Column:
     open_ = F.filter(links, lambda x: ~F.lower(x).rlike("linkedin[.]com|linkiedin[.]com|github[.]com"))
     looks = "|".join(m.replace(".", "[.]") for m in PORTFOLIO_MARKS)
     first = F.get(F.filter(F.transform(open_, lambda x, i: F.struct(i.alias("at"), x.alias("link"))), lambda p: F.lower(p["link"]).rlike(looks)), F.lit(0))
-    return let(first, lambda f: F.struct(f["link"].alias("portfolio"), F.filter(open_, lambda x, i: f["at"].isNull() | (i != f["at"])).alias("others")))
+    return T.let(first, lambda f: F.struct(f["link"].alias("portfolio"), F.filter(open_, lambda x, i: f["at"].isNull() | (i != f["at"])).alias("others")))
 
 
 def skills_summary(skills: Column, tools: Column) -> Column:
@@ -170,4 +162,4 @@ def editable(updates: Column) -> Column:
     names = F.create_map(*[F.lit(x) for kv in ({n: n for n in EDITABLE} | OTHER_NAMES).items() for x in kv])
     entries = F.transform(F.map_entries(updates), lambda e: F.struct(F.element_at(names, F.lower(stripped(e["key"]))).alias("key"), stripped(e["value"]).alias("value")))
     kept = F.filter(entries, lambda e: e["key"].isNotNull() & e["value"].isNotNull())
-    return let(kept, lambda a: F.map_from_entries(F.filter(a, lambda e, i: ~F.exists(F.slice(a, i + 2, F.size(a)), lambda o: o["key"] == e["key"]))))
+    return T.let(kept, lambda a: F.map_from_entries(F.filter(a, lambda e, i: ~F.exists(F.slice(a, i + 2, F.size(a)), lambda o: o["key"] == e["key"]))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,16 +39,27 @@ def emails(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda x: ~F.element_at(F.split(x, r"\."), -1).isin(*FILE_ENDINGS)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for a row however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def first_of_each(pairs: Column) -> Column:
+    """Of structs of a key and an item: the items whose key stands nowhere earlier, in order; by two sorts, not pairwise."""
+    keyed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), i.alias("place"), p["item"].alias("item"))))
+    first = let(keyed, lambda a: F.filter(a, lambda x, i: (i == 0) | (x["key"] != F.get(a, i - 1)["key"])))
+    return F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["place"].alias("place"), x["item"].alias("item")))), lambda x: x["item"])
+
+
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
 def phones(text: Column, most: int = 4) -> Column:
     """Numbers of 10 to 15 digits, more than two of them different, once for each sequence of digits in its first spelling."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(PHONE), F.lit(0)), lambda x: F.struct(digits(x).alias("d"), x.alias("x")))
-    good = F.filter(found, lambda p: F.length(p["d"]).between(10, 15) & (F.size(F.array_distinct(F.split(p["d"], ""))) > 2))
-    once = F.filter(good, lambda p, i: F.array_position(F.transform(good, lambda q: q["d"]), p["d"]) == i + 1)
-    return F.slice(F.transform(once, lambda p: p["x"]), 1, most)
+    found = F.transform(F.regexp_extract_all(text, F.lit(PHONE), F.lit(0)), lambda x: F.struct(digits(x).alias("key"), x.alias("item")))
+    good = F.filter(found, lambda p: F.length(p["key"]).between(10, 15) & (F.size(F.array_distinct(F.split(p["key"], ""))) > 2))
+    return F.slice(first_of_each(good), 1, most)
 
 
 def links(text: Column) -> Column:

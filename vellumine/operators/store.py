@@ -76,3 +76,27 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def orphans(child: DataFrame, foreign: str, parent: DataFrame, key: str) -> DataFrame:
     """Child rows whose parent is missing."""
     return child.join(parent.select(F.col(key).alias("_key")), F.col(foreign) == F.col("_key"), "left_anti")
+
+
+def catalog_additions(wanted: DataFrame, catalog: DataFrame, keys: Sequence[str], id_: str = "id") -> DataFrame:
+    """keys and an id for each distinct wanted entry without a live row in the catalog: the batch to append.
+
+    The id is a hash of the keys, so that tasks need not agree on a counter, and saving the same batch again adds nothing
+    new. Entries with a null key are none.
+    """
+    known = live(catalog).select(*keys)
+    fresh = wanted.select(*keys).dropna(subset=list(keys)).distinct().join(known, list(keys), "left_anti")
+    return fresh.select(*keys, F.xxhash64(*keys).alias(id_))
+
+
+def replacing(batch: DataFrame, stored: DataFrame, parent: str, keys: Sequence[str]) -> DataFrame:
+    """The rows that save a batch of children: the batch itself as live rows, and as deleted ones the live stored rows of
+    the same parents that the batch lacks. Parents outside the batch keep theirs. keys, with the parent, tell a child."""
+    columns = [c for c in batch.columns if c != "is_deleted"]
+    stale = live(stored).select(*columns).join(batch.select(parent).distinct(), parent, "left_semi").join(batch.select(parent, *keys), [parent, *keys], "left_anti")
+    return batch.select(*columns, F.lit(False).alias("is_deleted")).unionByName(stale.select(*columns, F.lit(True).alias("is_deleted")))
+
+
+def newest_live(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The newest live row of each key, such as the latest document of an exact file name in a project."""
+    return latest_by(live(df), keys, order)

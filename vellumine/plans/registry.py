@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumine.plans import candidates, documents, profiles, relational, stats, texts
+from vellumine.plans import candidates, documents, profiles, relational, saves, stats, texts
 
-MODULES = (stats, relational, texts, documents, profiles, candidates)
+MODULES = (stats, relational, texts, documents, profiles, candidates, saves)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -65,3 +65,29 @@ def manifest(items: DataFrame, status: str = "status") -> DataFrame:
     """One row: counters of a batch and its items in order of name. items has name and status."""
     good = F.col(status).isin("success", "partial")
     return items.agg(F.count("*").alias("total_files_found"), F.count_if(good).alias("total_success"), F.count_if(~good).alias("total_failed"))
+
+
+def select_records(df: DataFrame, profile: str | None = None, least_score: float | None = None, include_deleted: bool = False) -> DataFrame:
+    """Records (is_deleted, overall_profile, score) that are not deleted, whose profile holds the given text in any case,
+    and whose score, 0 if missing, reaches the least; conditions that are not given let all pass."""
+    kept = F.lit(True) if include_deleted else ~F.coalesce("is_deleted", F.lit(False))
+    if profile:
+        kept = kept & F.coalesce(F.contains(F.lower("overall_profile"), F.lit(profile.lower())), F.lit(False))
+    if least_score is not None:
+        kept = kept & (F.coalesce(F.col("score").cast("double"), F.lit(0.0)) >= least_score)
+    return df.filter(kept)
+
+
+def by_stem(df: DataFrame, wanted: str, path: str = "path") -> DataFrame:
+    """The records of the file of that stem; folders and characters that no file name holds are taken out of it first."""
+    bare = "".join("_" if c in '<>:"|?*' else c for c in wanted.replace("\\", "/").rsplit("/", 1)[-1]).strip()
+    return df.filter(stem(F.col(path)) == bare)
+
+
+def failed_records(df: DataFrame, path: str, error: str) -> DataFrame:
+    """For the rows with an error: file_name, file_stem, status, name (the stem), empty lists, error_message."""
+    none = F.array().cast("array<string>")
+    return df.filter(F.col(error).isNotNull()).select(
+        file_name(F.col(path)).alias("file_name"), stem(F.col(path)).alias("file_stem"), F.lit("failed").alias("status"), stem(F.col(path)).alias("name"),
+        *[none.alias(c) for c in ("contact_no", "email", "skills", "education", "experience")], F.col(error).alias("error_message"),
+    )
