@@ -68,6 +68,24 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key with more than one row in so many is hot; so there are fewer hot keys than this.
+HOT_KEYS = 4096
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, n: str, hot: int = HOT_KEYS) -> DataFrame:
+    """rows with the columns of facts, null where there is no fact; facts has one row a key and, as `n`, the key's rows.
+
+    Hot keys are fewer than `hot`, whatever the tables' size: their facts are broadcast, and their rows stay where they
+    are. The other rows are joined by a shuffle in which no key has more than one row in `hot`. facts is a written table;
+    keys are not null.
+    """
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    heavy = F.broadcast(facts.filter(F.col(n) * hot > total))
+    light = facts.filter(F.col(n) * hot <= total)
+    rest = rows.join(F.broadcast(facts.filter(F.col(n) * hot > total).select(key)), key, "left_anti")
+    return rows.join(heavy, key).unionByName(rest.join(light, key, "left"))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
