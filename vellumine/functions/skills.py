@@ -27,12 +27,13 @@ PORTFOLIO_MARKS = ("portfolio", "github.io", "vercel.app", "netlify.app", "me.")
 
 @dataclass(frozen=True)
 class Words:
-    """Word lists in lower case: known skills, words that are none, words of roles and of companies."""
+    """Word lists in lower case: known skills, words that are none, words of roles, of companies and of places."""
 
     known: tuple[str, ...] = ()
     stop: tuple[str, ...] = ()
     roles: tuple[str, ...] = ()
     companies: tuple[str, ...] = ()
+    places: tuple[str, ...] = ()
 
 
 def stripped(value: Column) -> Column:

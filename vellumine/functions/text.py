@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word: letters, digits and underscores of any script (spelt out, as \w differs between engines).
@@ -44,6 +44,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def each(df: DataFrame, items: str, *keep: str) -> DataFrame:
+    """keep, number (from 1) and item for each element of the array column `items`.
+
+    An outer explosion with a filter behind it: for a plain one the optimizer puts a test of the array below it, and so
+    computes what makes the array once more.
+    """
+    rows = df.select(*keep, F.posexplode_outer(items).alias("number", "item")).filter("number is not null")
+    return rows.withColumn("number", F.col("number") + 1)
+
+
+def kept_rows(df: DataFrame, test: Callable[[Column], Column]) -> DataFrame:
+    """The rows of df that pass the test of their struct; unlike a filter's, its condition is not pushed below what makes the columns."""
+    row = F.filter(F.array(F.struct(*df.columns)), lambda r: F.coalesce(test(r), F.lit(False)))
+    return df.select(F.explode_outer(row).alias("r")).filter("r is not null").select("r.*")
+
+
 def first_of_each(pairs: Column) -> Column:
     """Of structs of a key and an item: the items whose key stands nowhere earlier, in order; by two sorts, not pairwise."""
     keyed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), i.alias("place"), p["item"].alias("item"))))
@@ -158,6 +174,25 @@ def date_range(text: Column, single_as: str = "end") -> dict[str, Column]:
     return {"start": start, "end": end, "is_current": now}
 
 
+def shown_range(text: Column, start: Column, end: Column, is_current: Column) -> Column:
+    """How a parsed duration is written: `start - Present`, `start - end`, the one date there is, else the text itself."""
+    return F.coalesce(F.when(is_current, F.concat(start, F.lit(" - Present"))), F.concat(start, F.lit(" - "), end), end, start, F.trim(text))
+
+
+def parsed_range(text: Column, single_as: str = "end") -> Column:
+    """Struct of start, end, is_current and shown of a written duration, with dashes of any length and a leading `from`."""
+
+    def parsed(t: Column) -> Column:
+        dates = date_range(F.regexp_replace(F.regexp_replace(t, "[–—]", "-"), r"(?i)^from\s+", ""), single_as)
+        return let(F.struct(*[c.alias(k) for k, c in dates.items()]), lambda d: shown(t, d))
+
+    def shown(t: Column, d: Column) -> Column:
+        parts = [d[k].alias(k) for k in ("start", "end", "is_current")]
+        return F.struct(*parts, shown_range(t, d["start"], d["end"], d["is_current"]).alias("shown"))
+
+    return let(text, parsed)
+
+
 def normal_skill(skill: Column, aliases: dict[str, str]) -> Column:
     """The canonical spelling of a skill: by alias, else short capitals and inner capitals as they are, else title case."""
     bare = F.regexp_replace(F.trim(skill), r"\s+", " ")
