@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.operators.intervals import box_union
+
 
 def match_pages(terms: DataFrame, pages: DataFrame, key: str) -> DataFrame:
     """terms (key, term) with page: the first page that holds the term; else the page with most of its words, if that is
@@ -23,6 +25,37 @@ def match_pages(terms: DataFrame, pages: DataFrame, key: str) -> DataFrame:
     return scored.groupBy(key, "term").agg(F.max_by("page", F.when(F.col("_score").isNotNull(), F.struct(F.col("_score"), -F.col("page")))).alias("page"))
 
 
+def assign_boxes(fields: DataFrame, layers: DataFrame, key: str) -> DataFrame:
+    """fields (key, field, terms, fallback) with page and box: where a document shows each of its fields.
+
+    The page is the first one whose text holds the first term that any page holds; else the one that holds most words of one
+    term, at least half of them (ties to the earlier term, then page); else the fallback page if the document has it, else
+    the first. The box is the union of the boxes of that page's layers that hold a term, lie within one, or hold a word of
+    one; null for none. Terms and words below three characters are left out. layers: key, page, layer (its place in reading
+    order), text, x, y, width, height.
+
+    A field meets the pages and layers of its own document only. Its terms are one row each, so that fields with many terms
+    are spread; what is chosen for a field is one aggregation with a map side.
+    """
+    low = F.lower(F.trim("term"))
+    words = F.array_distinct(F.filter(F.split(low, r"\s+"), lambda w: F.length(w) >= 3))
+    terms = fields.select(key, "field", F.posexplode("terms").alias("_i", "term")).filter(F.length(F.trim("term")) >= 3).select(key, "field", "_i", low.alias("_term"), words.alias("_words"))
+    texts = layers.filter("text is not null").groupBy(key, "page").agg(F.array_sort(F.collect_list(F.struct("layer", F.lower("text").alias("t")))).alias("_l"))
+    texts = texts.select(key, "page", F.array_join(F.transform("_l", lambda x: x["t"]), " ").alias("_text"))
+    met = terms.join(texts, key).withColumn("_n", F.size(F.filter("_words", lambda w: F.contains("_text", w))))
+    held = F.when(F.contains("_text", F.col("_term")), F.struct("_i", "page"))
+    enough = (F.size("_words") > 0) & (F.col("_n") >= F.greatest(F.lit(1), F.floor(F.size("_words") / 2)))
+    most = F.when(enough, F.struct((-F.col("_n")).alias("n"), F.col("_i"), F.col("page")))
+    found = met.groupBy(key, "field").agg(F.min(held).alias("_held"), F.min(most).alias("_most")).select(key, "field", F.coalesce("_held.page", "_most.page").alias("_found"))
+    known = layers.groupBy(key).agg(F.collect_set("page").alias("_pages"), F.min("page").alias("_first"))
+    placed = fields.select(key, "field", "fallback").join(found, [key, "field"], "left").join(known, key, "left")
+    default = F.when(F.array_contains("_pages", F.col("fallback")), F.col("fallback")).otherwise(F.col("_first"))
+    placed = placed.select(key, "field", F.coalesce("_found", default).alias("page"))
+    near = terms.join(placed, [key, "field"]).join(layers.filter("text is not null and text <> ''").select(key, "page", F.lower("text").alias("_text"), "x", "y", "width", "height"), [key, "page"])
+    near = near.filter(F.contains("_text", F.col("_term")) | F.contains("_term", F.col("_text")) | F.exists("_words", lambda w: F.contains("_text", w)))
+    return placed.join(box_union(near, [key, "field"]), [key, "field"], "left")
+
+
 def order_of_blocks(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, width: float, bins: int = 100) -> np.ndarray:
     """The reading order of blocks: columns left to right between blocks that span the page, each top to bottom.
 

@@ -37,6 +37,40 @@ def page(df: DataFrame, order: Sequence[Column], size: int, number: int = 1) ->
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def wide_page(keys: DataFrame, key: str, order: Sequence[Column], size: int, number: int, latest: DataFrame, at: Sequence[str], values: DataFrame, by: str, field: str, value: str, fields: Sequence[str]) -> DataFrame:
+    """One page of a list, keys first: the wide rows are made for that page's keys alone.
+
+    keys is the narrow table that filters have already acted on; only its page is sorted out (at most `size` rows, which are
+    broadcast). latest (key, by, ...) gives a key's newest row by `at`, values (by, field, value, and `at` order) its
+    attributes; both are read through semi joins with the page's keys before anything is aggregated, so that no pivot or
+    latest row is computed for what the page does not show.
+    """
+    shown = F.broadcast(page(keys, order, size, number))
+    newest = latest_by(latest.join(shown.select(key), key, "left_semi"), [key], at)
+    few = F.broadcast(newest)  # one row a key of the page
+    wide = values.join(few.select(by), by, "left_semi").filter(F.col(field).isin(*fields)).groupBy(by)
+    wide = wide.agg(*[F.max_by(F.when(F.col(field) == f, F.col(value)), F.when(F.col(field) == f, F.col("_at"))).alias(f"field_{f.lower()}") for f in fields])
+    return shown.join(few, key, "left").join(wide, by, "left").orderBy(*order)
+
+
+def search_keys(docs: DataFrame, key: str, versions: DataFrame, by: str, values: DataFrame, name: str, text_fields: Sequence[str], query: str, array_field: str, wanted: Sequence[str]) -> DataFrame:
+    """The rows of docs that a search finds: whose name, or one of the text fields of its latest version, holds the query (in
+    any case, wildcards literal), and whose array field, a JSON array, holds all wanted items.
+
+    versions (key, by) is narrow: its latest rows are one aggregation of two columns. values (by, field, value) is filtered
+    first and then joined by keys alone; the OR of name and fields is a left join with the keys that the fields found.
+    """
+    newest = versions.groupBy(key).agg(F.max(by).alias(by))
+    holds = lambda c: F.contains(F.lower(c), F.lit(query.lower()))
+    of_document = lambda test: values.filter(test).select(by).join(newest, by).select(key).distinct()
+    found = of_document(F.col("field").isin(*text_fields) & holds(F.col("value"))).withColumn("_found", F.lit(True))
+    rows = docs.join(found, key, "left").filter(holds(F.col(name)) | F.col("_found").isNotNull()).drop("_found")
+    if wanted:
+        items = F.from_json("value", "array<string>")
+        rows = rows.join(of_document((F.col("field") == array_field) & all_of([F.array_contains(items, w) for w in wanted])), key, "left_semi")
+    return rows
+
+
 def total_pages(total: Column, size: int) -> Column:
     """Pages of `size` rows; 0 for a size that is not positive."""
     return F.ceil(total / size).cast("long") if size > 0 else F.lit(0).cast("long")
@@ -89,11 +123,14 @@ def catalog_additions(wanted: DataFrame, catalog: DataFrame, keys: Sequence[str]
     return fresh.select(*keys, F.xxhash64(*keys).alias(id_))
 
 
-def replacing(batch: DataFrame, stored: DataFrame, parent: str, keys: Sequence[str]) -> DataFrame:
+def replacing(batch: DataFrame, stored: DataFrame, parent: str, keys: Sequence[str], parents: DataFrame | None = None) -> DataFrame:
     """The rows that save a batch of children: the batch itself as live rows, and as deleted ones the live stored rows of
-    the same parents that the batch lacks. Parents outside the batch keep theirs. keys, with the parent, tell a child."""
+    the saved parents that the batch lacks. parents holds the ids of all parents that are saved, also of those that have no
+    children any more; without it, they are those of the batch. Other parents keep theirs. keys, with the parent, tell a
+    child."""
     columns = [c for c in batch.columns if c != "is_deleted"]
-    stale = live(stored).select(*columns).join(batch.select(parent).distinct(), parent, "left_semi").join(batch.select(parent, *keys), [parent, *keys], "left_anti")
+    saved = (batch if parents is None else parents).select(parent).distinct()
+    stale = live(stored).select(*columns).join(saved, parent, "left_semi").join(batch.select(parent, *keys), [parent, *keys], "left_anti")
     return batch.select(*columns, F.lit(False).alias("is_deleted")).unionByName(stale.select(*columns, F.lit(True).alias("is_deleted")))
 
 

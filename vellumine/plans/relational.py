@@ -30,7 +30,37 @@ def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_latest_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.page(_listed(spark, sf_dir), [F.desc("document_id")], size=50, number=2)
+    """Page 2 of the documents, newest first, with project, latest extraction and attributes: keys first, so that orders and
+    lines are read for the page's 50 documents alone."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("project"))
+    keys = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("document_id"), F.col("c_name").alias("file_name"), "project")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("extraction_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("score"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("extraction_id"), F.struct("l_linenumber", "l_quantity").alias("_at"), "l_returnflag", "l_quantity")
+    out = store.wide_page(keys, "document_id", [F.desc("document_id")], 50, 2, orders, ["extraction_id"], lines, "extraction_id", "l_returnflag", "l_quantity", ("A", "N", "R"))
+    return out.withColumn("status", F.coalesce("status", F.lit("Active")))
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, two extractions of each, and their attributes: a first line as full_name, a JSON array of words as skills.
+    The older extraction knows only the first of the skills, so a search that took it would find other documents."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "source", "lang", "text")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)))
+    both = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("version"), F.substring_index("text", "\n", 1).alias("name"), words.alias("w"), "lang")
+    both = both.withColumn("extraction_id", F.col("doc_id") * 2 + F.col("version"))
+    skills = F.to_json(F.when(F.col("version") == 1, F.col("w")).otherwise(F.slice("w", 1, 1)))
+    values = both.select("extraction_id", F.explode(F.map_from_arrays(F.array(F.lit("full_name"), F.lit("skills"), F.lit("lang")), F.array("name", skills, "lang"))).alias("field", "value"))
+    return docs.select("doc_id", "source"), both.select("doc_id", "extraction_id", "version"), values.withColumn("_at", F.lit(1))
+
+
+def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search of text and skills: the page 2 of 20 live documents, newest first, of those whose source or name holds `rc1`
+    in any case and whose latest skills hold both words. Keys first; names, skills and languages of the page alone are made."""
+    docs, versions, values = _profiles(spark, sf_dir)
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    docs = docs.join(toxic, "doc_id", "left_anti")
+    keys = store.search_keys(docs, "doc_id", versions, "extraction_id", values, "source", ("full_name",), "rc1", "skills", ("the", "of"))
+    page = store.wide_page(keys, "doc_id", [F.desc("doc_id")], 20, 2, versions, ["extraction_id"], values, "extraction_id", "field", "value", ("full_name", "skills", "lang"))
+    return page.select("doc_id", "source", "extraction_id", F.col("field_full_name").alias("full_name"), F.size(F.from_json("field_skills", "array<string>")).alias("n_skills"), F.col("field_lang").alias("lang"))
 
 
 def list_filtered_total(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +235,7 @@ def notes_prepend(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        list_latest_page, list_filtered_total, search_text_or_exists, search_skills_all, search_skills_any, detail_wide, field_upsert_latest, soft_delete_cascade, hard_delete_cascade,
+        list_latest_page, search_documents, list_filtered_total, search_text_or_exists, search_skills_all, search_skills_any, detail_wide, field_upsert_latest, soft_delete_cascade, hard_delete_cascade,
         restore_cascade, upsert_name_or_hash, validate_constraints, manifest_summary, manifest_status, total_experience, profile_summary, embedding_l2, embedding_mean_pool, bbox_union, page_layout, notes_prepend,
     )
 }
@@ -227,6 +257,12 @@ _CASCADE = """
 _KINDS = "select user_id, array_to_string(kinds, ',') as kinds from (select user_id, list_sort(list(distinct event_type)) as kinds from events group by user_id)"
 
 ORACLES = {
+    "search_documents": r"""
+        with d as (select doc_id, source, lang, text, list_distinct(regexp_extract_all(lower(text), '[\p{L}]+')) as w from documents
+                   where text is not null and doc_id not in (select doc_id from labels where toxic = 1)),
+        f as (select * from d where (contains(lower(source), 'rc1') or contains(lower(string_split(text, chr(10))[1]), 'rc1')) and list_contains(w, 'the') and list_contains(w, 'of')
+              order by doc_id desc limit 20 offset 20)
+        select doc_id, source, doc_id * 2 + 1 as extraction_id, string_split(text, chr(10))[1] as full_name, len(w)::int as n_skills, lang from f""",
     "list_latest_page": f"with {_LISTED} select * from listed order by document_id desc limit 50 offset 50",
     "list_filtered_total": f"with {_LISTED}, t as (select count(*) as total from listed where status in ('O', 'Active') and coalesce(score, 0) >= 0 and contains(lower(project), 'a')) select total, ceil(total / 50.0)::bigint as total_pages from t",
     "search_text_or_exists": "select doc_id, source from documents d where source ilike '%c1!_%' escape '!' or source ilike '%RC1%' or exists (select 1 from labels l where l.doc_id = d.doc_id and toxic = 1)",
