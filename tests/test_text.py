@@ -36,7 +36,8 @@ def test_contacts(spark):
     found = values(spark, text.phones, ["call +91 98765 43210, 98765-43211 or +1 (555) 123-4567; not 1111111111", None, "+91 98765 43210 and 919876543210"])
     assert len(found[0]) == 3 and found[1] is None and found[2] == ["+91 98765 43210"]
     assert values(spark, text.emails, ["A.b@Example.com, a.b@example.com. logo@2x.png"]) == [["a.b@example.com"]]
-    assert values(spark, lambda c: text.profile_link(c, "linkedin.com/in/"), ["https://www.linkedin.com/in/u-1/", "nothing"]) == ["https://linkedin.com/in/u-1", None]
+    both = lambda k: values(spark, lambda c: text.profile_links(c)[k], ["https://www.linkedin.com/in/u-1/ github.com/a_b", "LINKIEDIN.com/in/x, http://github.com/Topics/y", "nothing"])
+    assert both("linkedin") == ["https://www.linkedin.com/in/u-1", "https://www.linkedin.com/in/x", None] and both("github") == ["https://github.com/a_b", None, None]
 
 
 def test_cleaning(spark):

@@ -10,13 +10,22 @@ from pyspark.sql import functions as F
 #: A word: letters, digits and underscores of any script (spelt out, as \w differs between engines).
 WORD = r"[\p{L}\p{N}_]+"
 
-#: What the compared system takes for an e-mail address, a phone number and a link.
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
-PHONE = r"\+?[0-9][0-9 ().\-]{8,}[0-9]"
-LINK = r"https?://[^\s<>\"')]+"
+#: What counts as an e-mail address, a phone number, a link, and a profile on either site.
+EMAIL = r"(?i)[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
+PHONE = r"(?:\+?91[\s-]?)?[6-9]\d{4}[\s-]?\d{5}|(?:\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}|0?[6-9]\d{9}"
+LINK = r"(?i)https?://(?:www\.)?[-a-zA-Z0-9@:%._+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b(?:[-a-zA-Z0-9()@:%_+.~#?&/=]*)"
+LINKEDIN = r"(?i)(?:https?://)?(?:www\.)?(?:linkiedin|linkedin)\.com/in/([a-zA-Z0-9_-]+)"
+GITHUB = r"(?i)(?:https?://)?(?:www\.)?github\.com/([a-zA-Z0-9_-]+)"
 
-#: File endings that make an address a file name.
-FILE_ENDINGS = ("png", "jpg", "jpeg", "gif", "pdf", "docx", "doc")
+#: Endings that make an address a file name, the site's own pages, years that make ten digits two years.
+FILE_ENDINGS = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".pdf", ".docx", ".doc")
+RESERVED = ("topics", "features", "pricing", "explore")
+YEARS = ("2018", "2019", "2020", "2021", "2022", "2023", "2024", "2025", "2026")
+
+
+def blank_to_null(value: Column) -> Column:
+    """Without blanks around it; null if nothing is left."""
+    return let(F.trim(value), lambda v: F.when(v != "", v))
 
 
 def word_count(text: Column) -> Column:
@@ -36,7 +45,7 @@ def ordered_distinct(values: Column) -> Column:
 def emails(text: Column) -> Column:
     """Addresses in lower case, in order, once each, without trailing punctuation and without file names."""
     found = F.transform(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), lambda x: F.regexp_replace(F.lower(x), r"[.,;)]+$", ""))
-    return F.array_distinct(F.filter(found, lambda x: ~F.element_at(F.split(x, r"\."), -1).isin(*FILE_ENDINGS)))
+    return F.array_distinct(F.filter(found, lambda x: ~x.rlike("(?:" + "|".join(FILE_ENDINGS).replace(".", "[.]") + ")$")))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -72,21 +81,31 @@ def digits(value: Column) -> Column:
 
 
 def phones(text: Column, most: int = 4) -> Column:
-    """Numbers of 10 to 15 digits, more than two of them different, once for each sequence of digits in its first spelling."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(PHONE), F.lit(0)), lambda x: F.struct(digits(x).alias("key"), x.alias("item")))
-    good = F.filter(found, lambda p: F.length(p["key"]).between(10, 15) & (F.size(F.array_distinct(F.split(p["key"], ""))) > 2))
+    """Numbers of 10 to 15 digits, more than two of them different and not two years, once for each sequence of digits in its
+    first spelling."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(PHONE), F.lit(0)), lambda x: F.struct(digits(x).alias("key"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("item")))
+    years = lambda k: (F.length(k) == 10) & F.substring(k, F.lit(1), F.lit(2)).isin("19", "20") & F.substring(k, F.lit(5), F.lit(4)).isin(*YEARS)
+    good = F.filter(found, lambda p: F.length(p["key"]).between(10, 15) & (F.size(F.array_distinct(F.split(p["key"], ""))) > 2) & ~years(p["key"]))
     return F.slice(first_of_each(good), 1, most)
 
 
 def links(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(LINK), F.lit(0)), lambda x: F.regexp_replace(x, r"[.,;]+$", "")))
+    """Addresses of pages in order, once each, without trailing punctuation."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(LINK), F.lit(0)), lambda x: F.regexp_replace(x, r"[.,;)]+$", "")))
+
+
+def profile_links(text: Column) -> dict[str, Column]:
+    """linkedin and github: the canonical address of the first profile on either site; null for none or a page of the site's."""
+    person, user = F.regexp_extract(text, LINKEDIN, 1), F.regexp_extract(text, GITHUB, 1)
+    return {
+        "linkedin": F.when(person != "", F.concat(F.lit("https://www.linkedin.com/in/"), person)),
+        "github": F.when((user != "") & ~F.lower(user).isin(*RESERVED), F.concat(F.lit("https://github.com/"), user)),
+    }
 
 
-def profile_link(text: Column, site: str, reserved: tuple[str, ...] = ()) -> Column:
-    """The canonical address of the first profile on a site like "linkedin.com/in/"; null for none or a reserved path."""
-    name = F.regexp_extract(text, rf"(?i){site.replace('.', '[.]')}([A-Za-z0-9_\-]+)", 1)
-    bad = (name == "") | F.lower(name).isin(*reserved, "")
-    return F.when(~bad, F.concat(F.lit(f"https://{site}"), name))
+def title_case(text: Column) -> Column:
+    """Every run of letters with its first one in upper case and the others in lower case, whatever parts the runs."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)), F.initcap), "")
 
 
 def clean_field(text: Column) -> Column:

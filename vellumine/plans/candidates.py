@@ -169,12 +169,12 @@ ORACLES = {
         lambda v: length(v) >= 4 and lower(v) not in ('certifications', 'certificates', 'courses', 'achievements')) as x from documents) select doc_id, len(x)::bigint as n, md5(array_to_string(x, '|')) as digest from c""",
     "summary_pick": rf"""
         with l as (select doc_id, {_trim(r"regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g')")} as s, list_filter(list_transform(string_split(text, chr(10)), lambda v: {_trim('v')}), lambda v: v <> '')[2:8] as x from documents),
-        g as (select doc_id, s, list_filter(x, lambda v: not regexp_matches(v, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}|\+?[0-9][0-9 ().\-]{{8,}}[0-9]|https?://[^\s<>"'')]+|(?i:linkedin[.]com/|github[.]com/)')
+        g as (select doc_id, s, list_filter(x, lambda v: not regexp_matches(v, '(?i)[a-z0-9_.+-]+@[a-z0-9-]+\.[a-z0-9-.]+|(?:\+?91[\s-]?)?[6-9]\d{{4}}[\s-]?\d{{5}}|(?:\+?\d{{1,3}}[-.\s]?)?\(?\d{{3}}\)?[-.\s]?\d{{3}}[-.\s]?\d{{4}}|0?[6-9]\d{{9}}|https?://[-a-z0-9@:%._+~#=]{{1,256}}\.[a-z0-9()]{{1,6}}\b|linkedin[.]com/|github[.]com/')
             and left(v, 1) not in ('-', '•', '*', '{chr(0xF0B7)}') and len(regexp_split_to_array(v, '\s+')) >= 6 and length(v) between 35 and 600) as x from l),
         c as (select doc_id, s, list_filter(list_transform(x, lambda v: nullif(regexp_replace(regexp_replace(regexp_replace(v, '[*_`#]+', '', 'g'), '\s+', ' ', 'g'), '^[\s,;:|\-]+|[\s,;:|\-]+$', '', 'g'), '')), lambda v: v is not null and not starts_with(lower(v), 'curriculum'))[1] as f from g)
         select doc_id, md5(case when length(s) >= 20 then s else f end) as with_section, md5(f) as without_section from c""",
     "link_routes": r"""
-        with e as (select page_id, list_transform(regexp_extract_all(concat_ws(' ', url, html), 'https?://[^\s<>"'')]+'), lambda x: regexp_replace(x, '[.,;]+$', '')) as x from pages),
+        with e as (select page_id, list_transform(regexp_extract_all(concat_ws(' ', url, html), '(?i)https?://(?:www\.)?[-a-zA-Z0-9@:%._+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b[-a-zA-Z0-9()@:%_+.~#?&/=]*'), lambda x: regexp_replace(x, '[.,;)]+$', '')) as x from pages),
         u as (select page_id, list_filter(x, lambda v, i: list_position(x, v) = i and not regexp_matches(lower(v), 'linkedin[.]com|linkiedin[.]com|github[.]com')) as x from e),
         p as (select page_id, x, list_filter(x, lambda v: regexp_matches(lower(v), 'portfolio|github[.]io|vercel[.]app|netlify[.]app|me[.]'))[1] as portfolio from u)
         select page_id, portfolio, array_to_string(list_filter(x, lambda v: v is distinct from portfolio), '|') as others from p""",

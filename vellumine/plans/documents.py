@@ -31,12 +31,13 @@ def sections_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", F.explode(parsing.sections_of(F.col("text"))).alias("section", "text")).select("conv_id", "section", F.length("text").alias("chars"))
 
 
-BOXES = ((612.0, 792.0), (595.3, 841.9), (842.0, 595.0), (600.0, 600.0), (1191.0, 842.4), (522.0, 756.0), (499.4, 709.6), (1008.0, 615.0), (100.5, 99.5))
-
-
 def page_size_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, w, h) for i, (w, h) in enumerate(BOXES)], "id int, width double, height double")
-    return rows.select("id", F.array_join(geometry.page_size(F.col("width"), F.col("height")).cast("array<string>"), "x").alias("size"), geometry.coordinate(F.col("width")).alias("x"), geometry.shape_kind(F.col("width"), F.lit(3.0)).alias("kind"))
+    """Parts as pages: sizes around the standard ones and off them, upright and turned."""
+    k, s = F.col("p_partkey"), F.col("p_size").cast("double")
+    base = lambda i: F.get(F.array(*[F.lit(float(x[i])) for x in geometry.PAGE_SIZES.values()]), (k % len(geometry.PAGE_SIZES)).cast("int"))
+    w, h = F.when(k % 2 == 0, base(0)).otherwise(base(1)) + s * 0.125 - 2, F.when(k % 2 == 0, base(1)).otherwise(base(0)) - s * 0.0625
+    size = F.array_join(geometry.page_size(w, h).cast("array<string>"), "x")
+    return table(spark, sf_dir, "part").select("p_partkey", size.alias("size"), geometry.coordinate(w).alias("x"), geometry.shape_kind(s, s * 2).alias("kind"))
 
 
 def text_width(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +53,11 @@ QUERIES = {f.__name__: f for f in (html_clean, lines_stitched, skill_fuzzy_dedup
 
 _SIZES = "[[595, 842], [842, 595], [612, 792], [792, 612], [612, 1008], [1008, 612], [842, 1191], [1191, 842], [420, 595], [595, 420]]"
 ORACLES = {
-    "page_size_snap": "with b(id, w, h) as (values "
-    + ", ".join(f"({i}, {w}::double, {h}::double)" for i, (w, h) in enumerate(BOXES))
-    + f") select id, array_to_string(coalesce(list_filter({_SIZES}, lambda s: abs(w - s[1]) <= 3 and abs(h - s[2]) <= 3)[1], [round_even(w, 0)::int, round_even(h, 0)::int]), 'x') as size, case when abs(w - round(w)) <= 0.05 then round(w)::bigint::varchar else printf('%.1f', round(w, 1)) end as x, 'line' as kind from b",
+    "page_size_snap": f"""
+        with p as (select p_partkey, p_size, [[595, 842], [612, 792], [612, 1008], [842, 1191], [420, 595]][p_partkey % 5 + 1] as b from part),
+        b as (select p_partkey, p_size, b[case when p_partkey % 2 = 0 then 1 else 2 end] + p_size * 0.125::double - 2 as w, b[case when p_partkey % 2 = 0 then 2 else 1 end] - p_size * 0.0625::double as h from p)
+        select p_partkey, array_to_string(coalesce(list_filter({_SIZES}, lambda s: abs(w - s[1]) <= 3 and abs(h - s[2]) <= 3)[1], [round_even(w, 0)::int, round_even(h, 0)::int]), 'x') as size,
+               case when abs(w - round(w)) <= 0.05 then round(w)::bigint::varchar else printf('%.1f', round(w, 1)) end as x, case when p_size <= 4 then 'line' else 'rectangle' end as kind from b""",
     "text_width": r"""
         with c as (select p_partkey, p_size::double as s, length(p_name) as n, len(regexp_extract_all(p_name, '[iljtf.,;:''|!()\[\] ]')) as narrow, len(regexp_extract_all(p_name, '[mwMW@%]')) as wide,
                           len(regexp_extract_all(p_name, '[A-LN-VX-Z]')) as upper from part)

@@ -9,11 +9,6 @@ from vellumine.functions import insights, notes, parsing
 from vellumine.operators import pages
 from vellumine.sources.tables import table
 
-FACTS = (
-    "Notice period: 30 days. Current CTC: 5 LPA, Expected CTC - 8 LPA. Location: Lorem City",
-    "available immediately, 4.5+ years of work", "60 days notice; based in Ipsum", "nothing to say", "expected salary 90k; 3 yrs",
-)
-FILES = ("Lorem_Data-Engineer_2024.pdf", "x.docx", "IPSUM software engineer.doc", "a-business_analyst-project manager.pdf")
 PROFILES = (
     "Lorem Ipsum\nlorem@x.org\nSUMMARY\nBuilds things.\nExperience\nData Engineer at Acme Labs\nJan 2020 - Present\n- Built a thing\nEducation\nB.Tech Computing, Some University 2019\nProjects\nThing\nTools: a, b",
     "Resume\nDolor Sit\nExperience: Acme Ltd (Senior Developer) 03/2015 - 04/2019\n- One\n- Two\nEducation\nMBA | City College | 2014",
@@ -24,12 +19,31 @@ def _fixture(spark: SparkSession, values: tuple[str, ...]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(values)), "id int, value string")
 
 
+#: What is said before each turn of a conversation, by the number of its document and turn; {} is a number.
+SAID = (
+    "Availability: {} days. Present salary: {} lacs. ", "Notice period: ready to join, residing in pune, expected ctc {}% hike. ", "Serving notice - immediately; Current CTC: {}, expected salary: {}.5 lpa. ",
+    "over {} years of experience. Location: phone home. ", "Total experience: {} yrs 3 months; based in New delhi. ", "",
+)
+
+
 def insights_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fixture(spark, FACTS).select("id", *[c.alias(n) for n, c in insights.insights(F.col("value")).items()])
+    k, n = F.col("conv_id") + F.col("turn"), (F.col("conv_id") % 60 + 1).cast("string")
+    said = F.regexp_replace(F.get(F.array(*[F.lit(x) for x in SAID]), (k % len(SAID)).cast("int")), F.lit("[{][}]"), n)
+    file = F.when(k % 7 == 0, F.concat(F.lit("Lorem["), n, F.lit("y_"), (k % 2).cast("string"), F.lit("m]-x.pdf"))).otherwise(F.lit("Lorem.pdf"))
+    found = insights.insights(F.concat(said, "text"), file)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[c.alias(name) for name, c in found.items()])
+
+
+TITLES = {
+    "Senior_Data-Engineer": "Senior Data Engineer", "java developer": "Java Developer", "sheetMetal_designer": "Sheet Metal Designer", "CIVIL.engineer(x)": "Civil Engineer", "embedded": "Embedded",
+    "business-analyst": "Business Analyst", "qaEngineer": "Qa Engineer", "nothing": None,
+}
 
 
 def filename_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fixture(spark, FILES).select("id", insights.role_from_file(F.col("value")).alias("role"))
+    title = F.get(F.array(*[F.lit(t) for t in TITLES]), (F.col("p_partkey") % len(TITLES)).cast("int"))
+    file = F.concat(F.regexp_replace("p_name", " ", "_"), F.lit("-"), title, F.lit("[2024]_"), "p_brand", F.lit(".pdf"))
+    return table(spark, sf_dir, "part").select("p_partkey", insights.role_from_file(file).alias("role"))
 
 
 def embedding_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,44 +71,47 @@ def profile_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-NOTES = ('[{"id":"1","author":"a","text":"first","date":"2024-01-02"},{"id":"2","author":"b","text":"older","date":"2024-01-01"}]', "plain words", "", "[not json")
-
-
 def notes_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes as rows: text and date of each, in order, after a new one was put in front."""
+    """Conversations as notes: a JSON list of their turns, or the plain text of the only one; the last turn is noted once more,
+    in front. Place, digest of the text and date of each note."""
+    turn = F.struct(F.col("turn").cast("string").alias("id"), F.col("role").alias("author"), "text", F.concat(F.lit("2024-01-"), F.lpad((F.col("turn") % 28 + 1).cast("string"), 2, "0")).alias("date"))
+    convs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", turn.alias("n")))).alias("turns"))
+    convs = convs.select("conv_id", F.transform("turns", lambda t: t["n"]).alias("turns")).withColumn("last", F.element_at("turns", -1)["text"])
+    raw = F.when(F.size("turns") == 1, F.col("last")).otherwise(F.to_json("turns"))
     day = F.lit("2024-02-01")
-    new = F.struct(F.lit("9").alias("id"), F.lit("c").alias("author"), F.lit("older").alias("text"), day.alias("date"))
-    found = _fixture(spark, NOTES).select("id", notes.prepend_note(notes.parse_notes(F.col("value"), day), new).alias("x"))
-    return found.select("id", F.posexplode("x").alias("at", "n")).select("id", F.col("at").alias("place"), "n.text", "n.date")
+    new = F.struct(F.lit("new").alias("id"), F.lit("c").alias("author"), F.trim("last").alias("text"), day.alias("date"))
+    found = convs.select("conv_id", notes.prepend_note(notes.parse_notes(raw, day), new).alias("x"))
+    return found.select("conv_id", F.posexplode("x").alias("place", "n")).select("conv_id", "place", F.md5("n.text").alias("digest"), "n.date")
 
 
 def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of a number inside JSON properties, by kind of event."""
-    number = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(number).alias("n"), F.sum(number).alias("total"))
+    """Sums of a number inside JSON properties, by kind of event; kinds and properties come as JSON-encoded values."""
+    kind, props = notes.decoded(F.to_json(F.array("event_type")).substr(F.lit(2), F.length("event_type") + 2)), notes.decoded(F.col("props"))
+    number = F.get_json_object(props, "$.k").cast("long")
+    return table(spark, sf_dir, "events").groupBy(kind.alias("event_type")).agg(F.count(number).alias("n"), F.sum(number).alias("total"))
 
 
 QUERIES = {f.__name__: f for f in (notes_parse, json_values, insights_cascade, filename_role, embedding_composite, page_match, profile_parts)}
 
 
-def _values(values: tuple[str, ...]) -> str:
-    return "(values " + ", ".join("({}, '{}')".format(i, v.replace("'", "''")) for i, v in enumerate(values)) + ") as f(id, value)"
-
-
-def _first(patterns: tuple[str, ...], default: str) -> str:
-    return "coalesce(" + ", ".join(f"nullif(trim(regexp_extract(value, '{p}', 1)), '')" for p in patterns) + f", '{default}')"
-
-
 ORACLES = {
-    "notes_parse": "select * from (values (0, 0, 'older', '2024-02-01'), (0, 1, 'first', '2024-01-02'), (1, 0, 'older', '2024-02-01'), (1, 1, 'plain words', '2024-02-01'), (2, 0, 'older', '2024-02-01'), (3, 0, 'older', '2024-02-01'), (3, 1, '[not json', '2024-02-01')) as t(id, place, text, date)",
+    "notes_parse": """
+        with c as (select *, count(*) over (partition by conv_id) as n, last_value(text) over (partition by conv_id order by turn rows between unbounded preceding and unbounded following) as last from conversations),
+        o as (select conv_id, turn, trim(last) as last, case when n = 1 then trim(text) else text end as text, case when n = 1 then '2024-02-01' else '2024-01-' || lpad((turn % 28 + 1)::varchar, 2, '0') end as date from c)
+        select distinct conv_id, 0 as place, md5(last) as digest, '2024-02-01' as date from o
+        union all
+        select conv_id, (row_number() over (partition by conv_id order by turn))::int, md5(text), date from o where text <> last""",
     "json_values": "select event_type, count(props->>'$.k') as n, sum((props->>'$.k')::bigint)::bigint as total from events group by event_type",
-    "insights_cascade": f"""select id, {_first(insights.NOTICE, "Negotiable")} as notice_period, {_first(insights.CURRENT_PAY, "Negotiable")} as current_pay,
-        {_first(insights.EXPECTED_PAY, "Negotiable")} as expected_pay, {_first(insights.LOCATION, "Not Specified")} as location, {_first(insights.YEARS, "Fresher")} as years from {_values(FACTS)}""",
-    "filename_role": r"with p as (select id, regexp_replace(lower(value), '[_\-.\s]+', ' ', 'g') as p from "
-    + _values(FILES)
-    + ") select id, coalesce("
-    + ", ".join(f"case when contains(p, '{r.lower()}') then '{r}' end" for r in insights.ROLES)
-    + ") as role from p",
+    "insights_cascade": """
+        with c as (select conv_id, turn, (conv_id + turn) % 6 as k, conv_id % 60 + 1 as n, (conv_id + turn) as s from conversations)
+        select conv_id, turn, case k when 0 then n || ' days' when 1 then 'ready to join' when 2 then 'immediately' else 'Negotiable' end as notice_period,
+               case k when 0 then n || ' lacs' when 2 then n || ' LPA' else 'Negotiable' end as current_pay, case k when 1 then n || '% hike' when 2 then n || '.5 lpa' else 'Negotiable' end as expected_pay,
+               case k when 1 then 'Pune' when 4 then 'New Delhi' else 'Not Specified' end as location,
+               case when s % 7 = 0 then case when s % 2 = 0 then n || ' Years' else n || 'y 1m' end when k = 3 then n || ' Years' when k = 4 then n || ' yrs 3 months' else 'Fresher' end as years
+        from c""",
+    "filename_role": "select p_partkey, ["
+    + ", ".join("null" if v is None else f"'{v}'" for v in TITLES.values())
+    + f"][p_partkey % {len(TITLES)} + 1] as role from part",
     "embedding_composite": """select doc_id, md5(concat_ws(' ', case when trim(source) <> '' then 'Source: ' || trim(source) end, case when trim(lang) <> '' then 'Lang: ' || trim(lang) end,
         case when trim(text) <> '' then 'Text: ' || trim(text) end)) as digest from documents""",
     "page_match": r"""

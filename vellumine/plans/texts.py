@@ -8,22 +8,12 @@ from pyspark.sql import functions as F
 from vellumine.functions import scoring, text
 from vellumine.sources.tables import table
 
-DATES = (
-    "Jan 2021 - Present", "06/2018 to 08/2021", "2020", "2020-2022", "Jan 2020-Jan 2022", "Since 2021", "From Jan 2020", "Until 2022", "05/2019 - 11/2022", "2018 till 2021",
-    "Feb 2020 ~ Present", "'19 - '23", "nothing", "Jan2020-Jan2022", "2019-05",
-)
-FILES = ("LoremIpsum_Resume_2024.docx", "Lorem Ipsum--npu.docx", "Lorem Ipsum P M.DOCX", "LOREM IPSUM DOLOR--54% in 10th.docx", "Lorem_Ipsum_ask if available- fwd.docx", "AbcdeFghijk[5y_0m]-WA-npu- call later-26 aug.docx", "2024.pdf")
-CONTACTS = ("see https://www.linkedin.com/in/abc-d and github.com/xyz", "github.com/features and linkedin.com/in/Q_1", "none here")
 SKILLS = ("reactjs", "React.js", "postgres", "k8s", "golang", "data analysis", "AWS", "javaScript tools", "  c++ ")
 ALIASES = {"reactjs": "React", "postgres": "PostgreSQL", "postgresql": "PostgreSQL", "k8s": "Kubernetes", "golang": "Go", "c++": "C++"}
 TAXONOMY = {"articles": {"the": 3.0, "of": 1.5, "and": 1.5}, "german": {"der": 3.0, "die": 1.5, "und": 1.5}, "french": {"le": 3.0, "de": 1.5, "et": 1.5}, "spanish": {"el": 3.0, "la": 1.5, "de": 1.5}}
 TERMS = ("the", "der", "les", "of", "is", "and", "por", "zu")
 
 
-def _fixture(spark: SparkSession, values: tuple[str, ...]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(values)), "id int, value string")
-
-
 def _joined(c, by: str = "|"):
     return F.array_join(c, by)
 
@@ -44,8 +34,11 @@ def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("value")
-    return _fixture(spark, CONTACTS).select("id", text.profile_link(c, "linkedin.com/in/").alias("linkedin"), text.profile_link(c, "github.com/", ("features", "about", "login", "pricing")).alias("github"))
+    """Profiles on two sites that stand behind each page; some of them are the site's own pages."""
+    user = F.when(F.col("page_id") % 3 == 0, F.lit("Features")).otherwise(F.concat(F.lit("u_"), F.col("page_id").cast("string")))
+    whole = F.concat(F.lit("see "), "url", F.lit(" "), "html", F.lit(" LinkedIn.com/in/"), F.col("page_id").cast("string"), F.lit("-x, http://www.github.com/"), user, F.lit("/repo"))
+    found = text.profile_links(whole)
+    return table(spark, sf_dir, "pages").select("page_id", *[c.alias(k) for k, c in found.items()])
 
 
 def word_char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,16 +60,35 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skill_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fixture(spark, SKILLS).select("id", text.normal_skill(F.col("value"), ALIASES).alias("skill"))
+    """Names, kinds and known spellings of skills, by part."""
+    k = F.col("p_partkey")
+    known = F.get(F.array(*[F.lit(x) for x in SKILLS]), (k % len(SKILLS)).cast("int"))
+    value = F.when(k % 2 == 0, known).when(k % 3 == 0, F.col("p_type")).otherwise(F.concat(F.lit(" "), F.col("p_name"), F.lit("  "), F.lower("p_type")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.normal_skill(value, ALIASES).alias("skill"))
 
 
 def date_range_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = text.date_range(F.col("value"))
-    return _fixture(spark, DATES).select("id", parts["start"].alias("start_date"), parts["end"].alias("end_date"), parts["is_current"].alias("is_current"))
+    """Durations of orders, from their date to 400 days later, in eight spellings."""
+    a, b = F.col("o_orderdate"), F.date_add("o_orderdate", 400)
+    of = F.date_format
+    spellings = (
+        F.concat(of(a, "MMM yyyy"), F.lit(" - Present")), F.concat(of(a, "MM/yyyy"), F.lit(" to "), of(b, "MM/yyyy")), of(a, "yyyy"), F.concat(of(a, "yyyy"), F.lit("–"), of(b, "yyyy")),
+        F.concat(of(a, "MMMyyyy"), F.lit("-"), of(b, "MMMyyyy")), F.concat(F.lit("Since "), of(a, "yyyy")), F.concat(F.lit("Until "), of(a, "MMMM yyyy")), F.concat(F.lit("'"), of(a, "yy"), F.lit(" - '"), of(b, "yy")),
+    )
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.get(F.array(*spellings), (F.col("o_orderkey") % 8).cast("int")).alias("t"))
+    d = text.parsed_range(F.col("t"))
+    return orders.select("o_orderkey", d["start"].alias("start_date"), d["end"].alias("end_date"), d["is_current"].alias("is_current"), d["shown"].alias("shown"))
+
+
+FILE_MARKS = ("_Resume_2024.docx", "--npu.docx", "[5y_0m]-WA-npu- call later-26 aug.docx", "_ask if available- fwd.docx", " P M.DOCX")
 
 
 def filename_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fixture(spark, FILES).select("id", text.name_from_file(F.col("value")).alias("name"), text.safe_file_name(F.col("value")).alias("safe"))
+    """Names of parts as names of people in camel case, with what recruiters write behind them; and names that no file may have."""
+    k = F.col("p_partkey")
+    file = F.concat(F.regexp_replace(F.initcap("p_name"), " ", ""), F.get(F.array(*[F.lit(x) for x in FILE_MARKS]), (k % len(FILE_MARKS)).cast("int")))
+    bad = F.when(k % 10 == 0, F.lit(" ")).otherwise(F.concat("p_brand", F.lit(":"), "p_type", F.lit("?*|")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.name_from_file(file).alias("name"), text.safe_file_name(bad).alias("safe"))
 
 
 def sections_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,46 +127,25 @@ QUERIES = {
 }
 
 
-def _values(values: tuple[str, ...]) -> str:
-    return "(values " + ", ".join("({}, '{}')".format(i, v.replace("'", "''")) for i, v in enumerate(values)) + ") as f(id, value)"
-
-
 def _case(pairs, otherwise: str) -> str:
     return "case " + " ".join(f"when {c} then {v}" for c, v in pairs) + f" else {otherwise} end"
 
 
-_MONTH = "lpad((list_position([" + ", ".join(f"'{m}'" for m in text.MONTHS) + "], substr(t, 1, 3)))::varchar, 2, '0')"
-_NAME = "(?:" + "|".join(text.MONTHS) + ")[a-z]*"
-_ONE = rf"(?:{_NAME}[ ,.'']*[0-9]{{4}}|[0-9]{{1,2}}[/.][0-9]{{4}}|[0-9]{{4}}[/.][0-9]{{1,2}}|[0-9]{{4}}|''[0-9]{{2}})"
-_NOW = "present|current|now|till date|today|ongoing"
-
-
-def _date(t: str) -> str:
-    return f"""(select case when regexp_matches(t, '^{_NAME}[ ,.'']*[0-9]{{4}}$') then right(t, 4) || '-' || {_MONTH}
-        when regexp_matches(t, '^[0-9]{{1,2}}[/.][0-9]{{4}}$') then right(t, 4) || '-' || lpad(regexp_extract(t, '^[0-9]+'), 2, '0')
-        when regexp_matches(t, '^[0-9]{{4}}[-/.][0-9]{{1,2}}$') then left(t, 4) || '-' || lpad(regexp_extract(t, '[0-9]+$'), 2, '0')
-        when regexp_matches(t, '^[0-9]{{4}}$') then t when regexp_matches(t, '^''[0-9]{{2}}$') then '20' || substr(t, 2, 2) end from (select trim({t}) as t))"""
-
-
-_BOTH = rf"^({_ONE}) *(?:-|~|to|till|until) *({_ONE}|{_NOW})$"
-
 ORACLES = {
     "extract_emails": r"""
-        with e as (select doc_id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}'), lambda x: regexp_replace(lower(x), '[.,;)]+$', '')),
-                          lambda x: string_split(x, '.')[-1] not in ('png', 'jpg', 'jpeg', 'gif', 'pdf', 'docx', 'doc')) as x from documents)
+        with e as (select doc_id, list_filter(list_transform(regexp_extract_all(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+'), lambda x: regexp_replace(lower(x), '[.,;)]+$', '')),
+                          lambda x: not regexp_matches(x, '\.(png|jpg|jpeg|gif|webp|pdf|docx|doc)$')) as x from documents)
         select doc_id, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), '|') as emails from e where len(x) > 0""",
     "extract_phones": r"""
-        with e as (select doc_id, list_filter(regexp_extract_all(text, '\+?[0-9][0-9 ().\-]{8,}[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) between 10 and 15
-                          and len(list_distinct(string_split(regexp_replace(x, '[^0-9]', '', 'g'), ''))) > 2) as x from documents),
-        d as (select doc_id, x, list_transform(x, lambda v: regexp_replace(v, '[^0-9]', '', 'g')) as n from e)
-        select doc_id, array_to_string(list_slice(list_filter(x, lambda v, i: list_position(n, regexp_replace(v, '[^0-9]', '', 'g')) = i), 1, 4), '|') as phones from d where len(x) > 0""",
+        with e as (select doc_id, list_transform(regexp_extract_all(text, '(?:\+?91[\s-]?)?[6-9]\d{4}[\s-]?\d{5}|(?:\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}|0?[6-9]\d{9}'), lambda x: trim(x)) as x from documents),
+        d as (select doc_id, list_filter(list_transform(x, lambda v: {'n': regexp_replace(v, '[^0-9]', '', 'g'), 'v': v}),
+                     lambda y: length(y.n) between 10 and 15 and len(list_distinct(string_split(y.n, ''))) > 2 and not regexp_matches(y.n, '^(19|20)..20(1[89]|2[0-6])..$')) as y from e)
+        select doc_id, array_to_string(list_slice(list_transform(list_filter(y, lambda p, i: list_position(list_transform(y, lambda q: q.n), p.n) = i), lambda p: p.v), 1, 4), '|') as phones from d where len(y) > 0""",
     "extract_links": r"""
-        with e as (select page_id, list_transform(regexp_extract_all(concat_ws(' ', url, html), 'https?://[^\s<>"'')]+'), lambda x: regexp_replace(x, '[.,;]+$', '')) as x from pages),
+        with e as (select page_id, list_transform(regexp_extract_all(concat_ws(' ', url, html), '(?i)https?://(?:www\.)?[-a-zA-Z0-9@:%._+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b[-a-zA-Z0-9()@:%_+.~#?&/=]*'), lambda x: regexp_replace(x, '[.,;)]+$', '')) as x from pages),
         u as (select page_id, list_filter(x, lambda v, i: list_position(x, v) = i) as x from e)
         select page_id, len(x) as n, array_to_string(x, '|') as links from u""",
-    "contact_links": rf"""
-        with p as (select id, regexp_extract(value, '(?i)linkedin[.]com/in/([A-Za-z0-9_\-]+)', 1) as l, regexp_extract(value, '(?i)github[.]com/([A-Za-z0-9_\-]+)', 1) as g from {_values(CONTACTS)})
-        select id, case when l <> '' then 'https://linkedin.com/in/' || l end as linkedin, case when g <> '' and lower(g) not in ('features', 'about', 'login', 'pricing') then 'https://github.com/' || g end as github from p""",
+    "contact_links": "select page_id, 'https://www.linkedin.com/in/' || page_id || '-x' as linkedin, case when page_id % 3 <> 0 then 'https://github.com/u_' || page_id end as github from pages",
     "word_char_counts": r"select doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))::bigint as words, length(text) as chars from documents",
     "paragraph_split": r"with p as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as x from documents) select doc_id, len(x) as n, md5(array_to_string(x, chr(10))) as digest from p",
     "clean_field": r"select conv_id, turn, md5(nullif(regexp_replace(regexp_replace(regexp_replace(text, '[*_`#]+', '', 'g'), '\s+', ' ', 'g'), '^[\s,;:|\-]+|[\s,;:|\-]+$', '', 'g'), '')) as digest from conversations",
@@ -164,22 +155,19 @@ ORACLES = {
         b as (select doc_id, regexp_replace(regexp_replace(t, '(?m)^[ \t]*[•●➢▪*][ \t]*', '- ', 'g'), '(?mi)^[ \t]*(?:page[ \t]+[0-9]+(?:[ \t]+of[ \t]+[0-9]+)?|-[ \t]*[0-9]+[ \t]*-)[ \t]*$', '', 'g') as t from a)
         select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) as digest from b""",
     "skill_normalize": f"""
-        with s as (select id, regexp_replace(trim(value), '\\s+', ' ', 'g') as b from {_values(SKILLS)}),
+        with v as (select p_partkey, case when p_partkey % 2 = 0 then [{", ".join(f"'{x}'" for x in SKILLS)}][p_partkey % {len(SKILLS)} + 1] when p_partkey % 3 = 0 then p_type else ' ' || p_name || '  ' || lower(p_type) end as value from part),
+        s as (select p_partkey, regexp_replace(trim(value), '\\s+', ' ', 'g') as b from v),
         k as (select *, regexp_replace(lower(b), '[\\s._\\-]+', '', 'g') as key from s)
-        select id, {_case([(f"key = '{a}'", f"'{c}'") for a, c in ALIASES.items()] + [("(length(b) <= 5 and b = upper(b)) or regexp_matches(b, '[a-z][A-Z]')", "b")], "list_reduce(list_transform(string_split(b, ' '), lambda w: upper(w[1]) || lower(w[2:])), lambda x, y: x || ' ' || y)")} as skill from k""",
-    "date_range_parse": f"""
-        with v as (select id, trim(lower(value)) as v from {_values(DATES)}),
-        m as (select id, v, regexp_matches(v, '{_BOTH}') as both_, regexp_extract(v, '{_BOTH}', 1) as a, regexp_extract(v, '{_BOTH}', 2) as b,
-                     regexp_extract(v, '^(?:since|from) +({_ONE})$', 1) as s, regexp_extract(v, '^(?:until|till) +({_ONE})$', 1) as u from v)
-        select id, case when both_ then {_date('a')} when s <> '' then {_date('s')} end as start_date,
-               case when both_ then {_date('b')} when u <> '' then {_date('u')} else {_date('v')} end as end_date,
-               coalesce(regexp_matches(b, '^(?:{_NOW})$') or s <> '', false) as is_current from m""",
-    "filename_name": rf"""
-        with a as (select id, value, regexp_replace(regexp_replace(regexp_replace(value, '\.[A-Za-z0-9]+$', ''), '\[.*$', ''), '--.*$', '') as b from {_values(FILES)}),
-        c as (select id, value, regexp_replace(b, '(?i)[_ \-]+(?:resume|cv|ask|updated|final|fwd|profile)\b.*$|(?i)_(?:resume|cv|ask|updated|final)(?:_.*|$)', '') as b from a),
-        d as (select id, value, trim(regexp_replace(regexp_replace(regexp_replace(b, '([a-z])([A-Z])', '\1 \2', 'g'), '[_\-0-9.]+', ' ', 'g'), '\s+', ' ', 'g')) as b from c)
-        select id, nullif(array_to_string(list_transform(list_slice(list_filter(string_split(b, ' '), lambda w: w <> ''), 1, 5), lambda w: upper(w[1]) || lower(w[2:])), ' '), '') as name,
-               coalesce(nullif(trim(regexp_replace(value, '[<>:"/\\|?*]', '_', 'g')), ''), 'document') as safe from d""",
+        select p_partkey, {_case([(f"key = '{a}'", f"'{c}'") for a, c in ALIASES.items()] + [("(length(b) <= 5 and b = upper(b)) or regexp_matches(b, '[a-z][A-Z]')", "b")], "list_reduce(list_transform(string_split(b, ' '), lambda w: upper(w[1]) || lower(w[2:])), lambda x, y: x || ' ' || y)")} as skill from k""",
+    "date_range_parse": """
+        with d as (select o_orderkey, o_orderkey % 8 as k, o_orderdate as a, o_orderdate::date + 400 as b from orders),
+        f as (select *, strftime(a, '%Y-%m') as am, strftime(b, '%Y-%m') as bm, case k when 7 then strftime(a, '20%y') else strftime(a, '%Y') end as ay, case k when 7 then strftime(b, '20%y') else strftime(b, '%Y') end as by_ from d),
+        x as (select o_orderkey, k, case when k in (0, 1, 4) then am when k in (3, 5, 7) then ay end as start_date,
+                     case k when 1 then bm when 4 then bm when 2 then ay when 3 then by_ when 7 then by_ when 6 then am end as end_date, k in (0, 5) as is_current from f)
+        select o_orderkey, start_date, end_date, is_current, case when is_current then start_date || ' - Present' else concat_ws(' - ', start_date, end_date) end as shown from x""",
+    "filename_name": """
+        select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || case when p_partkey % 5 = 4 then ' P M' else '' end as name,
+               case when p_partkey % 10 = 0 then 'document' else p_brand || '_' || p_type || '___' end as safe from part""",
     "sections_map": "select conv_id, role, count(*) as lines, sum(length(text))::bigint as chars from conversations group by conv_id, role",
     "dictionary_tools": r"with d as (select doc_id, ' ' || regexp_replace(lower(text), '[^\p{L}\p{N}+#]+', ' ', 'g') || ' ' as p from documents) select doc_id, array_to_string(list_filter(["
     + ", ".join(f"'{t}'" for t in sorted(TERMS))

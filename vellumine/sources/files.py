@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Endings of the documents that are taken, and their media types.
-MEDIA_TYPES = {"pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "doc": "application/msword", "json": "application/json"}
+MEDIA_TYPES = {
+    "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "doc": "application/msword", "json": "application/json", "txt": "text/plain",
+    "rtf": "application/rtf",
+}
 DOCUMENTS = ("pdf", "docx", "doc")
 
 
@@ -62,7 +67,7 @@ def write_records(df: DataFrame, folder: str, private: tuple[str, ...] = ("embed
 
 
 def manifest(items: DataFrame, status: str = "status") -> DataFrame:
-    """One row: counters of a batch and its items in order of name. items has name and status."""
+    """One row: counters of a batch. items has status."""
     good = F.col(status).isin("success", "partial")
     return items.agg(F.count("*").alias("total_files_found"), F.count_if(good).alias("total_success"), F.count_if(~good).alias("total_failed"))
 
@@ -78,6 +83,37 @@ def select_records(df: DataFrame, profile: str | None = None, least_score: float
     return df.filter(kept)
 
 
+def resolved_files(wanted: DataFrame, known: DataFrame, files: DataFrame, key: str, folders: Sequence[str], records: str) -> DataFrame:
+    """wanted (key, document_id, file_name) with path, shown and media_type of the file that each request means; null for none.
+
+    The first that applies: the file that the document's record (known: document_id, file_name, file_url) points to; a file of
+    the asked or recorded name in one of the folders, the first folder first; one of the same stem, whatever its case; the
+    document's JSON record in the folder `records`. files has path and folder.
+
+    Each request is a few keys with their level, and all of them meet all files by one equi-join; the least level wins. So
+    files are shuffled once, not once a level, and a request never sees a file that none of its keys names.
+    """
+    known = known.groupBy("document_id").agg(F.max(F.struct("file_name", "file_url")).alias("_k"))
+    asked = wanted.join(known, "document_id", "left").select(key, F.coalesce("file_name", "_k.file_name").alias("_name"), F.col("_k.file_url").alias("_url"))
+    bare = F.lower(stem(F.col("_name")))
+    wished = (F.concat(F.lit("path:"), "_url"), F.concat(F.lit("name:"), file_name(F.col("_name"))), F.concat(F.lit("stem:"), bare), F.concat(F.lit("json:"), stem(F.col("_name")), F.lit(".json")))
+    keys = F.array(*[F.struct(F.lit(level).alias("level"), k.alias("k")) for level, k in enumerate(wished, 1)])
+    asked = asked.select(key, "_name", F.explode(keys).alias("a")).select(key, "_name", "a.level", "a.k").filter("k is not null")
+    own = file_name(F.col("path"))
+    place = F.array_position(F.array(*map(F.lit, folders)), F.col("folder"))
+    in_folder, is_record = place > 0, F.col("folder") == records
+    offers = F.array(
+        F.concat(F.lit("path:"), "path"), F.when(in_folder, F.concat(F.lit("name:"), own)), F.when(in_folder, F.concat(F.lit("stem:"), F.lower(stem(F.col("path"))))), F.when(is_record, F.concat(F.lit("json:"), own))
+    )
+    offered = files.select("path", place.alias("place"), F.explode(offers).alias("k")).filter("k is not null")
+    # per key the first file, before requests meet it: however many files share a stem, a request meets one
+    offered = offered.groupBy("k").agg(F.min(F.struct("place", "path")).alias("f")).select("k", "f.path")
+    best = asked.join(offered, "k").groupBy(key).agg(F.min(F.struct("level", "path", "_name")).alias("b"))
+    shown = F.when(F.col("b.level") <= 2, F.coalesce("b._name", file_name(F.col("b.path")))).otherwise(file_name(F.col("b.path")))
+    found = best.select(key, F.col("b.level").alias("level"), F.col("b.path").alias("path"), shown.alias("shown"), media_type(F.col("b.path")).alias("media_type"))
+    return wanted.select(key).join(found, key, "left")
+
+
 def by_stem(df: DataFrame, wanted: str, path: str = "path") -> DataFrame:
     """The records of the file of that stem; folders and characters that no file name holds are taken out of it first."""
     bare = "".join("_" if c in '<>:"|?*' else c for c in wanted.replace("\\", "/").rsplit("/", 1)[-1]).strip()
