@@ -7,6 +7,10 @@ in which the budget runs out is found from at most 2**BITS sums for each source,
 are summed again, by the next BITS bits, until it holds a single document. Sums are combined on the map side, so a
 source with a third of all rows costs no more than any other. The last document is taken if that comes nearer to
 the target, so a source is off by half a document at most.
+
+Rows alike in doc_id and text share a hash. If the budget runs out among such rows, as many of them are taken as come
+nearest to the target: which ones is settled by a second threshold, on a hash of the row's number in the written table.
+As they are alike, reruns agree on what the mix holds.
 """
 
 from __future__ import annotations
@@ -72,20 +76,13 @@ def with_targets(totals: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     return sources.select("source", "source_size", F.when(F.col("cap") < share, F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def thresholds(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """For each source of sized (source, size, hash): source, source_size, target, whole copies, and the threshold
-    below which a document's hash gives it one copy more."""
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    target = with_targets(totals, weights, most)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    state = target.withColumn("whole", whole).withColumns({
-        "budget": F.col("target") - F.col("whole") * F.col("source_size"),
-        "prefix": F.lit(0).cast("long"),
-        "before": F.lit(0).cast("long"),
-        "words": F.col("source_size"),
-        "docs": F.lit(2).cast("long"),
-    })
-    state = written(state, "mix-state-0")
+def _refined(sized: DataFrame, state: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """state with the bucket of sized (source, size, hash) in which each source's budget runs out, and its bits.
+
+    state: source, budget, prefix, before (words below the bucket), words and docs (of the bucket), and more columns.
+    """
+    own = [c for c in state.columns if c not in ("prefix", "before", "words", "docs")]
+    state = written(state, f"{name}-0")
     done = 0
     for level in range(1, LEVELS + 1):
         if not state.filter((F.col("docs") > 1) & (F.col("budget") > 0)).limit(1).count():
@@ -108,29 +105,66 @@ def thresholds(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = M
         )
         state = written(
             state.join(edge, state.source.eqNullSafe(edge._source), "left").select(
-                "source", "source_size", "target", "whole", "budget",
+                *own,
                 F.coalesce("_edge.bucket", F.shiftleft("prefix", BITS)).alias("prefix"),
                 F.coalesce("_edge.before", "before").alias("before"),
                 F.coalesce("_edge.words", "words").alias("words"),
                 F.coalesce("_edge.docs", F.lit(0)).alias("docs"),
             ),
-            f"mix-state-{level}",
+            f"{name}-{level}",
         )
         done = level
-    shift = BITS * (LEVELS - done)
-    nearer = 2 * (F.col("budget") - F.col("before")) > F.col("words")
-    limit = F.when(F.col("budget") > 0, F.shiftleft(F.col("prefix") + nearer.cast("long"), shift)).otherwise(F.lit(0))
-    return state.select("source", "source_size", "target", "whole", limit.alias("threshold"))
+    return state, BITS * (LEVELS - done)
 
 
-def mix(docs: DataFrame, limits: DataFrame, source: str = "source", size: str = "size", hash_: str = "hash") -> DataFrame:
-    """docs with source_size, target and copies: how often the mix takes each document.
+def _nearest(budget: Column, words: Column, docs: Column) -> Column:
+    """How many of `docs` documents alike, `words` in all, come nearest to the budget."""
+    each = words / docs
+    return F.when((docs > 0) & (words > 0), F.greatest(F.lit(0), F.least(docs, F.ceil((budget * 2 - each) / (each * 2))))).otherwise(F.lit(0)).cast("long")
 
-    limits has one row for each source (thresholds()); Spark broadcasts it if it is small enough, and no row moves.
+
+def thresholds(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """For each source of sized (source, size, hash): source, source_size, target, whole copies, the threshold below which a
+    document's hash gives it one copy more, and edge and extra: so many of the rows with the hash `edge` get one more too."""
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    target = with_targets(totals, weights, most)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    state = target.withColumn("whole", whole).withColumns({
+        "budget": F.col("target") - F.col("whole") * F.col("source_size"),
+        "prefix": F.lit(0).cast("long"),
+        "before": F.lit(0).cast("long"),
+        "words": F.col("source_size"),
+        "docs": F.lit(2).cast("long"),
+    })
+    state, shift = _refined(sized, state, "mix-state")
+    # a bucket with one document holds its hash alone, whatever bits are open; with more, all bits are used up
+    fits = F.when(F.col("budget") > 0, _nearest(F.col("budget") - F.col("before"), F.col("words"), F.col("docs"))).otherwise(F.lit(0))
+    whole_bucket = fits >= F.greatest("docs", F.lit(1))
+    limit = F.when(F.col("budget") > 0, F.shiftleft(F.col("prefix") + whole_bucket.cast("long"), shift)).otherwise(F.lit(0))
+    parted = (F.col("docs") > 1) & (fits > 0) & ~whole_bucket
+    return state.select("source", "source_size", "target", "whole", limit.alias("threshold"), F.when(parted, F.col("prefix")).alias("edge"), F.when(parted, fits).otherwise(F.lit(0)).alias("extra"))
+
+
+def edge_thresholds(sized: DataFrame, limits: DataFrame) -> DataFrame:
+    """limits with edge_threshold: of the rows with the hash `edge`, those whose row_hash lies below it are the `extra` ones."""
+    parted = limits.filter("extra > 0").select(F.col("source").alias("_source"), "edge")
+    rows = sized.join(parted, sized.source.eqNullSafe(parted._source) & (sized.hash == parted.edge)).select("source", F.lit(1).alias("size"), F.col("row_hash").alias("hash"))
+    state = limits.withColumns({
+        "budget": F.col("extra").cast("double"), "prefix": F.lit(0).cast("long"), "before": F.lit(0).cast("long"), "words": F.col("extra"), "docs": F.when(F.col("extra") > 0, 2).otherwise(0).cast("long"),
+    })
+    state, shift = _refined(rows, state, "mix-edge")
+    return state.select(*limits.columns, F.when(F.col("extra") > 0, F.shiftleft("prefix", shift)).otherwise(F.lit(0)).alias("edge_threshold"))
+
+
+def mix(docs: DataFrame, limits: DataFrame) -> DataFrame:
+    """docs (source, hash, row_hash and more) with source_size, target and copies: how often the mix takes each row.
+
+    limits has one row for each source (edge_thresholds()); Spark broadcasts it if it is small enough, and no row moves.
     """
-    lim = limits.select(F.col("source").alias("_source"), "source_size", "target", "whole", "threshold")
-    out = docs.join(lim, docs[source].eqNullSafe(lim._source), "left")
-    return out.withColumn("copies", F.col("whole") + (F.col(hash_) < F.col("threshold")).cast("long")).drop("_source", "whole", "threshold")
+    lim = limits.select(F.col("source").alias("_source"), "source_size", "target", "whole", "threshold", "edge", "edge_threshold")
+    out = docs.join(lim, docs.source.eqNullSafe(lim._source), "left")
+    more = (F.col("hash") < F.col("threshold")) | F.coalesce((F.col("hash") == F.col("edge")) & (F.col("row_hash") < F.col("edge_threshold")), F.lit(False))
+    return out.withColumn("copies", F.col("whole") + more.cast("long")).drop("_source", "whole", "threshold", "edge", "edge_threshold")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -138,20 +172,31 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("hash"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows as a written table with row_hash, a hash of the number that each row got when it was written."""
+    return written(rows.withColumn("row_hash", row_hash(F.monotonically_increasing_id())), "mix-sized")
+
+
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The documents that the mix takes, each as often as it is taken, with the columns of docs.
 
-    Rows that are alike in doc_id and text share a hash and are taken together. An empty table gives an empty mix.
+    Where only some of the rows alike in doc_id and text are taken once more, one of them (the last by its columns) stands for
+    all that are, as its texts are theirs. An empty table gives an empty mix.
     """
     limits = thresholds(written(sized(docs).select("source", "size", "hash"), "mix-sized"), weights, most)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", n_words(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("hash"))
-    taken = mix(rows, limits).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies")))
-    return taken.select("row.*")
+    limits = written(limits, "mix-limits")
+    lim = limits.select(F.col("source").alias("_source"), "whole", "threshold", "edge", "extra")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", row_hash(F.col("doc_id"), F.col("text")).alias("hash"))
+    rows = rows.join(lim, rows.source.eqNullSafe(lim._source))
+    copies = F.col("whole") + (F.col("hash") < F.col("threshold")).cast("long")
+    taken = rows.withColumn("copies", copies).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies")))
+    more = rows.filter("extra > 0 and hash = edge").groupBy("_source", "extra").agg(F.max_by("row", F.to_json("row")).alias("row"))
+    return taken.select("row.*").unionByName(more.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "extra"))).select("row.*"))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(sized(table(spark, sf_dir, "documents")), "mix-sized")
-    out = mix(rows, thresholds(rows))
+    rows = numbered(sized(table(spark, sf_dir, "documents")))
+    out = mix(rows, edge_thresholds(rows, thresholds(rows)))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -173,13 +218,14 @@ ORACLES = {
         t as (select source, source_size, case when cap < weight * rest::double / heavy::double then cap::double else weight * rest::double / heavy::double end as target
               from w, f),
         b as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as whole from t),
-        h as (select source, hash, sum(size) as words from d group by source, hash),
-        c as (select h.source, h.hash, h.words, b.target - b.whole * b.source_size as budget,
+        h as (select d.source, d.hash, sum(size) as words, count(*) as docs from d where size > 0 group by d.source, d.hash),
+        c as (select h.source, h.hash, h.words / h.docs as each, b.target - b.whole * b.source_size as budget,
                      coalesce(sum(words) over (partition by h.source order by hash rows between unbounded preceding and 1 preceding), 0) as prior
-              from h join b on h.source is not distinct from b.source where words > 0),
-        x as (select source, hash, prior + words <= budget or (prior <= budget and 2 * (budget - prior) > words) as more from c)
+              from h join b on h.source is not distinct from b.source),
+        x as (select source, hash, greatest(0, ceil((2 * (budget - prior) - each) / (2 * each))) as extra from c),
+        n as (select *, row_number() over (partition by source, hash) as copy from d)
         select d.doc_id, d.size::bigint as size, b.source_size, b.target,
-               (d.size * (b.whole + case when x.more then 1 else 0 end))::bigint as taken
-        from d join b on d.source is not distinct from b.source
+               (d.size * (b.whole + case when d.copy <= x.extra then 1 else 0 end))::bigint as taken
+        from n d join b on d.source is not distinct from b.source
         left join x on x.source is not distinct from d.source and x.hash = d.hash""",
 }
