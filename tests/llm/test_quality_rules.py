@@ -89,3 +89,28 @@ def test_whole_documents_train_the_field(spark, monkeypatch):
     assert len(values) == len(labels) == 600
     place = values[:, -1] - q.STARTS[-1]
     assert place[0] == 0 and place[-1] == 2 and (place[1:-1] == 1).all()
+
+
+def test_the_sample_is_bounded_by_lines_and_takes_one_document_in_any_case(spark):
+    docs = spark.createDataFrame([(i, "\n".join(["a line of some words here."] * 10)) for i in range(20)] + [(99, "x\n" * 5000)], "doc_id long, text string")
+    assert q.sampled(docs, 1000, 60).count() == 6
+    assert q.sampled(docs, 1000, 100_000).count() == 21
+    assert q.sampled(docs.filter("doc_id = 99"), 1000, 60).count() == 1
+    assert q.sampled(docs.limit(0), 10, 10).count() == 0
+
+
+def test_a_text_of_very_many_lines_stays_within_memory():
+    import tracemalloc
+
+    lines = ["a line of some six words.", "### | | | !!", "other"] * 100_000
+    values, _, labels = q.line_features(lines)
+    field = q.Field(np.zeros((q.N_VALUES, 2)), np.zeros((2, 2)), np.zeros(2))
+    short = [values[:4]] * 255
+    tracemalloc.start()
+    paths = q.viterbi(field, [values, *short])
+    assert tracemalloc.get_traced_memory()[1] < 60e6 and len(paths[0]) == len(lines)
+    tracemalloc.stop()
+    tracemalloc.start()
+    q.train([(values[:40_000], labels[:40_000]), *[(v, labels[:4]) for v in short]], epochs=1)
+    assert tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()

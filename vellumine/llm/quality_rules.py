@@ -25,10 +25,17 @@ from vellumine.llm.common import table
 
 CONTENT, BOILERPLATE, HIDDEN = 0, 1, -1
 
-#: The most documents that the field is trained on (those with the smallest hash), each as a whole.
-TRAIN_ROWS = 2000
+#: The most documents that the field is trained on (those with the smallest hash), each as a whole, and the most lines of all
+#: of them: documents that would exceed it are passed over, but one is taken in any case.
+TRAIN_ROWS, TRAIN_LINES = 2000, 500_000
 
-#: A line shorter than this is a notice if it holds a notice word, a longer one if it holds more than one in so many words.
+#: Lines of a sequence that is trained on; longer texts are several sequences.
+PIECE = 2000
+
+#: Cells (lines times sequences) of a padded batch.
+CELLS = 200_000
+
+#: A line is a notice if it holds more than one notice word in so many words.
 NOTICE_WORDS = 200
 
 #: The least share of a document's words in content lines.
@@ -84,10 +91,7 @@ def line_features(lines: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndar
             again[i] = line in seen
             seen.add(line)
         low = line.lower()
-        if words < NOTICE_WORDS:
-            notice[i] = any(w in low for w in NOTICES)
-        else:
-            notice[i] = NOTICE_WORDS * sum(map(low.count, NOTICES)) > words
+        notice[i] = NOTICE_WORDS * sum(map(low.count, NOTICES)) > words
         bars[i] = b.count(b"|")
     place = np.ones(n, int)
     if n:
@@ -149,10 +153,10 @@ def train(samples: Sequence[tuple[np.ndarray, np.ndarray]], epochs: int = 12, ra
     """The field that makes the known labels of the samples (feature values, labels) likely; all zero without any."""
     emit, step, first = np.zeros((N_VALUES, 2)), np.zeros((2, 2)), np.zeros(2)
     grown = [np.full_like(x, 1e-2) for x in (emit, step, first)]
-    kept = sorted((s for s in samples if len(s[0]) and (s[1] != HIDDEN).any()), key=lambda s: len(s[0]))
+    pieces = ((v[k : k + PIECE], y[k : k + PIECE]) for v, y in samples for k in range(0, len(v), PIECE))
+    kept = sorted((s for s in pieces if (s[1] != HIDDEN).any()), key=lambda s: len(s[0]))
     for _ in range(epochs):
-        for at in range(0, len(kept), batch):
-            part = kept[at : at + batch]
+        for part in (kept[at : at + batch] for at in range(0, len(kept), batch)):
             values, sizes = _padded([v for v, _ in part], 0)
             labels, _ = _padded([y for _, y in part], HIDDEN)
             scores = emit[values].sum(axis=2)
@@ -173,8 +177,10 @@ def viterbi(field: Field, seqs: Sequence[np.ndarray]) -> list[np.ndarray]:
     """The best labels of each sequence of feature values; of two equal paths, the one with content."""
     out: list[np.ndarray] = [np.zeros(0, int)] * len(seqs)
     order = sorted((i for i in range(len(seqs)) if len(seqs[i])), key=lambda i: -len(seqs[i]))
-    for at in range(0, len(order), 256):
-        part = order[at : at + 256]
+    at = 0
+    while at < len(order):
+        part = order[at : at + max(1, min(256, CELLS // len(seqs[order[at]])))]
+        at += len(part)
         n = np.array([len(seqs[i]) for i in part])
         scores = [field.emit[seqs[i]].sum(axis=1) for i in part]
         t = int(n[0])
@@ -235,11 +241,27 @@ def base_counts(text: str, lines: Sequence[str]) -> tuple[int, int, int, int, in
     return len(words), len(text) - sum(map(text.count, WHITE)), sum(map(text.count, SYMBOLS)), dup, repeated_words(words)
 
 
-def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Field:
-    """The field trained on at most train_rows documents, those with the smallest hash of doc_id and text."""
+def sampled(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_lines: int = TRAIN_LINES) -> DataFrame:
+    """h and text of at most train_rows documents with at most train_lines lines, those with the smallest hash h of doc_id
+    and text; one document in any case."""
     hashed = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
     last = hashed.select("h").orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
-    picked = hashed.filter(F.col("h") <= F.lit(last)).dropDuplicates(["h"])
+    picked = hashed.filter(F.col("h") <= F.lit(last))
+    sizes = picked.groupBy("h").agg(F.min(F.regexp_count("text", F.lit("\n")) + 1).alias("n")).orderBy("h").collect()  # at most train_rows
+    chosen, left = [], train_lines
+    for r in sizes:
+        if r["n"] <= left:
+            chosen.append(r["h"])
+            left -= r["n"]
+    if not chosen and sizes:
+        chosen = [min(sizes, key=lambda r: (r["n"], r["h"]))["h"]]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in chosen], "h long"))
+    return picked.join(wanted, "h").dropDuplicates(["h"])
+
+
+def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_lines: int = TRAIN_LINES) -> Field:
+    """The field trained on the sampled() documents, each as a whole."""
+    picked = sampled(docs, train_rows, train_lines)
 
     def to_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
