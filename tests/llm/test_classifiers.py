@@ -77,3 +77,15 @@ def test_toxic_documents_go_and_columns_stay(spark):
     by = {r["toxic"]: r["n"] for r in kept.join(labels, "doc_id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     all_ = {r["toxic"]: r["n"] for r in docs.join(labels, "doc_id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     assert by[0] >= 0.97 * all_[0] and by.get(1, 0) <= 0.3 * all_[1]
+
+
+def test_a_labelled_id_that_many_rows_share_is_one_row_for_the_driver(spark):
+    from vellumine.llm import quality_classifier, toxicity
+
+    docs = spark.createDataFrame([(1, f"some text {i % 7}") for i in range(3000)] + [(2, "other words")], "doc_id long, text string")
+    sample = spark.createDataFrame([(1, 1.0), (2, 0.0)], "doc_id long, label double")
+    rows = quality_classifier.one_text_each(docs, sample)
+    assert rows.count() == 2 and rows.first()["text"] == quality_classifier.one_text_each(docs.repartition(5), sample).first()["text"]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert toxicity.score(docs, model).count() == 3001

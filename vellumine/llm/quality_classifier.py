@@ -67,6 +67,15 @@ def labelled_sample(labels: DataFrame, label: str, folds: int, held_out: int, ro
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+def one_text_each(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """doc_id, label and text of the sampled documents, one row for each: of several texts the one with the smallest hash.
+
+    A repeated doc_id is reduced on the map side, so what goes on is bounded by the sample, however many rows share an id.
+    """
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id")
+    return texts.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held_out: int = 2, train_rows: int = TRAIN_ROWS) -> Linear:
     """The model fitted on the labelled documents outside the held-out fold."""
     sample = written(labelled_sample(labels, label, folds, held_out, train_rows), "quality-sample")
@@ -76,8 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
             found = [features(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "ids": [i.astype(np.int32) for i, _ in found], "vals": [v.astype(np.float32) for _, v in found]})
 
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id")
-    rows = texts.mapInPandas(to_features, "doc_id long, label double, ids array<int>, vals array<float>").toArrow().combine_chunks()
+    rows = one_text_each(docs, sample).mapInPandas(to_features, "doc_id long, label double, ids array<int>, vals array<float>").toArrow().combine_chunks()
     labels_, doc_ids = rows["label"].to_numpy(), rows["doc_id"].to_pylist()
     share = float(labels_.mean()) if len(labels_) else 0.5
     rare = min(4.0, max(1.0, (share / max(1e-9, 1 - share)) ** 0.5))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from vellumine.llm.common import column_name, table, written
 from vellumine.llm.ftrl import Linear, train
-from vellumine.llm.quality_classifier import in_fold, labelled_sample
+from vellumine.llm.quality_classifier import in_fold, labelled_sample, one_text_each
 
 #: A general list of insults, for corpora without labels.
 INSULTS = tuple("idiot moron stupid dumb loser scum trash garbage pathetic worthless disgusting clown fool jerk creep vermin filth imbecile".split())
@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     """Fits voters, label model and classifier. Without toxic labels the general list and the patterns alone vote."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sample = written(labelled_sample(labels, label, folds, held_out, LABELLED_ROWS), "toxic-sample")
-    known = written(docs.join(sample, "doc_id").select("text", "label"), "toxic-known")
+    known = written(one_text_each(docs, sample).select("text", "label"), "toxic-known")
     voters = Voters((*lexicons(known), frozenset(INSULTS)))
     at = docs.sparkSession.sparkContext.broadcast(voters)
 
@@ -264,7 +264,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     post = model.posterior(bits) if len(patterns) else np.zeros(0)
 
     posterior = docs.sparkSession.createDataFrame(list(zip(codes.tolist(), post.tolist(), strict=True)), "votes int, posterior double")
-    judged = voted.join(F.broadcast(posterior), "votes").filter("doc_id is not null")  # at most 2**VOTERS rows
+    # at most 2**VOTERS rows are broadcast; copies of a row are one, so that they neither fill the sample nor reach the driver
+    judged = voted.filter("doc_id is not null").distinct().join(F.broadcast(posterior), "votes")
     pick = lambda d: d.orderBy(F.xxhash64("doc_id", F.lit("train")), "doc_id").limit(TRAIN_ROWS).select("doc_id", "text_hash", "posterior")
     chosen = written(pick(judged.filter("posterior > 0.5")).unionByName(pick(judged.filter("posterior <= 0.5"))).distinct(), "toxic-train")
 
@@ -272,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "posterior": pdf["posterior"], "ids": [feature_ids(t).astype(np.int32) for t in pdf["text"]]})
 
-    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(chosen, ["doc_id", "text_hash"])
+    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(chosen, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
     found = texts.select("doc_id", "posterior", "text").mapInPandas(to_ids, "doc_id long, posterior double, ids array<int>").toArrow().combine_chunks()
     labels_, data = found["posterior"].to_numpy(), []
     if len(labels_):
