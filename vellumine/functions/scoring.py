@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.functions.skills import whole_word
+from vellumine.functions.skills import mentioned
 
 
 def filled(c: Column) -> Column:
@@ -77,7 +77,9 @@ def classify(docs: DataFrame, key: str, words: str, taxonomy: dict[str, dict[str
     taxonomy: domain to {term: weight}, in order; ties go to the earlier domain, and below `least` the domain is General.
     The terms are a literal map, so a document is classified where it lies, without a join or a shuffle.
     """
-    distinct = F.array_distinct(F.col(words))
+    terms = F.array(*[F.lit(t) for t in dict.fromkeys(t for group in taxonomy.values() for t in group)]).cast("array<string>")
+    docs = docs.select(key, F.array_intersect(words, terms).alias("_hits"))  # once; the domains look at these few alone
+    distinct = F.col("_hits")
     scored = []
     for at, (name, terms) in enumerate(taxonomy.items()):
         weights = F.create_map(*[F.lit(x) for kv in terms.items() for x in kv])
@@ -117,9 +119,13 @@ def profile_domain(p: DataFrame, taxonomy: dict[str, tuple[tuple[str, ...], tupl
     domain once, if it equals a term or holds one of more than 3 letters. boost: (domain, tools, word, points) for one of
     the tools in skills or highlights and the word in a role. Below `least` the role's name decides.
     """
-    low = {c: F.lower(F.coalesce(c, F.lit(""))) for c in ("role", "roles", "education", "highlights", "summary")}
-    own = F.coalesce("skills", F.array().cast("array<string>"))
-    hits = lambda text, terms: sum((F.when(low[text].rlike(whole_word((t,))), PROFILE_POINTS[text]).otherwise(0.0) for t in terms), F.lit(0.0))
+    texts = ("role", "roles", "education", "highlights", "summary")
+    every = {c: tuple(dict.fromkeys(t for skill, other in taxonomy.values() for t in ((t for t in skill if len(t) > 3) if c in ("highlights", "summary") else other))) for c in texts}
+    own_columns = p.columns
+    p = p.withColumns({f"_low_{c}": F.lower(F.coalesce(c, F.lit(""))) for c in texts} | {"_own": F.coalesce("skills", F.array().cast("array<string>"))})
+    p = p.withColumns({f"_in_{c}": mentioned(F.col(f"_low_{c}"), every[c]) for c in texts})
+    low, own = {c: F.col(f"_low_{c}") for c in texts}, F.col("_own")
+    hits = lambda text, terms: F.size(F.array_intersect(f"_in_{text}", F.array(*[F.lit(t) for t in terms]).cast("array<string>"))) * PROFILE_POINTS[text]
     scored = []
     for at, (name, (skill_terms, role_terms)) in enumerate(taxonomy.items()):
         long = tuple(t for t in skill_terms if len(t) > 3)
@@ -130,5 +136,5 @@ def profile_domain(p: DataFrame, taxonomy: dict[str, tuple[tuple[str, ...], tupl
             asked = (F.exists(own, tool) | tool(low["highlights"])) & (F.contains(low["role"], F.lit(boost[2])) | F.contains(low["roles"], F.lit(boost[2])))
             score = score + F.when(asked, boost[3]).otherwise(0.0)
         scored.append(F.struct(score.alias("score"), F.lit(-at).alias("at"), F.lit(name).alias("domain")))
-    best = p.withColumn("_best", F.array_max(F.array(*scored)))
+    best = p.select(*own_columns, F.array_max(F.array(*scored)).alias("_best"))
     return best.withColumns({"domain": F.when(F.col("_best.score") >= least, F.col("_best.domain")).otherwise(profile_of_role(F.col("role"))), "score": F.col("_best.score")}).drop("_best")

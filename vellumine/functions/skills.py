@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -70,15 +71,33 @@ def valid_skill(skill: Column, words: Words) -> Column:
 
     Known skills need only the first three of these. Null is none.
     """
-    low = F.lower(stripped(skill))
-    tokens = F.filter(F.split(low, r"\s+"), lambda w: w != "")
-    stop = low.isin(*words.stop, *HEADINGS) | (F.endswith(low, F.lit("s")) & F.substring(low, F.lit(1), F.length(low) - 1).isin(*words.stop, ""))
-    shape = F.length(low).between(2, 40) & ~stop & low.rlike(r"\p{L}") & (F.size(tokens) <= 4)
-    holds = lambda parts: low.rlike("|".join(parts))
-    companies = tuple(w for w in words.companies if w not in ("systems", "services", "electric"))
-    bad = F.arrays_overlap(tokens, _literals(words.roles)) | holds(ROLE_PARTS) | F.arrays_overlap(tokens, _literals(companies))
-    bad = bad | low.rlike(whole_word(COMPANY_MARKS)) | holds(DATE_WORDS) | low.rlike(r"(?:^|[^\p{L}\p{N}_])(?:19|20)[0-9]{2}(?:$|[^\p{L}\p{N}_])")
-    return F.coalesce((stripped(skill) == "Go") | (low == "golang") | (shape & (low.isin(*words.known, "") | ~bad)), F.lit(False))
+
+    def judged(s: Column, low: Column) -> Column:
+        tokens = F.array_remove(F.split(low, r"\s+"), "")
+        stop = low.isin(*words.stop, *HEADINGS) | (F.endswith(low, F.lit("s")) & F.substring(low, F.lit(1), F.length(low) - 1).isin(*words.stop, ""))
+        shape = F.length(low).between(2, 40) & ~stop & low.rlike(r"\p{L}") & (F.size(tokens) <= 4)
+        holds = lambda parts: low.rlike("|".join(parts))
+        companies = tuple(w for w in words.companies if w not in ("systems", "services", "electric"))
+        bad = T.let(tokens, lambda t: F.arrays_overlap(t, _literals(words.roles)) | F.arrays_overlap(t, _literals(companies)))
+        bad = bad | holds(ROLE_PARTS) | low.rlike(whole_word(COMPANY_MARKS)) | holds(DATE_WORDS) | low.rlike(r"(?:^|[^\p{L}\p{N}_])(?:19|20)[0-9]{2}(?:$|[^\p{L}\p{N}_])")
+        return F.coalesce((s == "Go") | (low == "golang") | (shape & (low.isin(*words.known, "") | ~bad)), F.lit(False))
+
+    return T.let(stripped(skill), lambda s: T.let(F.lower(s), lambda low: judged(s, low)))
+
+
+def mentioned(low: Column, terms: tuple[str, ...]) -> Column:
+    """The terms that a text in lower case holds as whole words, in the order of the terms.
+
+    The text is cut into words once, and the terms of one word are those of its words that the list has, whatever the length
+    of the list; only terms with blanks or marks in them are searched for one by one.
+    """
+    single = tuple(t for t in terms if re.fullmatch("[A-Za-z0-9_]+", t))
+    found = F.array_intersect(F.split(low, r"[^\p{L}\p{N}_]+"), _literals(single))
+    others = {t: low.rlike(whole_word((t,))) for t in terms if t not in single}
+    among = lambda present: F.filter(_literals(terms), lambda t: F.coalesce(F.array_contains(present, t), F.lit(False)))
+    if others:
+        found = F.concat(found, F.array_compact(F.array(*[F.when(hit, F.lit(t)) for t, hit in others.items()])))
+    return T.let(found, among)
 
 
 def _parted(item: Column) -> Column:
@@ -90,7 +109,7 @@ def _parted(item: Column) -> Column:
 
 def _items(lines: Column, words: Words) -> Column:
     found = F.flatten(F.transform(F.flatten(F.transform(lines, lambda x: F.split(x, ITEM_BREAKS))), _parted))
-    return F.filter(found, lambda x: valid_skill(x, words))
+    return F.filter(F.array_distinct(found), lambda x: valid_skill(x, words))
 
 
 def skills(text: Column, section: Column, words: Words) -> Column:
@@ -101,10 +120,9 @@ def skills(text: Column, section: Column, words: Words) -> Column:
     listed = once(_items(F.transform(rows, lambda x: F.coalesce(F.nullif(stripped(F.regexp_replace(x, LABEL, "")), F.lit("")), x)), words))
     short = F.filter(F.transform(lines_of(text), lambda x: unmarked(x)), lambda x: (F.length(x) <= 160) & x.rlike(SKILL_LINE))
     labelled = _items(F.transform(short, lambda x: F.regexp_extract(x, SKILL_LINE, 1)), words)
-    low = F.lower(text)
-    mentioned = F.array(*[F.when(low.rlike(whole_word((k,))), k.title()) for k in words.known]).cast("array<string>")
-    mentioned = F.filter(mentioned, lambda x: x.isNotNull() & valid_skill(x, words))
-    return once(F.concat(T.let(listed, lambda a: F.when(F.size(a) < 3, F.concat(a, labelled)).otherwise(a)), mentioned))
+    known = F.create_map(*[F.lit(x) for k in words.known for x in (k, k.title())]) if words.known else F.map_from_arrays(_literals(()), _literals(()))
+    named = F.filter(F.transform(mentioned(F.lower(text), words.known), lambda k: F.element_at(known, k)), lambda x: valid_skill(x, words))
+    return once(F.concat(T.let(listed, lambda a: F.when(F.size(a) < 3, F.concat(a, labelled)).otherwise(a)), named))
 
 
 def certifications(section: Column) -> Column:

@@ -35,15 +35,18 @@ def total_experience(items: DataFrame, keys: Sequence[str], as_of: Column) -> Da
     is_current and duration. A current item, or one that lasts to the present, ends in as_of (a date). An item without
     usable dates counts by the years and months of its duration, from month 0 on, so that such items overlap.
     """
-    part = lambda c, group: F.nullif(F.regexp_extract(F.trim(c), r"^([0-9]{4})(?:-([0-9]{1,2}))?", group), F.lit("")).cast("int")
-    month = lambda c, missing: part(c, 1) * 12 + F.coalesce(part(c, 2), F.lit(missing))
+    number = lambda c, pattern, group: F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+    date = lambda c: F.struct(*[number(F.trim(c), r"^([0-9]{4})(?:-([0-9]{1,2}))?", k).cast("int").alias(n) for k, n in ((1, "y"), (2, "m"))])
     current = F.coalesce("is_current", F.lit(False)) | F.coalesce(F.lower("duration").contains("present"), F.lit(False))
-    start, end = month("start_date", 1), F.when(current, F.year(as_of) * 12 + F.month(as_of)).otherwise(month("end_date", 12))
-    dated = F.coalesce((start > 0) & (end >= start), F.lit(False))
-    years = F.nullif(F.regexp_extract("duration", r"(?i)([0-9]+(?:[.][0-9]+)?)\s*(?:years?|yrs?)", 1), F.lit("")).cast("double")
-    months = F.nullif(F.regexp_extract("duration", r"(?i)([0-9]+)\s*(?:months?|m\b)", 1), F.lit("")).cast("double")
-    lasting = F.floor(years * 12 + F.coalesce(months, F.lit(0.0))).cast("int")
-    spans = items.select(*keys, F.when(dated, start).when(lasting > 0, 0).alias("_from"), F.when(dated, end).when(lasting > 0, lasting).alias("_to"))
+    years, months = number(F.col("duration"), r"(?i)([0-9]+(?:[.][0-9]+)?)\s*(?:years?|yrs?)", 1).cast("double"), number(F.col("duration"), r"(?i)([0-9]+)\s*(?:months?|m\b)", 1).cast("double")
+    # the texts are parsed once a row, in a step of their own; what follows is arithmetic
+    parsed = items.select(*keys, date(F.col("start_date")).alias("_s"), date(F.col("end_date")).alias("_e"), current.alias("_now"), F.floor(years * 12 + F.coalesce(months, F.lit(0.0))).cast("int").alias("_lasting"))
+    month = lambda d, missing: F.col(f"{d}.y") * 12 + F.coalesce(f"{d}.m", F.lit(missing))
+    start, end = month("_s", 1), F.when(F.col("_now"), F.year(as_of) * 12 + F.month(as_of)).otherwise(month("_e", 12))
+    timed = parsed.select(*keys, "_lasting", start.alias("_start"), end.alias("_end"))
+    dated = F.coalesce((F.col("_start") > 0) & (F.col("_end") >= F.col("_start")), F.lit(False))
+    lasting = F.col("_lasting") > 0
+    spans = timed.select(*keys, F.when(dated, F.col("_start")).when(lasting, 0).alias("_from"), F.when(dated, F.col("_end")).when(lasting, F.col("_lasting")).alias("_to"))
     return union_length(spans, keys, "_from", "_to").select(*keys, months_text(F.when(F.col("covered") > 0, F.col("covered"))).alias("experience"))
 
 

@@ -5,20 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.functions import insights, notes, parsing
-from vellumine.operators import pages
+from vellumine.functions import insights, notes
+from vellumine.functions.skills import Words
+from vellumine.operators import extraction, pages
 from vellumine.sources.tables import table
 
-PROFILES = (
-    "Lorem Ipsum\nlorem@x.org\nSUMMARY\nBuilds things.\nExperience\nData Engineer at Acme Labs\nJan 2020 - Present\n- Built a thing\nEducation\nB.Tech Computing, Some University 2019\nProjects\nThing\nTools: a, b",
-    "Resume\nDolor Sit\nExperience: Acme Ltd (Senior Developer) 03/2015 - 04/2019\n- One\n- Two\nEducation\nMBA | City College | 2014",
-)
-
-
-def _fixture(spark: SparkSession, values: tuple[str, ...]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(values)), "id int, value string")
-
-
 #: What is said before each turn of a conversation, by the number of its document and turn; {} is a number.
 SAID = (
     "Availability: {} days. Present salary: {} lacs. ", "Notice period: ready to join, residing in pune, expected ctc {}% hike. ", "Serving notice - immediately; Current CTC: {}, expected salary: {}.5 lpa. ",
@@ -61,13 +52,24 @@ def page_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Name, positions, degrees and projects of small profiles, each read from its section."""
-    cut = _fixture(spark, PROFILES).withColumn("s", parsing.sections_of(F.col("value")))
-    jobs, degrees, things = parsing.experience_of(F.col("s.experience")), parsing.education_of(F.col("s.education")), parsing.projects_of(F.col("s.projects"))
-    out = cut.select("id", parsing.person_name_of(F.col("value")).alias("name"), jobs.alias("j"), degrees.alias("d"), things.alias("p"))
+    """Raw profiles of parts, with markup, read as wholes: contacts, sections, positions, degrees and skills of each."""
+    a, b = F.get("w", F.lit(0)), F.get("w", F.lit(1))
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("w")).select("p_partkey", a.alias("a"), b.alias("b"))
+    a, b, k = F.col("a"), F.col("b"), F.col("p_partkey").cast("string")
+    raw = F.concat(
+        F.lit("<html><script>x()</script><p>Curriculum Vitae</p><p>"), F.initcap(a), F.lit(" "), F.initcap(b), F.lit("</p><p>"), a, k, F.lit("@Example.org &amp; +91 98765 4"), F.lpad(k, 4, "0"), F.lit("</p><p>linkedin.com/in/"), b, k,
+        F.lit("</p>\n<h2>SUMMARY</h2><p>Builds "), a, F.lit(" things for people who like\n"), b, F.lit(" things.</p><h2>Experience</h2><p>Senior Engineer at "), F.initcap(a), F.lit(" Labs, Pune</p><p>Jan 2020 - Present</p><li>• made "), b,
+        F.lit(" well</li><p>"), F.initcap(b), F.lit(" Analyst (Foo Ltd)</p><p>2015 – 2019</p><h2>Education</h2><p>B.Tech Physics, "), F.initcap(a), F.lit(" College, 2014</p><h2>Skills</h2><p>Welding, "), b, F.lit("; react.js | ReactJS</p>"),
+    )
+    docs = parts.select("p_partkey", raw.alias("text"), F.concat(k, F.lit(".pdf")).alias("file"))
+    words = Words(roles=("engineer", "analyst"), companies=("labs", "ltd"), places=("pune",))
+    out = extraction.profiles(docs, "p_partkey", "text", "file", words, {"reactjs": "React"})
+    job = lambda i: F.get("experience", F.lit(i))
+    degree = F.get("education", F.lit(0))
     return out.select(
-        "id", "name", F.get("j", F.lit(0))["role"].alias("role"), F.get("j", F.lit(0))["company"].alias("company"), F.get("j", F.lit(0))["is_current"].alias("is_current"),
-        F.size(F.get("j", F.lit(0))["highlights"]).alias("n_highlights"), F.get("d", F.lit(0))["institution"].alias("institution"), F.get("d", F.lit(0))["year"].alias("year"), F.size("p").alias("n_projects"),
+        "p_partkey", "name", "role", F.array_join("emails", "|").alias("emails"), F.array_join("phones", "|").alias("phones"), "linkedin", "summary", F.array_join("skills", "|").alias("skills"),
+        F.size("experience").cast("long").alias("n_positions"), *[job(0)[c].alias(f"first_{c}") for c in ("role", "company", "location", "duration")], F.array_join(job(0)["highlights"], "|").alias("first_highlights"),
+        job(1)["role"].alias("second_role"), job(1)["company"].alias("second_company"), job(1)["duration"].alias("second_duration"), degree["degree"].alias("degree"), degree["institution"].alias("institution"), degree["end_date"].alias("end_date"),
     )
 
 
@@ -95,6 +97,11 @@ QUERIES = {f.__name__: f for f in (notes_parse, json_values, insights_cascade, f
 
 
 ORACLES = {
+    "profile_parts": """
+        with p as (select p_partkey as k, split_part(p_name, ' ', 1) as a, split_part(p_name, ' ', 2) as b, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] as ca, upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] as cb from part)
+        select k as p_partkey, ca || ' ' || cb as name, 'Senior Engineer' as role, a || k || '@example.org' as emails, '+91 98765 4' || lpad(k::varchar, 4, '0') as phones, 'https://www.linkedin.com/in/' || b || k as linkedin,
+               'Builds ' || a || ' things for people who like ' || b || ' things.' as summary, 'Welding|' || cb || '|React' as skills, 2::bigint as n_positions, 'Senior Engineer' as first_role, ca || ' Labs' as first_company, 'Pune' as first_location,
+               '2020-01 - Present' as first_duration, 'made ' || b || ' well' as first_highlights, cb || ' Analyst' as second_role, 'Foo Ltd' as second_company, '2015 - 2019' as second_duration, 'B.Tech Physics' as degree, ca || ' College' as institution, '2014' as end_date from p""",
     "notes_parse": """
         with c as (select *, count(*) over (partition by conv_id) as n, last_value(text) over (partition by conv_id order by turn rows between unbounded preceding and unbounded following) as last from conversations),
         o as (select conv_id, turn, trim(last) as last, case when n = 1 then trim(text) else text end as text, case when n = 1 then '2024-02-01' else '2024-01-' || lpad((turn % 28 + 1)::varchar, 2, '0') end as date from c)
