@@ -94,8 +94,7 @@ def _record(rows: DataFrame, words: Words) -> DataFrame:
 
 def _dated(duration: Column) -> Column:
     """Struct of the shown duration, start_date and end_date of a written one; a year alone is the end, `2019-21` spans a century's years."""
-    whole = F.regexp_replace(duration, r"\b((?:19|20))([0-9]{2})\s*[-–—]\s*([0-9]{2})$", "$1$2 - $1$3")
-    d = T.parsed_range(whole)
+    d = T.parsed_range(duration)
     return F.struct(d["shown"].alias("duration"), d["start"].alias("start_date"), d["end"].alias("end_date"))
 
 

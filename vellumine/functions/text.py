@@ -199,7 +199,8 @@ def shown_range(text: Column, start: Column, end: Column, is_current: Column) ->
 
 
 def parsed_range(text: Column, single_as: str = "end") -> Column:
-    """Struct of start, end, is_current and shown of a written duration, with dashes of any length and a leading `from`."""
+    """Struct of start, end, is_current and shown of a written duration, with dashes of any length and a leading `from`; the
+    second of two years may lack its century (`2010-12`)."""
 
     def parsed(t: Column) -> Column:
         dates = date_range(F.regexp_replace(F.regexp_replace(t, "[–—]", "-"), r"(?i)^from\s+", ""), single_as)
@@ -209,7 +210,7 @@ def parsed_range(text: Column, single_as: str = "end") -> Column:
         parts = [d[k].alias(k) for k in ("start", "end", "is_current")]
         return F.struct(*parts, shown_range(t, d["start"], d["end"], d["is_current"]).alias("shown"))
 
-    return let(text, parsed)
+    return let(F.regexp_replace(text, r"\b(19|20)([0-9]{2})\s*[-–—]\s*([0-9]{2})$", "$1$2 - $1$3"), parsed)
 
 
 def normal_skill(skill: Column, aliases: dict[str, str]) -> Column:
