@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -32,22 +32,23 @@ from vellumine.llm.common import table, written
 #: The most vectors that the index is fitted on, the most lists, slices of a residual, codewords of a slice.
 SAMPLE, MOST_LISTS, PARTS, CODEWORDS = 20_000, 1024, 16, 256
 
-#: Sampled vectors on which the number of lists is calibrated, and the recall it aims at.
-CALIBRATION, TARGET_RECALL = 200, 0.97
+#: Sampled vectors on which the number of lists and the cosine are calibrated, and the recall that each aims at.
+CALIBRATION, TARGET_RECALL, TARGET_COSINE = 200, 0.97, 0.98
 
-#: Candidates of a block that are measured first; the least and most rows of a block; queries of a block.
-RERANK, LEAST_BLOCK, MOST_BLOCK, QUERY_BLOCK = 64, 256, 8192, 2048
+#: Candidates of a block that are measured at a time; the least and most rows of a block; queries of a block.
+RERANK, LEAST_BLOCK, MOST_BLOCK, QUERY_BLOCK = 16, 256, 8192, 2048
 
 NEIGHBOURS = 10
 
 
 @dataclass(frozen=True)
 class Index:
-    """What is fitted: centroids, and codebooks by slice."""
+    """What is fitted: centroids, codebooks by slice, lists to visit, and the cosine that bounds distances by codes."""
 
     centroids: np.ndarray
     books: list[np.ndarray]
     probes: int
+    cosine: float = 1.0
 
     def away(self, x: np.ndarray) -> np.ndarray:
         """Squared distances of each vector to the centroids, less the vector's own square."""
@@ -73,10 +74,19 @@ class Index:
                 out[i] = order[: max(self.probes, np.searchsorted(held[order].cumsum(), n) + 1)]
         return out
 
+    def decoded(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What codes stand for."""
+        return self.centroids[lists] + np.concatenate([b[codes[:, s]] for s, b in enumerate(self.books)], axis=1).astype(np.float64)
+
     def errors(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """The distance of each vector to what its code stands for."""
-        coded = np.concatenate([b[codes[:, s]] for s, b in enumerate(self.books)], axis=1).astype(np.float64)
-        return np.sqrt(((x - self.centroids[lists] - coded) ** 2).sum(axis=1))
+        return np.sqrt(((x - self.decoded(lists, codes)) ** 2).sum(axis=1))
+
+    def may_be_within(self, last: float, root: np.ndarray, error: np.ndarray, slack: np.ndarray) -> np.ndarray:
+        """Whether vectors at `root` by their codes, with these errors, may be as near as `last`."""
+        possible = ~(np.abs(root - error) - slack > last) | ~np.isfinite(root)
+        likely = ~(np.sqrt(np.maximum(root**2 + error**2 - 2 * self.cosine * root * error, 0.0)) - slack > last)
+        return possible & (likely | (last < error / 2))
 
     def tables(self, q: np.ndarray, number: int) -> np.ndarray:
         """Squared distances of each query's residual in this list to the codewords: queries, slices, codewords."""
@@ -121,7 +131,16 @@ def fit(sample: np.ndarray, n: int, k: int = NEIGHBOURS, target: float = TARGET_
     place = np.argsort(np.argsort(away, axis=1), axis=1)
     needed = np.sort(place[np.arange(len(queries))[:, None], at[true]].ravel())
     probes = int(needed[min(len(needed) - 1, math.ceil(target * len(needed)) - 1)]) + 1 if len(x) > 1 else 1
-    return Index(centroids, books, probes)
+    index = Index(centroids, books, probes)
+    if len(x) < 2:
+        return index
+    coded = index.decoded(at[true.ravel()], index.encode(x[true.ravel()], at[true.ravel()]))
+    asked, found = np.repeat(x[queries], k, axis=0).astype(np.float64), x[true.ravel()].astype(np.float64)
+    u, e = asked - coded, found - coded
+    error = np.sqrt((e**2).sum(axis=1))
+    apart = np.sqrt(((asked - found) ** 2).sum(axis=1)) >= error / 2
+    cosines = (u * e).sum(axis=1)[apart] / np.maximum(np.sqrt((u**2).sum(axis=1)) * error, 1e-30)[apart]
+    return replace(index, cosine=float(np.clip(np.quantile(cosines, TARGET_COSINE), 0.0, 1.0)) if len(cosines) else 1.0)
 
 
 def valid_vectors(vectors: DataFrame, id_: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -208,15 +227,20 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, target: float = TA
                     needed = min(k + int(own[row]), len(x))  # the query's own rows may be among them
                     many = min(max(RERANK, needed), len(x))
                     about = t[np.arange(t.shape[0])[None, :], codes].sum(axis=1)
+                    measure = lambda some: np.sqrt(((x[some] - q[row]) ** 2).sum(axis=1))  # noqa: B023, E731
                     some = np.argpartition(about, many - 1)[:many]
-                    exact = np.sqrt(((x[some] - q[row]) ** 2).sum(axis=1))
-                    if many < len(x):
-                        last, root = np.partition(exact, needed - 1)[needed - 1], np.sqrt(about.astype(np.float64))
-                        slack = 1e-5 * (root + error) + 1e-6 * (size + np.sqrt((q[row] ** 2).sum()))  # single precision
-                        near = ~(root - error - slack > last) | ~np.isfinite(root)
-                        near[some] = False
-                        more = np.flatnonzero(near)
-                        some, exact = np.concatenate([some, more]), np.concatenate([exact, np.sqrt(((x[more] - q[row]) ** 2).sum(axis=1))])
+                    exact, left_ = measure(some), np.ones(len(x), bool)
+                    left_[some] = False
+                    root = np.sqrt(about.astype(np.float64))
+                    slack = 1e-5 * (root + error) + 1e-6 * (size + np.sqrt((q[row] ** 2).sum()))  # single precision
+                    while left_.any():  # the next best ones tighten the bound for those after them
+                        last = np.partition(exact, needed - 1)[needed - 1]
+                        more = np.flatnonzero(left_ & index.value.may_be_within(last, root, error, slack))
+                        if not len(more):
+                            break
+                        more = more[np.argpartition(about[more], RERANK - 1)[:RERANK]] if len(more) > RERANK else more
+                        left_[more] = False
+                        some, exact = np.concatenate([some, more]), np.concatenate([exact, measure(more)])
                     best = np.argsort(exact, kind="stable")
                     cut = exact[best[needed - 1]]
                     out += [(asked_by[row], exact[b], ids[some[b]]) for b in best[: np.searchsorted(exact[best], cut, side="right")]]
