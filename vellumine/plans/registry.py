@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumine.plans import blocks, candidates, documents, evidence, profiles, relational, saves, stats, texts
+from vellumine.plans import blocks, candidates, documents, evidence, profiles, records, relational, saves, stats, texts
 
-MODULES = (stats, relational, texts, documents, profiles, candidates, saves, blocks, evidence)
+MODULES = (stats, relational, texts, documents, profiles, candidates, saves, blocks, evidence, records)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
