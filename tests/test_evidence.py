@@ -1,7 +1,8 @@
+import plain
 import pytest
 from pyspark.sql import functions as F
 
-from vellumine.functions import grids, insights, markup, model_text, parsing, refine, roles
+from vellumine.functions import grids, insights, markup, model_text, refine, roles
 from vellumine.functions import text as T
 from vellumine.functions.skills import Words, mentioned, whole_word
 from vellumine.operators import extraction
@@ -131,10 +132,10 @@ def test_files_by_the_first_key_that_fits(spark):
 
 def test_markup_and_sections_equal_their_plain_versions(spark):
     pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
-    assert values(spark, markup.visible_text, [*pages, None, ""]) == [*map(parsing.strip_html, pages), None, ""]
+    assert values(spark, markup.visible_text, [*pages, None, ""]) == [*map(plain.strip_html, pages), None, ""]
     assert values(spark, markup.unescaped, ["&lt;b&gt; &eacute;&#233;&#x1F600; &bogus; & &amp;amp; &#0;", None]) == ["<b> éé😀 &bogus; & &amp; &#0;", None]
     texts = ["a\nSkills\n---\nSkills: b, c\nEducation:\nfoo: bar\n2. skills\nz", "Summary", "", None, "x\n" * 3000 + "PROFILE:\ny"]
-    assert values(spark, markup.sections, texts) == [parsing.sections(t) for t in texts]
+    assert values(spark, markup.sections, texts) == [plain.sections(t) for t in texts]
 
 
 def test_stitching(spark):

@@ -44,14 +44,6 @@ def test_cleaning(spark):
     raw = "• one​\n● two\n➢ three\nPage 1 of 2\nsee IEEE, page 2 of volume 4.\n- 2 -\nmicro-\nscope “x”"
     assert values(spark, text.clean_text, [raw])[0] == '- one\n- two\n- three\n\nsee IEEE, page 2 of volume 4.\n\nmicroscope "x"'
     assert values(spark, text.clean_field, ["  **Lead** ;", " - ", None]) == ["Lead", None, None]
-    assert parsing.strip_html("<p>Experienced <b>Software Engineer</b> with &amp; Python skills.</p><script>x()</script>") == "Experienced Software Engineer with & Python skills."
-
-
-def test_stitching():
-    assert parsing.stitch(["Python Developer", "ABC Technologies"]) == ["Python Developer", "ABC Technologies"]
-    assert parsing.stitch(["- Completed project on time.", "Started new initiative."]) == ["- Completed project on time.", "Started new initiative."]
-    assert parsing.stitch(["- Developed scalable services", "for high throughput data processing."]) == ["- Developed scalable services for high throughput data processing."]
-    assert parsing.stitch(["- Designed microservices with Python and", "FastAPI framework."]) == ["- Designed microservices with Python and FastAPI framework."]
 
 
 def test_skills(spark):
@@ -67,18 +59,19 @@ def test_similarity_is_symmetric_and_bounded(a, b):
     assert r == parsing.indel_ratio(b, a) and 0 <= r <= 100 and parsing.indel_ratio(a, a) == 100 and (r < 100 or a == b)
 
 
-def test_profile_parts():
-    whole = "Lorem Ipsum\nlorem@x.org\nSUMMARY\nBuilds things.\n1. Experience\nData Engineer at Acme Labs\nJan 2020 - Present\n- Built a thing\nEducation: B.Tech Computing, Some University 2019\nSkills: a, b"
-    cut = parsing.sections(whole)
-    assert cut["summary"] == "Builds things." and cut["skills"] == "a, b" and cut["education"].startswith("B.Tech")
-    assert parsing.person_name(whole) == "Lorem Ipsum"
-    (job,) = parsing.experience(cut["experience"])
-    assert (job["role"], job["company"], job["is_current"], job["highlights"]) == ("Data Engineer", "Acme Labs", True, ["Built a thing"])
-    (degree,) = parsing.education(cut["education"])
-    assert degree["institution"] == "Some University 2019" and degree["year"] == "2019"
-    assert parsing.role_and_company("Acme Ltd (Senior Developer)") == ("Senior Developer", "Acme Ltd", None)
-    assert parsing.role_and_company("Analyst at Acme, Paris") == ("Analyst", "Acme", "Paris")
-    assert parsing.projects("Thing\nDoes it\nTools: a, b")[0]["technologies"] == ["a", "b"]
+@given(st.lists(st.text(alphabet="abcd +", min_size=1, max_size=9), max_size=12))
+@settings(max_examples=80, deadline=None)
+def test_alike_names_are_those_that_comparing_every_pair_finds(names):
+    kept = []
+    for n in names:
+        same = lambda a, b: a.lower() == b.lower() or (min(len(a), len(b)) > 3 and parsing.token_sort_ratio(a, b) >= 88)
+        if not any(same(n, k) for k in kept):
+            kept.append(n)
+    assert parsing.fuzzy_distinct(names) == kept
+
+
+def test_projects():
+    assert parsing.projects("Thing\nDoes it\nTools: a, b\n\n- Other")[0]["technologies"] == ["a", "b"]
 
 
 def test_golden_score(spark):

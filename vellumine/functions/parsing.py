@@ -1,75 +1,14 @@
-"""Text operators whose result depends on order within a text: small pure functions, and Arrow functions over them."""
+"""Similarity of names and paragraphs as projects: small pure functions, and Arrow functions over them."""
 
 from __future__ import annotations
 
-import html
 import re
 from collections.abc import Callable, Sequence
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLOCKS = {"p", "br", "div", "li", "tr", "h1", "h2", "h3", "h4", "section", "article", "footer", "nav", "ul"}
-
-
-class _Text(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.hidden = 0
-
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in ("script", "style")
-        if tag in _BLOCKS:
-            self.parts.append("\n")
-
-    def handle_endtag(self, tag):
-        self.hidden = max(0, self.hidden - (tag in ("script", "style")))
-        if tag in _BLOCKS:
-            self.parts.append("\n")
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.parts.append(data)
-
-
-def strip_html(markup: str | None) -> str | None:
-    """Visible text of markup: no tags, scripts or styles, entities resolved, blanks collapsed, a line for each block."""
-    if markup is None:
-        return None
-    reader = _Text()
-    reader.feed(markup)
-    reader.close()
-    lines = [re.sub(r"[ \t\r\f\v]+", " ", x).strip() for x in html.unescape("".join(reader.parts)).split("\n")]
-    return "\n".join(x for x in lines if x)
-
-
-_BULLET, _CLOSED, _DATED = re.compile(r"^[-*•]\s"), re.compile(r"[.!?:]\s*$"), re.compile(r"\b(?:19|20)\d\d\b|@|https?://")
-_HANGING = {"and", "or", "with", "the", "of", "for", "in", "to", "a", "an", "by", "from", "on", "at", "using"}
-
-
-def stitch(lines: Sequence[str]) -> list[str]:
-    """Lines with continuations joined to the line before.
-
-    A line continues the one before it if that is a bullet without closing punctuation and this one starts in lower
-    case, or if that one ends in a word that calls for more. Bullets, dates, contacts and headers in capitals never
-    continue a line.
-    """
-    out: list[str] = []
-    for line in lines:
-        s = line.strip()
-        before = out[-1] if out else ""
-        starts_anew = not s or not before or _BULLET.match(s) or _DATED.search(s) or (s.isupper() and len(s) > 3) or s.endswith(":")
-        hanging = before.split(" ")[-1].lower() in _HANGING if before else False
-        running = bool(_BULLET.match(before)) and not _CLOSED.search(before) and s[:1].islower()
-        if not starts_anew and (hanging or running):
-            out[-1] = f"{before} {s}"
-        else:
-            out.append(s)
-    return out
-
 
 def indel_ratio(a: str, b: str) -> float:
     """Similarity from 0 to 100: twice the longest common subsequence over both lengths."""
@@ -129,116 +68,6 @@ def fuzzy_distinct(values: Sequence[str], least: float = 88.0) -> list[str]:
     return out
 
 
-#: Section names by the headers that open them.
-SECTIONS = {
-    "summary": ("summary", "profile", "objective", "about me"),
-    "experience": ("experience", "work experience", "employment", "work history"),
-    "education": ("education", "academic background", "qualifications"),
-    "skills": ("skills", "technical skills", "core competencies"),
-    "projects": ("projects", "key projects"),
-    "certifications": ("certifications", "certificates", "licenses"),
-}
-_HEADERS = {h: s for s, hs in SECTIONS.items() for h in hs}
-
-
-def sections(text: str | None) -> dict[str, str]:
-    """Text by section: a header stands alone on its line, numbered or with a colon, or opens a line before a colon."""
-    out: dict[str, list[str]] = {"header": []}
-    now = "header"
-    for line in (text or "").split("\n"):
-        bare = re.sub(r"^\s*(?:\d+[.)]\s*)?|\s+$", "", line)
-        if not bare or re.fullmatch(r"[-=_*~\s]+", bare):
-            continue
-        head, colon, rest = bare.partition(":")
-        found = _HEADERS.get(head.strip().lower())
-        if found and (colon or head.strip().lower() == bare.lower()):
-            now = found
-            out.setdefault(now, [])
-            bare = rest.strip()
-            if not bare:
-                continue
-        out[now].append(bare)
-    return {k: "\n".join(v) for k, v in out.items() if v}
-
-
-_ROLE_WORDS = ("engineer", "developer", "manager", "analyst", "designer", "lead", "architect", "consultant", "intern", "scientist", "officer", "director", "executive", "administrator", "tester")
-_COMPANY_WORDS = ("ltd", "limited", "inc", "llc", "corp", "technologies", "solutions", "systems", "labs", "pvt", "company", "group", "university")
-
-
-def _looks(text: str, words: Sequence[str]) -> bool:
-    return any(re.search(rf"\b{w}\b", text, re.I) for w in words)
-
-
-def role_and_company(line: str) -> tuple[str | None, str | None, str | None]:
-    """(role, company, place) of a line: by brackets, `at`, commas and bars, then dashes; swapped where the words say so."""
-    line, place = line.strip(), None
-    for pattern in (r"^(.*?)\s*\(([^()]+)\)$", r"(?i)^(.*?)\s+(?:at|@)\s+(.+)$", r"^(.*?)\s*[|,]\s*(.+)$", r"^(.*?)\s+[-–—]\s+(.+)$"):
-        m = re.match(pattern, line)
-        if m and m[1] and m[2]:
-            role, company = m[1].strip(), m[2].strip()
-            first, comma, last = company.partition(",")
-            if comma:
-                company, place = first.strip(), last.strip()
-            if _looks(company, _ROLE_WORDS) and not _looks(role, _ROLE_WORDS) or _looks(role, _COMPANY_WORDS) and not _looks(company, _COMPANY_WORDS):
-                role, company = company, role
-            return role or None, company or None, place or None
-    if _looks(line, _ROLE_WORDS):
-        return line, None, None
-    return None, line or None, None
-
-
-_SPAN = re.compile(r"(?i)((?:[a-z]{3,9}\.?\s*)?(?:\d{1,2}[/.])?(?:19|20)\d\d)\s*(?:-|–|—|to|till|until)\s*((?:[a-z]{3,9}\.?\s*)?(?:\d{1,2}[/.])?(?:19|20)\d\d|present|current|now)")
-_DEGREE = re.compile(r"(?i)\b(?:bachelor|master|b\.?tech|m\.?tech|b\.?sc|m\.?sc|b\.?e|m\.?e|b\.?com|mba|ph\.?d|diploma|bca|mca)\b")
-_SCHOOL = re.compile(r"(?i)\b(?:university|college|institute|school|academy)\b")
-
-
-def experience(text: str | None) -> list[dict]:
-    """Positions: a line with a span of dates, its heading (that line's rest or the line before), and the bullets below."""
-    out: list[dict] = []
-    before = ""
-    for line in (text or "").split("\n"):
-        s = line.strip()
-        m = _SPAN.search(s)
-        if m:
-            head = re.sub(r"^[\s|,\-–]+|[\s|,(\-–]+$", "", s[: m.start()] + s[m.end() :]) or before
-            role, company, place = role_and_company(head)
-            out.append({"role": role, "company": company, "location": place, "duration": m[0], "is_current": m[2].lower() in ("present", "current", "now"), "highlights": []})
-            before = ""
-        elif _BULLET.match(s) and out:
-            out[-1]["highlights"].append(s[2:].strip())
-        else:
-            before = s
-    return out
-
-
-def education(text: str | None) -> list[dict]:
-    """Degrees: lines that name one, with the school named there or on the next line, and the last year."""
-    lines = [x.strip() for x in (text or "").split("\n") if x.strip()]
-    out = []
-    for k, line in enumerate(lines):
-        if not _DEGREE.search(line):
-            continue
-        near = [line, *lines[k + 1 : k + 2]]
-        parts = [p.strip() for x in near for p in re.split(r"\s*[,|]\s*|\s+[-–]\s+", x)]
-        school = next((p for p in parts if _SCHOOL.search(p) and not _DEGREE.search(p)), None)
-        years = re.findall(r"\b(?:19|20)\d\d\b", " ".join(near))
-        out.append({"degree": next(p for p in parts if _DEGREE.search(p)), "institution": school, "year": years[-1] if years else None})
-    return out
-
-
-_NOT_NAMES = re.compile(r"(?i)\b(?:resume|curriculum|vitae|cv|profile|summary|email|phone|address|contact|page)\b|[@\d:/]")
-
-
-def person_name(text: str | None, fallback: str | None = None) -> str | None:
-    """The first of the leading 15 lines that can be a name: two to five capitalised words that are no role, company or header."""
-    for line in (text or "").split("\n")[:15]:
-        s = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", line.strip())
-        words = s.split()
-        if 2 <= len(words) <= 5 and not _NOT_NAMES.search(s) and all(w[0].isupper() for w in words) and not _looks(s, _ROLE_WORDS + _COMPANY_WORDS) and s.lower() not in _HEADERS:
-            return s
-    return fallback
-
-
 def projects(text: str | None) -> list[dict]:
     """Paragraphs as projects: name, description, and at most eight technologies named after `Technologies:`."""
     out = []
@@ -260,11 +89,5 @@ def arrow(function: Callable, kind: str) -> Callable[[Column], Column]:
     return lambda column: F.pandas_udf(run, kind)(column)
 
 
-html_text = arrow(strip_html, "string")
-stitched = arrow(stitch, "array<string>")
 fuzzy_distinct_of = arrow(lambda v: fuzzy_distinct(v or []), "array<string>")
-sections_of = arrow(sections, "map<string,string>")
-experience_of = arrow(experience, "array<struct<role:string,company:string,location:string,duration:string,is_current:boolean,highlights:array<string>>>")
-education_of = arrow(education, "array<struct<degree:string,institution:string,year:string>>")
 projects_of = arrow(projects, "array<struct<name:string,description:string,technologies:array<string>>>")
-person_name_of = arrow(person_name, "string")
