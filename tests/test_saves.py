@@ -82,3 +82,45 @@ def test_boxes_of_fields(spark):
         (1, "name"): (1, 10.0, 10.0, 90.0, 18.0), (1, "skills"): (2, 5.0, 5.0, 40.0, 18.0), (1, "words"): (2, 5.0, 5.0, 40.0, 18.0), (1, "none"): (2, *none), (1, "off"): (1, *none),
         (1, "empty"): (2, *none), (1, "null"): (2, *none), (2, "name"): (4, 1.0, 2.0, 3.0, 4.0), (3, "name"): (None, *none),
     }
+
+
+def test_matches_of_the_same_project_only(spark):
+    stored = spark.createDataFrame([(1, "p", "a", "h1"), (2, "q", "a", "h1"), (3, "p", "b", "h2")], "id int, project string, name string, hash string")
+    batch = spark.createDataFrame([("p", "a", "h2"), ("q", "a", "h2"), ("r", "a", "h1"), (None, "a", "h1")], "project string, name string, hash string")
+    got = {r["project"]: r["matched_id"] for r in store.match_name_or_hash(batch, stored, "name", "hash", "id", ["project"]).collect()}
+    assert got == {"p": 3, "q": 2, "r": None, None: None}
+
+
+def test_layouts_are_written_as_json(spark, tmp_path):
+    import json
+
+    from vellumine.sources import files
+
+    schema = "file_stem string, pages array<struct<page:int,size:array<double>,layers:array<struct<type:string,text:string,box:array<double>>>>>"
+    rows = [("a", [(1, [595.0, 842.0], [("text", "x [1,2] y", [1.0, 2.5]), ("line", None, [0.0])])]), ("b", [])]
+    files.write_layers(spark.createDataFrame(rows, schema), str(tmp_path / "layers"))
+    texts = {p.parent.name: p.read_text() for p in (tmp_path / "layers").glob("*/*.txt")}
+    assert sorted(texts) == ["document=a_layers", "document=b_layers"]
+    assert json.loads(texts["document=a_layers"]) == [{"page": 1, "size": [595.0, 842.0], "layers": [{"type": "text", "text": "x [1, 2] y", "box": [1.0, 2.5]}, {"type": "line", "box": [0.0]}]}]
+    assert '"size":[595.0, 842.0]' in texts["document=a_layers"] and '\n{"type"' in texts["document=a_layers"]
+
+
+def test_found_files_leave_out_the_folder_of_results(spark, tmp_path):
+    from vellumine.sources import files
+
+    for name in ("b.pdf", "A.docx", "out/c.pdf", "sub/B.pdf"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    found = files.in_order(files.discover(spark, str(tmp_path), True, ["out"]))
+    assert [r["name"] for r in found.collect()] == ["A.docx", "b.pdf", "B.pdf"]
+
+
+def test_advice(spark):
+    from vellumine.functions import scoring
+
+    names = "name string, summary string, error_message string, n_emails int, n_phones int, n_profiles int, n_skills int, n_experience int, n_education int, n_projects int, has_highlights boolean"
+    rows = [("Ann Lee", "a summary of more than thirty characters", None, 1, 1, 1, 9, 1, 1, 1, True), (None,) * 2 + ("bad",) + (None,) * 8]
+    df = spark.createDataFrame(rows, names)
+    first, second = df.select(*[c.alias(k) for k, c in scoring.advice(df).items()]).collect()
+    assert first["suggestions"] == [] and len(first["praise"]) == 4 and first["praise"][0] == scoring.PRAISE["email"]
+    assert second["praise"] == [] and second["suggestions"] == [scoring.ADVICE[k] for k in ("name", "email", "phone", "links")]

@@ -59,3 +59,14 @@ def unletterbox(box: Column, page_width: Column, page_height: Column, canvas: tu
     fit = lambda v, pad, span, most: F.round(F.least(F.greatest((v * span - pad) / scale, F.lit(0.0)), most), 1)
     x, y = lambda i: fit(F.element_at(box, i), left, F.lit(float(w)), page_width), lambda i: fit(F.element_at(box, i), top, F.lit(float(h)), page_height)
     return F.array(x(1), y(2), x(3), y(4))
+
+
+def layout_json(pages: Column) -> Column:
+    """Pages with their layers as indented JSON in which lists of numbers, and lists that begin with a text, stand on one line.
+
+    pages is an array of structs; null members are left out. A layer, a page and the whole each begin a line of their own.
+    """
+    text = F.to_json(pages)
+    numbers, mixed = r"\[\s*(-?[0-9.eE+-]+(?:,\s*-?[0-9.eE+-]+)*)\s*\]", r"\[(\"[^\"]+\"(?:,(?:\"[^\"]+\"|-?[0-9.eE+-]+))*)\]"
+    spaced = lambda c, pattern: F.array_join(F.transform(F.regexp_extract_all(c, F.lit(rf"{pattern}|[^\[]+|\["), F.lit(0)), lambda x: F.when(x.rlike(rf"^{pattern}$"), F.regexp_replace(x, ",", ", ")).otherwise(x)), "")
+    return F.regexp_replace(spaced(spaced(text, numbers), mixed), r"\{\"(page|type)\"", "\n{\"$1\"")

@@ -67,6 +67,46 @@ def profile_score(p: DataFrame) -> DataFrame:
     return out.withColumn("overall", total).withColumns({"grade": grade, "strengths": F.slice(F.filter(praise, lambda x: x.isNotNull()), 1, 4)})
 
 
+#: What each part of a profile is praised for, and what is suggested where it is missing, in their order.
+PRAISE = {
+    "email": "Professional email address detected.", "links": "Professional online profile links (LinkedIn/GitHub) present.", "summary": "Engaging professional summary present.",
+    "projects": "Showcases portfolio projects and/or professional certifications.", "many_skills": "Rich technical keyword density with {} recognized skills.", "skills": "Solid skills coverage with {} skills.",
+    "highlights": "Structured role bullet points with responsibilities and achievements.", "clean": "Clean document structure with 100% ATS parseability.",
+}
+ADVICE = {
+    "name": "Clearly state your full name prominently at the top of your resume.", "email": "Add a professional email address for recruiter contact.", "phone": "Include a valid contact phone number with country code.",
+    "links": "Include a customized LinkedIn or GitHub profile link.", "summary": "Add a 2-3 sentence professional summary highlighting your core expertise.", "skills": "Include a dedicated Technical Skills section.",
+    "experience": "Include work experience, internships, or professional projects.", "education": "List your educational degrees and graduating institutions.",
+    "projects": "Add key projects or certifications to demonstrate practical expertise.", "few_skills": "Expand your skills section with relevant frameworks, tools, and libraries.",
+    "no_skills": "Keywords are essential for ATS matching. Add relevant technical competencies.", "highlights": "Use bullet points with action verbs and quantifiable results in experience.",
+    "history": "Detail your work history with job titles, companies, and dates.", "error": "Resolve formatting issue: {}",
+}
+
+#: How many of either are shown.
+MOST_ADVICE = 4
+
+
+def advice(p: DataFrame) -> dict[str, Column]:
+    """praise and suggestions of a profile with the columns of profile_score(): the first four of each that apply, in order.
+    Missing numbers count as 0, missing texts as empty."""
+    n = lambda c: F.coalesce(c, F.lit(0))
+    words = F.size(F.array_remove(F.split(F.trim(F.coalesce("name", F.lit(""))), r"\s+"), ""))
+    summary, error = F.length(F.trim(F.coalesce("summary", F.lit("")))) > 30, filled(F.col("error_message"))
+    jobs, told, skills = n("n_experience") > 0, F.coalesce("has_highlights", F.lit(False)), n("n_skills")
+    counted = lambda text: F.replace(F.lit(text), F.lit("{}"), skills.cast("string"))
+    praise = (
+        (n("n_emails") > 0, F.lit(PRAISE["email"])), (n("n_profiles") > 0, F.lit(PRAISE["links"])), (summary, F.lit(PRAISE["summary"])), (n("n_projects") > 0, F.lit(PRAISE["projects"])),
+        (skills >= 12, counted(PRAISE["many_skills"])), (skills.between(8, 11), counted(PRAISE["skills"])), (jobs & told, F.lit(PRAISE["highlights"])), (~error, F.lit(PRAISE["clean"])),
+    )
+    missing = {
+        "name": words < 2, "email": n("n_emails") == 0, "phone": n("n_phones") == 0, "links": n("n_profiles") == 0, "summary": ~summary, "skills": skills < 3, "experience": ~jobs, "education": n("n_education") == 0,
+        "projects": n("n_projects") == 0, "few_skills": skills.between(1, 3), "no_skills": skills == 0, "highlights": jobs & ~told, "history": ~jobs & (n("n_education") == 0), "error": error,
+    }
+    text = lambda k: F.replace(F.lit(ADVICE[k]), F.lit("{}"), F.coalesce("error_message", F.lit("")))
+    first = lambda rules: F.slice(F.array_compact(F.array(*[F.when(test, what) for test, what in rules])), 1, MOST_ADVICE)
+    return {"praise": first(praise), "suggestions": first([(test, text(k)) for k, test in missing.items()])}
+
+
 def _sum_of(words: Column, weights: Column) -> Column:
     return F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(F.element_at(weights, w), F.lit(0.0)))
 

@@ -91,14 +91,18 @@ def cascade(parent: DataFrame, chain: Sequence[tuple[DataFrame, str, str, str]],
     return out
 
 
-def match_name_or_hash(batch: DataFrame, stored: DataFrame, name: str, hash_: str, id_: str) -> DataFrame:
-    """batch with matched_id: the newest stored row of that name or that hash, null if there is none.
+def match_name_or_hash(batch: DataFrame, stored: DataFrame, name: str, hash_: str, id_: str, within: Sequence[str] = ()) -> DataFrame:
+    """batch with matched_id: the newest stored row of that name or that hash, null if there is none; of the same project, if
+    within names the columns that tell it.
 
     An OR of two equalities would be a nested-loop join; two equi-joins and a maximum are not.
     """
-    by_name = stored.groupBy(F.col(name).alias("_name")).agg(F.max(id_).alias("_by_name"))
-    by_hash = stored.groupBy(F.col(hash_).alias("_hash")).agg(F.max(id_).alias("_by_hash"))
-    joined = batch.join(by_name, F.col(name) == F.col("_name"), "left").join(by_hash, F.col(hash_) == F.col("_hash"), "left")
+    own = [F.col(c).alias(f"_{c}") for c in within]
+    by_name = stored.groupBy(*own, F.col(name).alias("_name")).agg(F.max(id_).alias("_by_name"))
+    by_hash = stored.groupBy(*own, F.col(hash_).alias("_hash")).agg(F.max(id_).alias("_by_hash"))
+    same = all_of([F.col(c) == F.col(f"_{c}") for c in within])
+    joined = batch.join(by_name, same & (F.col(name) == F.col("_name")), "left").drop(*[f"_{c}" for c in within])
+    joined = joined.join(by_hash, same & (F.col(hash_) == F.col("_hash")), "left")
     return joined.withColumn("matched_id", F.greatest("_by_name", "_by_hash")).select(*batch.columns, "matched_id")
 
 

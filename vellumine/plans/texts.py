@@ -118,11 +118,24 @@ def ats_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.profile_score(profile).select("doc_id", "contact", "completeness", "skills_score", "experience_score", "formatting", "overall", "grade", F.size("strengths").alias("n_strengths"))
 
 
+def profile_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What profiles are praised for and what is suggested to them; numbers of the labels, lines and words stand for sections."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
+    docs = table(spark, sf_dir, "documents").filter("text is not null").join(labels, "doc_id", "left")
+    lines, n = F.size(F.split("text", "\n")), F.length("text")
+    profile = docs.select(
+        "doc_id", F.substring_index("text", " ", 1).alias("name"), F.substring_index("text", "\n", 1).alias("summary"), F.when(F.col("t") == 1, "toxic").alias("error_message"), F.col("q").alias("n_emails"),
+        (lines - 1).alias("n_phones"), F.when(F.col("lang") == "en", 1).alias("n_profiles"), lines.alias("n_skills"), F.col("t").alias("n_experience"), F.col("q").alias("n_education"), (n % 2).alias("n_projects"),
+        (n > 900).alias("has_highlights"),
+    )
+    return profile.select("doc_id", *[F.array_join(c, "|").alias(k) for k, c in scoring.advice(profile).items()])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         extract_emails, extract_phones, extract_links, contact_links, word_char_counts, paragraph_split, clean_field, clean_text, skill_normalize, date_range_parse, filename_name, sections_map,
-        dictionary_tools, domain_classify, ats_score,
+        dictionary_tools, domain_classify, ats_score, profile_advice,
     )
 }
 
@@ -132,6 +145,24 @@ def _case(pairs, otherwise: str) -> str:
 
 
 ORACLES = {
+    "profile_advice": """
+        with l as (select doc_id, max(quality) as q, max(toxic) as t from labels group by doc_id),
+        p as (select doc_id, length(string_split(text, ' ')[1]) > 0 as one, string_split(text, ' ')[1] as name, length(trim(string_split(text, chr(10))[1])) as s, coalesce(q, 0) as q, coalesce(t, 0) as t, len(string_split(text, chr(10))) as k,
+                     coalesce(lang = 'en', false) as en, length(text) as n from documents left join l using (doc_id) where text is not null),
+        f as (select *, len(list_filter(string_split_regex(trim(name), '\\s+'), lambda w: w <> '')) as words from p)
+        select doc_id,
+               array_to_string(list_filter([case when q > 0 then 'Professional email address detected.' end, case when en then 'Professional online profile links (LinkedIn/GitHub) present.' end,
+                 case when s > 30 then 'Engaging professional summary present.' end, case when n % 2 > 0 then 'Showcases portfolio projects and/or professional certifications.' end,
+                 case when k >= 12 then 'Rich technical keyword density with ' || k || ' recognized skills.' when k >= 8 then 'Solid skills coverage with ' || k || ' skills.' end,
+                 case when t > 0 and n > 900 then 'Structured role bullet points with responsibilities and achievements.' end, case when t = 0 then 'Clean document structure with 100% ATS parseability.' end], lambda x: x is not null)[1:4], '|') as praise,
+               array_to_string(list_filter([case when words < 2 then 'Clearly state your full name prominently at the top of your resume.' end, case when q = 0 then 'Add a professional email address for recruiter contact.' end,
+                 case when k = 1 then 'Include a valid contact phone number with country code.' end, case when not en then 'Include a customized LinkedIn or GitHub profile link.' end,
+                 case when s <= 30 then 'Add a 2-3 sentence professional summary highlighting your core expertise.' end, case when k < 3 then 'Include a dedicated Technical Skills section.' end,
+                 case when t = 0 then 'Include work experience, internships, or professional projects.' end, case when q = 0 then 'List your educational degrees and graduating institutions.' end,
+                 case when n % 2 = 0 then 'Add key projects or certifications to demonstrate practical expertise.' end, case when k <= 3 then 'Expand your skills section with relevant frameworks, tools, and libraries.' end,
+                 case when t > 0 and n <= 900 then 'Use bullet points with action verbs and quantifiable results in experience.' end, case when t = 0 and q = 0 then 'Detail your work history with job titles, companies, and dates.' end,
+                 case when t = 1 then 'Resolve formatting issue: toxic' end], lambda x: x is not null)[1:4], '|') as suggestions
+        from f""",
     "extract_emails": r"""
         with e as (select doc_id, list_filter(list_transform(regexp_extract_all(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+'), lambda x: regexp_replace(lower(x), '[.,;)]+$', '')),
                           lambda x: not regexp_matches(x, '\.(png|jpg|jpeg|gif|webp|pdf|docx|doc)$')) as x from documents)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from vellumine.functions.geometry import layout_json
+
 #: Endings of the documents that are taken, and their media types.
 MEDIA_TYPES = {
     "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "doc": "application/msword", "json": "application/json", "txt": "text/plain",
@@ -38,15 +40,23 @@ def is_document(path: Column) -> Column:
     return ending(path).isin(*DOCUMENTS) & ~file_name(path).rlike(r"^(\.|~\$)")
 
 
-def discover(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """path, name, bytes, kilobytes, sha256, media_type, content of the documents in a folder."""
+def discover(spark: SparkSession, folder: str, recursive: bool = False, without: Sequence[str] = ()) -> DataFrame:
+    """path, name, bytes, kilobytes, sha256, media_type, content of the documents in a folder, but for those in folders named in
+    `without`, such as the one that results go to. Nothing is ordered: in_order() gives the order of names."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).filter(is_document(F.col("path")))
+    for part in without:
+        files = files.filter(~F.contains("path", F.lit(f"/{part}/")))
     return files.select(
         "path", file_name(F.col("path")).alias("name"), F.col("length").alias("bytes"), F.round(F.col("length") / 1024, 2).alias("kilobytes"),
         F.sha2("content", 256).alias("sha256"), media_type(F.col("path")).alias("media_type"), "content",
     )
 
 
+def in_order(found: DataFrame) -> DataFrame:
+    """Found documents by name in lower case, then path."""
+    return found.orderBy(F.lower("name"), "path")
+
+
 def printable_runs(content: Column, least: int = 11) -> Column:
     """Runs of printable ASCII of at least `least` characters with a letter in them, of a binary column."""
     runs = F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(r"[\x20-\x7E]{4,}"), F.lit(0))
@@ -66,6 +76,12 @@ def write_records(df: DataFrame, folder: str, private: tuple[str, ...] = ("embed
     df.drop(*private).write.mode("overwrite").json(folder)
 
 
+def write_layers(pages: DataFrame, folder: str, stem_: str = "file_stem") -> None:
+    """The layout of each document as one JSON document, a row each, in a folder for each stem: pages has the stem and `pages`, an
+    array of structs of a document's pages and layers."""
+    pages.select(F.concat(F.col(stem_), F.lit("_layers")).alias("document"), layout_json(F.col("pages")).alias("value")).write.mode("overwrite").partitionBy("document").text(folder)
+
+
 def manifest(items: DataFrame, status: str = "status") -> DataFrame:
     """One row: counters of a batch. items has status."""
     good = F.col(status).isin("success", "partial")
