@@ -120,6 +120,12 @@ def model_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("texts").cast("long").alias("n"), F.md5(F.array_join("texts", "\n")).alias("digest"), F.size(F.filter("classes", lambda c: c == "Title")).cast("long").alias("titles"), corners.alias("corners"), F.size("faults").cast("long").alias("faults"))
 
 
+def extracted_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as extractors leave them: control characters, mixed line ends, blanks and blank lines."""
+    dirty = F.regexp_replace(F.regexp_replace("text", "[.] ", ".\x07 \t \r\n \r \n\n"), ", ", " ,\x0b\x7f  ")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(model_text.clean_extracted(F.concat(F.lit(" \n\n"), dirty, F.lit(" \r")))).alias("digest"))
+
+
 def files_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests for pages' files: by recorded path, exact name, stem or JSON record, in that order, or not at all. Which of
     these files exist depends on a page's number."""
@@ -136,7 +142,7 @@ def files_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.resolved_files(wanted, known, there, "page_id", ("upload", "files"), "records")
 
 
-QUERIES = {f.__name__: f for f in (role_evidence, primary_fields, table_entities, refined_profiles, model_elements, files_resolved)}
+QUERIES = {f.__name__: f for f in (role_evidence, primary_fields, table_entities, refined_profiles, model_elements, extracted_clean, files_resolved)}
 
 _P = "p as (select p_partkey, p_partkey as k, split_part(p_name, ' ', 1) as a, split_part(p_name, ' ', 2) as b, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] as ca, upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] as cb from part)"
 
@@ -165,6 +171,10 @@ ORACLES = {
         t as (select doc_id, i, regexp_replace(x, '^\s+|\s+$', '', 'g') as x from l)
         select doc_id, count(*) filter (x <> '') as n, md5(coalesce(string_agg(x, chr(10) order by i) filter (x <> ''), '')) as digest, count(*) filter (x <> '' and i % 2 = 1) as titles,
                coalesce(sum(i) filter (x <> ''), 0)::double as corners, count(*) filter (i % 3 = 0) as faults from t group by doc_id""",
+    "extracted_clean": r"""
+        with d as (select conv_id, turn, ' ' || chr(10) || chr(10) || replace(replace(text, '. ', '.' || chr(7) || ' ' || chr(9) || ' ' || chr(13) || chr(10) || ' ' || chr(13) || ' ' || chr(10) || chr(10)), ', ', ' ,' || chr(11) || chr(127) || '  ') || ' ' || chr(13) as t from conversations),
+        l as (select conv_id, turn, list_transform(string_split(regexp_replace(regexp_replace(t, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '\r\n|\r', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))) as l from d)
+        select conv_id, turn, md5(regexp_replace(array_to_string(list_filter(l, lambda x, i: x <> '' or i = 1 or l[i - 1] <> ''), chr(10)), '^\s+|\s+$', '', 'g')) as digest from l""",
     "files_resolved": """
         with p as (select page_id as k, 'p' || page_id as n, page_id % 7 <> 6 as known, page_id % 2 = 0 or page_id % 7 <> 6 as named from pages),
         l as (select *, case when known and k % 5 = 0 then 1 when named and (k % 3 = 0 or k % 4 = 0) then 2 when named and k % 11 < 5 then 3 when named and k % 13 < 9 then 4 end as level from p),
