@@ -35,8 +35,11 @@ SAMPLE, MOST_LISTS, PARTS, CODEWORDS = 20_000, 1024, 16, 256
 #: Sampled vectors on which the number of lists and the cosine are calibrated, and the recall that each aims at.
 CALIBRATION, TARGET_RECALL, TARGET_COSINE = 200, 0.97, 0.98
 
-#: Candidates of a block that are measured at a time; the least and most rows of a block; queries of a block.
-RERANK, LEAST_BLOCK, MOST_BLOCK, QUERY_BLOCK = 16, 256, 8192, 2048
+#: Candidates of a block that are measured first; the least and most rows of a block; queries of a block.
+RERANK, LEAST_BLOCK, MOST_BLOCK, QUERY_BLOCK = 32, 256, 8192, 2048
+
+#: Queries that are compared together, and pairs that are measured together.
+TOGETHER, PAIRS = 64, 1 << 16
 
 NEIGHBOURS = 10
 
@@ -82,12 +85,42 @@ class Index:
         """The distance of each vector to what its code stands for."""
         return np.sqrt(((x - self.decoded(lists, codes)) ** 2).sum(axis=1))
 
-    def may_be_within(self, last: float, root: np.ndarray, error: np.ndarray, slack: np.ndarray) -> np.ndarray:
+    def may_be_within(self, last: np.ndarray | float, root: np.ndarray, error: np.ndarray, slack: np.ndarray) -> np.ndarray:
         """Whether vectors at `root` by their codes, with these errors, may be as near as `last`."""
         possible = ~(np.abs(root - error) - slack > last) | ~np.isfinite(root)
         likely = ~(np.sqrt(np.maximum(root**2 + error**2 - 2 * self.cosine * root * error, 0.0)) - slack > last)
         return possible & (likely | (last < error / 2))
 
+    def measured(self, q: np.ndarray, number: int, x: np.ndarray, codes: np.ndarray, error: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of each query to the vectors of a list, infinite where codes rule them out, and the needed-th least of each.
+
+        The best by their codes are measured first, then all that may still be as near as the last one needed.
+        """
+        tables, about = self.tables(q.astype(np.float32), number), np.zeros((len(q), len(x)), np.float32)
+        for s in range(codes.shape[1]):
+            about += tables[:, s, :][:, codes[:, s]]
+        exact = np.full(about.shape, np.inf)
+
+        def measure(rows: np.ndarray, cols: np.ndarray) -> None:
+            for a in range(0, len(rows), PAIRS):
+                r, c = rows[a : a + PAIRS], cols[a : a + PAIRS]
+                exact[r, c] = np.sqrt(((x[c] - q[r]) ** 2).sum(axis=1))
+
+        def last() -> np.ndarray:
+            found = np.zeros(len(q))
+            for n in np.unique(needed):
+                found[needed == n] = np.partition(exact[needed == n], n - 1, axis=1)[:, n - 1]
+            return found
+
+        many = min(max(RERANK, int(needed.max())), len(x))
+        best = np.argpartition(about, many - 1, axis=1)[:, :many]
+        measure(np.repeat(np.arange(len(q)), many), best.ravel())
+        if many < len(x):
+            root, size = np.sqrt(about.astype(np.float64)), np.sqrt((self.centroids[number].astype(np.float64) ** 2).sum())
+            slack = 1e-5 * (root + error) + 1e-6 * (size + np.sqrt((q**2).sum(axis=1)))[:, None]  # single precision
+            measure(*np.nonzero(np.isinf(exact) & self.may_be_within(last()[:, None], root, error, slack)))
+        return exact, last()
+
     def tables(self, q: np.ndarray, number: int) -> np.ndarray:
         """Squared distances of each query's residual in this list to the codewords: queries, slices, codewords."""
         out = np.full((len(q), len(self.books), CODEWORDS), np.inf, np.float32)
@@ -214,37 +247,19 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, target: float = TA
     right = visits.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("v"), F.pmod(F.xxhash64("query_id"), "qb").cast("int").alias("q"), "query_id", "own", "query")
 
     def compare(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
+        out = [pd.DataFrame(columns=["query_id", "score", "ids"])]
         if len(mine) and len(theirs):
             x, q = _matrix(mine["vec"]), _matrix(theirs["query"])
             codes = np.stack([np.frombuffer(c, np.uint8) for c in mine["codes"]])
             ids, error = mine["ids"].to_numpy(), mine["error"].to_numpy()
             asked_by, own = theirs["query_id"].to_numpy(), theirs["own"].to_numpy()
-            size = np.sqrt((index.value.centroids[key[0]].astype(np.float64) ** 2).sum())
-            for at in range(0, len(q), 64):
-                tables = index.value.tables(q[at : at + 64].astype(np.float32), key[0])
-                for row, t in enumerate(tables, at):
-                    needed = min(k + int(own[row]), len(x))  # the query's own rows may be among them
-                    many = min(max(RERANK, needed), len(x))
-                    about = t[np.arange(t.shape[0])[None, :], codes].sum(axis=1)
-                    measure = lambda some: np.sqrt(((x[some] - q[row]) ** 2).sum(axis=1))  # noqa: B023, E731
-                    some = np.argpartition(about, many - 1)[:many]
-                    exact, left_ = measure(some), np.ones(len(x), bool)
-                    left_[some] = False
-                    root = np.sqrt(about.astype(np.float64))
-                    slack = 1e-5 * (root + error) + 1e-6 * (size + np.sqrt((q[row] ** 2).sum()))  # single precision
-                    while left_.any():  # the next best ones tighten the bound for those after them
-                        last = np.partition(exact, needed - 1)[needed - 1]
-                        more = np.flatnonzero(left_ & index.value.may_be_within(last, root, error, slack))
-                        if not len(more):
-                            break
-                        more = more[np.argpartition(about[more], RERANK - 1)[:RERANK]] if len(more) > RERANK else more
-                        left_[more] = False
-                        some, exact = np.concatenate([some, more]), np.concatenate([exact, measure(more)])
-                    best = np.argsort(exact, kind="stable")
-                    cut = exact[best[needed - 1]]
-                    out += [(asked_by[row], exact[b], ids[some[b]]) for b in best[: np.searchsorted(exact[best], cut, side="right")]]
-        return pd.DataFrame(out, columns=["query_id", "score", "ids"])
+            for at in range(0, len(q), TOGETHER):
+                some = slice(at, at + TOGETHER)
+                needed = np.minimum(k + own[some], len(x))  # the query's own rows may be among them
+                exact, last = index.value.measured(q[some], key[0], x, codes, error, needed)
+                rows, cols = np.nonzero(exact <= last[:, None])
+                out.append(pd.DataFrame({"query_id": asked_by[some][rows], "score": exact[rows, cols], "ids": ids[cols]}))
+        return pd.concat(out[1:] or out)
 
     found = left.groupBy("list", "v", "q").cogroup(right.groupBy("list", "v", "q")).applyInPandas(compare, "query_id long, score double, ids array<long>")
     pairs = found.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("query_id <> vec_id").distinct()
