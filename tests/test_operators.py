@@ -1,7 +1,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from vellumine.functions import insights, parsing
+from vellumine.functions import insights
+from vellumine.functions.positions import positions
+from vellumine.functions.skills import Words
 from vellumine.operators import log, pages
 
 
@@ -37,10 +39,12 @@ def test_reading_order(spark):
 
 
 def test_insights_and_defaults(spark):
-    row = spark.createDataFrame([("Notice Period - 2 weeks; Expected CTC: 9 lpa",)], "t string").select(*[c.alias(n) for n, c in insights.insights(F.col("t")).items()]).first()
-    assert tuple(row) == ("2 weeks", "Negotiable", "9 lpa", "Not Specified", "Fresher")
+    """A notice in weeks is none of the stated forms (days, months, immediately, ready to join), so the default stands."""
+    rows = spark.createDataFrame([("Notice Period - 2 weeks; Expected CTC: 9 lpa",), ("Notice Period - 2 months; Expected CTC: 9 lpa",)], "t string").select(*[c.alias(n) for n, c in insights.insights(F.col("t")).items()]).collect()
+    assert [tuple(r) for r in rows] == [(n, "9 lpa", "9 lpa", "Not Specified", "Fresher") for n in ("Negotiable", "2 months")]
 
 
-def test_positions_in_brackets():
-    (job,) = parsing.experience("Acme Ltd (Senior Developer) 03/2015 - 04/2019\n- One")
+def test_positions_in_brackets(spark):
+    df = spark.createDataFrame([(1, "Acme Ltd (Senior Developer) 03/2015 - 04/2019\n- One")], "id int, t string")
+    (job,) = positions(df, "id", "t", Words(roles=("developer",), companies=("ltd",))).collect()
     assert (job["role"], job["company"]) == ("Senior Developer", "Acme Ltd")
