@@ -49,8 +49,8 @@ def test_stages_with_null_and_repeated_ids(spark, tmp_path):
     expected = slow_one_of_each(reduced)
     assert len(single) == len(expected) and all(any(x in e for x in single) for e in expected)
     mixed = rows(seen["source mixing"][1])
-    sized = mixing.sized(seen["simhash near-dedup"][1])
-    copies = mixing.mix(sized, mixing.thresholds(written(sized, "test-sized")))
+    sized = mixing.numbered(mixing.sized(seen["simhash near-dedup"][1]))
+    copies = mixing.mix(sized, mixing.edge_thresholds(sized, mixing.thresholds(sized)))
     assert len(mixed) == copies.agg(F.sum("copies")).first()[0] and set(mixed) <= set(single)
     packed = seen["best-fit packing"][1]
     assert packed.filter("piece = 0").count() == len(mixed)
