@@ -1,3 +1,5 @@
+import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -25,6 +27,28 @@ def test_encoder_equals_the_library(spark, name, keeps):
         assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode(texts)] == [whole.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_a_word_is_remembered_once_whatever_its_case_and_punctuation():
+    """One entry a word, not one for each of its 60 forms: such memos took most of the memory of op9's workers."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    mine, words = Encoder(path, False), [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}ébc" for k in range(500)]
+    texts = [" ".join(f"{head}{form}{tail}" for form in (w, w.upper(), w.title()) for head in ("", "(") for tail in ("", ",", ".", ").", ";", ":", "!", "?", '."', ",)")) for w in words]
+    tracemalloc.start()
+    got = mine.encode(texts)
+    del got[:]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1e6
+
+
+def test_latin_texts_are_cut_as_the_library_cuts_them():
+    rng = random.Random(3)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    letters = [chr(k) for k in range(256)] + list("ab's'tdllrevem .,;!?\n\t ABCÀÖÞß²" * 6) + ["<|endoftext|>"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(5000)] + [chr(a) + chr(b) for a in range(256) for b in range(256)]
+    whole = Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(path, False).encode(texts)] == [x.ids for x in whole]
+
+
 def test_null_ids_are_split_over_files(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.createDataFrame([(None, f"text number {k}") for k in range(400)] + [(7, "last")], "doc_id long, text string")

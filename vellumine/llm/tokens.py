@@ -6,13 +6,18 @@ size. A chunk of plain letters and closing punctuation consists of two pieces at
 one by one and are remembered too, so that a word with a new comma is no new word; any other chunk goes through the
 whole tokenizer. Texts with characters on which the library and Python could differ about white space, or with a
 marker that could be a special token, are encoded whole.
+
+Where the tokenizer drops white space and lower-cases, texts of Latin-1 letters are cut into the pre-tokenizer's own
+pieces instead: a word is remembered once, not with each case and each punctuation that it is met with.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from itertools import islice
+from pathlib import Path
 
 #: Texts with these are encoded whole: rare white space, separators, joiners, and what could start a special token.
 UNUSUAL = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\|")
@@ -20,6 +25,14 @@ UNUSUAL = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028
 #: A chunk that keeps the white space in front of it, and one without.
 SPACED, BARE = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+").findall, str.split
 
+#: The pattern of the pre-tokenizer that drops white space, and the same for lower-case Latin-1 texts without UNUSUAL characters.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_L, _N = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+WORDS = re.compile(rf"[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_N}]|[^ \t\n\r{_L}{_N}]+").findall
+
+#: What UNUSUAL finds in a Latin-1 text; a search for single characters is many times faster than the pattern.
+UNUSUAL_LATIN = ("\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "<|")
+
 #: The most chunks and pieces that are remembered, and the longest chunk. A full memo keeps its older half, where the
 #: frequent ones are.
 MEMO, PIECES, MEMO_CHARS = 600_000, 200_000, 48
@@ -49,6 +62,15 @@ def _bytes_of(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def _plain_latin(text: str) -> bool:
+    """Whether all characters are Latin-1 and none is unusual."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not any(x in text for x in UNUSUAL_LATIN)
+
+
 class Memo(dict):
     """Chunks and their ids; a chunk that is looked up for the first time is encoded, and kept unless it is long."""
 
@@ -62,6 +84,13 @@ class Memo(dict):
             self[chunk] = ids
         return ids
 
+    def shorten(self) -> None:
+        """Drops the younger half of a memo that is over full."""
+        if len(self) > MEMO:
+            older = list(islice(self.items(), MEMO // 2))
+            self.clear()
+            self.update(older)
+
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
@@ -75,6 +104,8 @@ class Encoder:
         self.keeps_space = keeps_space
         self.chunks = SPACED if keeps_space else BARE
         self.memo = Memo(self._chunk)
+        self.words = Memo(self._word)
+        self.knows_words = not keeps_space and json.dumps(PATTERN) in Path(path).read_text("utf-8")
         self.pieces: dict[str, bytes] = {}
         self.newline = self._fresh(["\n"])[0]
 
@@ -90,6 +121,11 @@ class Encoder:
         found = self.pieces[piece] = _bytes_of([t.id for t in self.model.tokenize(letters)])
         return found
 
+    def _word(self, word: str) -> bytes:
+        """The ids of one lower-case piece of the pre-tokenizer."""
+        plain = word.isascii() and word.isprintable()
+        return _bytes_of([t.id for t in self.model.tokenize(word if plain else "".join(map(_LETTER.__getitem__, word.encode())))])
+
     def _chunk(self, chunk: str) -> bytes:
         """The ids of a chunk: a plain one by its pieces, any other by the whole tokenizer."""
         match = PLAIN(chunk)
@@ -112,12 +148,16 @@ class Encoder:
         return out + self._some(texts[start:])
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            older = list(islice(self.memo.items(), MEMO // 2))
-            self.memo.clear()
-            self.memo.update(older)
-        get = self.memo.__getitem__
-        return [self._fresh([t])[0] if UNUSUAL.search(t) else b"".join(map(get, self.chunks(t))) for t in texts]
+        self.memo.shorten()
+        self.words.shorten()
+        return [self._text(t) for t in texts]
+
+    def _text(self, text: str) -> bytes:
+        if self.knows_words and _plain_latin(text):
+            return b"".join(map(self.words.__getitem__, WORDS(text.lower())))
+        if UNUSUAL.search(text):
+            return self._fresh([text])[0]
+        return b"".join(map(self.memo.__getitem__, self.chunks(text)))
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
