@@ -99,6 +99,14 @@ def test_repeated_rows_all_come_back(spark):
     assert got == [(1, 2, ())] * 3 + [(2, 2, (0, 1))] * 2 + [(3, 0, ())] * 2
 
 
+def test_ranks_are_short_and_codes_of_words_are_plain_longs(spark):
+    """Each word of the corpus looks its rank up and is sorted by its code, so both must be in the cheap form."""
+    df = spark.createDataFrame([(1, "a b\na b c")], "doc_id long, text string")
+    ranks = d.rarity(df, 6)
+    assert ranks.schema["v"].dataType.elementType.typeName() == "short" and len(ranks.first()["v"]) == 64
+    assert not d.word_sets(d.lines_of(df), ranks, 6).schema["prefix"].dataType.containsNull
+
+
 def test_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "a b\na b")], "doc_id long, text string")
     plan = d.removed_lines(df)._jdf.queryExecution().toString()

@@ -93,7 +93,8 @@ def rarity(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     lines = docs.select(F.explode_outer(F.split("text", "\n")).alias("line"))
     words = lines.select(F.explode_outer(words_of(F.col("line"))).alias("w")).filter("w is not null").select(_low(F.xxhash64("w"), buckets).alias("b"))
     counted = words.groupBy("b").agg(F.count("*").alias("n")).select("b", (F.log2(F.col("n") + 1) * _SCALE).cast("long").alias("r"))
-    return written(_dense(counted, "b", "r", buckets), "lines-rarity")
+    # Two bytes a number: tasks look numbers up at random, and a quarter of the table stays in the processor's cache.
+    return written(_dense(counted, "b", "r", buckets).select(F.col("v").cast("array<smallint>").alias("v")), "lines-rarity")
 
 
 def word_hashes(line: Column) -> Column:
@@ -111,7 +112,9 @@ def word_sets(lines: DataFrame, ranks: DataFrame, buckets: int = BUCKETS, hot: i
     """
     top, bottom = SIMILARITY
     hashed = lines.select("doc_id", "doc", "pos", word_hashes(F.col("line")).alias("hashes"))
-    code = lambda h: F.shiftleft(F.col("ranks")[_low(h, buckets).cast("int")], _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
+    # Never null, as its type has to say: then arrays of codes are sorted as plain longs.
+    rank = lambda h: F.coalesce(F.col("ranks")[_low(h, buckets).cast("int")], F.lit(0).cast("smallint")).cast("long")
+    code = lambda h: F.shiftleft(rank(h), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
     coded = hashed.withColumn("ranks", ranks.scalar()).select("doc_id", "doc", "pos", F.sort_array(F.transform("hashes", code)).alias("codes"))
     n, often = F.size("codes"), F.lit(int(math.log2(hot + 1) * _SCALE) + 1 << _HASH_BITS)
     word = lambda c: F.when(c < often, _low(c, _WORD_BITS)).otherwise(_low(c, _WORD_BITS).bitwiseOR(F.lit(1 << _WORD_BITS))).cast("int")
