@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -107,6 +108,20 @@ def test_ranks_are_short_and_codes_of_words_are_plain_longs(spark):
     assert not d.word_sets(d.lines_of(df), ranks, 6).schema["prefix"].dataType.containsNull
 
 
+def test_lambda_functions_read_plain_splits(spark):
+    """What a lambda reads is evaluated without generated code or sharing: each line was put in lower case six times."""
+    df = spark.createDataFrame([(1, "a b\na b c")], "doc_id long, text string")
+    plan = d.word_sets(d.lines_of(df), d.rarity(df, 6), 6)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lower(") == 1 and "transform(array_remove(" not in plan
+    assert not re.search(r"Project [^\n]*, ranks#", plan)  # or each row would hold all ranks
+
+
+def test_words_are_counted_in_lower_case(spark):
+    df = spark.createDataFrame([(1, "Word WORD\tword\nword"), (2, None)], "doc_id long, text string")
+    slot = df.limit(1).select(d._low(F.xxhash64(F.lit("word")), 6)).first()[0]
+    assert d.rarity(df, 6).first()["v"][slot] == int(256 * math.log2(5))
+
+
 def test_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "a b\na b")], "doc_id long, text string")
     plan = d.removed_lines(df)._jdf.queryExecution().toString()

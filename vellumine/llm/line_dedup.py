@@ -4,7 +4,7 @@ A line is the set of its words in lower case. Lines with one set are a class, an
 (doc_id with nulls first, then the document's hash, then the line's number) stays unless an earlier line of another
 class has a Jaccard similarity of SIMILARITY or more; every later line of a class goes.
 
-Words are ordered by rarity: by their number in the corpus as they stand there, counted in hash buckets over all texts (a
+Words are ordered by rarity: by their number in the corpus in lower case, counted in hash buckets over all texts (a
 table of 2**BUCKETS numbers, which is what tasks get), then by hash. Any fixed order gives exact results; a rarer one gives fewer candidates.
 Two sets of sizes n and m with similarity t or more share a word among the first n - ceil(t n) + 1 of one and the like of
 the other (prefix filter); their sizes differ by a factor of t at most (length filter); what is left from the first
@@ -32,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import SPACE, discard, table, written
+from vellumine.llm.common import discard, table, written
 
 #: The least similarity, as a fraction.
 SIMILARITY = (4, 5)
@@ -53,12 +53,20 @@ FILTER_BITS = (12, 26)
 _SCALE, _HASH_BITS, _WORD_BITS = 256, 48, 30
 
 
-def words_of(line: Column) -> Column:
-    """The words of a line, in order; it may hold empty strings. The plain split serves lines whose only white space is blanks."""
+def blanks(text: Column) -> Column:
+    """The text with blanks for all white space within its lines; most texts hold no other and stay as they are."""
     odd = F.lit(False)
     for c in "\t\r\v\f":
-        odd = odd | F.contains(line, F.lit(c))
-    return F.when(odd, F.split(line, SPACE)).otherwise(F.split(line, " "))
+        odd = odd | F.contains(text, F.lit(c))
+    return F.when(odd, F.translate(text, "\t\r\v\f", "    ")).otherwise(text)
+
+
+def words_of(line: Column) -> Column:
+    """The words of a line of lines_of, in lower case and in order; it may hold empty strings.
+
+    What a lambda function reads is evaluated without generated code and without sharing, so this is as short as can be.
+    """
+    return F.split(F.lower(line), " ")
 
 
 def _low(h: Column, bits: int) -> Column:
@@ -79,19 +87,19 @@ def _dense(counts: DataFrame, key: str, value: str, bits: int) -> DataFrame:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, doc (hash of doc_id and text), pos (from 0), line of every line; a null text is one empty line.
+    """doc_id, doc (hash of doc_id and text), pos (from 0), line of every line, its white space as blanks; a null text is one empty line.
 
     The hash stands in a projection of its own, or it would be taken once for each line; the outer form of the
     generator, since for the inner one Spark adds a filter that splits every text once more.
     """
-    hashed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    hashed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), blanks(F.coalesce("text", F.lit(""))).alias("text"))
     return hashed.select("doc_id", "doc", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
 
 
 def rarity(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row: for each hash bucket of words, how frequent they are in all texts, on a logarithmic scale (0: absent)."""
-    lines = docs.select(F.explode_outer(F.split("text", "\n")).alias("line"))
-    words = lines.select(F.explode_outer(words_of(F.col("line"))).alias("w")).filter("w is not null").select(_low(F.xxhash64("w"), buckets).alias("b"))
+    lines = docs.select(F.explode_outer(F.split(blanks(F.coalesce("text", F.lit(""))), "\n")).alias("line"))
+    words = lines.select(F.explode_outer(words_of(F.col("line"))).alias("w")).select(_low(F.xxhash64("w"), buckets).alias("b"))
     counted = words.groupBy("b").agg(F.count("*").alias("n")).select("b", (F.log2(F.col("n") + 1) * _SCALE).cast("long").alias("r"))
     # Two bytes a number: tasks look numbers up at random, and a quarter of the table stays in the processor's cache.
     return written(_dense(counted, "b", "r", buckets).select(F.col("v").cast("array<smallint>").alias("v")), "lines-rarity")
@@ -99,7 +107,7 @@ def rarity(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def word_hashes(line: Column) -> Column:
     """The distinct words of a line, as hashes."""
-    return F.array_remove(F.array_distinct(F.transform(words_of(F.lower(line)), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.array_remove(F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def word_sets(lines: DataFrame, ranks: DataFrame, buckets: int = BUCKETS, hot: int = HOT) -> DataFrame:
@@ -113,15 +121,17 @@ def word_sets(lines: DataFrame, ranks: DataFrame, buckets: int = BUCKETS, hot: i
     top, bottom = SIMILARITY
     hashed = lines.select("doc_id", "doc", "pos", word_hashes(F.col("line")).alias("hashes"))
     # Never null, as its type has to say: then arrays of codes are sorted as plain longs.
-    rank = lambda h: F.coalesce(F.col("ranks")[_low(h, buckets).cast("int")], F.lit(0).cast("smallint")).cast("long")
+    rank = lambda h: F.coalesce(F.col("ranks")[_low(h, buckets)], F.lit(0).cast("smallint")).cast("long")
     code = lambda h: F.shiftleft(rank(h), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
-    coded = hashed.withColumn("ranks", ranks.scalar()).select("doc_id", "doc", "pos", F.sort_array(F.transform("hashes", code)).alias("codes"))
-    n, often = F.size("codes"), F.lit(int(math.log2(hot + 1) * _SCALE) + 1 << _HASH_BITS)
+    # Read twice here, the hashes stay a projection of their own, in generated code; the ranks must not become a column of it.
+    sized = hashed.select("doc_id", "doc", "pos", "hashes", F.size("hashes").alias("n"), ranks.scalar().alias("ranks"))
+    coded = sized.select("doc_id", "doc", "pos", "n", F.sort_array(F.transform("hashes", code)).alias("codes"))
+    n, often = F.col("n"), F.lit(int(math.log2(hot + 1) * _SCALE) + 1 << _HASH_BITS)
     word = lambda c: F.when(c < often, _low(c, _WORD_BITS)).otherwise(_low(c, _WORD_BITS).bitwiseOR(F.lit(1 << _WORD_BITS))).cast("int")
     parity = lambda bit: F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(bit(c)))
     half = lambda c: F.when(c.bitwiseAND(F.lit(64)) == 0, F.lit(0).cast("long")).otherwise(_bit(_low(c, 6)))
     return coded.select(
-        "doc_id", "doc", "pos", F.xxhash64("codes").alias("h1"), F.xxhash64("codes", F.lit("second")).alias("h2"), n.alias("n"),
+        "doc_id", "doc", "pos", F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit("second"), "codes").alias("h2"), n.alias("n"),
         parity(lambda c: _bit(_low(c, 6))).alias("sketch"),
         F.when(n > 64, parity(half)).otherwise(F.lit(0).cast("long")).alias("half"),
         F.transform(F.slice("codes", 1, n - F.ceil(n * top / bottom).cast("int") + 2), word).alias("prefix"),
@@ -134,19 +144,14 @@ def ordered(doc_id: str, doc: str, pos: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), line.alias("line")
 
 
-def _needed(total: Column) -> Column:
-    """The least number of shared words of two sets with so many words together."""
-    top, bottom = SIMILARITY
-    return F.floor((total * top + (top + bottom) - 1) / (top + bottom))
-
-
 def _near(a_n: Column, b_n: Column) -> Column:
     """Length filter and sketch filter; of two long sets, the halves of the sketches are compared apart."""
     top, bottom = SIMILARITY
     total, whole, half = a_n + b_n, F.col("a_sketch").bitwiseXOR(F.col("b_sketch")), F.col("a_half").bitwiseXOR(F.col("b_half"))
+    # b (T - D) >= t (T + D) for a similarity of t / b, T words together and D in one set alone: whole numbers, no division.
     both = (a_n > 64) & (b_n > 64)
     differ = F.when(both, F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
-    return (a_n * bottom >= b_n * top) & (b_n * bottom >= a_n * top) & (differ <= total - 2 * _needed(total))
+    return (a_n * bottom >= b_n * top) & (b_n * bottom >= a_n * top) & (differ * (bottom + top) <= total * (bottom - top))
 
 
 def _before() -> Column:
@@ -157,10 +162,16 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.struct(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).alias("early"), F.col("b_doc").alias("doc"), F.col("b_line").alias("line"))
 
 
+def few_of(prefix: str) -> Column:
+    """The words of a prefix by which families are found: the smallest, the largest, the last and the middle one."""
+    return F.array_distinct(F.array(F.array_min(prefix), F.array_max(prefix), F.element_at(prefix, -1), F.element_at(prefix, F.shiftright(F.size(prefix), 1) + 1)))
+
+
 def family_pairs(classes: DataFrame, family: int = FAMILY) -> DataFrame:
     """(early, late) lines: the earliest class and each other of those with one smallest, largest, last or middle prefix word."""
-    few = F.array(F.array_min("prefix"), F.array_max("prefix"), F.element_at("prefix", -1), F.element_at("prefix", (F.size("prefix") / 2).cast("int") + 1))
-    ends = classes.select("doc", "line", "n", "sketch", "half", F.explode(F.array_distinct(few)).alias("word"))
+    if "few" not in classes.columns:
+        classes = classes.withColumn("few", few_of("prefix"))
+    ends = classes.select("doc", "line", "n", "sketch", "half", F.explode_outer("few").alias("word"))
     large = written(ends.groupBy("word").agg(F.count("*").alias("many")).filter(F.col("many") >= family).select("word"), "lines-large")
     members = written(ends.join(large, "word"), "lines-members")
     columns = ("doc", "line", "n", "sketch", "half")
@@ -202,7 +213,8 @@ def candidates(early: DataFrame, late: DataFrame) -> DataFrame:
     a = early.select("word", *[F.col(c).alias(f"a_{c}") for c in columns])
     b = late.select("word", *[F.col(c).alias(f"b_{c}") for c in columns])
     a_n, b_n = F.shiftright("a_place", 31), F.shiftright("b_place", 31)
-    left = F.least(a_n - _low(F.col("a_place"), 31), b_n - _low(F.col("b_place"), 31)) >= _needed(a_n + b_n)
+    top, bottom = SIMILARITY
+    left = F.least(a_n - _low(F.col("a_place"), 31), b_n - _low(F.col("b_place"), 31)) * (bottom + top) >= (a_n + b_n) * top
     first = (F.col("a_prev") != F.col("b_prev")) | (F.col("a_prev") + F.col("b_prev") < 0)
     return _pairs(a.join(b, "word").filter(_before() & left & first & _near(a_n, b_n)))
 
@@ -270,7 +282,7 @@ def removed_lines(docs: DataFrame, buckets: int = BUCKETS, hot: int = HOT, famil
     sets = written(word_sets(lines_of(docs), ranks, buckets, hot), "lines-sets")
     first = F.min(F.struct("doc_id", "doc", "pos", "n", "sketch", "half", "prefix")).alias("first")
     classes = sets.filter("n > 0").groupBy("h1", "h2").agg(first, F.count("*").alias("many"))
-    classes = written(classes.select("h1", "h2", *ordered("first.doc_id", "first.doc", "first.pos"), "many", "first.n", "first.sketch", "first.half", "first.prefix"), "lines-classes")
+    classes = written(classes.select("h1", "h2", *ordered("first.doc_id", "first.doc", "first.pos"), "many", "first.n", "first.sketch", "first.half", "first.prefix", few_of("first.prefix").alias("few")), "lines-classes")
     gone = similar_classes(docs, classes, family).withColumn("gone", F.lit(True))
     verdicts = classes.select("h1", "h2", "many", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"))
     verdicts = verdicts.join(gone, (F.col("first_doc") == gone.doc) & (F.col("first_line") == gone.line), "left").filter("many > 1 or gone")
