@@ -7,8 +7,9 @@ one by one and are remembered too, so that a word with a new comma is no new wor
 whole tokenizer. Texts with characters on which the library and Python could differ about white space, or with a
 marker that could be a special token, are encoded whole.
 
-Where the tokenizer drops white space and lower-cases, texts of Latin-1 letters are cut into the pre-tokenizer's own
-pieces instead: a word is remembered once, not with each case and each punctuation that it is met with.
+Where the pre-tokenizer is one of two known ones (one drops white space and lower-cases, the other is byte-level), texts of
+Latin-1 letters are cut into its own pieces instead: a word is remembered once, not with each punctuation (and, in lower
+case, not with each case) that it is met with.
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _L, _N = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 WORDS = re.compile(rf"[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_N}]|[^ \t\n\r{_L}{_N}]+").findall
 
+#: The byte-level pre-tokenizer, and its pattern for Latin-1 texts without UNUSUAL characters, the most frequent kind first.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_CASED = f"A-Z{_L}\xc0-\xd6\xd8-\xde"
+PARTS = re.compile(rf" ?[{_CASED}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^ \t\n\r{_CASED}{_N}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+").findall
+
 #: What UNUSUAL finds in a Latin-1 text; a search for single characters is many times faster than the pattern.
 UNUSUAL_LATIN = ("\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "<|")
 
@@ -64,10 +70,11 @@ def _bytes_of(ids: list[int]) -> bytes:
 
 def _plain_latin(text: str) -> bool:
     """Whether all characters are Latin-1 and none is unusual."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
     return not any(x in text for x in UNUSUAL_LATIN)
 
 
@@ -105,10 +112,17 @@ class Encoder:
         self.chunks = SPACED if keeps_space else BARE
         self.memo = Memo(self._chunk)
         self.words = Memo(self._word)
-        self.knows_words = not keeps_space and json.dumps(PATTERN) in Path(path).read_text("utf-8")
+        self.cut = self._cut(json.loads(Path(path).read_text("utf-8")))
         self.pieces: dict[str, bytes] = {}
         self.newline = self._fresh(["\n"])[0]
 
+    def _cut(self, told: dict):
+        """What cuts a Latin-1 text into the pre-tokenizer's own pieces; None if it is not a known one."""
+        if not self.keeps_space:
+            return (lambda text: WORDS(text.lower())) if json.dumps(PATTERN) in json.dumps(told["pre_tokenizer"]) else None
+        known = told["normalizer"] is None and {k: (told["pre_tokenizer"] or {}).get(k) for k in BYTE_LEVEL} == BYTE_LEVEL
+        return PARTS if known else None
+
     def _fresh(self, texts: list[str]) -> list[bytes]:
         return [_bytes_of(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -122,9 +136,13 @@ class Encoder:
         return found
 
     def _word(self, word: str) -> bytes:
-        """The ids of one lower-case piece of the pre-tokenizer."""
-        plain = word.isascii() and word.isprintable()
-        return _bytes_of([t.id for t in self.model.tokenize(word if plain else "".join(map(_LETTER.__getitem__, word.encode())))])
+        """The ids of one piece of the pre-tokenizer, in lower case if that drops white space."""
+        rest = word[1:] if word[0] == " " else word
+        if rest.isascii() and rest.isprintable() and " " not in rest:
+            letters = word if rest is word else SPACE + rest
+        else:
+            letters = "".join(map(_LETTER.__getitem__, word.encode()))
+        return _bytes_of([t.id for t in self.model.tokenize(letters)])
 
     def _chunk(self, chunk: str) -> bytes:
         """The ids of a chunk: a plain one by its pieces, any other by the whole tokenizer."""
@@ -153,8 +171,8 @@ class Encoder:
         return [self._text(t) for t in texts]
 
     def _text(self, text: str) -> bytes:
-        if self.knows_words and _plain_latin(text):
-            return b"".join(map(self.words.__getitem__, WORDS(text.lower())))
+        if self.cut is not None and _plain_latin(text):
+            return b"".join(map(self.words.__getitem__, self.cut(text)))
         if UNUSUAL.search(text):
             return self._fresh([text])[0]
         return b"".join(map(self.memo.__getitem__, self.chunks(text)))
