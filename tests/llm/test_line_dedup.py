@@ -126,3 +126,23 @@ def test_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "a b\na b")], "doc_id long, text string")
     plan = d.removed_lines(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_settled_lines_are_early_ones_only_and_of_one_join(spark):
+    """They were shuffled and sorted with the open lines once more, in a join of their own."""
+    df = spark.createDataFrame(list(enumerate(corpus(7))), "doc_id long, text string")
+    sets = d.word_sets(d.lines_of(df), d.rarity(df, 6), 6, 3).filter("n > 0").dropDuplicates(["h1"])
+    classes = d.written(sets.select(*d.ordered("doc_id", "doc", "pos"), "n", "sketch", "half", "prefix"), "classes")
+    every = {tuple(r) for r in d.candidates(d.prefix_rows(classes.withColumn("settled", F.lit(False)))).collect()}
+    marked = d.candidates(d.prefix_rows(classes.withColumn("settled", F.when(F.col("doc") % 2 == 0, True))))
+    assert {tuple(r) for r in marked.collect()} == {r for r in every if r[1] % 2} != every
+    assert marked._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_only_documents_with_lines_to_verify_are_cut_into_lines(spark, monkeypatch):
+    df = spark.createDataFrame([(k, f"a{k} b\nc d") for k in range(1000)] + [(None, "e f"), (7, "g h")], "doc_id long, text string")
+    lines = d.lines_of(df).filter("doc_id = 7 and pos = 0 or doc_id is null").select(*d.ordered("doc_id", "doc", "pos"))
+    cut = []
+    monkeypatch.setattr(d, "lines_of", lambda docs, f=d.lines_of: cut.append(docs.count()) or f(docs))
+    assert sorted(len(r["words"]) for r in d.word_lists(df, lines).collect()) == [2, 2, 2]
+    assert len(cut) == 1 and 3 <= cut[0] < 100

@@ -138,20 +138,28 @@ def word_sets(lines: DataFrame, ranks: DataFrame, buckets: int = BUCKETS, hot: i
     )
 
 
+def doc_key(doc_id: str) -> Column:
+    """doc_id as a long, the smallest one for null."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
+
+
 def ordered(doc_id: str, doc: str, pos: str) -> tuple[Column, Column]:
     """doc and line, two longs in corpus order: doc_id, null first; then 32 bits of the document's hash and the line's number."""
     line = F.shiftleft(F.shiftright(doc, 32), 31).bitwiseOR(F.col(pos).cast("long"))
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), line.alias("line")
+    return doc_key(doc_id).alias("doc"), line.alias("line")
 
 
 def _near(a_n: Column, b_n: Column) -> Column:
-    """Length filter and sketch filter; of two long sets, the halves of the sketches are compared apart."""
+    """Sketch filter and length filter; of two long sets, the halves of the sketches are compared apart as well.
+
+    Whole sketches come first: their difference is a bound for sets of any size, and few pairs need anything else.
+    """
     top, bottom = SIMILARITY
     total, whole, half = a_n + b_n, F.col("a_sketch").bitwiseXOR(F.col("b_sketch")), F.col("a_half").bitwiseXOR(F.col("b_half"))
     # b (T - D) >= t (T + D) for a similarity of t / b, T words together and D in one set alone: whole numbers, no division.
-    both = (a_n > 64) & (b_n > 64)
-    differ = F.when(both, F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
-    return (a_n * bottom >= b_n * top) & (b_n * bottom >= a_n * top) & (differ * (bottom + top) <= total * (bottom - top))
+    few = lambda differ: differ * (bottom + top) <= total * (bottom - top)
+    short = (a_n <= 64) | (b_n <= 64)
+    return few(F.bit_count(whole)) & (a_n * bottom >= b_n * top) & (b_n * bottom >= a_n * top) & (short | few(F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))))
 
 
 def _before() -> Column:
@@ -187,11 +195,12 @@ def prefix_rows(classes: DataFrame) -> DataFrame:
     """One row for each key of a class: word, doc and line of its first line, prev, place, sketch, half.
 
     The key is a prefix word, or two of them where the first is frequent. place has the size and the key's place, less
-    one for two words. prev is the prefix word before, -1 if none counts.
+    one for two words; it is negative for settled classes. prev is the prefix word before, -1 if none counts.
     """
     often = F.lit(1 << _WORD_BITS)
-    pack = lambda at: F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(at.cast("long")).alias("place")
-    kept = ["doc", "line", "n", "sketch", "half"]
+    sign = F.when(F.col("settled"), F.lit(-(1 << 63))).otherwise(F.lit(0).cast("long"))
+    pack = lambda at: F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(at.cast("long")).bitwiseOR(sign).alias("place")
+    kept = ["doc", "line", "n", "sketch", "half", "settled"]
     many = F.col("n") >= 2  # two different sets of which one has a single word are not similar
     last = F.size("prefix") - 1
     each = classes.filter(many).select(*kept, "prefix", F.posexplode(F.slice("prefix", 1, F.greatest(last, F.lit(1)))).alias("at", "word"))
@@ -204,30 +213,41 @@ def prefix_rows(classes: DataFrame) -> DataFrame:
     return single.unionByName(double)
 
 
-def candidates(early: DataFrame, late: DataFrame) -> DataFrame:
+def candidates(rows: DataFrame) -> DataFrame:
     """(early, late) lines, as structs of doc and line, for the prefix rows that all filters let through.
 
-    No condition concerns one side alone, so that rows which are on both sides are shuffled once.
+    A late line has to be open. No condition concerns one side alone, so rows of either kind are shuffled once and
+    sorted twice: nothing is left of a settled line in the positional filter. The cheapest filter comes first.
     """
     columns = ("doc", "line", "prev", "place", "sketch", "half")
-    a = early.select("word", *[F.col(c).alias(f"a_{c}") for c in columns])
-    b = late.select("word", *[F.col(c).alias(f"b_{c}") for c in columns])
-    a_n, b_n = F.shiftright("a_place", 31), F.shiftright("b_place", 31)
+    a = rows.select("word", *[F.col(c).alias(f"a_{c}") for c in columns])
+    b = rows.select("word", *[F.col(c).alias(f"b_{c}") for c in columns])
+    a_n, b_n = (F.shiftright(F.shiftleft(place, 1), 32) for place in ("a_place", "b_place"))
+    a_left, b_left = a_n - _low(F.col("a_place"), 31), F.when(F.col("b_place") >= 0, b_n - _low(F.col("b_place"), 31)).otherwise(-1)
     top, bottom = SIMILARITY
-    left = F.least(a_n - _low(F.col("a_place"), 31), b_n - _low(F.col("b_place"), 31)) * (bottom + top) >= (a_n + b_n) * top
+    left = F.least(a_left, b_left) * (bottom + top) >= (a_n + b_n) * top
     first = (F.col("a_prev") != F.col("b_prev")) | (F.col("a_prev") + F.col("b_prev") < 0)
-    return _pairs(a.join(b, "word").filter(_before() & left & first & _near(a_n, b_n)))
+    return _pairs(a.join(b, "word").filter(_near(a_n, b_n) & _before() & left & first))
 
 
 def word_lists(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc, line and words (hashes) of the wanted lines (doc, line; distinct): a filter of 16 bits or more a line sifts lines before they move."""
-    bits = min(max((16 * wanted.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
-    slot = _low(F.xxhash64("doc", "line"), bits)
-    words = wanted.select(F.shiftright(slot, 6).alias("w"), _bit(slot.bitwiseAND(F.lit(63))).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bit"))
+    """doc, line and words (hashes) of the wanted lines (doc, line; distinct).
+
+    A filter of 16 bits or more for each line and each of their documents sifts the documents before they are cut into
+    lines, and the lines before they move.
+    """
+    bits = min(max((32 * wanted.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    slot = lambda *key: _low(F.xxhash64(*key), bits)
+    slots = wanted.select(F.explode(F.array(slot("doc", "line"), slot("doc"))).alias("slot"))
+    words = slots.select(F.shiftright("slot", 6).alias("w"), _bit(F.col("slot").bitwiseAND(F.lit(63))).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bit"))
     sieve = written(_dense(words, "w", "bit", bits - 6).withColumnRenamed("v", "bits"), "lines-filter")
-    some = lines_of(docs).select(*ordered("doc_id", "doc", "pos"), F.col("line").alias("text")).withColumn("bits", sieve.scalar())
-    word = F.col("bits")[F.shiftright(slot, 6).cast("int")]
-    some = some.filter(F.call_function("shiftright", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+
+    def sifted(df: DataFrame, at: Column) -> DataFrame:
+        word = sieve.scalar()[F.shiftright(at, 6).cast("int")]
+        return df.filter(F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+
+    some = lines_of(sifted(docs, slot(doc_key("doc_id")))).select(*ordered("doc_id", "doc", "pos"), F.col("line").alias("text"))
+    some = sifted(some, slot("doc", "line"))
     lists = some.select("doc", "line", word_hashes(F.col("text")).alias("words")).join(wanted, ["doc", "line"]).dropDuplicates(["doc", "line"])
     lists = written(lists, "lines-words")
     discard(sieve)
@@ -257,12 +277,9 @@ def similar_classes(docs: DataFrame, classes: DataFrame, family: int = FAMILY) -
         settled = written(similar(near, lists), "lines-settled")
         discard(near, lists)
         marked = classes.join(settled.withColumn("settled", F.lit(True)), ["doc", "line"], "left")
-        open_, done = prefix_rows(marked.filter("settled is null")), prefix_rows(marked.filter("settled"))
-        met = candidates(open_, open_).unionByName(candidates(done, open_))
     else:
-        rows = prefix_rows(classes)
-        met = candidates(rows, rows)
-    pairs = written(met.distinct(), "lines-pairs")
+        marked = classes.withColumn("settled", F.lit(False))
+    pairs = written(candidates(prefix_rows(marked)).distinct(), "lines-pairs")
     lists = word_lists(docs, written(lines_in(pairs), "lines-wanted"))
     earliest = written(similar(pairs.groupBy("doc", "line").agg(F.min("early").alias("early")), lists), "lines-settled")
     later = written(similar(pairs.join(earliest, ["doc", "line"], "left_anti"), lists), "lines-settled")
