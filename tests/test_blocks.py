@@ -100,3 +100,14 @@ def test_what_cannot_be_a_degree(spark, bad):
 
     df = spark.createDataFrame([(bad,)], "t string")
     assert df.select(L.no_degree(df["t"]).alias("x")).first()["x"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_positions_read_a_text_once(spark, tmp_path):
+    """Failed before: positions with and without dates each read the texts, and found their blocks, anew."""
+    spark.createDataFrame([(1, PART), (2, None)], "id int, t string").write.parquet(str(tmp_path / "docs"))
+    plan = _plan(P.positions(spark.read.parquet(str(tmp_path / "docs")), "id", "t", W))
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan

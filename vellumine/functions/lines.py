@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,15 +32,38 @@ def text_lines(text: Column) -> Column:
 
 def edged(value: Column, marks: str = r"\s,|\-–—") -> Column:
     """Without these marks around it."""
-    return F.regexp_replace(value, f"^[{marks}]+|[{marks}]+$", "")
+    return F.btrim(value, F.lit(marks.replace(r"\s", T.WHITE).replace("\\", "")))
+
+
+def unbulleted(line: Column) -> Column:
+    """Without bullets and white space in front."""
+    return F.ltrim(line, F.lit(BULLETS + T.WHITE))
 
 
 def is_bullet(line: Column) -> Column:
-    return line.rlike(f"^[{BULLETS}]")
+    dash, *others = (F.startswith(line, F.lit(b)) for b in BULLETS)
+    return reduce(or_, others, dash)
 
 
 def n_words(line: Column) -> Column:
-    return F.size(F.array_remove(F.split(line, r"\s+"), ""))
+    return F.regexp_count(line, F.lit(r"\S+"))
+
+
+def dated(line: Column) -> Column:
+    """Whether a line holds a written range of dates; every one has a digit, which is looked for first."""
+    return line.rlike("[0-9]") & line.rlike(RANGE)
+
+
+def any_of(parts: tuple[str, ...]) -> str:
+    """A pattern for any of the literal parts that tries each common beginning once; it tells whether there is one, not which."""
+    heads: dict[str, list[str]] = {}
+    for p in parts:
+        heads.setdefault(p[:1], []).append(p[1:])
+    if "" in heads:
+        return ""
+    quoted = lambda c: c if c.isalnum() or c == " " else f"[{c}]"
+    branches = [quoted(c) + any_of(tuple(rest)) for c, rest in heads.items()]
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
 
 
 def is_sentence(line: Column) -> Column:
@@ -47,13 +73,12 @@ def is_sentence(line: Column) -> Column:
 
 def holds(text: Column, parts: tuple[str, ...]) -> Column:
     """Whether any of the parts occurs anywhere, in any case; false for null."""
-    pattern = "|".join("".join(c if c.isalnum() or c == " " else f"[{c}]" for c in p) for p in parts)
-    return F.coalesce(F.lower(text).rlike(pattern), F.lit(False)) if parts else F.lit(False)
+    return F.coalesce(F.lower(text).rlike(any_of(parts)), F.lit(False)) if parts else F.lit(False)
 
 
 def names(text: Column, words: tuple[str, ...]) -> Column:
     """Whether any of the words occurs as a word of its own, in any case; false for null."""
-    return F.coalesce(F.lower(text).rlike(whole_word(words)), F.lit(False)) if words else F.lit(False)
+    return holds(text, words) & F.lower(text).rlike(whole_word(words)) if words else F.lit(False)
 
 
 def is_place(text: Column, words: Words) -> Column:
@@ -61,7 +86,8 @@ def is_place(text: Column, words: Words) -> Column:
     if not words.places:
         return F.lit(False)
     bare = stripped(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
-    return F.coalesce((bare != "") & (bare.isin(*words.places) | F.forall(F.split(bare, " "), lambda w: w.isin(*words.places))), F.lit(False))
+    known = T.let(bare, lambda b: F.coalesce((b != "") & (b.isin(*words.places) | F.forall(F.split(b, " "), lambda w: w.isin(*words.places))), F.lit(False)))
+    return holds(text, tuple(p.split(" ")[0] for p in words.places)) & known
 
 
 #: What marks a degree, a school, and what cannot be a degree though it looks like one.
@@ -91,13 +117,13 @@ YEAR_SPAN = r"(?i)\b(?:19|20)[0-9]{2}\b(?:\s*(?:[-–—~]|to)\s*(?:(?:19|20)[0-
 
 def no_degree(text: Column) -> Column:
     """Whether a text is a range of dates, a score, a tool, a form's label or a number rather than a degree; true for null."""
-    score = (text.rlike(SCORE) & text.rlike("[0-9]")) | text.rlike(r"\b[0-9]+(?:[.][0-9]+)?\s*%")
-    bad = text.rlike(RANGE) | score | holds(text, NO_DEGREE) | text.rlike(r"(?i)^(?:[0-9\s\-/.,–—~()]|to)+$")
+    counted = text.rlike("[0-9]") & (text.rlike(SCORE) | text.rlike(r"\b[0-9]+(?:[.][0-9]+)?\s*%") | text.rlike(RANGE))
+    bad = counted | holds(text, NO_DEGREE) | text.rlike(r"(?i)^(?:[0-9\s\-/.,–—~()]|to)+$")
     return F.coalesce((F.length(stripped(text)) < 2) | bad, F.lit(True))
 
 
 def is_degree(text: Column) -> Column:
-    return ~no_degree(text) & F.coalesce(text.rlike(DEGREE), F.lit(False))
+    return F.coalesce(text.rlike(DEGREE), F.lit(False)) & ~no_degree(text)
 
 
 def is_school(text: Column) -> Column:

@@ -1,7 +1,8 @@
 """Positions held, read from the lines of a text: ranges of dates are anchors, and each anchor takes the lines around it.
 
 The lines of a document stay in its row: an anchor's header lines (two back at most) and its body (up to the header of the
-next anchor) are cut from the array of lines, and only those blocks become rows. So no line is shuffled.
+next anchor) are cut from the array of lines, and a position is read from each of these blocks where it lies. So a text is
+read once, nothing is shuffled, and what becomes rows are positions.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ def split_position(text: Column, words: Words) -> Column:
         return (
             F.when(F.coalesce(line == "", F.lit(True)), _parts(None, None, None))
             .when(L.is_place(line, words), _parts(None, None, line))
-            .when(line.rlike(bracket) & (inner != ""), _pair(F.regexp_extract(line, bracket, 1), inner))
+            .when(F.contains(line, F.lit("(")) & line.rlike(bracket) & (inner != ""), _pair(F.regexp_extract(line, bracket, 1), inner))
             .when(line.rlike(at), _pair(F.regexp_extract(line, at, 1), F.regexp_extract(line, at, 2)))
             .when(line.rlike(inside) & after_in, _pair(F.regexp_extract(line, inside, 1), company))
             .otherwise(
@@ -114,15 +115,16 @@ def split_position(text: Column, words: Words) -> Column:
 
 def content_lines(text: Column) -> Column:
     """The lines of an experience part: without headings, up to the line that ends it, ranges cut by a line break joined."""
-    kept = F.filter(L.text_lines(text), lambda x: ~F.lower(x).isin(*HEADINGS))
-    end = lambda a: F.array_position(F.transform(a, lambda x: F.lower(x).rlike("^(?:" + "|".join(ENDS) + ")")), True).cast("int")
-    kept = T.let(kept, lambda a: F.when(end(a) > 0, F.slice(a, 1, end(a) - 1)).otherwise(a))
-    return T.let(kept, rejoined)
+    kept = F.filter(L.text_lines(text), lambda x: (F.length(x) > max(map(len, HEADINGS))) | ~F.lower(x).isin(*HEADINGS))
+    # as many characters as the longest of ENDS decide
+    ends = lambda x: F.lower(F.substring(x, 1, max(map(len, ENDS)))).rlike("^(?:" + "|".join(ENDS) + ")")
+    cut = lambda a: T.let(F.array_position(F.transform(a, ends), True).cast("int"), lambda n: F.when(n > 0, F.slice(a, 1, n - 1)).otherwise(a))
+    return T.let(T.let(kept, cut), rejoined)
 
 
 def rejoined(a: Column) -> Column:
     """Lines of which one ends within a range of dates that the next goes on with, joined two by two."""
-    cuts = F.transform(a, lambda x, i: F.coalesce(x.rlike(L.RANGE_CUT) & F.get(a, i + 1).rlike(L.RANGE_GOES_ON), F.lit(False)))
+    cuts = F.transform(a, lambda x, i: F.coalesce(F.get(a, i + 1).rlike(L.RANGE_GOES_ON) & x.rlike(L.RANGE_CUT), F.lit(False)))
 
     def paired(s: Column) -> Column:
         n = F.size(s)
@@ -130,13 +132,13 @@ def rejoined(a: Column) -> Column:
         firsts = T.let(opens, lambda o: F.flatten(F.transform(o, lambda x, k: F.sequence(x, F.coalesce(F.get(o, k + 1), n) - 1, F.lit(2)))))
         return F.transform(firsts, lambda i: F.when(F.get(s, i), F.concat_ws(" ", F.get(a, i), F.get(a, i + 1))).otherwise(F.get(a, i)))
 
-    return F.when(F.exists(cuts, lambda x: x), T.let(cuts, paired)).otherwise(a)
+    return T.let(cuts, lambda s: F.when(F.array_contains(s, True), paired(s)).otherwise(a))
 
 
 def blocks(lines: Column, words: Words) -> Column:
     """A struct for each anchor: its line, the header lines before it (near, far), the next line, and its body."""
     keyed = lambda x: L.holds(x, words.roles) | L.holds(x, words.companies)
-    anchors = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(L.RANGE) & (L.n_words(x) <= 16), i)), lambda i: i.isNotNull())
+    anchors = F.filter(F.transform(lines, lambda x, i: F.when(L.dated(x) & (L.n_words(x) <= 16), i)), lambda i: i.isNotNull())
 
     def heads(x: Column) -> Column:
         short = F.lower(x).rlike("(?:" + "|".join(a.replace(".", "[.]") for a in ABBREVIATIONS) + ")$")
@@ -145,13 +147,12 @@ def blocks(lines: Column, words: Words) -> Column:
     def cut(a: Column) -> Column:
         def block(at: Column, k: Column) -> Column:
             before = F.when(k > 0, F.get(a, k - 1)).otherwise(F.lit(-1))
-            near = F.when((at - 1 > before) & heads(F.get(lines, at - 1)), F.get(lines, at - 1))
-            far = F.when(near.isNotNull() & (at - 2 > before) & heads(F.get(lines, at - 2)), F.get(lines, at - 2))
+            header = lambda i: F.when(i > before, T.let(F.get(lines, i), lambda x: F.when(heads(x), x)))
             after = F.get(a, k + 1)
-            return F.struct(
-                F.get(lines, at).alias("line"), near.alias("near"), far.alias("far"), after.isNotNull().alias("followed"),
+            return T.let(header(at - 1), lambda near: F.struct(
+                F.get(lines, at).alias("line"), near.alias("near"), F.when(near.isNotNull(), header(at - 2)).alias("far"), after.isNotNull().alias("followed"),
                 F.get(lines, at + 1).alias("next"), F.slice(lines, at + 2, F.coalesce(after, F.size(lines)) - at - 1).alias("body"),
-            )
+            ))
 
         return F.transform(a, block)
 
@@ -164,83 +165,172 @@ def _body(body: Column, start: Column, followed: Column, words: Words) -> Column
 
     def marked(x: Column, i: Column) -> Column:
         key = L.holds(x, words.roles) | L.holds(x, words.companies)
-        return F.struct(i.alias("i"), key.alias("key"), (~key & (L.is_bullet(x) | L.is_sentence(x))).alias("stop"))
+        return T.let(key, lambda named: F.struct(i.alias("i"), named.alias("key"), (~named & (L.is_bullet(x) | L.is_sentence(x))).alias("stop")))
 
     def cut(marks: Column) -> Column:
         inside = F.filter(marks, lambda m: m["i"] >= start)
         stop = F.array_max(F.transform(F.filter(inside, lambda m: m["stop"]), lambda m: m["i"])) + 1
         key = F.array_min(F.transform(F.filter(inside, lambda m: m["key"]), lambda m: m["i"]))
-        end = F.when(followed, F.coalesce(stop, key, F.size(body))).otherwise(F.size(body))
-        return F.slice(body, start + 1, F.greatest(end - start, F.lit(0)))
+        return F.coalesce(stop, key, F.size(body))
 
-    return T.let(F.transform(body, marked), cut)
+    end = F.when(followed, T.let(F.transform(body, marked), cut)).otherwise(F.size(body))
+    return F.slice(body, start + 1, F.greatest(end - start, F.lit(0)))
 
 
 def highlights(body: Column) -> Column:
-    bare = F.transform(body, lambda x: F.regexp_replace(x, f"^[{L.BULLETS}\\s]+", ""))
-    good = F.filter(bare, lambda x: (x != "") & ~F.lower(x).isin(*LABELS) & ~x.rlike("^[0-9]{1,2}$"))
+    bare = F.transform(body, L.unbulleted)
+    good = F.filter(bare, lambda x: (x != "") & ~(F.endswith(x, F.lit(":")) & F.lower(x).isin(*LABELS)) & ~((F.length(x) <= 4) & x.rlike("^[0-9]{1,2}$")))
     return F.filter(F.transform(good, T.clean_field), lambda x: x.isNotNull())
 
 
-def _resolved(rows: DataFrame, words: Words) -> DataFrame:
-    """rows (blocks) with role, company and place by what the prefix of the date, the header lines and the next line say."""
+def _resolved(b: Column, words: Words) -> Column:
+    """Struct of role, company and place of a block (with prefix, place0 and the header lines as split: s0, s1, s2) by what the
+    prefix of the date, the header lines and the next line say."""
     said = lambda c: F.when(~c.rlike(L.DURATION), c)
     role_in = lambda c: L.holds(c, words.roles)
-    rows = rows.withColumns({"s0": split_position(F.col("prefix"), words), "s1": split_position(F.col("near"), words), "s2": split_position(F.col("far"), words)})
-    r0, c0 = F.col("s0.role"), F.col("s0.company")
-    r1, c1, r2, c2 = F.col("s1.role"), F.col("s1.company"), F.col("s2.role"), F.col("s2.company")
-    near, far = F.col("near"), F.col("far")
+    near, far, next_ = b["near"], b["far"], b["next"]
+    (r0, c0, p0), (r1, c1, p1), (r2, c2, p2) = ([b[s][k] for k in ("role", "company", "place")] for s in ("s0", "s1", "s2"))
     differs = lambda c, x: F.when(F.lower(c) != F.lower(x), c)
     neither, both1, two = r0.isNull() & c0.isNull(), r1.isNotNull() & c1.isNotNull(), far.isNotNull()
-    far_role, near_role = role_in(far) & ~role_in(near), role_in(near) & ~role_in(far)
     lone = r1.isNull() & c1.isNull()
-    role = (
-        F.when(r0.isNotNull(), r0)
-        .when(near.isNull(), F.lit(None))
-        .when(c0.isNotNull() | both1, r1)
-        .when(two & far_role, F.coalesce(r2, far))
-        .when(two, F.coalesce(r1, near))
-        .when(lone & (role_in(near) | ~L.holds(near, words.companies)), near)
-        .otherwise(r1)
-    )
-    company = (
-        F.when(c0.isNotNull(), c0)
-        .when(near.isNull(), F.lit(None))
-        .when(r0.isNotNull(), F.coalesce(said(c1), said(r1), said(near)))
-        .when(both1, c1)
-        .when(two & far_role, F.coalesce(differs(c1, far), near))
-        .when(two & near_role, F.coalesce(differs(c2, near), far))
-        .when(two, F.coalesce(c2, far))
-        .when(lone & ~role_in(near) & L.holds(near, words.companies), near)
-        .otherwise(c1)
-    )
-    asked = near.isNotNull() & (r0.isNull() | c0.isNull())
-    pair_places = F.when(far_role, F.coalesce("s2.place", "s1.place")).when(near_role, F.coalesce("s1.place", "s2.place")).otherwise(F.coalesce("s2.place", "s1.place"))
-    header_place = F.when(asked, F.when(neither & ~both1 & two, pair_places).otherwise(F.col("s1.place")))
-    rows = rows.select("*", role.alias("role"), company.alias("company"), F.coalesce("place0", "s0.place", header_place).alias("place"))
-    other = lambda x: F.when(role_in(x) & F.coalesce(x != F.col("company"), F.lit(True)), x)
-    rows = rows.withColumn("role", F.coalesce("role", other(far), other(near)))
-    usable = ~L.is_bullet(F.col("next")) & (L.n_words(F.col("next")) <= 7)
-    role_next = F.col("role").isNull() & usable & role_in(F.col("next"))
-    company_next = ~role_next & F.col("company").isNull() & usable & L.holds(F.col("next"), words.companies)
-    return rows.withColumns({"role": F.when(role_next, F.col("next")).otherwise(F.col("role")), "company": F.when(company_next, F.col("next")).otherwise(F.col("company"))})
-
-
-def _settled(rows: DataFrame, words: Words) -> DataFrame:
-    """rows with role and company swapped where their words say so, and a role from the first highlights if none is left."""
-    company = L.edged(F.regexp_replace("company", r"(?i)^client:\s*", ""))
-    rows = rows.withColumn("company", F.when(~company.rlike(L.DURATION), F.nullif(company, F.lit(""))))
+
+    def named(held: Column) -> Column:
+        far_role, near_role = held["far"] & ~held["near"], held["near"] & ~held["far"]
+        role = (
+            F.when(r0.isNotNull(), r0)
+            .when(near.isNull(), F.lit(None))
+            .when(c0.isNotNull() | both1, r1)
+            .when(two & far_role, F.coalesce(r2, far))
+            .when(two, F.coalesce(r1, near))
+            .when(lone & (held["near"] | ~L.holds(near, words.companies)), near)
+            .otherwise(r1)
+        )
+        company = (
+            F.when(c0.isNotNull(), c0)
+            .when(near.isNull(), F.lit(None))
+            .when(r0.isNotNull(), F.coalesce(said(c1), said(r1), said(near)))
+            .when(both1, c1)
+            .when(two & far_role, F.coalesce(differs(c1, far), near))
+            .when(two & near_role, F.coalesce(differs(c2, near), far))
+            .when(two, F.coalesce(c2, far))
+            .when(lone & ~held["near"] & L.holds(near, words.companies), near)
+            .otherwise(c1)
+        )
+        asked = near.isNotNull() & (r0.isNull() | c0.isNull())
+        pair_places = F.when(near_role, F.coalesce(p1, p2)).otherwise(F.coalesce(p2, p1))
+        header_place = F.when(asked, F.when(neither & ~both1 & two, pair_places).otherwise(p1))
+        return F.struct(role.alias("role"), company.alias("company"), F.coalesce(b["place0"], p0, header_place).alias("place"), held.alias("held"))
+
+    def other(s: Column) -> Column:
+        fits = lambda x, held: F.when(held & F.coalesce(x != s["company"], F.lit(True)), x)
+        return F.struct(F.coalesce(s["role"], fits(far, s["held"]["far"]), fits(near, s["held"]["near"])).alias("role"), s["company"].alias("company"), s["place"].alias("place"))
+
+    def after(s: Column) -> Column:
+        usable = ~L.is_bullet(next_) & (L.n_words(next_) <= 7)
+        role_next = s["role"].isNull() & usable & role_in(next_)
+        company_next = s["company"].isNull() & usable & ~role_next & L.holds(next_, words.companies)
+        return F.struct(F.when(role_next, next_).otherwise(s["role"]).alias("role"), F.when(company_next, next_).otherwise(s["company"]).alias("company"), s["place"].alias("place"))
+
+    held = F.struct(role_in(near).alias("near"), role_in(far).alias("far"))
+    return T.let(T.let(T.let(held, named), other), after)
+
+
+def _settled(role: Column, company: Column, highlights: Column, words: Words) -> Column:
+    """Struct of role, company and highlights: role and company swapped where their words say so, and a role from the first
+    highlights if none is left."""
     has_company = lambda c: L.names(c, words.companies) | L.holds(c, COMPANY_PARTS)
-    r, c = F.col("role"), F.col("company")
-    misplaced = has_company(r) & ~L.names(r, words.roles)
-    swapped = misplaced & (c.isNull() | L.names(c, words.roles))
-    moved = ~misplaced & L.names(c, words.roles) & ~has_company(c) & r.isNull()
-    rows = rows.withColumns({"role": F.when(swapped | moved, c).otherwise(r), "company": F.when(swapped, r).when(~moved, c)})
-    leads = F.transform(F.slice("highlights", 1, 2), lambda h: L.names(h, words.roles) & (L.n_words(h) <= 7))
-    number = F.when(F.col("role").isNull(), F.array_position(leads, True).cast("int")).otherwise(F.lit(0))
-    rows = rows.withColumn("_lead", F.coalesce(number, F.lit(0)))
-    lead = F.col("_lead")
-    return rows.withColumns({"role": F.coalesce("role", F.get("highlights", lead - 1)), "highlights": F.filter("highlights", lambda h, i: i != lead - 1)})
+    client = lambda c: F.when(~c.rlike(L.DURATION), F.nullif(c, F.lit("")))
+
+    def swapped(c: Column) -> Column:
+        misplaced = has_company(role) & ~L.names(role, words.roles)
+        held = F.struct(misplaced.alias("misplaced"), L.names(c, words.roles).alias("is_role"))
+
+        def named(h: Column) -> Column:
+            both = h["misplaced"] & (c.isNull() | h["is_role"])
+            moved = role.isNull() & ~h["misplaced"] & h["is_role"] & ~has_company(c)
+            return T.let(F.struct(both.alias("both"), moved.alias("moved")), lambda m: F.struct(
+                F.when(m["both"] | m["moved"], c).otherwise(role).alias("role"), F.when(m["both"], role).when(~m["moved"], c).alias("company"),
+            ))
+
+        return T.let(held, named)
+
+    def led(s: Column) -> Column:
+        leads = F.transform(F.slice(highlights, 1, 2), lambda h: L.names(h, words.roles) & (L.n_words(h) <= 7))
+        number = F.coalesce(F.when(s["role"].isNull(), F.array_position(leads, True).cast("int")), F.lit(0))
+        return T.let(number, lambda n: F.struct(
+            F.coalesce(s["role"], F.get(highlights, n - 1)).alias("role"), s["company"].alias("company"),
+            F.when(n > 0, F.filter(highlights, lambda h, i: i != n - 1)).otherwise(highlights).alias("highlights"),
+        ))
+
+    return T.let(T.let(T.let(L.edged(F.regexp_replace(company, r"(?i)^client:\s*", "")), client), swapped), led)
+
+
+POSITION = "struct<number:int,role:string,company:string,location:string,duration:string,start_date:string,end_date:string,is_current:boolean,highlights:array<string>>"
+
+
+def _dated(b: Column, number: Column, words: Words) -> Column:
+    """The position of a block, as POSITION."""
+
+    def around(span: Column) -> Column:
+        at = F.instr(b["line"], span)
+        before, after = F.substring(b["line"], F.lit(1), at - 1), F.substring(b["line"], at + F.length(span), F.length(b["line"]))
+        return F.struct(span.alias("span"), L.edged(before).alias("prefix"), L.edged(after).alias("suffix"))
+
+    def headed(p: Column) -> Column:
+        def parted(at_place: Column) -> Column:
+            split = F.transform(F.array(F.when(at_place, F.lit("")).otherwise(p["prefix"]), b["near"], b["far"]), lambda x: split_position(x, words))
+            place0 = T.clean_field(F.when(at_place, p["prefix"]).otherwise(p["suffix"]))
+            return T.let(split, lambda s: F.struct(
+                place0.alias("place0"), p["span"].alias("span"), *[F.get(s, F.lit(k)).alias(f"s{k}") for k in range(3)], *[b[c].alias(c) for c in ("near", "far", "next", "body", "followed")],
+            ))
+
+        return T.let(L.is_place(p["prefix"], words), parted)
+
+    def read(h: Column) -> Column:
+        def listed(s: Column) -> Column:
+            start = F.when(F.coalesce(h["next"].isin(s["role"], s["company"]), F.lit(False)), 1).otherwise(0)
+            kept = T.let(start, lambda n: highlights(_body(h["body"], n, h["followed"], words)))
+            return F.struct(T.let(kept, lambda x: _settled(s["role"], s["company"], x, words)).alias("s"), T.parsed_range(h["span"]).alias("d"), s["place"].alias("place"))
+
+        return T.let(T.let(_resolved(h, words), listed), shown)
+
+    def shown(x: Column) -> Column:
+        s, d = x["s"], x["d"]
+        named = [T.clean_field(c) for c in (s["role"], s["company"], x["place"])]
+        return F.struct((number + 1).alias("number"), *named, d["shown"], d["start"], d["end"], d["is_current"], s["highlights"])
+
+    return T.let(T.let(T.let(F.regexp_extract(b["line"], L.RANGE, 0), around), headed), read)
+
+
+def _undated(paragraph: Column, number: Column, words: Words) -> Column:
+    """The position of a paragraph without dates, as POSITION."""
+    none = F.lit(None).cast("string")
+
+    def read(p: Column) -> Column:
+        listed = F.filter(F.slice(p, 2, F.size(p)), lambda x: L.is_bullet(x) | (L.n_words(x) > 10))
+        kept = F.filter(F.transform(listed, lambda x: T.clean_field(L.unbulleted(x))), lambda x: x.isNotNull())
+        return T.let(F.struct(F.get(p, F.lit(0)).alias("first"), F.get(p, F.lit(1)).alias("second"), split_position(F.get(p, F.lit(0)), words).alias("s"), kept.alias("highlights")), shown)
+
+    def shown(x: Column) -> Column:
+        second = F.when(F.size(x["highlights"]) == 0, T.clean_field(x["second"]))
+        role, company = F.coalesce(x["s"]["role"], T.clean_field(x["first"])), F.coalesce(x["s"]["company"], second)
+        return F.struct((number + 1).alias("number"), role, company, x["s"]["place"], none, none, none, F.lit(False), x["highlights"])
+
+    return T.let(L.text_lines(paragraph), read)
+
+
+def held_positions(text: Column, words: Words) -> Column:
+    """The positions that a text tells, in order, as an array of POSITION: what `positions` gives as rows."""
+    kind = f"array<{POSITION}>"
+    none = F.array().cast(kind)
+
+    def of_lines(lines: Column) -> Column:
+        undated = F.transform(T.paragraphs(text), lambda x, i: _undated(x, i, words)).cast(kind)
+        dated = lambda b: F.transform(b, lambda x, i: _dated(x, i, words)).cast(kind)
+        return F.when(F.size(lines) == 0, none).otherwise(T.let(blocks(lines, words), lambda b: F.when(F.size(b) == 0, undated).otherwise(dated(b))))
+
+    found = T.let(content_lines(text), of_lines)
+    return F.filter(F.coalesce(found, none), lambda p: ~F.coalesce(p["role"].rlike(L.DEGREE), F.lit(False)))
 
 
 def positions(docs: DataFrame, id_: str, text: str, words: Words) -> DataFrame:
@@ -250,35 +340,5 @@ def positions(docs: DataFrame, id_: str, text: str, words: Words) -> DataFrame:
     Documents without a date range give a position for each paragraph. Positions whose role is a degree are left out.
     Null and empty texts have none. words' roles, companies and places are in lower case.
     """
-    rows = docs.select(F.col(id_), F.col(text).alias("_text"), content_lines(F.col(text)).alias("_lines"))
-    rows = rows.withColumn("_blocks", blocks(F.col("_lines"), words))
-    dated = T.each(rows, "_blocks", id_).select(id_, "number", "item.*")
-    span = F.regexp_extract("line", L.RANGE, 0)
-    dated = dated.withColumn("span", span)
-    before, after = F.substring(F.col("line"), F.lit(1), F.instr(F.col("line"), F.col("span")) - 1), F.substring(F.col("line"), F.instr(F.col("line"), F.col("span")) + F.length("span"), F.length("line"))
-    dated = dated.withColumns({"prefix": L.edged(before), "suffix": L.edged(after)})
-    at_place = L.is_place(F.col("prefix"), words)
-    place0 = F.when(at_place, T.clean_field(F.col("prefix"))).otherwise(T.clean_field(F.col("suffix")))
-    dated = dated.withColumns({"place0": place0, "prefix": F.when(at_place, F.lit("")).otherwise(F.col("prefix"))})
-    dated = _resolved(dated, words)
-    start = F.when(F.coalesce(F.col("next").isin(F.col("role"), F.col("company")), F.lit(False)), 1).otherwise(0)
-    dated = dated.withColumn("_start", start)
-    dated = dated.withColumn("highlights", highlights(_body(F.col("body"), F.col("_start"), F.col("followed"), words)))
-    dated = _settled(dated, words)
-    dated = dated.withColumn("d", T.parsed_range(F.col("span")))
-    named = [T.clean_field(F.col(c)).alias(c) for c in ("role", "company")]
-    dates = [F.col(f"d.{k}").alias(c) for k, c in (("shown", "duration"), ("start", "start_date"), ("end", "end_date"), ("is_current", "is_current"))]
-    dated = dated.select(id_, "number", *named, T.clean_field(F.col("place")).alias("location"), *dates, "highlights")
-
-    undated = rows.select(id_, F.when((F.size("_blocks") == 0) & (F.size("_lines") > 0), T.paragraphs(F.col("_text"))).alias("_parts"))
-    undated = T.each(undated, "_parts", id_).select(id_, "number", L.text_lines(F.col("item")).alias("p"))
-    undated = undated.withColumns({"first": F.get("p", F.lit(0)), "s": split_position(F.get("p", F.lit(0)), words)})
-    listed = F.filter(F.slice("p", 2, F.size("p")), lambda x: L.is_bullet(x) | (L.n_words(x) > 10))
-    undated = undated.withColumn("highlights", F.filter(F.transform(listed, lambda x: T.clean_field(F.regexp_replace(x, f"^[{L.BULLETS}\\s]+", ""))), lambda x: x.isNotNull()))
-    second = F.when(F.size("highlights") == 0, T.clean_field(F.get("p", F.lit(1))))
-    none = F.lit(None).cast("string")
-    undated = undated.select(
-        id_, "number", F.coalesce("s.role", T.clean_field(F.col("first"))).alias("role"), F.coalesce(F.col("s.company"), second).alias("company"), F.col("s.place").alias("location"),
-        none.alias("duration"), none.alias("start_date"), none.alias("end_date"), F.lit(False).alias("is_current"), "highlights",
-    )
-    return T.kept_rows(dated.unionByName(undated), lambda r: ~F.coalesce(r["role"].rlike(L.DEGREE), F.lit(False)))
+    rows = docs.select(F.col(id_), held_positions(F.col(text), words).alias("_all"))
+    return T.each(rows, "_all", id_).select(id_, "item.*")

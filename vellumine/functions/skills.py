@@ -39,7 +39,7 @@ class Words:
 
 def stripped(value: Column) -> Column:
     """Without white space around it (one argument only: a second one would be the index that F.transform gives)."""
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.btrim(value, F.lit(T.WHITE))
 
 
 def unmarked(value: Column) -> Column:

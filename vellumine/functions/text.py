@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: A word: letters, digits and underscores of any script (spelt out, as \w differs between engines).
 WORD = r"[\p{L}\p{N}_]+"
 
+#: White space, as \s has it.
+WHITE = " \t\n\x0b\f\r"
+
 #: What counts as an e-mail address, a phone number, a link, and a profile on either site.
 EMAIL = r"(?i)[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 PHONE = r"(?:\+?91[\s-]?)?[6-9]\d{4}[\s-]?\d{5}|(?:\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}|0?[6-9]\d{9}"
@@ -110,8 +113,13 @@ def title_case(text: Column) -> Column:
 
 def clean_field(text: Column) -> Column:
     """Without delimiters and marks around it, blanks collapsed; null if nothing is left."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"[*_`#]+", ""), r"\s+", " ")
-    return F.nullif(F.regexp_replace(bare, r"^[\s,;:|\-]+|[\s,;:|\-]+$", ""), F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(text, r"[*_`#]+", ""), r"\s{2,}|[\t\n\x0B\f\r]", " ")
+    return let(F.btrim(bare, F.lit(f"{WHITE},;:|-")), lambda v: F.when(v != "", v))
+
+
+def found(text: Column, pattern: str) -> Column:
+    """What the pattern finds first; null for nothing, and for a match of no characters."""
+    return let(F.regexp_extract(text, pattern, 0), lambda v: F.when(v != "", v))
 
 
 def clean_text(text: Column) -> Column:
@@ -160,37 +168,47 @@ _MONTH_NAME, _NOW = "(?:" + "|".join(MONTHS) + ")[a-z]*", "present|current|now|t
 
 def partial_date(text: Column) -> Column:
     """`YYYY` or `YYYY-MM` of a written date (`Jan 2021`, `06/2018`, `2018-06`, `2021`, `'19`); null if it is none."""
-    t = F.lower(F.trim(text))
     number = lambda m: F.lpad(m, 2, "0")
     named, slashed, dashed = rf"^({_MONTH_NAME})[ ,.']*([0-9]{{4}})$", r"^([0-9]{1,2})[/.]([0-9]{4})$", r"^([0-9]{4})[-/.]([0-9]{1,2})$"
-    month = F.lit(None).cast("string")
-    for k, m in enumerate(MONTHS, 1):
-        month = F.when(F.substring(t, 1, 3) == m, F.lit(f"{k:02d}")).otherwise(month)
-    return (
-        F.when(t.rlike(named), F.concat(F.regexp_extract(t, named, 2), F.lit("-"), month))
-        .when(t.rlike(slashed), F.concat(F.regexp_extract(t, slashed, 2), F.lit("-"), number(F.regexp_extract(t, slashed, 1))))
-        .when(t.rlike(dashed), F.concat(F.regexp_extract(t, dashed, 1), F.lit("-"), number(F.regexp_extract(t, dashed, 2))))
-        .when(t.rlike("^[0-9]{4}$"), t)
-        .when(t.rlike("^'[0-9]{2}$"), F.concat(F.lit("20"), F.substring(t, 2, 2)))
-    )
+
+    def read(t: Column) -> Column:
+        month = F.floor((F.instr(F.lit(" ".join(MONTHS)), F.substring(t, 1, 3)) + 3) / 4).cast("string")
+        return (
+            F.when(t.rlike("^[0-9]{4}$"), t)
+            .when(t.rlike(named), F.concat(F.regexp_extract(t, named, 2), F.lit("-"), number(month)))
+            .when(t.rlike(slashed), F.concat(F.regexp_extract(t, slashed, 2), F.lit("-"), number(F.regexp_extract(t, slashed, 1))))
+            .when(t.rlike(dashed), F.concat(F.regexp_extract(t, dashed, 1), F.lit("-"), number(F.regexp_extract(t, dashed, 2))))
+            .when(t.rlike("^'[0-9]{2}$"), F.concat(F.lit("20"), F.substring(t, 2, 2)))
+        )
+
+    return let(F.lower(F.trim(text)), read)
 
 
 def date_range(text: Column, single_as: str = "end") -> dict[str, Column]:
     """start, end, is_current of a written duration; a single date is the end, the start or both, as single_as says."""
-    t = F.trim(F.lower(text))
+    dates = _dates(text, single_as)
+    return {k: dates[k] for k in ("start", "end", "is_current")}
+
+
+def _dates(text: Column, single_as: str) -> Column:
+    """Struct of start, end and is_current of a written duration, which is matched once."""
     one = rf"(?:{_MONTH_NAME}[ ,.']*[0-9]{{4}}|[0-9]{{1,2}}[/.][0-9]{{4}}|[0-9]{{4}}[/.][0-9]{{1,2}}|[0-9]{{4}}|'[0-9]{{2}})"
     both = rf"^({one}) *(?:-|~|to|till|until) *({one}|{_NOW})$"
     since, until = rf"^(?:since|from) +({one})$", rf"^(?:until|till) +({one})$"
-    last = F.regexp_extract(t, both, 2)
-    now = F.coalesce(last.rlike(f"^(?:{_NOW})$") | t.rlike(since), F.lit(False))
-    single = partial_date(t)
-    start = F.when(t.rlike(both), partial_date(F.regexp_extract(t, both, 1))).when(t.rlike(since), partial_date(F.regexp_extract(t, since, 1)))
-    end = F.when(t.rlike(both), partial_date(last)).when(t.rlike(until), partial_date(F.regexp_extract(t, until, 1)))
-    if single_as in ("start", "both"):
-        start = F.coalesce(start, F.when(~t.rlike(both), single))
-    if single_as in ("end", "both"):
-        end = F.coalesce(end, F.when(~t.rlike(both), single))
-    return {"start": start, "end": end, "is_current": now}
+
+    def read(t: Column, first: Column, last: Column) -> Column:
+        ranged = first != ""
+        now = F.coalesce(last.rlike(f"^(?:{_NOW})$") | t.rlike(since), F.lit(False))
+        start = F.when(ranged, partial_date(first)).when(t.rlike(since), partial_date(F.regexp_extract(t, since, 1)))
+        end = F.when(ranged, partial_date(last)).when(t.rlike(until), partial_date(F.regexp_extract(t, until, 1)))
+        if single_as in ("start", "both"):
+            start = F.coalesce(start, F.when(~ranged, partial_date(t)))
+        if single_as in ("end", "both"):
+            end = F.coalesce(end, F.when(~ranged, partial_date(t)))
+        return F.struct(start.alias("start"), end.alias("end"), now.alias("is_current"))
+
+    ends = lambda t: F.struct(t.alias("t"), *[F.regexp_extract(t, both, k).alias(c) for k, c in ((1, "a"), (2, "b"))])
+    return let(let(F.trim(F.lower(text)), ends), lambda p: read(p["t"], p["a"], p["b"]))
 
 
 def shown_range(text: Column, start: Column, end: Column, is_current: Column) -> Column:
@@ -203,8 +221,7 @@ def parsed_range(text: Column, single_as: str = "end") -> Column:
     second of two years may lack its century (`2010-12`)."""
 
     def parsed(t: Column) -> Column:
-        dates = date_range(F.regexp_replace(F.regexp_replace(t, "[–—]", "-"), r"(?i)^from\s+", ""), single_as)
-        return let(F.struct(*[c.alias(k) for k, c in dates.items()]), lambda d: shown(t, d))
+        return let(_dates(F.regexp_replace(F.regexp_replace(t, "[–—]", "-"), r"(?i)^from\s+", ""), single_as), lambda d: shown(t, d))
 
     def shown(t: Column, d: Column) -> Column:
         parts = [d[k].alias(k) for k in ("start", "end", "is_current")]

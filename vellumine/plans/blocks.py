@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumine.functions import lines as L
 from vellumine.functions.degrees import degrees
 from vellumine.functions.positions import positions
 from vellumine.functions.skills import Words
@@ -22,7 +23,8 @@ BLOCK = 20
 
 def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and the array of all blocks of words."""
-    found = F.filter(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: ~w.rlike(SPECIAL))
+    special = "(?i)" + L.any_of(tuple(SPECIAL.removeprefix("(?i)").split("|")))
+    found = F.filter(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: ~w.rlike(special))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(found, lambda w: F.concat(w, F.lit("q"))).alias("w"))
     starts = F.filter(F.transform("w", lambda x, i: F.when(i % BLOCK == 0, i)), lambda i: i.isNotNull())
     return docs.select("doc_id", F.transform(starts, lambda i: F.slice("w", i + 1, BLOCK)).alias("parts"))
