@@ -111,3 +111,10 @@ def test_positions_read_a_text_once(spark, tmp_path):
     spark.createDataFrame([(1, PART), (2, None)], "id int, t string").write.parquet(str(tmp_path / "docs"))
     plan = _plan(P.positions(spark.read.parquet(str(tmp_path / "docs")), "id", "t", W))
     assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
+def test_degrees_read_a_text_once(spark, tmp_path):
+    """Failed before: parts and whole texts were read apart, grouped and joined by id."""
+    spark.createDataFrame([(1, EDUCATION, "x"), (2, None, None)], "id int, t string, f string").write.parquet(str(tmp_path / "docs"))
+    plan = _plan(D.degrees(spark.read.parquet(str(tmp_path / "docs")), "id", "t", W, "f"))
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan

@@ -1,8 +1,8 @@
 """Degrees, read from the lines of a text: a line that names one opens a block, blocks become records, and records that
 name the same degree are merged.
 
-Like positions, blocks are cut from the array of a document's lines, so that no line is shuffled. A document's records stay
-in one array until they are merged, in their order, so that merging needs no shuffle either.
+Like positions, blocks are cut from the array of a document's lines and read where they lie, and a document's records stay in
+one array until they are merged, in their order. So a text is read once, and neither lines nor records are shuffled.
 """
 
 from __future__ import annotations
@@ -47,49 +47,77 @@ def degree_blocks(lines: Column) -> Column:
     return T.let(opens, lambda o: F.transform(o, lambda i, k: F.slice(lines, i + 1, F.coalesce(F.get(o, k + 1), F.size(lines)) - i)))
 
 
-def _record(rows: DataFrame, words: Words) -> DataFrame:
-    """rows (b: the lines of a block) with degree, institution, duration and details, null where there is none."""
-    b = F.col("b")
+def _span(line: Column) -> Column:
+    """The first range of dates or years in a line; every one has a digit, which is looked for first."""
+    return F.when(line.rlike("[0-9]"), F.coalesce(T.found(line, L.RANGE), T.found(line, L.YEAR_SPAN)))
+
+
+def _record(b: Column, words: Words) -> Column:
+    """The record (as an element of RECORD) of a block of lines, null where it tells nothing."""
     degree_only = lambda x: L.is_degree(x) & ~L.is_school(x)
     school_only = lambda x: L.is_school(x) & ~L.is_degree(x)
     long_ = lambda parts: F.filter(parts, lambda x: F.length(x) >= 3)
-    bare = lambda x: L.edged(F.regexp_replace(x, _TAIL, ""), r"\s,\-–—")
+    bare = lambda x: L.edged(F.regexp_replace(x, _TAIL, ""))
     yearless = lambda x: L.edged(F.regexp_replace(F.regexp_replace(x, _TAIL, ""), _YEARS, ""))
-    pieces = lambda xs: F.flatten(F.transform(xs, lambda x: F.split(x, _SPLIT)))
-    span = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, L.RANGE, 0), F.lit("")), F.nullif(F.regexp_extract(x, L.YEAR_SPAN, 0), F.lit("")))
-    rows = rows.withColumns({
-        "_parts": long_(F.transform(pieces(b), bare)),
-        "_plain": long_(F.transform(b, yearless)),
-        "duration": _first(F.transform(b, span), lambda x: x.isNotNull()),
-        "_grades": F.array_distinct(F.filter(F.transform(b, lambda x: F.regexp_extract(x, L.GRADE, 0)), lambda x: x != "")),
-    }).withColumn("_pieces", F.concat(F.flatten(F.transform("_plain", lambda x: F.concat(F.transform(F.split(x, _SPLIT), stripped), F.array(x))))))
-    named = F.element_at(F.split(_first(b, lambda x: x.rlike(L.DEGREE)), "[|]"), 1)
-    rows = rows.withColumns({
-        "degree": F.coalesce(_first("_parts", degree_only), _first("_pieces", degree_only), stripped(named)),
-        "institution": F.coalesce(_first("_parts", school_only), _first("_pieces", school_only)),
-    })
-    d, s, many = F.col("degree"), F.col("institution"), F.size(b) >= 2
-    lone = lambda x: (x != s) & (L.n_words(x) <= 8) & ~L.is_school(x) & ~L.no_degree(x) & ~L.is_place(x, words)
-    place = lambda x: (x != d) & (L.n_words(x) <= 8) & ~L.is_degree(x)
-    rows = rows.withColumns({"degree": F.coalesce(d, F.when(s.isNotNull() & many, _first(b, lone))), "institution": F.coalesce(s, F.when(d.isNotNull() & many, _first(b, place)))})
-    bad = d.isNotNull() & L.no_degree(d)
-    score = d.rlike(L.SCORE) | d.rlike(r"\b[0-9]+(?:[.][0-9]+)?%")
-    rows = rows.withColumns({
-        "_grades": F.when(bad & score, F.array_distinct(F.array_append("_grades", d))).otherwise(F.col("_grades")),
-        "duration": F.coalesce("duration", F.when(bad & ~score & d.rlike(L.RANGE), d)),
-        "degree": F.when(~bad, d),
-    })
-    stream = _first(F.transform(b, lambda x: F.regexp_extract(x, STREAM, 1)), lambda x: (x != "") & ~L.no_degree(x))
-    rows = rows.withColumn("degree", F.coalesce(d, F.when(s.isNotNull(), F.initcap(stream))))
-    # a line of its own that the degree goes on with, anywhere in the block, else the line after the degree's
-    alone = lambda word: F.exists(b, lambda x: F.lower(x) == word) & ~L.holds(d, (word,))
-    after = _first(F.filter(F.transform(b, lambda x, i: F.when(F.contains(x, d), F.get(b, i + 1))), lambda x: F.lower(x).isin(*GOES_ON)))
-    rest = F.when(alone("engineering"), F.lit("Engineering")).when(alone("technology"), F.lit("Technology")).otherwise(after)
-    rows = rows.withColumn("degree", F.when(many & rest.isNotNull(), F.concat_ws(" ", d, rest)).otherwise(d))
-    clean = T.clean_field(F.regexp_replace("degree", r":-\s*", " - "))
-    rows = rows.withColumns({"degree": F.when(~L.no_degree(clean), clean), "institution": T.clean_field(s)})
-    default = F.when(L.holds(s, SCHOOL_PARTS), F.lit(SCHOOL_DEGREE)).otherwise(F.lit(ANY_DEGREE))
-    return rows.withColumns({"degree": F.coalesce(d, F.when(s.isNotNull(), default)), "details": F.nullif(F.array_join("_grades", "; "), F.lit(""))})
+    split = lambda x: F.split(x, _SPLIT)
+    many = F.size(b) >= 2
+    score = lambda d: d.rlike(L.SCORE) | d.rlike(r"\b[0-9]+(?:[.][0-9]+)?%")
+
+    def parts() -> Column:
+        """What the lines hold: parts of lines by whether they are degrees or schools alone, the first span, and grades."""
+        by_kind = lambda x: F.struct(x.alias("x"), degree_only(x).alias("degree"), school_only(x).alias("school"))
+        pieces = lambda: F.flatten(F.transform(long_(F.transform(b, yearless)), lambda x: F.concat(F.transform(split(x), stripped), F.array(x))))
+        named = lambda: stripped(F.element_at(F.split(_first(b, lambda x: x.rlike(L.DEGREE)), "[|]"), 1))
+        first = lambda xs, kind: _first(xs, lambda p: p[kind])["x"]
+
+        def held(xs: Column) -> Column:
+            own = F.struct(first(xs, "degree").alias("d"), first(xs, "school").alias("s"))
+            # pieces without years only where the parts of lines leave something open
+            more = lambda o: T.let(F.transform(pieces(), by_kind), lambda ys: F.struct(F.coalesce(o["d"], first(ys, "degree"), named()).alias("d"), F.coalesce(o["s"], first(ys, "school")).alias("s")))
+            return T.let(own, lambda o: F.when(o["d"].isNotNull() & o["s"].isNotNull(), o).otherwise(more(o)))
+
+        grades = F.filter(F.transform(b, lambda x: F.when(x.rlike("[0-9.]"), T.found(x, L.GRADE))), lambda x: x.isNotNull())
+        found = T.let(F.transform(long_(F.transform(F.flatten(F.transform(b, split)), bare)), by_kind), held)
+        return F.struct(found.alias("o"), _first(F.transform(b, _span), lambda x: x.isNotNull()).alias("duration"), F.array_distinct(grades).alias("grades"))
+
+    def filled(x: Column) -> Column:
+        """A degree or school that is missing, from lines that may be one."""
+        d, s = x["o"]["d"], x["o"]["s"]
+        lone = lambda y: (y != s) & (L.n_words(y) <= 8) & ~L.is_school(y) & ~L.no_degree(y) & ~L.is_place(y, words)
+        place = lambda y: (y != d) & (L.n_words(y) <= 8) & ~L.is_degree(y)
+        degree, school = F.coalesce(d, F.when(s.isNotNull() & many, _first(b, lone))), F.coalesce(s, F.when(d.isNotNull() & many, _first(b, place)))
+        return F.struct(degree.alias("d"), school.alias("s"), x["duration"].alias("duration"), x["grades"].alias("grades"))
+
+    def judged(x: Column) -> Column:
+        """Without a degree that is none: a score counts as a grade, a range of dates as the duration."""
+        d = x["d"]
+        bad = d.isNotNull() & L.no_degree(d)
+        stream = _first(F.transform(b, lambda y: F.regexp_extract(y, STREAM, 1)), lambda y: (y != "") & ~L.no_degree(y))
+        return T.let(bad, lambda no: F.struct(
+            F.coalesce(F.when(~no, d), F.when(x["s"].isNotNull(), F.initcap(stream))).alias("d"), x["s"].alias("s"),
+            F.coalesce(x["duration"], F.when(no & ~score(d) & d.rlike(L.RANGE), d)).alias("duration"),
+            F.when(no & score(d), F.array_distinct(F.array_append(x["grades"], d))).otherwise(x["grades"]).alias("grades"),
+        ))
+
+    def went_on(x: Column) -> Column:
+        """With a line of its own that the degree goes on with, anywhere in the block, else the line after the degree's."""
+        d = x["d"]
+        alone = lambda word: F.exists(b, lambda y: F.lower(y) == word) & ~L.holds(d, (word,))
+        after = _first(F.filter(F.transform(b, lambda y, i: F.when(F.contains(y, d), F.get(b, i + 1))), lambda y: F.lower(y).isin(*GOES_ON)))
+        rest = F.when(many, F.when(alone("engineering"), F.lit("Engineering")).when(alone("technology"), F.lit("Technology")).otherwise(after))
+        whole = T.let(rest, lambda r: F.when(r.isNotNull(), F.concat_ws(" ", d, r)).otherwise(d))
+        clean = T.let(T.clean_field(F.regexp_replace(whole, r":-\s*", " - ")), lambda c: F.when(~L.no_degree(c), c))
+        return F.struct(clean.alias("d"), T.clean_field(x["s"]).alias("s"), _dated(x["duration"]).alias("span"), x["grades"].alias("grades"))
+
+    def shown(x: Column) -> Column:
+        s, span = x["s"], x["span"]
+        default = F.when(L.holds(s, SCHOOL_PARTS), F.lit(SCHOOL_DEGREE)).otherwise(F.lit(ANY_DEGREE))
+        details = T.let(F.array_join(x["grades"], "; "), lambda v: F.when(v != "", v))
+        return F.struct(
+            F.coalesce(x["d"], F.when(s.isNotNull(), default)).alias("degree"), s.alias("institution"), *[span[c].alias(c) for c in ("duration", "start_date", "end_date")], details.alias("details"),
+        )
+
+    return T.let(T.let(T.let(T.let(parts(), filled), judged), went_on), shown)
 
 
 def _dated(duration: Column) -> Column:
@@ -105,8 +133,7 @@ def misplaced(text: Column) -> Column:
     def record(x: Column) -> Column:
         tail = group(x, 4)
         field = L.edged(group(x, 3), r"\s,\-–—")
-        span = F.coalesce(F.nullif(F.regexp_extract(tail, L.RANGE, 0), F.lit("")), F.nullif(F.regexp_extract(tail, L.YEAR_SPAN, 0), F.lit("")))
-        dates = _dated(span)
+        dates = _dated(_span(tail))
         notes = F.array(F.nullif(F.regexp_extract(tail, L.GRADE, 0), F.lit("")), F.when(L.holds(tail, ("first division",)), F.lit("First Division")))
         return F.struct(
             T.clean_field(F.concat_ws(" ", stripped(group(x, 2)), F.nullif(field, F.lit("")))).alias("degree"), T.clean_field(group(x, 1)).alias("institution"),
@@ -133,7 +160,7 @@ def merged(records: Column) -> Column:
     def fits(a: Column, b: Column) -> Column:
         x, y, s, t = F.lower(a["degree"]), F.lower(b["degree"]), F.lower(a["institution"]), F.lower(b["institution"])
         inside = (F.contains(x, y) & (F.length(y) >= 5)) | (F.contains(y, x) & (F.length(x) >= 5))
-        return ((x == y) | inside) & (s.isNull() | t.isNull() | (s == t))
+        return (s.isNull() | t.isNull() | (s == t)) & ((x == y) | inside)
 
     def add(done: Column, r: Column) -> Column:
         at = F.array_position(F.transform(done, lambda a: F.coalesce(fits(a, r), F.lit(False))), True).cast("int")
@@ -144,22 +171,26 @@ def merged(records: Column) -> Column:
     return F.aggregate(kept.cast(RECORD), F.array().cast(RECORD), add)
 
 
+def held_degrees(section: Column, words: Words, text: Column | None = None) -> Column:
+    """The degrees that an education part tells, in order, as RECORD; misplaced ones of the whole text, if it is given, come first
+    unless the part already has them."""
+    none = F.array().cast(RECORD)
+    own = T.let(L.text_lines(section), lambda a: T.let(degree_blocks(a), lambda o: F.transform(o, lambda b: _record(b, words)))).cast(RECORD)
+    if text is None:
+        return merged(F.coalesce(own, none))
+
+    def both(own: Column, more: Column) -> Column:
+        inside = lambda value, field: F.exists(own, lambda r: F.coalesce(F.contains(F.lower(r[field]), F.lower(value)), F.lit(False)))
+        return F.concat(F.filter(more, lambda m: ~inside(m["institution"], "institution") & ~inside(m["degree"], "degree")), own)
+
+    all_ = T.let(F.struct(F.coalesce(own, none).alias("own"), F.coalesce(misplaced(text), none).alias("more")), lambda x: both(x["own"], x["more"]))
+    return T.let(all_, merged)
+
+
 def degrees(docs: DataFrame, id_: str, section: str, words: Words, text: str | None = None) -> DataFrame:
     """One row for each degree of a document: id_, number (from 1), degree, institution, duration, start_date, end_date,
     details. section names the column of the education part; text, if given, that of the whole text, whose misplaced degrees
-    come first unless the part already has them. Null and empty texts have none; ids are unique.
+    come first unless the part already has them. Null and empty texts have none.
     """
-    rows = docs.select(F.col(id_), F.col(section).alias("_part"), (F.col(text) if text else F.lit(None).cast("string")).alias("_text"))
-    found = rows.select(id_, L.text_lines(F.col("_part")).alias("_lines")).select(id_, degree_blocks(F.col("_lines")).alias("_blocks"))
-    found = _record(T.each(found, "_blocks", id_).withColumnRenamed("item", "b"), words)
-    found = found.withColumn("d", _dated(F.col("duration")))
-    fields = F.struct("degree", "institution", "d.duration", "d.start_date", "d.end_date", "details")
-    listed = found.select(id_, F.struct("number", fields.cast(RECORD[6:-1]).alias("r")).alias("n")).groupBy(id_).agg(F.array_sort(F.collect_list("n")).alias("n"))
-    if text:
-        rows = T.kept_rows(rows.select(id_, misplaced(F.col("_text")).alias("more")), lambda r: F.size(r["more"]) > 0)
-        listed = rows.join(listed, id_, "full_outer")
-    own = F.coalesce(F.transform("n", lambda x: x["r"]), F.array().cast(RECORD))
-    listed = listed.select(id_, own.alias("own"), *([F.coalesce("more", F.array().cast(RECORD)).alias("more")] if text else [F.array().cast(RECORD).alias("more")]))
-    inside = lambda value, field: F.exists("own", lambda r: F.coalesce(F.contains(F.lower(r[field]), F.lower(value)), F.lit(False)))
-    fresh = F.filter("more", lambda m: ~inside(m["institution"], "institution") & ~inside(m["degree"], "degree"))
-    return T.each(listed.select(id_, merged(F.concat(fresh, "own")).alias("_all")), "_all", id_).select(id_, "number", "item.*")
+    rows = docs.select(F.col(id_), held_degrees(F.col(section), words, F.col(text) if text else None).alias("_all"))
+    return T.each(rows, "_all", id_).select(id_, "number", "item.*")
