@@ -167,3 +167,18 @@ def test_whole_profiles(spark):
     assert set(got) == {1, 2, 3} and got[1]["name"] == "Ann Lee" and got[1]["role"] == "Engineer At Foo Labs" and got[1]["emails"] == ["a@b.org"] and got[1]["skills"] == ["Spark", "Kafka"]
     assert [tuple(e)[:2] for e in got[1]["experience"]] == [("Engineer", "Foo Labs")] and got[1]["education"][0]["institution"] == "City College"
     assert got[2]["name"] == "Bo Ray" and got[2]["experience"] == [] and got[3]["name"] is None
+
+
+def test_profiles_read_a_text_once(spark, tmp_path):
+    """Failed before: texts were cleaned anew for positions with and without dates and for degrees, then joined by id; rows of one id met."""
+    from vellumine.functions.skills import Words
+    from vellumine.operators.extraction import profiles
+
+    text = "Ab Cd\nExperience\nLead at {0} Labs\n2010 - 2012\nEducation\nMBA, {0} College, 2009"
+    rows = [(1, text.format("Foo"), "a.pdf"), (1, text.format("Bar"), "b.pdf"), (None, text.format("Baz"), "c.pdf"), (2, None, "x_y.pdf")]
+    spark.createDataFrame(rows, "id int, t string, f string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    out = profiles(spark.read.parquet(str(tmp_path / "docs")), "id", "t", "f", Words(roles=("lead",), companies=("labs",)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+    got = sorted((r["id"] or 0, [e["company"] for e in r["experience"]], [e["institution"] for e in r["education"]]) for r in out.collect())
+    assert got == [(0, ["Baz Labs"], ["Baz College"]), (1, ["Bar Labs"], ["Bar College"]), (1, ["Foo Labs"], ["Foo College"]), (2, [], [])]

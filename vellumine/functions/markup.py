@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from html.entities import name2codepoint
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,8 +34,8 @@ def unescaped(text: Column) -> Column:
         number = F.coalesce(F.nullif(decimal, F.lit("")), F.conv(F.nullif(hexadecimal, F.lit("")), 16, 10)).cast("long")
         return F.when(~piece.rlike("^&.+;$"), piece).otherwise(F.coalesce(F.try_element_at(names, body), character(number), piece))
 
-    pieces = F.regexp_extract_all(text, F.lit("&[#A-Za-z0-9]+;|[^&]+|&"), F.lit(0))
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, resolved), "")).otherwise(text)
+    pieces = lambda t: F.regexp_extract_all(t, F.lit("&[#A-Za-z0-9]+;|[^&]+|&"), F.lit(0))
+    return T.let(text, lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(pieces(t), resolved), "")).otherwise(t))
 
 
 def visible_text(markup: Column) -> Column:
@@ -68,19 +70,26 @@ def stitched(lines: Column, roles: tuple[str, ...] = (), companies: tuple[str, .
     What each line is by itself is found first, in one pass. The fold over the lines then carries a few facts of the line that
     is being built, and one mark a line; texts are joined once, from the marks.
     """
-    bare = lambda x: F.regexp_replace(F.lower(x), "^[ :]+|[ :]+$", "")
-    is_header = lambda x: bare(x).isin(*headers)
+    is_header = lambda x: F.btrim(F.lower(x), F.lit(" :")).isin(*headers)
+    ends = lambda x, *marks: reduce(or_, [F.endswith(x, F.lit(m)) for m in marks])
 
     def facts(x: Column) -> Column:
-        shout = (x == F.upper(x)) & (x != F.lower(x)) & (L.n_words(x) <= 4)
-        contact = x.rlike(T.EMAIL) | x.rlike(T.PHONE) | x.rlike(T.LINK) | x.rlike(T.LINKEDIN) | x.rlike(T.GITHUB) | F.contains(x, F.lit("|"))
-        dated = x.rlike(_DATED)
-        bullet = x.rlike("^[-*] ")
-        return F.struct(
-            (x == "").alias("empty"), bullet.alias("bullet"), is_header(x).alias("header"), L.n_words(x).alias("n"), dated.alias("dated"), L.holds(x, roles).alias("role"), L.holds(x, companies).alias("company"),
-            (bullet | is_header(x) | shout | (dated & (L.n_words(x) <= 6)) | contact).alias("apart"), x.rlike("[.:;!?]$").alias("closed"),
-            (x.rlike("[,-]$") | F.lower(F.regexp_extract(x, r"(\S+)$", 1)).isin(*HANGING)).alias("hangs"), x.rlike(r"^\p{Ll}").alias("lower"),
-        )
+        digit = x.rlike("[0-9]")
+        known = F.struct(is_header(x).alias("header"), (digit & x.rlike(_DATED)).alias("dated"), L.n_words(x).alias("n"), (F.startswith(x, F.lit("- ")) | F.startswith(x, F.lit("* "))).alias("bullet"))
+
+        def told(k: Column) -> Column:
+            shout = (k["n"] <= 4) & (x == F.upper(x)) & (x != F.lower(x))
+            # what no contact of a kind lacks is looked for first
+            contact = F.contains(x, F.lit("|")) | (F.contains(x, F.lit("@")) & x.rlike(T.EMAIL)) | (digit & x.rlike(T.PHONE)) | (F.contains(x, F.lit("/")) & (x.rlike(T.LINK) | x.rlike(T.LINKEDIN) | x.rlike(T.GITHUB)))
+            # one character more than the longest of HANGING decides
+            last = F.lower(F.regexp_extract(F.substring(x, F.lit(-1 - max(map(len, HANGING))), F.lit(1 + max(map(len, HANGING)))), r"(\S+)$", 1))
+            return F.struct(
+                (x == "").alias("empty"), *[k[c].alias(c) for c in ("bullet", "header", "n", "dated")], L.holds(x, roles).alias("role"), L.holds(x, companies).alias("company"),
+                (k["bullet"] | k["header"] | (k["dated"] & (k["n"] <= 6)) | shout | contact).alias("apart"), ends(x, *".:;!?").alias("closed"),
+                (ends(x, ",", "-") | last.isin(*HANGING)).alias("hangs"), F.substring(x, 1, 1).rlike(r"^\p{Ll}").alias("lower"),
+            )
+
+        return T.let(known, told)
 
     # of the line that is being built: marks so far, is it open at all, one line only, a header, a bullet, its words, a date, a role; of its last line: closed, hangs
     start = F.struct(F.lit("").alias("marks"), *[F.lit(False).alias(c) for c in ("open", "header", "bullet", "dated", "role", "closed", "hangs")], F.lit(0).alias("n"))

@@ -1,7 +1,7 @@
 """The role and the primary fields of a profile: ranked evidence, of which the best that passes its tests decides.
 
-Every source gives candidates as structs of level, place and value; those that fail a test are left out, and the least struct
-is the answer. So a rejected candidate makes room for the next one of its level, then for the next level, in one expression.
+Every source gives candidates as structs of level, place and value; those that fail a test are left out, and the first of the
+least level is the answer. So a rejected candidate makes room for the next one of its level, then for the next level, in one expression.
 """
 
 from __future__ import annotations
@@ -59,17 +59,17 @@ def _ranked(level: int, values: Column, test) -> Column:
 
 
 def best(*levels: Column) -> Column:
-    """The value of the least candidate."""
-    return F.array_min(F.concat(*levels))["value"]
+    """The value of the least candidate: the first of the first level that has any. Later levels are not computed then."""
+    return F.coalesce(*[F.get(level, F.lit(0))["value"] for level in levels])
 
 
 def header_lines(text: Column, name: Column | None, words: Words) -> Column:
     """The first eight lines without those that are a name, a contact, a header, a place or a degree."""
-    lines = F.transform(F.slice(L.text_lines(text), 1, 8), lambda x: F.regexp_replace(x, r"^[•*\s|:\-]+|[•*\s|:\-]+$", ""))
+    lines = F.transform(F.slice(L.text_lines(text), 1, 8), lambda x: L.edged(x, r"•*\s|:\-"))
     n = F.lower(F.coalesce(name, F.lit(""))) if name is not None else F.lit("")
     low = F.lower
     own = lambda x: (n != "") & (F.contains(low(x), n) | F.contains(n, low(x)))
-    other = lambda x: x.rlike(T.EMAIL) | x.rlike(T.PHONE) | L.holds(x, HEADER_PARTS) | L.holds(x, words.stop) | L.is_place(x, words) | x.rlike(L.DEGREE)
+    other = lambda x: (F.contains(x, F.lit("@")) & x.rlike(T.EMAIL)) | (x.rlike("[0-9]") & x.rlike(T.PHONE)) | L.holds(x, HEADER_PARTS) | L.holds(x, words.stop) | L.is_place(x, words) | x.rlike(L.DEGREE)
     return F.filter(lines, lambda x: (F.length(x) >= 3) & ~own(x) & ~other(x))
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from vellumine.functions import lines as L
 from vellumine.functions import markup, roles, skills
 from vellumine.functions import text as T
-from vellumine.functions.degrees import degrees
-from vellumine.functions.positions import positions
+from vellumine.functions.degrees import held_degrees
+from vellumine.functions.positions import held_positions
 from vellumine.functions.skills import Words
 
 #: What a line near the top must not hold to be a name.
@@ -32,29 +32,20 @@ def profiles(docs: DataFrame, id_: str, text: str, file_name: str, words: Words,
     """One row for each document: id_, name, role, emails, phones, links, linkedin, github, summary, skills, certifications,
     experience and education (arrays of structs, in their order), and sections (a map).
 
-    Texts are cleaned once and cut into sections where they lie. Positions and degrees are read from their sections only; what
-    comes back to the document are records, not lines, so the two joins by id move no text. Null and empty texts give a row
-    with what the file name says. ids are unique.
+    Texts are cleaned once and cut into sections where they lie. Positions and degrees are read from their sections in the same
+    row, so nothing is shuffled or joined. Null and empty texts give a row with what the file name says.
     """
     raw = docs.select(F.col(id_), F.col(file_name).alias("_file"), markup.cleaned_document(F.col(text), words.roles, words.companies).alias("_text"))
     cut = raw.withColumn("sections", markup.sections(F.col("_text")))
     part = lambda name: F.try_element_at("sections", F.lit(name))
-    held = positions(cut.select(id_, part("experience").alias("_part")), id_, "_part", words)
-    learnt = degrees(cut.select(id_, part("education").alias("_part"), "_text"), id_, "_part", words, "_text")
-
-    def gathered(rows: DataFrame, name: str) -> DataFrame:
-        fields = [c for c in rows.columns if c not in (id_, "number")]
-        listed = rows.groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("number", F.struct(*fields).alias("r")))).alias("_all"))
-        return listed.select(id_, F.transform("_all", lambda x: x["r"]).alias(name))
-
+    held = F.transform(held_positions(part("experience"), words), lambda p: p.dropFields("number"))
+    learnt = held_degrees(part("education"), words, F.col("_text"))
     links = T.profile_links(F.col("_text"))
     found = cut.select(
         id_, "_file", "_text", "sections", person_name(F.col("_text"), words, T.name_from_file(F.col("_file"))).alias("name"), T.emails(F.col("_text")).alias("emails"), T.phones(F.col("_text")).alias("phones"),
         T.links(F.col("_text")).alias("links"), links["linkedin"].alias("linkedin"), links["github"].alias("github"), skills.summary(part("summary"), F.col("_text")).alias("summary"),
-        skills.skills(F.col("_text"), part("skills"), words).alias("_skills"), skills.certifications(part("certifications")).alias("certifications"),
+        skills.skills(F.col("_text"), part("skills"), words).alias("_skills"), skills.certifications(part("certifications")).alias("certifications"), held.alias("experience"), learnt.alias("education"),
     )
-    both = found.join(gathered(held, "experience"), id_, "left").join(gathered(learnt, "education"), id_, "left")
     normal = skills.once(F.transform("_skills", lambda s: T.normal_skill(s, aliases or {"": ""})))
     role = roles.role(F.col("_text"), words, F.col("name"), F.transform("experience", lambda e: e["role"]), F.col("summary"), None, F.col("_file"))
-    lists = [F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c) for c in ("experience", "education")]
-    return both.select(id_, "name", role.alias("role"), "emails", "phones", "links", "linkedin", "github", "summary", normal.alias("skills"), "certifications", *lists, "sections")
+    return found.select(id_, "name", role.alias("role"), "emails", "phones", "links", "linkedin", "github", "summary", normal.alias("skills"), "certifications", "experience", "education", "sections")

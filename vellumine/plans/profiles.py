@@ -52,9 +52,13 @@ def page_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw profiles of parts, with markup, read as wholes: contacts, sections, positions, degrees and skills of each."""
+    """Raw profiles of parts, with markup, read as wholes: contacts, sections, positions, degrees and skills of each.
+
+    A part is a few bytes, so that files of many parts are few tasks; parts are dealt out before their profiles are
+    written. Every task unpacks the whole plan first (about half a second), so there are no more of them than cores can use.
+    """
     a, b = F.get("w", F.lit(0)), F.get("w", F.lit(1))
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("w")).select("p_partkey", a.alias("a"), b.alias("b"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name").repartition(2 * spark.sparkContext.defaultParallelism, "p_partkey").select("p_partkey", F.split("p_name", " ").alias("w")).select("p_partkey", a.alias("a"), b.alias("b"))
     a, b, k = F.col("a"), F.col("b"), F.col("p_partkey").cast("string")
     raw = F.concat(
         F.lit("<html><script>x()</script><p>Curriculum Vitae</p><p>"), F.initcap(a), F.lit(" "), F.initcap(b), F.lit("</p><p>"), a, k, F.lit("@Example.org &amp; +91 98765 4"), F.lpad(k, 4, "0"), F.lit("</p><p>linkedin.com/in/"), b, k,
