@@ -157,18 +157,22 @@ def merged(records: Column) -> Column:
     """Records without those that name no degree, merged in their order: into the first earlier one whose degree is the same
     or, from 5 characters on, holds the other, if their institutions do not differ."""
 
+    # what is compared is brought to lower case once a record, not once a pair
+    keyed = lambda r: F.struct(r.alias("r"), F.lower(r["degree"]).alias("x"), F.lower(r["institution"]).alias("s"))
+    kind = f"array<struct<r:{RECORD[6:-1]},x:string,s:string>>"
+
     def fits(a: Column, b: Column) -> Column:
-        x, y, s, t = F.lower(a["degree"]), F.lower(b["degree"]), F.lower(a["institution"]), F.lower(b["institution"])
+        x, y, s, t = a["x"], b["x"], a["s"], b["s"]
         inside = (F.contains(x, y) & (F.length(y) >= 5)) | (F.contains(y, x) & (F.length(x) >= 5))
         return (s.isNull() | t.isNull() | (s == t)) & ((x == y) | inside)
 
     def add(done: Column, r: Column) -> Column:
         at = F.array_position(F.transform(done, lambda a: F.coalesce(fits(a, r), F.lit(False))), True).cast("int")
-        return T.let(at, lambda k: F.when(k == 0, F.concat(done, F.array(r))).otherwise(F.transform(done, lambda a, i: F.when(i == k - 1, _merged_pair(a, r)).otherwise(a))))
+        return T.let(at, lambda k: F.when(k == 0, F.concat(done, F.array(r))).otherwise(F.transform(done, lambda a, i: F.when(i == k - 1, keyed(_merged_pair(a["r"], r["r"]))).otherwise(a))))
 
     named = F.transform(records, lambda r: F.when(~F.lower(r["institution"]).isin(*NO_INSTITUTION) | r["institution"].isNull(), r).otherwise(r.withField("institution", F.lit(None).cast("string"))))
     kept = F.filter(named, lambda r: F.coalesce(~L.no_degree(r["degree"]) & ~L.holds(r["degree"], NO_RECORD), F.lit(False)))
-    return F.aggregate(kept.cast(RECORD), F.array().cast(RECORD), add)
+    return F.aggregate(F.transform(kept.cast(RECORD), lambda r: keyed(r)).cast(kind), F.array().cast(kind), add, lambda done: F.transform(done, lambda k: k["r"]))
 
 
 def held_degrees(section: Column, words: Words, text: Column | None = None) -> Column:
