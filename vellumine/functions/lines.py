@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,8 +38,7 @@ def unbulleted(line: Column) -> Column:
 
 
 def is_bullet(line: Column) -> Column:
-    dash, *others = (F.startswith(line, F.lit(b)) for b in BULLETS)
-    return reduce(or_, others, dash)
+    return F.substring(line, 1, 1).isin(*BULLETS)
 
 
 def n_words(line: Column) -> Column:

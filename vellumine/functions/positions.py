@@ -115,7 +115,7 @@ def split_position(text: Column, words: Words) -> Column:
 
 def content_lines(text: Column) -> Column:
     """The lines of an experience part: without headings, up to the line that ends it, ranges cut by a line break joined."""
-    kept = F.filter(L.text_lines(text), lambda x: (F.length(x) > max(map(len, HEADINGS))) | ~F.lower(x).isin(*HEADINGS))
+    kept = F.filter(L.text_lines(text), lambda x: ~F.lower(x).isin(*HEADINGS))
     # as many characters as the longest of ENDS decide
     ends = lambda x: F.lower(F.substring(x, 1, max(map(len, ENDS)))).rlike("^(?:" + "|".join(ENDS) + ")")
     cut = lambda a: T.let(F.array_position(F.transform(a, ends), True).cast("int"), lambda n: F.when(n > 0, F.slice(a, 1, n - 1)).otherwise(a))
@@ -179,7 +179,7 @@ def _body(body: Column, start: Column, followed: Column, words: Words) -> Column
 
 def highlights(body: Column) -> Column:
     bare = F.transform(body, L.unbulleted)
-    good = F.filter(bare, lambda x: (x != "") & ~(F.endswith(x, F.lit(":")) & F.lower(x).isin(*LABELS)) & ~((F.length(x) <= 4) & x.rlike("^[0-9]{1,2}$")))
+    good = F.filter(bare, lambda x: (x != "") & ~F.lower(x).isin(*LABELS) & ~((F.length(x) <= 4) & x.rlike("^[0-9]{1,2}$")))
     return F.filter(F.transform(good, T.clean_field), lambda x: x.isNotNull())
 
 
